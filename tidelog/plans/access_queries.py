@@ -10,7 +10,8 @@ from tidelog.plans.registry import AS_OF, SINCE, given, register
 
 _US = "CAST(round(request_time * 1000000) AS BIGINT)"
 _MEAN = f"CAST(sum({_US}) AS DOUBLE) / count(*) / 1000000"
-_ROUND_MEAN = f"round_even({_MEAN}, 4)"
+# In units of the last place, where a tie is exact.
+_ROUND_MEAN = f"round_even(CAST(sum({_US}) AS DOUBLE) / count(*) / 100, 0) / 10000"
 _P95 = "round_even(quantile_cont(request_time, 0.95), 4)"
 _W = f"WHERE Timestamp >= {SINCE}"
 _COLS = "Timestamp, remote_addr, method, referer, path, status, bytes_sent, request_time"

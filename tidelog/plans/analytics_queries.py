@@ -171,7 +171,7 @@ def pattern_search_terms(spark, sf):
 , r AS (SELECT count(*) AS total, count(*) FILTER (WHERE (CASE WHEN raw_state = '' THEN 'unknown' ELSE raw_state END) = 'running') AS running,
     count(*) FILTER (WHERE contains(lower(raw_status), '(unhealthy)')) AS unhealthy FROM snap),
 g AS (SELECT count(*) AS n, count(*) FILTER (WHERE status >= 500) / count(*) * 100 AS rate, quantile_cont(request_time, 0.95) AS p95 FROM acc),
-c AS (SELECT raw_state = 'running' AS ok, p_layer FROM (SELECT raw_state, CASE WHEN contains(id, '7') THEN 'pipeline' ELSE 'uptime' END AS p_layer FROM snap)),
+c AS (SELECT raw_state = 'running' AS ok, p_layer FROM (SELECT raw_state, CASE WHEN raw_status = '' THEN 'pipeline' ELSE 'uptime' END AS p_layer FROM snap)),
 u AS (SELECT count(*) FILTER (WHERE read_at IS NULL) AS unread FROM notif)
 SELECT 'container' AS layer, CASE WHEN unhealthy > 0 THEN 'danger' ELSE 'ok' END AS status, concat(running, '/', total, ' running') AS value FROM r
 UNION ALL SELECT 'gateway', CASE WHEN rate >= 5 OR p95 >= 1 THEN 'danger' WHEN rate >= 1 OR p95 >= 0.3 THEN 'warn' ELSE 'ok' END, concat(n, ' req') FROM g
@@ -181,7 +181,7 @@ UNION ALL SELECT 'alerts', CASE WHEN unread > 0 THEN 'warn' ELSE 'missing' END,
 def layer_status(spark, sf):
     snapshots = views.snapshots(spark, sf)
     checks = snapshots.select(
-        F.when(F.contains("id", F.lit("7")), "pipeline").otherwise("uptime").alias("layer"),
+        F.when(F.col("raw_status") == "", "pipeline").otherwise("uptime").alias("layer"),
         F.when(F.col("raw_state") == "running", "ok").otherwise("failed").alias("status"))
     unread = views.notifications(spark, sf).agg(F.count_if(F.col("read_at").isNull()).alias("unread"))
     return analytics.layer_status(runtime_summary(runtime_rows(snapshots)),

@@ -90,7 +90,7 @@ def _gaps(key: str, source: str, seconds: int) -> str:
     return f"""
 SELECT {key}, Timestamp AS last_log, until, (epoch_us(coalesce(until, {AS_OF})) - epoch_us(Timestamp)) / 1000000.0::DOUBLE AS seconds
 FROM (SELECT {key}, Timestamp, lead(Timestamp) OVER (PARTITION BY {key} ORDER BY Timestamp) AS until FROM {source} WHERE ServiceName <> 'nginx')
-WHERE epoch_us(coalesce(until, {AS_OF})) - epoch_us(Timestamp) > {seconds} * 1000000"""
+WHERE epoch_us(coalesce(until, {AS_OF})) - epoch_us(Timestamp) > {seconds}000000"""
 
 
 @register("silences", "DET-4", given("logs") + _gaps("ContainerId", "logs", 18000))

@@ -1,9 +1,14 @@
-"""Keyed state on streams: cooldown, active anomalies, down and recovered."""
+"""Keyed state on streams: cooldown, active anomalies, down and recovered.
+
+Column names that reach a processor must not start with an underscore: the row batches
+handed to Python lose such names.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -28,22 +33,20 @@ class Cooldown(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         events = _in_order(rows, self.ts)
         last = self.last.get()[0] if self.last.exists() else None
-        keep = []
-        for us in events["_us"]:
-            passes = last is None or us - last >= self.pause_us
-            keep.append(passes)
-            if passes:
-                last = us
+        keep = np.zeros(len(events), dtype=bool)
+        for i, us in enumerate(events["event_us"]):
+            if last is None or us - last >= self.pause_us:
+                keep[i], last = True, int(us)
         if last is not None:
-            self.last.update((int(last),))
-        yield events[keep].drop(columns="_us")
+            self.last.update((last,))
+        yield events[keep].drop(columns="event_us")
 
     def close(self) -> None:
         pass
 
 
 def stream_throttle(df: DataFrame, key: str, ts: str, seconds: float) -> DataFrame:
-    rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    rows = df.withColumn("event_us", F.unix_micros(F.col(ts).cast("timestamp")))
     return rows.groupBy(key).transformWithStateInPandas(
         Cooldown(ts, seconds), df.schema, outputMode="Append", timeMode="None")
 
@@ -58,14 +61,15 @@ class Episodes(StatefulProcessor):
         self.last = handle.getValueState("last_window", "us bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        windows = _in_order(rows, "_us")
+        windows = _in_order(rows, "event_us")
         last = self.last.get()[0] if self.last.exists() else None
-        alert = []
-        for us in windows["_us"]:
-            alert.append(last is None or us - last > self.step_us)
-            last = us if last is None else max(last, us)
-        self.last.update((int(last),))
-        yield windows[alert].drop(columns="_us")
+        alert = np.zeros(len(windows), dtype=bool)
+        for i, us in enumerate(windows["event_us"]):
+            alert[i] = last is None or us - last > self.step_us
+            last = int(us) if last is None else max(last, int(us))
+        if last is not None:
+            self.last.update((last,))
+        yield windows[alert].drop(columns="event_us")
 
     def close(self) -> None:
         pass
@@ -73,7 +77,7 @@ class Episodes(StatefulProcessor):
 
 def stream_episodes(groups: DataFrame, step_seconds: float = 60.0) -> DataFrame:
     """Alerts of the first window of each run, from rows of anomalous windows."""
-    rows = groups.withColumn("_us", F.unix_micros("window_start"))
+    rows = groups.withColumn("event_us", F.unix_micros("window_start"))
     return rows.groupBy("ContainerId", "grp").transformWithStateInPandas(
         Episodes(step_seconds), groups.schema, outputMode="Append", timeMode="None")
 
@@ -101,6 +105,8 @@ class DownUp(StatefulProcessor):
                 out.append(("container_recovered", "info", int(first_us), last))
                 down = False
             last = int(last_us) if last is None else max(last, int(last_us))
+        if last is None:
+            return
         self.state.update((last, down))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
