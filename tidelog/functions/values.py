@@ -27,15 +27,20 @@ def first_filled(columns: Sequence[Column], default: str = "") -> Column:
     return F.trim(F.coalesce(*[F.when(c != "", c) for c in columns], F.lit(default)))
 
 
-def uint_or_zero(text: str | Column, bits: int) -> Column:
-    """Text of digits within the unsigned range, else 0 (no blanks, signs or fractions)."""
+# Whole numbers of 16 unsigned bits, leading zeros allowed.
+_UINT16 = "^0*([0-9]{1,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])$"
+
+
+def uint16_or_zero(text: str | Column) -> Column:
+    """Text of digits up to 65535, else 0 (no blanks, signs or fractions)."""
+    text = col(text)
+    return F.coalesce(F.when(text.rlike(_UINT16), text).try_cast("int"), F.lit(0))
+
+
+def uint_or_zero(text: str | Column) -> Column:
+    """Text of digits within BIGINT, else 0."""
     text = col(text)
-    limit = 2 ** bits - 1
-    width = len(str(limit))
-    kind = "bigint" if bits < 64 else f"decimal({width},0)"
-    digits = F.when(text.rlike(r"^[0-9]{1,%d}$" % width), text).try_cast(kind)
-    out = "int" if bits < 32 else "bigint" if bits < 64 else "decimal(20,0)"
-    return F.coalesce(F.when(digits <= F.lit(str(limit)).cast(kind), digits), F.lit(0)).cast(out)
+    return F.coalesce(F.when(text.rlike("^[0-9]+$"), text).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def float_or_zero(text: str | Column) -> Column:

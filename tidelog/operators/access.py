@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidelog.functions import fixed
 from tidelog.functions.values import (attr, before, bucket, float_or_zero, half_even, percent, time_bounded,
-                                      uint_or_zero)
+                                      uint16_or_zero, uint_or_zero)
 
 COLUMNS = ["Timestamp", "remote_addr", "method", "referer", "path", "status", "bytes_sent", "request_time"]
 
@@ -20,8 +20,8 @@ def access_logs(df: DataFrame, attributes: str = "LogAttributes") -> DataFrame:
     return rows.select(
         "Timestamp", attr(attributes, "remote_addr").alias("remote_addr"), attr(attributes, "method").alias("method"),
         attr(attributes, "referer").alias("referer"), attr(attributes, "path").alias("path"),
-        uint_or_zero(attr(attributes, "status"), 16).alias("status"),
-        uint_or_zero(attr(attributes, "bytes_sent"), 64).cast("bigint").alias("bytes_sent"),
+        uint16_or_zero(attr(attributes, "status")).alias("status"),
+        uint_or_zero(attr(attributes, "bytes_sent")).alias("bytes_sent"),
         float_or_zero(attr(attributes, "request_time")).alias("request_time"), *keep)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,35 +14,59 @@ COMBINED = r'^(\S+) \S+ (\S+) \[([^\]]+)\] "([^"]*)" ([0-9]+) ([0-9]+|-) "([^"]*
 SHORT = r'([0-9.]+) - (\S+) \[([^\]]+)\] "([^"]+)" ([0-9]+) ([0-9]+)'
 JSON_FIELDS = ["remote_addr", "client", "user", "time", "request", "uri", "method", "path", "status", "size",
                "referer", "http_referer", "agent", "user_agent", "request_time"]
+PARSED = ["remote_addr", "user", "time", "request", "status", "size", "http_referer", "user_agent",
+          "method", "path", "request_time"]
+_MARK = "\u0001"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once per row."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _groups(line: Column, pattern: str, count: int) -> Column:
+    """All groups of a pattern from one match; another number of items where it does not match."""
+    whole = "(?s)^.*?" + pattern + ".*$" if not pattern.startswith("^") else "(?s)" + pattern + ".*$"
+    return F.split(F.regexp_replace(line, whole, _MARK.join(f"${i}" for i in range(1, count + 1))), _MARK)
+
+
+def _record(**fields: Column) -> Column:
+    return F.struct(*[fields.get(name, F.lit(None)).cast("string").alias(name) for name in PARSED])
 
 
 def parse_access(lines: DataFrame, message: str = "message") -> DataFrame:
-    """JSON, combined format or the short form, in this order; other lines are dropped."""
+    """JSON, combined format or the short form, in this order; other lines are dropped.
+
+    Each form is matched once per line, and only where the forms before it failed.
+    """
     line = F.col(message)
-    schema = ", ".join(f"{name} STRING" for name in JSON_FIELDS)
+    schema = ", ".join(f"{name} STRING" for name in [*JSON_FIELDS, "_broken"])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+
+    def from_json(j: Column) -> Column:
+        first = lambda *names: F.coalesce(*[F.nullif(j[n], F.lit("")) for n in names])
+        return F.when(j["_broken"].isNull(), _record(
+            remote_addr=first("client", "remote_addr"), user=j["user"], time=j["time"],
+            request=first("request", "uri"), status=j["status"], size=j["size"],
+            http_referer=first("referer", "http_referer"), user_agent=first("agent", "user_agent"),
+            method=j["method"], path=j["path"], request_time=j["request_time"])).otherwise(_let(
+                _groups(line, COMBINED, 8), from_combined))
+
+    def from_combined(g: Column) -> Column:
+        given = lambda i: F.nullif(g[i], F.lit("-"))
+        return F.when(F.size(g) == 8, _record(
+            remote_addr=given(0), user=given(1), time=given(2), request=given(3), status=given(4), size=given(5),
+            http_referer=given(6), user_agent=given(7))).otherwise(_let(_groups(line, SHORT, 6), from_short))
+
+    def from_short(g: Column) -> Column:
+        return F.when(F.size(g) == 6, _record(
+            remote_addr=g[0], user=g[1], time=g[2], request=g[3], status=g[4], size=g[5]))
+
     # Only an object counts as JSON: bare numbers or text are lines for the other forms.
-    json = F.when(line.rlike(r"^\s*\{"), F.from_json(line, schema, {"mode": "PERMISSIVE"}))
-    is_json = F.when(line.rlike(r"^\s*\{"), F.try_parse_json(line)).isNotNull()
-    combined, short = line.rlike(COMBINED), line.rlike(SHORT)
-
-    def field(json_names: Sequence[str], group: int, in_short: bool = True) -> Column:
-        chain = F.when(is_json, F.coalesce(*[F.nullif(json[n], F.lit("")) for n in json_names]))
-        chain = chain.when(combined, F.nullif(F.regexp_extract(line, COMBINED, group), F.lit("-")))
-        return chain.when(short, F.regexp_extract(line, SHORT, group)) if in_short else chain
-
-    return lines.filter(is_json | combined | short).withColumns({
-        "remote_addr": field(["client", "remote_addr"], 1),
-        "user": field(["user"], 2),
-        "time": field(["time"], 3),
-        "request": field(["request", "uri"], 4),
-        "method": F.when(is_json, json["method"]),
-        "path": F.when(is_json, json["path"]),
-        "status": field(["status"], 5),
-        "size": field(["size"], 6),
-        "http_referer": field(["referer", "http_referer"], 7, False),
-        "user_agent": field(["agent", "user_agent"], 8, False),
-        "request_time": F.when(is_json, json["request_time"]),
-    }).drop(message)
+    parsed = F.when(F.startswith(F.ltrim(line), F.lit("{")), _let(F.from_json(line, schema, options), from_json)
+                    ).otherwise(_let(_groups(line, COMBINED, 8), from_combined))
+    rest = [c for c in lines.columns if c != message]
+    return lines.select(*rest, F.inline(F.filter(F.array(parsed), lambda r: r.isNotNull())))
 
 
 def normalize_access(df: DataFrame, now: Column | None = None, host: str = "") -> DataFrame:
@@ -57,7 +81,7 @@ def normalize_access(df: DataFrame, now: Column | None = None, host: str = "") -
     return df.withColumns({
         "timestamp": F.coalesce(stamp, now.cast("timestamp")),
         "method": F.coalesce(method, F.col("method")),
-        "path": F.element_at(F.split(full_path, r"\?"), 1),
+        "path": F.substring_index(full_path, "?", 1),
         "status": F.coalesce(F.col("status").try_cast("int"), F.lit(0)),
         "bytes_sent": F.coalesce(F.col("size").try_cast("bigint"), F.lit(0)),
         "request_time": F.coalesce(F.col("request_time").try_cast("double"), F.lit(0.0)),

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidelog.functions.values import micros
+from tidelog.session import cut_lineage
 
 
 def _chain_ends(times: np.ndarray, pause: int) -> np.ndarray:
@@ -37,7 +38,8 @@ def throttle(df: DataFrame, keys: Sequence[str], ts: str, seconds: float, order:
     pause = int(seconds * 1_000_000)
     block = int((block_seconds or max(3600.0, 10 * seconds)) * 1_000_000)
     packed = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
-    rows = df.withColumn("_key", packed).withColumn("_us", micros(ts))
+    # Three steps read the events; they are computed once, into the checkpoint folder.
+    rows = cut_lineage(df.withColumn("_key", packed).withColumn("_us", micros(ts)))
     first_of_time = rows
     if order:
         tie = F.struct(*order)

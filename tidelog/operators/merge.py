@@ -7,21 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidelog.functions.values import from_micros, micros
-from tidelog.operators.ordered import fold_lines, idle_sessions, slot_of, with_chunks
+from tidelog.operators.ordered import chunk_start, fold_lines, idle_sessions, part_of, slot_of, with_chunks
 
 
 def merge_idle_gap(df: DataFrame, keys: Sequence[str] = ("container_id", "stream"), ts: str = "timestamp",
                    order: str = "event_id", message: str = "message", gap_seconds: float = 2.0,
-                   max_lines: int = 10_000, target_rows: int = 500_000) -> DataFrame:
-    """Events of a key less than the gap apart become one event, joined by newline."""
+                   max_lines: int = 10_000, target_rows: int = 100_000) -> DataFrame:
+    """Events of a key less than the gap apart become one event, joined by newline.
+
+    An event of more than `max_lines` lines continues in parts 1, 2, ...; no line is lost.
+    """
     keys = list(keys)
     gap = int(gap_seconds * 1_000_000)
-    sessions = (idle_sessions(df, keys, ts, gap_seconds)
-                .select(*keys, F.col("slot").alias("_gap_slot"), "session_us"))
-    lines = (with_chunks(df, keys, ts, gap_seconds, target_rows)
-             .withColumn("_gap_slot", slot_of(micros(ts), gap))
-             .join(sessions, [*keys, "_gap_slot"]))
-    return (fold_lines(lines, keys, "session_us", ts, order, message, max_lines)
+    sessions = idle_sessions(df, keys, ts, gap_seconds).select(
+        *keys, "slot", "rows", "session_us", part_of(F.col("lines_before"), max_lines).alias("part"))
+    lines = (df.withColumn("_us", micros(ts)).withColumn("slot", slot_of(F.col("_us"), gap))
+             .join(sessions, [*keys, "slot"])
+             .withColumn("chunk", chunk_start(F.col("_us"), F.col("slot"), F.col("rows"), gap, target_rows)))
+    return (fold_lines(lines, keys, "session_us", ts, order, message)
             .withColumn("session_start", from_micros(F.col("session_us")))
             .select(*keys, "session_start", "part", "lines", "first_ts", "last_ts", "message"))
 
@@ -43,54 +46,72 @@ def stream_idle_gap(df: DataFrame, keys: Sequence[str] = ("container_id", "strea
 def group_multiline(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", order: str = "event_id",
                     line: str = "message", start: str = r"^\S", condition: str = r"^\s",
                     timeout_seconds: float | None = 2.0, max_lines: int = 10_000,
-                    chunk_seconds: float = 60.0, target_rows: int = 500_000) -> DataFrame:
+                    chunk_seconds: float = 60.0, target_rows: int = 100_000) -> DataFrame:
     """Runs of lines: opened by a `start` line, continued while lines match `condition`.
 
     A line outside any run stays alone; a pause longer than the timeout ends the run.
     A line that cannot continue a run is a break, so a run reaches from the first start
     line at or after a break up to the next break. Breaks and starts are looked for inside
-    each chunk; what is open at a chunk's border comes from the chunk summaries.
+    each chunk. What is open at a chunk's border comes from one summary row per chunk, made
+    from times and flags without the texts. Long runs continue in parts as in `merge_idle_gap`.
     """
     keys = list(keys)
-    rows = (with_chunks(df, keys, ts, chunk_seconds, target_rows)
-            .withColumn("_pos", F.struct(micros(ts).alias("us"), F.col(order).alias("id")))
-            .withColumn("_start", F.when(F.col(line).rlike(start), F.col("_pos"))))
+    rows = (df.withColumn("_continues", F.col(line).rlike(condition))
+            .withColumn("_starts", F.col(line).rlike(start)))
+    rows = with_chunks(rows, keys, ts, chunk_seconds, target_rows)
+    rows = rows.withColumn("_pos", F.struct(micros(ts).alias("us"), F.col(order).alias("id")))
 
+    # Inside a chunk: blocks between breaks. Whether the first line is a break is open here.
     in_chunk = Window.partitionBy(*keys, "chunk").orderBy("_pos")
-    between = Window.partitionBy(*keys).orderBy("chunk")
-
-    # The last time of the chunk before, for the pause ahead of a chunk's first line.
-    ends = (rows.groupBy(*keys, "chunk").agg(F.max("_pos.us").alias("_last"))
-            .withColumn("_before", F.lag("_last").over(between)).drop("_last"))
-    rows = rows.join(ends, [*keys, "chunk"])
-    previous = F.coalesce(F.lag("_pos.us").over(in_chunk), F.col("_before"))
-    broken = ~F.col(line).rlike(condition) | previous.isNull()
-    if timeout_seconds is not None:
-        broken = broken | (F.col("_pos.us") - previous > int(timeout_seconds * 1_000_000))
-    up_to_here = in_chunk.rowsBetween(Window.unboundedPreceding, 0)
-    rows = (rows.withColumn("_break", broken.cast("int"))
-            .withColumn("_block", F.sum("_break").over(up_to_here)))
-    in_block = (Window.partitionBy(*keys, "chunk", "_block").orderBy("_pos")
-                .rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_open", F.min("_start").over(in_block))
-
-    # Per chunk: was there a break, and the first start after the last one. Across chunks
-    # the open run is the earliest such start since the last chunk with a break.
-    blocks = rows.groupBy(*keys, "chunk", "_block").agg(F.min("_start").alias("_first"))
-    tails = blocks.groupBy(*keys, "chunk").agg(
-        (F.max("_block") > 0).alias("_breaks"),
-        F.max(F.struct(F.col("_block"), F.col("_first")))["_first"].alias("_tail"))
-    stretch = F.sum(F.col("_breaks").cast("int")).over(between.rowsBetween(Window.unboundedPreceding, 0))
-    running = (Window.partitionBy(*keys, "_stretch").orderBy("chunk")
-               .rowsBetween(Window.unboundedPreceding, 0))
-    carried = (tails.withColumn("_stretch", stretch)
-               .withColumn("_state", F.min("_tail").over(running))
-               .withColumn("_carry", F.lag("_state").over(between))
-               .select(*keys, "chunk", "_carry"))
-
-    opened = F.coalesce(F.when(F.col("_block") == 0, F.col("_carry")), F.col("_open"), F.col("_pos"))
-    lines = rows.join(carried, [*keys, "chunk"]).withColumn("_run", opened)
-    return (fold_lines(lines, keys, "_run", ts, order, line, max_lines)
+    upto = in_chunk.rowsBetween(Window.unboundedPreceding, 0)
+    pause = F.col("_pos.us") - F.lag("_pos.us").over(in_chunk)
+    too_long = (lambda p: F.lit(False)) if timeout_seconds is None else (
+        lambda p: p > int(timeout_seconds * 1_000_000))
+    breaks = F.when(pause.isNotNull(), (~F.col("_continues") | too_long(pause)).cast("int")).otherwise(0)
+    rows = rows.withColumn("_break", breaks).withColumn("_block", F.sum("_break").over(upto))
+    in_block = Window.partitionBy(*keys, "chunk", "_block").orderBy("_pos")
+    opened = F.min(F.when(F.col("_starts"), F.col("_pos"))).over(in_block.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_open", opened)
+
+    borders = _open_at_borders(rows, keys, too_long, max_lines)
+    carried = (F.col("_block") == 0) & F.col("_carry").isNotNull()
+    lines = (rows.join(borders, [*keys, "chunk"])
+             .withColumn("_run", F.when(carried, F.col("_carry")).otherwise(F.coalesce("_open", "_pos")))
+             .withColumn("part", F.when(carried, F.col("_part")).otherwise(0)))
+    return (fold_lines(lines, keys, "_run", ts, order, line)
             .withColumn("run_start", from_micros(F.col("_run.us")))
             .withColumn("run_id", F.col("_run.id"))
             .select(*keys, "run_start", "run_id", "part", "lines", "first_ts", "last_ts", "message"))
+
+
+def _open_at_borders(rows: DataFrame, keys: Sequence[str], too_long, max_lines: int) -> DataFrame:
+    """Per chunk, the run open at its start (`_carry`) and the part its lines belong to."""
+    blocks = (rows.groupBy(*keys, "chunk", "_block")
+              .agg(F.min(F.struct("_pos", "_continues")).alias("_head"), F.max("_pos.us").alias("_last"),
+                   F.min("_open").alias("_first"), F.count(F.lit(1)).alias("_n"),
+                   F.count("_open").alias("_n_open")))
+    first, final = F.min(F.struct("_block", "_head", "_n")), F.max(F.struct("_block", "_first", "_n_open", "_last"))
+    chunks = (blocks.groupBy(*keys, "chunk").agg(first.alias("f"), final.alias("l"))
+              .select(*keys, "chunk", F.col("f._head._pos.us").alias("_from"), F.col("f._n").alias("_head_n"),
+                      F.col("f._head._continues").alias("_continues"), F.col("l._block").alias("_breaks"),
+                      F.col("l._first").alias("_tail"), F.col("l._n_open").alias("_tail_n"),
+                      F.col("l._last").alias("_to")))
+    by_time = Window.partitionBy(*keys).orderBy("chunk")
+    pause = F.col("_from") - F.lag("_to").over(by_time)
+    fresh = pause.isNull() | ~F.col("_continues") | too_long(pause)
+    stretch = F.sum((F.col("_fresh") | (F.col("_breaks") > 0)).cast("int")).over(
+        by_time.rowsBetween(Window.unboundedPreceding, 0))
+    chunks = chunks.withColumn("_fresh", fresh).withColumn("_stretch", stretch)
+    # Since the last chunk with a break, the earliest start is the open run; its lines add up.
+    running = (Window.partitionBy(*keys, "_stretch").orderBy("chunk")
+               .rowsBetween(Window.unboundedPreceding, 0))
+    earlier = F.min("_tail").over(running)
+    # A chunk that the run only passes through adds all its lines, the one it starts in those from there.
+    passed = F.lag("_state").over(Window.partitionBy(*keys, "_stretch").orderBy("chunk")).isNotNull()
+    chunks = (chunks.withColumn("_state", earlier)
+              .withColumn("_adds", F.when(passed, F.col("_head_n")).otherwise(F.col("_tail_n")))
+              .withColumn("_so_far", F.sum("_adds").over(running)))
+    return (chunks.withColumn("_before", F.lag("_state").over(by_time))
+            .withColumn("_lines", F.lag("_so_far").over(by_time))
+            .select(*keys, "chunk", F.when(~F.col("_fresh"), F.col("_before")).alias("_carry"),
+                    part_of(F.col("_lines"), max_lines).alias("_part")))

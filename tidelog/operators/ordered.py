@@ -19,7 +19,7 @@ def slot_of(us: Column, width_us: int) -> Column:
 
 
 def with_chunks(df: DataFrame, keys: Sequence[str], ts: str, width_seconds: float = 60.0,
-                target_rows: int = 500_000) -> DataFrame:
+                target_rows: int = 100_000) -> DataFrame:
     """Adds `chunk`, the start of the row's time chunk in microseconds.
 
     Chunks are `width_seconds` long; one with more than `target_rows` rows is cut evenly
@@ -30,42 +30,33 @@ def with_chunks(df: DataFrame, keys: Sequence[str], ts: str, width_seconds: floa
     keys = list(keys)
     rows = df.withColumn("_us", micros(ts)).withColumn("_slot", slot_of(F.col("_us"), width))
     heavy = (rows.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
-             .filter(F.col("_n") > target_rows)
-             .withColumn("_cuts", F.least(F.ceil(F.col("_n") / target_rows), F.lit(width)).cast("bigint"))
-             .drop("_n"))
-    cuts = F.coalesce("_cuts", F.lit(1).cast("bigint"))
-    offset = F.col("_us") - F.col("_slot") * width
-    piece = F.floor(offset * cuts / width)
-    start = F.col("_slot") * width + F.floor(piece * width / cuts)
+             .filter(F.col("_n") > target_rows))
     return (rows.join(heavy, [*keys, "_slot"], "left")
-            .withColumn("chunk", start.cast("bigint"))
-            .drop("_us", "_slot", "_cuts"))
+            .withColumn("chunk", chunk_start(F.col("_us"), F.col("_slot"), F.col("_n"), width, target_rows))
+            .drop("_us", "_slot", "_n"))
 
 
-def fold_lines(df: DataFrame, keys: Sequence[str], group: str, ts: str, order: str, line: str,
-               max_lines: int = 10_000) -> DataFrame:
-    """Joins the lines of each group by newline, in (ts, order).
+def chunk_start(us: Column, slot: Column, rows: Column, width: int, target_rows: int) -> Column:
+    """Start of a row's chunk in a slot of `rows` rows (NULL: not many), in microseconds."""
+    cuts = F.least(F.ceil(F.coalesce(rows, F.lit(1)) / target_rows), F.lit(width)).cast("bigint")
+    piece = F.floor((us - slot * width) * cuts / width).cast("bigint")
+    return (slot * width + F.floor(piece * width / cuts)).cast("bigint")
 
-    `df` carries `chunk`. Lines are joined inside a chunk first. A group of up to
-    `max_lines` lines is one row with part 0; a longer one continues in parts 1, 2, ...,
-    so that no row grows with the data and no line is lost.
+
+def fold_lines(df: DataFrame, keys: Sequence[str], group: str, ts: str, order: str, line: str) -> DataFrame:
+    """Joins the lines of each (keys, group, part) by newline, in (ts, order).
+
+    `df` carries `chunk` and `part`. Lines are joined inside a chunk first, then the chunks'
+    texts are. Parts keep a row from growing with the data: see `part_of`.
     """
-    keys = list(keys)
-    per_chunk = (df.groupBy(*keys, "chunk", group)
-                 .agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(order).alias("o"),
-                                                           F.col(line).alias("m")))).alias("_rows"))
-                 .select(*keys, group, "chunk", F.size("_rows").cast("bigint").alias("lines"),
-                         F.col("_rows")[0]["t"].alias("first_ts"),
-                         F.element_at("_rows", -1)["t"].alias("last_ts"),
-                         F.array_join(F.transform("_rows", lambda r: r["m"]), "\n").alias("_text")))
-    # Slim rows (no text) carry the running line count over the chunks of a group.
-    slim = per_chunk.select(*keys, group, "chunk", "lines")
-    earlier = (Window.partitionBy(*keys, group).orderBy("chunk")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    parts = slim.select(*keys, group, "chunk", F.floor(
-        F.coalesce(F.sum("lines").over(earlier), F.lit(0)) / max_lines).cast("int").alias("part"))
-    return (per_chunk.join(parts, [*keys, group, "chunk"])
-            .groupBy(*keys, group, "part")
+    by = [*keys, group, "part"]
+    row = F.struct(F.col(ts).alias("t"), F.col(order).alias("o"), F.col(line).alias("m"))
+    return (df.groupBy(*by, "chunk")
+            .agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+            .select(*by, "chunk", F.size("_rows").cast("bigint").alias("lines"),
+                    F.col("_rows")[0]["t"].alias("first_ts"), F.element_at("_rows", -1)["t"].alias("last_ts"),
+                    F.array_join(F.transform("_rows", lambda r: r["m"]), "\n").alias("_text"))
+            .groupBy(*by)
             .agg(F.sum("lines").alias("lines"), F.min("first_ts").alias("first_ts"),
                  F.max("last_ts").alias("last_ts"),
                  F.array_sort(F.collect_list(F.struct("chunk", "_text"))).alias("_texts"))
@@ -73,11 +64,16 @@ def fold_lines(df: DataFrame, keys: Sequence[str], group: str, ts: str, order: s
             .drop("_texts"))
 
 
+def part_of(lines_before: Column, max_lines: int) -> Column:
+    """Part of a group that a chunk belongs to: 0 up to `max_lines` lines, then 1, 2, ..."""
+    return F.floor(F.coalesce(lines_before, F.lit(0)) / max_lines).cast("int")
+
+
 def idle_sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: float) -> DataFrame:
     """One row per key and time slot of the gap's length, with the session it belongs to.
 
     Two rows in one slot are always less than a gap apart, so a slot never spans two
-    sessions and its first and last time are enough. The window sees slots, not rows.
+    sessions and its first and last time are enough. The windows see slots, not rows.
     """
     keys = list(keys)
     gap = int(gap_seconds * 1_000_000)
@@ -85,7 +81,13 @@ def idle_sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: floa
     slots = (df.groupBy(*keys, slot_of(us, gap).alias("slot"))
              .agg(F.min(us).alias("first_us"), F.max(us).alias("last_us"), F.count(F.lit(1)).alias("rows")))
     w = Window.partitionBy(*keys).orderBy("slot")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     idle = F.col("first_us") - F.lag("last_us").over(w)
-    opened = F.when(idle.isNull() | (idle >= gap), F.col("first_us"))
-    return slots.withColumn("session_us", F.last(opened, ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
+    opens = idle.isNull() | (idle >= gap)
+    counted = slots.withColumn("_upto", F.sum("rows").over(upto)).withColumn("_opens", opens)
+    session = F.last(F.when(F.col("_opens"), F.struct("first_us", (F.col("_upto") - F.col("rows")).alias("n"))),
+                     ignorenulls=True).over(upto)
+    return (counted.withColumn("_session", session)
+            .withColumn("session_us", F.col("_session.first_us"))
+            .withColumn("lines_before", F.col("_upto") - F.col("rows") - F.col("_session.n"))
+            .drop("_upto", "_opens", "_session"))
