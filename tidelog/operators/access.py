@@ -14,15 +14,18 @@ COLUMNS = ["Timestamp", "remote_addr", "method", "referer", "path", "status", "b
 
 
 def access_logs(df: DataFrame, attributes: str = "LogAttributes") -> DataFrame:
-    """Typed request rows of the gateway's log records; a bad number is 0."""
+    """Typed request rows of the gateway's log records."""
     rows = df.filter(F.col("ServiceName") == fixed.GATEWAY_SERVICE)
     keep = ["log_date"] if "log_date" in df.columns else []
-    return rows.select(
-        "Timestamp", attr(attributes, "remote_addr").alias("remote_addr"), attr(attributes, "method").alias("method"),
-        attr(attributes, "referer").alias("referer"), attr(attributes, "path").alias("path"),
-        uint16_or_zero(attr(attributes, "status")).alias("status"),
-        uint_or_zero(attr(attributes, "bytes_sent")).alias("bytes_sent"),
-        float_or_zero(attr(attributes, "request_time")).alias("request_time"), *keep)
+    return typed_requests(rows.select(*keep, "Timestamp", *[attr(attributes, c).alias(c) for c in COLUMNS[1:]]))
+
+
+def typed_requests(df: DataFrame) -> DataFrame:
+    """Request fields given as text, with numbers; a bad number is 0."""
+    keep = ["log_date"] if "log_date" in df.columns else []
+    return df.select(*COLUMNS[:5], uint16_or_zero("status").alias("status"),
+                     uint_or_zero("bytes_sent").alias("bytes_sent"),
+                     float_or_zero("request_time").alias("request_time"), *keep)
 
 
 def window_of(acc: DataFrame, as_of: str | Column, hours: float) -> DataFrame:

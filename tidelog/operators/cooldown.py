@@ -24,6 +24,37 @@ def _chain_ends(times: np.ndarray, pause: int) -> np.ndarray:
         jump = further
 
 
+def _blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, np.ndarray]]:
+    """Times per (key, block) out of batches sorted by key, block and time."""
+    current, pieces = None, []
+    for pdf in batches:
+        keys, blocks, us = pdf["_key"].to_numpy(), pdf["_block"].to_numpy(), pdf["_us"].to_numpy()
+        edges = np.flatnonzero((keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+        for first, last in zip(np.append(0, edges), np.append(edges, len(us))):
+            if first == last:
+                continue
+            group = (keys[first], blocks[first])
+            if group != current:
+                if current is not None:
+                    yield (*current, np.concatenate(pieces))
+                current, pieces = group, []
+            pieces.append(us[first:last])
+    if current is not None:
+        yield (*current, np.concatenate(pieces))
+
+
+def _gather(rows: Iterator[dict], size: int = 1000) -> Iterator[pd.DataFrame]:
+    """Small results as larger frames."""
+    held = []
+    for row in rows:
+        held.append(pd.DataFrame(row))
+        if len(held) == size:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def throttle(df: DataFrame, keys: Sequence[str], ts: str, seconds: float, order: Sequence[str] = (),
              block_seconds: float | None = None) -> DataFrame:
     """Rows of `df` that pass the cooldown, in time order per key.
@@ -40,63 +71,66 @@ def throttle(df: DataFrame, keys: Sequence[str], ts: str, seconds: float, order:
     packed = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
     # Three steps read the events; they are computed once, into the checkpoint folder.
     rows = cut_lineage(df.withColumn("_key", packed).withColumn("_us", micros(ts)))
-    first_of_time = rows
-    if order:
-        tie = F.struct(*order)
-        times = rows.groupBy("_key", "_us").agg(F.min(tie).alias("_tie"))
-        first_of_time = rows.withColumn("_tie", tie)
-    else:
-        times = rows.select("_key", "_us").distinct()
-    blocks = times.select("_key", "_us", F.floor(F.col("_us") / block).cast("bigint").alias("_block"))
-
-    def outcomes(pdf: pd.DataFrame) -> pd.DataFrame:
-        us = np.sort(pdf["_us"].to_numpy())
-        ends = us[_chain_ends(us, pause)]
-        start = int(pdf["_block"].iloc[0]) * block
-        # The block before last passed an event less than `pause` ahead of any entry but the first free one.
-        reach = min(len(us), int(np.searchsorted(us, start + pause, side="left")) + 1)
-        entry, last = us[:reach], ends[:reach]
-        keep = np.append(last[1:] != last[:-1], True)
-        return pd.DataFrame({"_key": pdf["_key"].iloc[0], "_block": pdf["_block"].iloc[0],
-                             "_entry": entry[keep], "_last": last[keep]})
-
-    steps = blocks.groupBy("_key", "_block").applyInPandas(
-        outcomes, "_key string, _block bigint, _entry bigint, _last bigint")
+    blocks = rows.select("_key", "_us").distinct().withColumn(
+        "_block", F.floor(F.col("_us") / block).cast("bigint"))
+
+    def outcomes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def steps() -> Iterator[dict]:
+            for key, number, us in _blocks_of(batches):
+                ends = us[_chain_ends(us, pause)]
+                # What passed before lies ahead of the block, so an entry lies at most one pause
+                # inside it, or is the first event after that.
+                reach = min(len(us), int(np.searchsorted(us, number * block + pause, side="left")) + 1)
+                entry, last = us[:reach], ends[:reach]
+                keep = np.append(last[1:] != last[:-1], True)
+                yield {"_key": key, "_block": number, "_entry": entry[keep], "_last": last[keep]}
+        return _gather(steps())
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, current, passed, done = None, None, None, True
+        key, current, passed, done, free = None, None, None, True, 0
         for pdf in batches:
-            out_key, out_block, out_from = [], [], []
+            out = []
             for k, b, entry, last in zip(pdf["_key"], pdf["_block"], pdf["_entry"], pdf["_last"]):
                 if k != key:
-                    key, current, passed, done = k, None, None, True
+                    key, current, passed = k, None, None
                 if b != current:
                     current, done = b, False
-                    free = passed + pause if passed is not None else np.iinfo(np.int64).min
-                    out_key.append(k)
-                    out_block.append(b)
-                    out_from.append(free)
+                    free = passed + pause if passed is not None else np.iinfo(np.int64).min + 1
+                    out.append((k, b, free))
                 if not done and entry >= free:
                     passed, done = int(last), True
-            yield pd.DataFrame({"_key": out_key, "_block": np.array(out_block, "int64"),
-                                "_from": np.array(out_from, "int64")})
+            yield pd.DataFrame(out, columns=["_key", "_block", "_from"])
 
-    entered = (steps.repartition("_key").sortWithinPartitions("_key", "_block", "_entry")
-               .mapInPandas(walk, "_key string, _block bigint, _from bigint"))
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free = None
+        for pdf in batches:
+            keys_, us, entered = pdf["_key"].to_numpy(), pdf["_us"].to_numpy(), pdf["_entered"].to_numpy()
+            starts = np.flatnonzero(entered)
+            picked = []
+            for first, last in zip(np.append(0, starts), np.append(starts, len(us))):
+                if first < last and entered[first]:
+                    free = int(pdf["_from"].iloc[first])
+                    first += 1
+                while first < last:
+                    first += int(np.searchsorted(us[first:last], free, side="left"))
+                    if first < last:
+                        picked.append(first)
+                        free = int(us[first]) + pause
+                        first += 1
+            yield pd.DataFrame({"_key": keys_[picked], "_us": us[picked]})
 
-    def chain(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        us = np.sort(left["_us"].to_numpy())
-        i = int(np.searchsorted(us, int(right["_from"].iloc[0]), side="left")) if len(right) else len(us)
-        picked = []
-        while i < len(us):
-            picked.append(us[i])
-            i = int(np.searchsorted(us, us[i] + pause, side="left"))
-        return pd.DataFrame({"_key": left["_key"].iloc[0] if len(left) else None, "_us": np.array(picked, "int64")})
-
-    passing = (blocks.groupBy("_key", "_block")
-               .cogroup(entered.groupBy("_key", "_block"))
-               .applyInPandas(chain, "_key string, _us bigint"))
-    if order:
-        passing = passing.join(times, ["_key", "_us"])
-        return first_of_time.join(passing, ["_key", "_us", "_tie"], "left_semi").drop("_key", "_us", "_tie")
-    return rows.join(passing, ["_key", "_us"], "left_semi").drop("_key", "_us")
+    steps = (blocks.repartition("_key", "_block").sortWithinPartitions("_key", "_block", "_us")
+             .mapInPandas(outcomes, "_key string, _block bigint, _entry bigint, _last bigint"))
+    entries = (steps.repartition("_key").sortWithinPartitions("_key", "_block", "_entry")
+               .mapInPandas(walk, "_key string, _block bigint, _from bigint"))
+    # A block's entry precedes its events, so one sorted pass sees both.
+    marked = (blocks.withColumn("_from", F.lit(0).cast("bigint")).withColumn("_entered", F.lit(False))
+              .unionByName(entries.withColumn("_us", F.lit(0).cast("bigint")).withColumn("_entered", F.lit(True))))
+    passing = (marked.repartition("_key", "_block").sortWithinPartitions("_key", "_block", F.desc("_entered"), "_us")
+               .mapInPandas(chain, "_key string, _us bigint"))
+    if not order:
+        return rows.join(passing, ["_key", "_us"], "left_semi").drop("_key", "_us")
+    # Of several events at the passing time, the first in `order`.
+    found = rows.withColumn("_tie", F.struct(*order)).join(passing, ["_key", "_us"], "left_semi")
+    first = found.groupBy("_key", "_us").agg(F.min("_tie").alias("_tie"))
+    return found.join(first, ["_key", "_us", "_tie"], "left_semi").drop("_key", "_us", "_tie")

@@ -24,7 +24,7 @@ FROM acc {_W}"""
 
 @register("access_rows", "AC-1", given("acc") + f"SELECT {_COLS} FROM acc")
 def access_rows(spark, sf):
-    return views.access(spark, sf)
+    return access.access_logs(views.access_records(spark, sf))
 
 
 @register("access_overview", "AC-2", given("acc") + _OVERVIEW)

@@ -281,6 +281,16 @@ def _access_lines(spark, sf):
 _KEPT = "(method = 'POST' OR status <> 'abc')"
 
 
+@register("access_lines_read", "SRC-3", given("access") + f"""
+SELECT method, count(*) AS requests FROM access WHERE {_KEPT} GROUP BY method""")
+def access_lines_read(spark, sf):
+    path = f"{shared_dir(spark, 'access-lines')}/access"
+    _access_lines(spark, sf).write.text(path)
+    requests = access_ingest.parse_access(readers.read_access_lines(spark, path))
+    return (requests.groupBy(F.substring_index("request", " ", 1).alias("method"))
+            .agg(F.count(F.lit(1)).alias("requests")))
+
+
 @register("access_parsed", "ING-11", given("access") + f"""
 SELECT remote_addr, strftime(Timestamp, '%d/%b/%Y:%H:%M:%S +0000') AS time, concat(method, ' ', path, '?q=1 HTTP/1.1') AS request,
   status, bytes_sent AS size, CASE method WHEN 'POST' THEN referer WHEN 'PUT' THEN nullif(referer, '-') END AS http_referer,

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidelog.functions import fixed
 from tidelog.operators import merge
-from tidelog.plans import views
-from tidelog.plans.registry import AS_OF, given, register
+from tidelog.plans import detect_queries, views  # noqa: F401 - the cooldown check is shared
+from tidelog.plans.registry import REGISTRY, given, register
 from tidelog.session import shared_dir
 from tidelog.sources import schema, sinks
 from tidelog.streaming import stateful, tails
@@ -92,31 +92,60 @@ def ingested_stream(spark, sf):
         "LogId", "Timestamp", "SeverityText", "ContainerName", "ContainerId", "HostName", "ComposeProject", "log_date"))
 
 
-@register("spam_stream", "ST-5")
+# A window is out once the watermark (latest time less an hour, in milliseconds) has passed its end.
+_CLOSED = "date_trunc('millisecond', (SELECT max(Timestamp) FROM logs)) - INTERVAL 1 HOUR"
+_SPAM_GRP = "substr(regexp_replace(lower(Body), '[0-9:\\.\\+\\-]+', '', 'g'), 1, 60)"
+
+
+def _spam_windows(slide: int) -> str:
+    steps = ", ".join(str(-slide * i) for i in range(6 // slide))
+    return f"""
+SELECT w AS window_start, w + INTERVAL 6 HOUR AS window_end, ContainerId, grp, min(ContainerName) AS container_name,
+  count(*) AS cnt, round_even(count(*) / 21600.0::DOUBLE, 2) AS req_per_sec,
+  count(*) FILTER (WHERE regexp_matches(lower(Body), '{fixed.FLOOD_WORDS}')) AS ddos_hits
+FROM (SELECT *, {_SPAM_GRP} AS grp,
+  time_bucket(INTERVAL {slide} HOUR, Timestamp, TIMESTAMP '2024-01-01 00:00:00') + unnest([{steps}]) * INTERVAL 1 HOUR AS w FROM logs)
+WHERE w + INTERVAL 6 HOUR <= {_CLOSED} GROUP BY ALL HAVING count(*) >= 3"""
+
+
+@register("spam_stream", "ST-5", given("logs") + _spam_windows(3))
 def spam_stream(spark, sf):
     rows = tails.spam_stream(log_stream(spark, sf), "6 hours", "3 hours", "1 hour", count=3, hits=0, seconds=21600)
     return _written(spark, rows, "spam")
 
 
-@register("idle_gap_stream", "ST-6")
+@register("idle_gap_stream", "ST-6", given("logs") + f"""
+, marked AS (SELECT *, CASE WHEN Timestamp - lag(Timestamp) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens
+  FROM logs WINDOW w AS (PARTITION BY ContainerName ORDER BY Timestamp, LogId)),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY ContainerName ORDER BY Timestamp, LogId ROWS UNBOUNDED PRECEDING) AS s FROM marked)
+SELECT ContainerName, min(Timestamp) AS session_start, count(*) AS lines, min(Timestamp) AS first_ts, max(Timestamp) AS last_ts,
+  string_agg(Body, chr(10) ORDER BY Timestamp, LogId) AS message
+FROM numbered GROUP BY ContainerName, s HAVING max(Timestamp) + INTERVAL 1 HOUR <= {_CLOSED}""")
 def idle_gap_stream(spark, sf):
     rows = merge.stream_idle_gap(log_stream(spark, sf), ["ContainerName"], "Timestamp", "LogId", "Body", "1 hour", "1 hour")
     return _written(spark, rows, "sessions")
 
 
-@register("cooldown_stream", "ST-7")
+@register("cooldown_stream", "ST-7", REGISTRY["cooldown"].oracle)
 def cooldown_stream(spark, sf):
     errors = log_stream(spark, sf).filter(F.col("SeverityText") == "ERROR").select("LogId", "ContainerName", "Timestamp")
     return _written(spark, stateful.stream_throttle(errors, "ContainerName", "Timestamp", 14400), "cooldown")
 
 
-@register("episode_stream", "ST-7")
+@register("episode_stream", "ST-7", given("logs", s=_spam_windows(6)) + """
+SELECT * FROM s QUALIFY coalesce(window_start - lag(window_start) OVER (PARTITION BY ContainerId, grp ORDER BY window_start) > INTERVAL 6 HOUR, true)""")
 def episode_stream(spark, sf):
     groups = tails.spam_stream(log_stream(spark, sf), "6 hours", None, "1 hour", count=3, hits=0, seconds=21600)
     return _written(spark, stateful.stream_episodes(groups, 21600), "episodes")
 
 
-@register("down_up_stream", "ST-7")
+@register("down_up_stream", "ST-7", given("logs") + f"""
+, seen AS (SELECT ContainerName, Timestamp FROM logs
+  WHERE time_bucket(INTERVAL 10 MINUTE, Timestamp, TIMESTAMP '2024-01-01 00:00:00') + INTERVAL 10 MINUTE <= {_CLOSED}),
+p AS (SELECT ContainerName, Timestamp AS last_log, lead(Timestamp) OVER (PARTITION BY ContainerName ORDER BY Timestamp) AS until FROM seen),
+g AS (SELECT * FROM p WHERE until - last_log > INTERVAL 2 HOUR OR until IS NULL AND last_log + INTERVAL 2 HOUR < {_CLOSED})
+SELECT ContainerName, 'container_down' AS type, 'critical' AS severity, last_log + INTERVAL 2 HOUR AS at, last_log FROM g
+UNION ALL SELECT ContainerName, 'container_recovered', 'info', until, last_log FROM g WHERE until IS NOT NULL""")
 def down_up_stream(spark, sf):
     rows = stateful.stream_down_up(log_stream(spark, sf), "ContainerName", 7200, "1 hour", "10 minutes")
     return _written(spark, rows, "down-up")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidelog.functions import fixed
+from tidelog.operators.access import typed_requests
 
 AS_OF = "2024-01-31 00:00:00"
 HOURS = 744  # the 30 days of the tables and a day more
@@ -132,8 +133,7 @@ def access_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidelog.operators.access import access_logs
-    return access_logs(access_records(spark, sf_dir))
+    return typed_requests(raw_access(spark, sf_dir))
 
 
 def container_events(spark: SparkSession, sf_dir: str) -> DataFrame:
