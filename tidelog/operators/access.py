@@ -192,21 +192,23 @@ def access_drill(acc: DataFrame, as_of: str | Column, mode: str, hours: float =
     raise ValueError(f"unknown drill mode: {mode}")
 
 
-def _summary(acc: DataFrame, by: str, sample: str, samples: str, n: int) -> DataFrame:
-    """Totals per `by` and the first n distinct values of `sample`.
+def _summary(acc: DataFrame, by: str, sample: str, samples: str, n: int, salts: int = 64) -> DataFrame:
+    """Totals per `by` and the first n distinct values of `sample`, from one scan.
 
-    Rows are first combined per pair; the samples keep n pairs per map task, so a busy key
-    never gathers its values.
+    Rows are first combined per pair. The pairs of a busy key are spread over salts; each
+    salt keeps its totals and first n values, and the key's result comes from its salts.
     """
     pairs = (acc.groupBy(by, sample)
              .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") >= 400).alias("errors"),
-                  F.min("Timestamp").alias("first_seen"), F.max("Timestamp").alias("last_seen")))
-    totals = pairs.groupBy(by).agg(F.sum("total").alias("total"), F.sum("errors").alias("errors"),
-                                   F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
-    first = Window.partitionBy(by).orderBy(sample)
-    sampled = (pairs.select(by, sample).withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= n)
-               .groupBy(by).agg(F.array_sort(F.collect_list(sample)).alias(samples)))
-    return totals.join(sampled, by).select(
+                  F.min("Timestamp").alias("first_seen"), F.max("Timestamp").alias("last_seen"))
+             .withColumn("_salt", F.pmod(F.hash(sample), F.lit(salts))))
+    rank = F.row_number().over(Window.partitionBy(by, "_salt").orderBy(sample))
+    sums = [F.sum("total").alias("total"), F.sum("errors").alias("errors"),
+            F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")]
+    salted = (pairs.withColumn("_rank", rank).groupBy(by, "_salt")
+              .agg(*sums, F.collect_list(F.when(F.col("_rank") <= n, F.col(sample))).alias("_first")))
+    first = F.slice(F.array_sort(F.flatten(F.collect_list("_first"))), 1, n)
+    return salted.groupBy(by).agg(*sums, first.alias(samples)).select(
         by, "total", "errors", half_even(percent(F.col("errors"), F.col("total")), 1).alias("error_rate"),
         "first_seen", "last_seen", samples)
 

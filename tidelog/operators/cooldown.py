@@ -49,10 +49,15 @@ def _gather(rows: Iterator[dict], size: int = 1000) -> Iterator[pd.DataFrame]:
     for row in rows:
         held.append(pd.DataFrame(row))
         if len(held) == size:
-            yield pd.concat(held, ignore_index=True)
+            yield _plain(pd.concat(held, ignore_index=True))
             held = []
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield _plain(pd.concat(held, ignore_index=True))
+
+
+def _plain(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Keys as Python text: chunked string columns cannot be sent back."""
+    return pdf.astype({"_key": object})
 
 
 def throttle(df: DataFrame, keys: Sequence[str], ts: str, seconds: float, order: Sequence[str] = (),
@@ -99,7 +104,7 @@ def throttle(df: DataFrame, keys: Sequence[str], ts: str, seconds: float, order:
                     out.append((k, b, free))
                 if not done and entry >= free:
                     passed, done = int(last), True
-            yield pd.DataFrame(out, columns=["_key", "_block", "_from"])
+            yield _plain(pd.DataFrame(out, columns=["_key", "_block", "_from"]))
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         free = None
@@ -117,7 +122,7 @@ def throttle(df: DataFrame, keys: Sequence[str], ts: str, seconds: float, order:
                         picked.append(first)
                         free = int(us[first]) + pause
                         first += 1
-            yield pd.DataFrame({"_key": keys_[picked], "_us": us[picked]})
+            yield _plain(pd.DataFrame({"_key": keys_[picked], "_us": us[picked]}))
 
     steps = (blocks.repartition("_key", "_block").sortWithinPartitions("_key", "_block", "_us")
              .mapInPandas(outcomes, "_key string, _block bigint, _entry bigint, _last bigint"))

@@ -9,7 +9,7 @@ from tidelog.functions.text import clean_text
 from tidelog.functions.values import at, before, contains_ci, half_even, micros, time_bounded
 from tidelog.operators.access import access_overview, top_paths, window_of
 from tidelog.operators.runtime import is_signal
-from tidelog.operators.scope import match_containers, service_scope, split_service_key
+from tidelog.operators.scope import service_scope, split_service_key
 from tidelog.operators.search import around, not_gateway
 
 EVENT = ["timestamp", "source", "severity", "title", "detail", "action", "level", "badge"]
@@ -125,16 +125,11 @@ def incident_events(df: DataFrame, key: str, as_of: str | Column, minutes: float
                     F.substring("Body", 1, 220).alias("detail")))
 
 
-def _service_row(spark, key: str) -> DataFrame:
-    host, project, service = split_service_key(key)
-    return spark.range(1).select(F.lit(key).alias("service_key"), F.lit(project).alias("compose_project"),
-                                 F.lit(service).alias("compose_service"))
-
-
 def of_service(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows whose container matches the service."""
-    own = match_containers(_service_row(rows.sparkSession, key), rows, name).select(F.col("container_name").alias(name))
-    return rows.join(own, name, "left_semi")
+    """Rows whose container matches the one service: a filter, where `match_containers` joins many."""
+    _, project, service = split_service_key(key)
+    both = contains_ci(name, project) & contains_ci(name, service)
+    return rows.filter(both | (F.lower(name) == service.lower()))
 
 
 def _stamp(c: Column) -> Column:

@@ -112,7 +112,13 @@ def match_containers(services: DataFrame, containers: DataFrame, name: str = "na
     return by_project.select(*columns).unionByName(by_service.select(*columns)).distinct()
 
 
-def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """First n rows per key; map tasks keep n rows per key before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int = 16) -> DataFrame:
+    """First n rows per key. A busy key is first cut to n rows in each of its salts."""
+    keys = list(keys)
+
+    def cut(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        return rows.withColumn("_rn", rank).filter(F.col("_rn") <= n).drop("_rn")
+
+    salted = df.withColumn("_salt", F.pmod(F.hash(*order), F.lit(salts)))
+    return cut(cut(salted, [*keys, "_salt"]), keys).drop("_salt")

@@ -123,8 +123,11 @@ class DownUp(StatefulProcessor):
 
     @staticmethod
     def _rows(key, out) -> pd.DataFrame:
+        # Plain Python text: chunked string columns cannot be sent back.
+        text = lambda values: pd.Series(values, dtype=object)
         return pd.DataFrame({
-            "key": [str(key[0])] * len(out), "type": [o[0] for o in out], "severity": [o[1] for o in out],
+            "key": text([str(key[0])] * len(out)), "type": text([o[0] for o in out]),
+            "severity": text([o[1] for o in out]),
             "at_us": pd.array([o[2] for o in out], dtype="int64"),
             "last_us": pd.array([o[3] for o in out], dtype="int64")})
 
