@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidelog.functions import fixed
 from tidelog.functions.text import clean_text, critical_class, critical_title, spam_group
 from tidelog.functions.values import at, contains_ci, from_micros, half_even, micros
+from tidelog.operators.bounded import small_side
 from tidelog.operators.cooldown import throttle
 from tidelog.operators.ordered import slot_of
 from tidelog.operators.scope import owned_containers
@@ -88,8 +89,12 @@ def _spam_counts(df: DataFrame, window: str, slide: str | None) -> DataFrame:
 
 
 def spam_samples(df: DataFrame, groups: DataFrame, window: str = "1 minute") -> DataFrame:
-    """Adds the sample message: the greatest body of the group, read for flagged groups only."""
+    """Adds the sample message: the greatest body of the group, read for flagged groups only.
+
+    The flagged groups are computed once; the rows are not shuffled to find theirs.
+    """
     keys = ["window_start", "ContainerId", "grp"]
+    groups = small_side(groups)
     bodies = (not_gateway(df)
               .select(F.window("Timestamp", window)["start"].alias("window_start"), "ContainerId",
                       spam_group("Body").alias("grp"), "Body")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidelog.functions import fixed
 from tidelog.functions.values import at, attr, before
-from tidelog.sources.sinks import write_logs
+from tidelog.sources.sinks import by_day, write_logs
 
 
 def expired(days: int, as_of: str | Column) -> Column:
@@ -84,8 +84,7 @@ def _rewrite(spark: SparkSession, path: str, doomed: Column) -> int:
 
 
 def _overwrite_days(df: DataFrame, path: str) -> None:
-    keys = ["log_date", "ServiceName", "SeverityText", "Timestamp"]
-    (df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite")
+    (by_day(df).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
      .partitionBy("log_date").parquet(path))
 

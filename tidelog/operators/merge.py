@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidelog.functions.values import from_micros, micros
-from tidelog.operators.ordered import chunk_start, fold_lines, idle_sessions, part_of, slot_of, with_chunks
+from tidelog.operators.ordered import cuts_of, fold_lines, idle_sessions, part_of, piece_start, with_chunks
 
 
 def merge_idle_gap(df: DataFrame, keys: Sequence[str] = ("container_id", "stream"), ts: str = "timestamp",
@@ -19,11 +19,14 @@ def merge_idle_gap(df: DataFrame, keys: Sequence[str] = ("container_id", "stream
     """
     keys = list(keys)
     gap = int(gap_seconds * 1_000_000)
-    sessions = idle_sessions(df, keys, ts, gap_seconds).select(
-        *keys, "slot", "rows", "session_us", part_of(F.col("lines_before"), max_lines).alias("part"))
-    lines = (df.withColumn("_us", micros(ts)).withColumn("slot", slot_of(F.col("_us"), gap))
-             .join(sessions, [*keys, "slot"])
-             .withColumn("chunk", chunk_start(F.col("_us"), F.col("slot"), F.col("rows"), gap, target_rows)))
+    cuts = cuts_of(F.col("rows"), gap, target_rows)
+    # One row per chunk: a busy slot has several, and its lines are joined chunk by chunk.
+    sessions = (idle_sessions(df, keys, ts, gap_seconds)
+                .withColumn("_cuts", cuts)
+                .withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_cuts") - 1)))
+                .select(*keys, piece_start(F.col("slot"), F.col("_piece"), F.col("_cuts"), gap).alias("chunk"),
+                        "session_us", part_of(F.col("lines_before"), max_lines).alias("part")))
+    lines = with_chunks(df, keys, ts, gap_seconds, target_rows).join(sessions, [*keys, "chunk"])
     return (fold_lines(lines, keys, "session_us", ts, order, message)
             .withColumn("session_start", from_micros(F.col("session_us")))
             .select(*keys, "session_start", "part", "lines", "first_ts", "last_ts", "message"))

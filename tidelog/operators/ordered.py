@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidelog.functions.values import micros
+from tidelog.operators.bounded import MAX_BROADCAST_ROWS, counted
 
 
 def slot_of(us: Column, width_us: int) -> Column:
@@ -23,23 +24,31 @@ def with_chunks(df: DataFrame, keys: Sequence[str], ts: str, width_seconds: floa
     """Adds `chunk`, the start of the row's time chunk in microseconds.
 
     Chunks are `width_seconds` long; one with more than `target_rows` rows is cut evenly
-    into shorter ones. The row counts are pre-aggregated, and the table of heavy chunks has
-    at most rows / target_rows entries, so the join is left to the adaptive planner.
+    into shorter ones. Most data has no such chunk: it is counted first, so that rows are
+    joined only where there is one, and shuffled for it only where there are very many.
     """
     width = int(width_seconds * 1_000_000)
     keys = list(keys)
-    rows = df.withColumn("_us", micros(ts)).withColumn("_slot", slot_of(F.col("_us"), width))
-    heavy = (rows.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
-             .filter(F.col("_n") > target_rows))
-    return (rows.join(heavy, [*keys, "_slot"], "left")
-            .withColumn("chunk", chunk_start(F.col("_us"), F.col("_slot"), F.col("_n"), width, target_rows))
+    us = micros(ts)
+    slots = df.groupBy(*keys, slot_of(us, width).alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+    heavy, number = counted(slots.filter(F.col("_n") > target_rows))
+    rows = df.withColumn("_us", us).withColumn("_slot", slot_of(F.col("_us"), width))
+    if number == 0:
+        return rows.withColumn("chunk", F.col("_slot") * width).drop("_us", "_slot")
+    side = F.broadcast(heavy) if number <= MAX_BROADCAST_ROWS else heavy
+    cuts = cuts_of(F.col("_n"), width, target_rows)
+    piece = F.floor((F.col("_us") - F.col("_slot") * width) * cuts / width).cast("bigint")
+    return (rows.join(side, [*keys, "_slot"], "left")
+            .withColumn("chunk", piece_start(F.col("_slot"), piece, cuts, width))
             .drop("_us", "_slot", "_n"))
 
 
-def chunk_start(us: Column, slot: Column, rows: Column, width: int, target_rows: int) -> Column:
-    """Start of a row's chunk in a slot of `rows` rows (NULL: not many), in microseconds."""
-    cuts = F.least(F.ceil(F.coalesce(rows, F.lit(1)) / target_rows), F.lit(width)).cast("bigint")
-    piece = F.floor((us - slot * width) * cuts / width).cast("bigint")
+def cuts_of(rows: Column, width: int, target_rows: int) -> Column:
+    """Number of pieces a slot of `rows` rows (NULL: not many) is cut into."""
+    return F.least(F.ceil(F.coalesce(rows, F.lit(1)) / target_rows), F.lit(width)).cast("bigint")
+
+
+def piece_start(slot: Column, piece: Column, cuts: Column, width: int) -> Column:
     return (slot * width + F.floor(piece * width / cuts)).cast("bigint")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidelog.functions.fixed import GATEWAY_SERVICE
 from tidelog.functions.text import level_predicate, severity_is, text_match
 from tidelog.functions.values import at, before, micros, time_bounded
+from tidelog.operators.bounded import small_side
 from tidelog.operators.ordered import slot_of
 from tidelog.operators.scope import first_rows, service_name
 
@@ -65,7 +66,8 @@ def around(df: DataFrame, anchors: DataFrame, seconds: int = 30, keys: Sequence[
     """Rows within +/- `seconds` of each anchor of the same key, for many anchors at once.
 
     An equi-join on key and time slot: every anchor is listed under the slots its window
-    touches (at most three), so a busy container is spread over its slots.
+    touches (at most three), so a busy container is spread over its slots. Few anchors are
+    broadcast, and the rows stay where they are.
     """
     width = 2 * seconds * 1_000_000
     reach = seconds * 1_000_000
@@ -75,7 +77,7 @@ def around(df: DataFrame, anchors: DataFrame, seconds: int = 30, keys: Sequence[
                   slot_of(F.col("_anchor_us") - reach, width), slot_of(F.col("_anchor_us") + reach, width)))))
     rows = df.withColumn("_us", micros(ts)).withColumn("_slot", slot_of(F.col("_us"), width))
     distance = F.col("_us") - F.col("_anchor_us")
-    return (rows.join(spread, [*keys, "_slot"])
+    return (rows.join(small_side(spread), [*keys, "_slot"])
             .filter(F.abs(distance) <= reach)
             .withColumn("delta_us", distance)
             .drop("_slot", "_us", "_anchor_us"))

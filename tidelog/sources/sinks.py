@@ -14,15 +14,18 @@ SORT_KEY = ["ServiceName", "SeverityText", "Timestamp"]
 EXPORT_COLUMNS = ["Timestamp", "ContainerId", "ContainerName", "ContainerImage", "SeverityText", "HostName", "Body"]
 
 
-def write_logs(df: DataFrame, path: str, mode: str = "append", files: int | None = None) -> None:
-    """Day partitions, each file sorted by service, severity and time.
+def by_day(df: DataFrame) -> DataFrame:
+    """Rows gathered by day and sorted: few files per day, narrow value ranges per row group.
 
-    Range partitioning includes the time, so neither a busy day nor a busy service
-    ends up in a single task; row groups then carry narrow min/max ranges.
+    The rebalance is one pass over the rows; at run time a busy day is split into tasks of
+    the advisory size and small days are put together.
     """
-    keys = ["log_date", *SORT_KEY]
-    spread = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
-    (spread.sortWithinPartitions(*keys).write.mode(mode)
+    return df.hint("rebalance", F.col("log_date")).sortWithinPartitions("log_date", *SORT_KEY)
+
+
+def write_logs(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Day partitions, each file sorted by service, severity and time."""
+    (by_day(df).write.mode(mode)
      .option("compression", "zstd")
      .option("parquet.bloom.filter.enabled#TraceId", "true")
      .option("parquet.bloom.filter.enabled#ContainerName", "true")
