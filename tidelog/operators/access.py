@@ -174,6 +174,11 @@ def access_page(rows: DataFrame, number: int = 1, size: int = 50, descending: bo
             .offset((number - 1) * size).limit(size))
 
 
+def access_page_count(rows: DataFrame, size: int = 50) -> DataFrame:
+    total = F.count(F.lit(1))
+    return rows.agg(total.alias("total"), F.ceil(total / size).cast("bigint").alias("pages"))
+
+
 def access_drill(acc: DataFrame, as_of: str | Column, mode: str, hours: float = 24, minute: str | None = None,
                  status_class: str = "", remote_addr: str = "", path: str = "",
                  tz: str = fixed.DISPLAY_TIMEZONE) -> DataFrame:
@@ -228,6 +233,13 @@ def path_summary(acc: DataFrame, as_of: str | Column, hours: float = 24, path: s
     return _summary(rows, "path", "remote_addr", "sample_ips", 3)
 
 
+def path_classes(paths: DataFrame) -> DataFrame:
+    """Top paths with their display class."""
+    worst = (F.col("errors") > 0) | (F.col("p95_time") >= fixed.P95_DANGER)
+    return paths.withColumn("path_class", F.when(worst, "danger")
+                            .when(F.col("p95_time") >= fixed.P95_WARN, "warn").otherwise(""))
+
+
 def gateway_cards(overview: DataFrame, hours: float = 24) -> DataFrame:
     """Rate, estimated and exact server errors and the threshold classes."""
     level = lambda c, danger, warn: (F.when(F.col(c) >= danger, "danger").when(F.col(c) >= warn, "warn").otherwise(""))

@@ -226,13 +226,40 @@ def down_up_transitions(df: DataFrame, gap: float = fixed.SILENCE_SECONDS, as_of
 
 def request_floods(acc: DataFrame, per_minute: int = fixed.FLOOD_REQUESTS_PER_MINUTE,
                    cooldown: float | None = fixed.FLOOD_COOLDOWN_SECONDS) -> DataFrame:
-    """Clients with too many requests in a minute; with a cooldown, one alert per pause."""
-    found = (acc.groupBy(F.window("Timestamp", "1 minute").alias("w"), "remote_addr")
-             .agg(F.count(F.lit(1)).alias("requests")).filter(F.col("requests") >= per_minute)
-             .select(F.col("w.start").alias("minute"), "remote_addr", "requests"))
+    """Clients with too many requests in a minute; with a cooldown, one alert per pause.
+
+    Requests are first combined per path, so the latest path comes from few rows.
+    """
+    found = (acc.groupBy(F.window("Timestamp", "1 minute").alias("w"), "remote_addr", "path")
+             .agg(F.count(F.lit(1)).alias("n"), F.max("Timestamp").alias("seen"))
+             .groupBy("w", "remote_addr")
+             .agg(F.sum("n").alias("requests"), F.max_by("path", F.struct("seen", "path")).alias("latest_path"))
+             .filter(F.col("requests") >= per_minute)
+             .select(F.col("w.start").alias("minute"), "remote_addr", "requests", "latest_path"))
     return throttle(found, ["remote_addr"], "minute", cooldown) if cooldown else found
 
 
+def flood_message(floods: DataFrame) -> DataFrame:
+    """Flooding clients as notification rows."""
+    message = F.concat(F.lit("High request volume from IP "), "remote_addr", F.lit(": "), F.col("requests").cast("string"),
+                       F.lit(" requests/min. Latest path: "), "latest_path")
+    return floods.select(F.lit("log_spam").alias("type"), F.lit("critical").alias("severity"),
+                         F.lit("Request Spam Detected").alias("title"), message.alias("message"),
+                         F.lit("backend").alias("container_id"), F.lit("backend").alias("container_name"),
+                         F.col("minute").alias("created_at"))
+
+
+def transition_message(changes: DataFrame, container: str = "ContainerName") -> DataFrame:
+    """Down and recovered changes as notification rows."""
+    down = F.col("type") == "container_down"
+    last = F.col("last_log").cast("string")
+    message = F.when(down, F.concat(F.lit("Container '"), container, F.lit("' has stopped running. Last log: "), last, F.lit("."))
+                     ).otherwise(F.concat(F.lit("Container '"), container, F.lit("' is running again. Last log: "), last, F.lit(".")))
+    return changes.select("type", "severity", F.when(down, "Container Down").otherwise("Container Recovered").alias("title"),
+                          message.alias("message"), F.col(container).alias("container_id"),
+                          F.col(container).alias("container_name"), F.col("at").alias("created_at"))
+
+
 def cleaned(df: DataFrame, columns: Sequence[str] = ("title", "message")) -> DataFrame:
     return df.withColumns({c: clean_text(c) for c in columns})
 

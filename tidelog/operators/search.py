@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidelog.functions.fixed import GATEWAY_SERVICE
 from tidelog.functions.text import level_predicate, severity_is, text_match
@@ -102,6 +102,14 @@ def context_summary(rows: DataFrame, anchor: str | Column, keys: Sequence[str] =
                     F.col("_n.t").alias("anchor_row_ts"), F.col("_n.d").alias("distance_us")))
 
 
+def with_distance(rows: DataFrame, anchor: str | Column) -> DataFrame:
+    """Rows of one context (bounded by its cap) with signed distance and the anchor mark."""
+    distance = micros("Timestamp") - micros(at(anchor))
+    nearest = Window.partitionBy(F.lit(1)).orderBy(F.abs("delta_us"), "Timestamp", "LogId")
+    return (rows.withColumn("delta_us", distance)
+            .withColumn("is_anchor", F.row_number().over(nearest) == 1))
+
+
 def trace(df: DataFrame, trace_id: str, cap: int = 500) -> DataFrame:
     """Rows of a trace, ascending. Pass a scoped table for users with a scope."""
     return (df.filter(F.col("TraceId") == trace_id).orderBy("Timestamp", "LogId").limit(cap)

@@ -112,6 +112,12 @@ def access_page(spark, sf):
     return access.access_page(_found(spark, sf), 2, 50)
 
 
+@register("access_page_count", "AC-8", given("acc", f=_FOUND) + """
+SELECT count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages FROM f""")
+def access_page_count(spark, sf):
+    return access.access_page_count(_found(spark, sf), 50)
+
+
 def _summary_sql(by: str, sample: str, samples: str) -> str:
     return given("acc") + f"""
 SELECT {by}, count(*) AS total, count(*) FILTER (WHERE status >= 400) AS errors,
@@ -142,6 +148,13 @@ def gateway_cards(spark, sf):
     return access.gateway_cards(overview, views.HOURS)
 
 
+@register("path_classes", "AC-11", given("acc", p=_PATHS) + """
+SELECT referer, path, CASE WHEN errors > 0 OR p95_time >= 1 THEN 'danger' WHEN p95_time >= 0.3 THEN 'warn' ELSE '' END AS path_class FROM p""")
+def path_classes(spark, sf):
+    paths = access.top_paths(views.access(spark, sf), views.AS_OF, views.HOURS, limit=100_000)
+    return access.path_classes(paths).select("referer", "path", "path_class")
+
+
 @register("drill_minute", "AC-12", given("acc") + f"""
 SELECT {_COLS} FROM acc {_W} AND status >= 400 AND Timestamp >= TIMESTAMP '2024-01-10 05:00:00' AND Timestamp <= TIMESTAMP '2024-01-10 05:01:00'""")
 def drill_minute(spark, sf):

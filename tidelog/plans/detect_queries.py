@@ -141,8 +141,19 @@ def service_silences(spark, sf):
     return detect.service_silences(views.logs(spark, sf), 18000, views.AS_OF)
 
 
+@register("transition_notices", "DET-5", given("logs", g=_gaps("ContainerName", "logs", 7200)) + """
+SELECT 'container_down' AS type, 'Container Down' AS title, ContainerName AS container_name, last_log + INTERVAL 2 HOUR AS created_at,
+  concat('Container ''', ContainerName, ''' has stopped running. Last log: ', rtrim(strftime(last_log, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS message FROM g
+UNION ALL SELECT 'container_recovered', 'Container Recovered', ContainerName, until,
+  concat('Container ''', ContainerName, ''' is running again. Last log: ', rtrim(strftime(last_log, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') FROM g WHERE until IS NOT NULL""")
+def transition_notices(spark, sf):
+    changes = detect.down_up_transitions(views.logs(spark, sf), 7200, views.AS_OF, ["ContainerName"])
+    return detect.transition_message(changes).select("type", "title", "container_name", "created_at", "message")
+
+
 _FLOOD = """
-SELECT date_trunc('minute', Timestamp) AS minute, remote_addr, count(*) AS requests FROM acc
+SELECT date_trunc('minute', Timestamp) AS minute, remote_addr, count(*) AS requests,
+  arg_max(path, (Timestamp, path)) AS latest_path FROM acc
 GROUP BY ALL HAVING count(*) >= 2"""
 
 
@@ -156,6 +167,14 @@ def request_floods(spark, sf):
     return detect.request_floods(views.access(spark, sf), 2, 43200)
 
 
+@register("flood_notifications", "DET-7", given("acc", f=_FLOOD) + """
+SELECT 'log_spam' AS type, 'Request Spam Detected' AS title, minute AS created_at,
+  concat('High request volume from IP ', remote_addr, ': ', requests, ' requests/min. Latest path: ', latest_path) AS message FROM f""")
+def flood_notifications(spark, sf):
+    floods = detect.request_floods(views.access(spark, sf), 2, None)
+    return detect.flood_message(floods).select("type", "title", "created_at", "message")
+
+
 @register("cooldown", "DET-8", _throttled(
     "SELECT LogId, ContainerName, Timestamp FROM logs WHERE SeverityText = 'ERROR'", "ContainerName", "Timestamp", 14400, "src.*", "logs"))
 def cooldown_rows(spark, sf):

@@ -150,6 +150,15 @@ def context_rows(spark, sf):
     return rows.select("LogId", "Timestamp", "SeverityText", "Body")
 
 
+@register("context_marks", "SRH-7", given("logs") + """
+, c AS (SELECT *, epoch_us(Timestamp) - epoch_us(TIMESTAMP '2024-01-15 12:00:00') AS delta_us FROM logs
+  WHERE ContainerName = 'svc-2' AND Timestamp BETWEEN TIMESTAMP '2024-01-15 11:55:00' AND TIMESTAMP '2024-01-15 12:05:00')
+SELECT LogId, Timestamp, delta_us, row_number() OVER (ORDER BY abs(delta_us), Timestamp, LogId) = 1 AS is_anchor FROM c""")
+def context_marks(spark, sf):
+    rows = search.context(views.logs(spark, sf), "svc-2", "2024-01-15 12:00:00", 300)
+    return search.with_distance(rows, "2024-01-15 12:00:00").select("LogId", "Timestamp", "delta_us", "is_anchor")
+
+
 @register("context_totals", "SRH-7", given("logs") + """
 , near AS (SELECT *, abs(epoch_us(Timestamp) - epoch_us(TIMESTAMP '2024-01-15 12:00:00')) AS d FROM logs)
 SELECT ContainerName, count(*) AS rows, count(*) FILTER (WHERE lower(SeverityText) = 'error') AS errors,
