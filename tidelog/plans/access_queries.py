@@ -156,9 +156,9 @@ def path_classes(spark, sf):
 
 
 @register("drill_minute", "AC-12", given("acc") + f"""
-SELECT {_COLS} FROM acc {_W} AND status >= 400 AND Timestamp >= TIMESTAMP '2024-01-10 05:00:00' AND Timestamp <= TIMESTAMP '2024-01-10 05:01:00'""")
+SELECT {_COLS} FROM acc {_W} AND status >= 400 AND Timestamp >= TIMESTAMP '2024-01-01 09:12:00' AND Timestamp <= TIMESTAMP '2024-01-01 09:13:00'""")
 def drill_minute(spark, sf):
-    return access.access_drill(views.access(spark, sf), views.AS_OF, "time", views.HOURS, "2024-01-10 12:00:00", "4xx")
+    return access.access_drill(views.access(spark, sf), views.AS_OF, "time", views.HOURS, "2024-01-01 16:12:00", "4xx")
 
 
 @register("drill_client", "AC-12", given("acc") + f"SELECT {_COLS} FROM acc {_W} AND remote_addr = '10.1.0.7'")

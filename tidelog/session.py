@@ -6,14 +6,16 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    STATE_STORE: ROCKSDB,
 }
 
 
@@ -50,3 +52,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoint"))
     return df.checkpoint()
+
+
+def with_state_store(df: DataFrame) -> DataFrame:
+    """Keyed state needs the RocksDB store: sets it for queries started later in the session."""
+    if df.sparkSession.conf.get(STATE_STORE, "") != ROCKSDB:
+        df.sparkSession.conf.set(STATE_STORE, ROCKSDB)
+    return df

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidelog.functions import fixed
+from tidelog.session import with_state_store
 
 
 def _in_order(frames: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
@@ -46,7 +47,7 @@ class Cooldown(StatefulProcessor):
 
 
 def stream_throttle(df: DataFrame, key: str, ts: str, seconds: float) -> DataFrame:
-    rows = df.withColumn("event_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    rows = with_state_store(df).withColumn("event_us", F.unix_micros(F.col(ts).cast("timestamp")))
     return rows.groupBy(key).transformWithStateInPandas(
         Cooldown(ts, seconds), df.schema, outputMode="Append", timeMode="None")
 
@@ -77,7 +78,7 @@ class Episodes(StatefulProcessor):
 
 def stream_episodes(groups: DataFrame, step_seconds: float = 60.0) -> DataFrame:
     """Alerts of the first window of each run, from rows of anomalous windows."""
-    rows = groups.withColumn("event_us", F.unix_micros("window_start"))
+    rows = with_state_store(groups).withColumn("event_us", F.unix_micros("window_start"))
     return rows.groupBy("ContainerId", "grp").transformWithStateInPandas(
         Episodes(step_seconds), groups.schema, outputMode="Append", timeMode="None")
 
@@ -143,7 +144,7 @@ def stream_down_up(df: DataFrame, key: str = "ContainerId", gap_seconds: float =
     machine of a busy key reads a few rows per slot.
     """
     us = F.unix_micros(F.col(ts))
-    slots = (df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    slots = (with_state_store(df).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
              .groupBy(F.window(ts, slot).alias("w"), key)
              .agg(F.min(us).alias("first_us"), F.max(us).alias("last_us"))
              .withColumn("event_time", F.window_time("w")).drop("w"))
