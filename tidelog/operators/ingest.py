@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidelog.functions import fixed
 from tidelog.functions.values import attr, first_filled
+from tidelog.sources.schema import LOG_TABLE
 
 
 def to_log_record(events: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def materialize(df: DataFrame, env_default: str = "") -> DataFrame:
     `env_default='production'` gives the evident intent.
     """
     env = attr("ResourceAttributes", fixed.ENVIRONMENT)
-    return df.withColumns({
+    return with_log_id(df).withColumns({
         "ContainerName": attr("ResourceAttributes", fixed.CONTAINER_NAME),
         "ContainerImage": attr("ResourceAttributes", fixed.CONTAINER_IMAGE),
         "ContainerId": attr("ResourceAttributes", fixed.CONTAINER_ID),
@@ -116,6 +118,16 @@ def materialize(df: DataFrame, env_default: str = "") -> DataFrame:
     })
 
 
+def with_log_id(df: DataFrame) -> DataFrame:
+    """A row id for tie-breaks that a repeated run gives again; rows that differ in nothing share it."""
+    if "LogId" in df.columns:
+        return df
+    parts = [c for c in ("ts_nanos", "TraceId", "SpanId", "ServiceName", "SeverityText", "Body") if c in df.columns]
+    resource = [attr("ResourceAttributes", key) for key in (fixed.HOST_NAME, fixed.CONTAINER_ID, fixed.CONTAINER_NAME)]
+    attributes = [F.map_values("LogAttributes")] if "LogAttributes" in df.columns else []
+    return df.withColumn("LogId", F.xxhash64(F.unix_micros(F.col("Timestamp").cast("timestamp")), *parts, *resource, *attributes))
+
+
 def service_identity(df: DataFrame, attributes: str = "attributes") -> DataFrame:
     """Stable service key, instance key and how sure the identity is."""
     part = {}
@@ -134,6 +146,12 @@ def service_identity(df: DataFrame, attributes: str = "attributes") -> DataFrame
     })
 
 
+def stored_columns(df: DataFrame) -> DataFrame:
+    """Columns of the log table; what else the wire format carries is not stored."""
+    stored = [field.strip().split()[0] for field in re.sub(r"<[^>]*>", "", LOG_TABLE).split(",")]
+    return df.select(*[c for c in stored if c in df.columns])
+
+
 def ingest_logs(ingress: DataFrame, self_names: Sequence[str] = (), dropped: Sequence[str] = (),
                 env_default: str = "") -> DataFrame:
     """The whole path from ingress rows to rows of the log table."""
@@ -147,4 +165,4 @@ def ingest_logs(ingress: DataFrame, self_names: Sequence[str] = (), dropped: Seq
         rows = drop_severity(rows, dropped)
     if self_names:
         rows = exclude_containers(rows, self_names)
-    return materialize(rows, env_default)
+    return stored_columns(materialize(rows, env_default))

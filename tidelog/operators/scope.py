@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidelog.functions import fixed
-from tidelog.functions.values import attr, or_default
+from tidelog.functions.values import attr, before, or_default, time_bounded
 
 # Joins with the ownership table carry no broadcast hint: the planner broadcasts it while
 # its measured size allows that, and uses a skew-aware shuffle join beyond.
@@ -34,8 +34,14 @@ def scope_request(df: DataFrame, ownership: DataFrame, user_id: int, role: str,
     return rows.filter(F.col("ContainerName").isin(*names)) if names else rows
 
 
-def auto_assign(df: DataFrame, users: DataFrame, ownership: DataFrame, registries: Sequence[str]) -> DataFrame:
-    """New ownership rows from image names `registry/user/...` of the given registries."""
+def auto_assign(df: DataFrame, users: DataFrame, ownership: DataFrame, registries: Sequence[str],
+                as_of: str | Column | None = None, hours: float = 1) -> DataFrame:
+    """New ownership rows from image names `registry/user/...` of the given registries.
+
+    With `as_of`, from the containers seen in the last `hours`.
+    """
+    if as_of is not None:
+        df = time_bounded(df, before(as_of, hours, "HOUR"), open_start=True)
     image = F.col("ContainerImage")
     known = F.lit(False)
     for registry in registries:

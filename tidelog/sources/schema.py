@@ -1,7 +1,7 @@
 """Schemas of the tables and wire records."""
 
 LOG_TABLE = """
-    Timestamp TIMESTAMP, ts_nanos BIGINT, ServiceName STRING, SeverityText STRING, SeverityNumber INT,
+    LogId BIGINT, Timestamp TIMESTAMP, ts_nanos BIGINT, ServiceName STRING, SeverityText STRING, SeverityNumber INT,
     Body STRING, TraceId STRING, SpanId STRING,
     ResourceAttributes MAP<STRING, STRING>, LogAttributes MAP<STRING, STRING>,
     ContainerName STRING, ContainerImage STRING, ContainerId STRING, HostName STRING,
