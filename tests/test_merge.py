@@ -88,3 +88,11 @@ def test_idle_gap_equals_loop(spark, gap, max_lines, target):
     assert whole(found, ["session_start"]) == loop_sessions(rows, gap * 1_000_000)
     if max_lines == 5:
         assert max(r["part"] for r in found) > 0
+
+
+def test_missing_keys_and_times_are_kept(spark):
+    rows = [("a", 5_000_000, 1, "x"), (None, 5_000_000, 2, "y"), (None, 5_500_000, 3, "z"), ("a", None, 4, "w")]
+    for found in (merge_idle_gap(frame(spark, rows), ["container_id"]), group_multiline(frame(spark, rows), ["container_id"])):
+        found = found.collect()
+        assert sum(r["lines"] for r in found) == 4
+        assert {t for r in found for t in r["message"].split("\n")} == {"x", "y", "z", "w"}

@@ -76,6 +76,8 @@ def throttle(df: DataFrame, keys: Sequence[str], ts: str, seconds: float, order:
     packed = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
     # Three steps read the events; they are computed once, into the checkpoint folder.
     rows = cut_lineage(df.withColumn("_key", packed).withColumn("_us", micros(ts)))
+    timeless = rows.filter(F.col("_us").isNull()).drop("_key", "_us")  # no pause to measure: they pass
+    rows = rows.filter(F.col("_us").isNotNull())
     blocks = rows.select("_key", "_us").distinct().withColumn(
         "_block", F.floor(F.col("_us") / block).cast("bigint"))
 
@@ -134,8 +136,9 @@ def throttle(df: DataFrame, keys: Sequence[str], ts: str, seconds: float, order:
     passing = (marked.repartition("_key", "_block").sortWithinPartitions("_key", "_block", F.desc("_entered"), "_us")
                .mapInPandas(chain, "_key string, _us bigint"))
     if not order:
-        return rows.join(passing, ["_key", "_us"], "left_semi").drop("_key", "_us")
+        return rows.join(passing, ["_key", "_us"], "left_semi").drop("_key", "_us").unionByName(timeless)
     # Of several events at the passing time, the first in `order`.
     found = rows.withColumn("_tie", F.struct(*order)).join(passing, ["_key", "_us"], "left_semi")
     first = found.groupBy("_key", "_us").agg(F.min("_tie").alias("_tie"))
-    return found.join(first, ["_key", "_us", "_tie"], "left_semi").drop("_key", "_us", "_tie")
+    return (found.join(first, ["_key", "_us", "_tie"], "left_semi").drop("_key", "_us", "_tie")
+            .unionByName(timeless))

@@ -190,7 +190,7 @@ def state_at(moments: DataFrame, snapshots: DataFrame, keys: Sequence[str], ts:
     within = (Window.partitionBy(*keys, "_day").orderBy("_t", "_kind")
               .rowsBetween(Window.unboundedPreceding, 0))
     return (merged.withColumn("_seen", F.last("_s", ignorenulls=True).over(within))
-            .filter(F.col("_kind") == 1).join(carried, [*keys, "_day"])
+            .filter(F.col("_kind") == 1).join(carried, [*keys, "_day"], "left")
             .withColumn(state, F.coalesce("_seen", "_carry"))
             .drop("_t", "_kind", "_s", "_seen", "_carry", "_day"))
 

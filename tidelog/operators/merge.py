@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidelog.functions.values import from_micros, micros
-from tidelog.operators.ordered import cuts_of, fold_lines, idle_sessions, part_of, piece_start, with_chunks
+from tidelog.functions.values import from_micros
+from tidelog.operators.ordered import cuts_of, event_us, fold_lines, idle_sessions, part_of, piece_start, with_chunks
 
 
 def merge_idle_gap(df: DataFrame, keys: Sequence[str] = ("container_id", "stream"), ts: str = "timestamp",
@@ -17,7 +17,8 @@ def merge_idle_gap(df: DataFrame, keys: Sequence[str] = ("container_id", "stream
 
     An event of more than `max_lines` lines continues in parts 1, 2, ...; no line is lost.
     """
-    keys = list(keys)
+    # One struct as the key: equal also where a part of it is NULL.
+    df, keys, named = df.withColumn("_k", F.struct(*keys)), ["_k"], keys
     gap = int(gap_seconds * 1_000_000)
     cuts = cuts_of(F.col("rows"), gap, target_rows)
     # One row per chunk: a busy slot has several, and its lines are joined chunk by chunk.
@@ -29,13 +30,17 @@ def merge_idle_gap(df: DataFrame, keys: Sequence[str] = ("container_id", "stream
     lines = with_chunks(df, keys, ts, gap_seconds, target_rows).join(sessions, [*keys, "chunk"])
     return (fold_lines(lines, keys, "session_us", ts, order, message)
             .withColumn("session_start", from_micros(F.col("session_us")))
-            .select(*keys, "session_start", "part", "lines", "first_ts", "last_ts", "message"))
+            .select(*[F.col(f"_k.{c}") for c in named], "session_start", "part", "lines", "first_ts", "last_ts", "message"))
 
 
 def stream_idle_gap(df: DataFrame, keys: Sequence[str] = ("container_id", "stream"), ts: str = "timestamp",
                     order: str = "event_id", message: str = "message", gap: str = "2 seconds",
                     watermark: str = "10 seconds") -> DataFrame:
-    """The same on a stream: a session is emitted once the watermark has passed its end."""
+    """The same on a stream: a session is emitted once the watermark has passed its end.
+
+    Late rows still join their session, whose lines are held until it closes. Where sessions
+    may go on without end, `streaming.stateful.stream_merge_idle` holds a bounded number.
+    """
     keys = list(keys)
     merged = (df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
               .groupBy(*keys, F.session_window(ts, gap).alias("session"))
@@ -58,11 +63,11 @@ def group_multiline(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", o
     each chunk. What is open at a chunk's border comes from one summary row per chunk, made
     from times and flags without the texts. Long runs continue in parts as in `merge_idle_gap`.
     """
-    keys = list(keys)
+    df, keys, named = df.withColumn("_k", F.struct(*keys)), ["_k"], keys
     rows = (df.withColumn("_continues", F.col(line).rlike(condition))
             .withColumn("_starts", F.col(line).rlike(start)))
     rows = with_chunks(rows, keys, ts, chunk_seconds, target_rows)
-    rows = rows.withColumn("_pos", F.struct(micros(ts).alias("us"), F.col(order).alias("id")))
+    rows = rows.withColumn("_pos", F.struct(event_us(ts).alias("us"), F.col(order).alias("id")))
 
     # Inside a chunk: blocks between breaks. Whether the first line is a break is open here.
     in_chunk = Window.partitionBy(*keys, "chunk").orderBy("_pos")
@@ -84,7 +89,7 @@ def group_multiline(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", o
     return (fold_lines(lines, keys, "_run", ts, order, line)
             .withColumn("run_start", from_micros(F.col("_run.us")))
             .withColumn("run_id", F.col("_run.id"))
-            .select(*keys, "run_start", "run_id", "part", "lines", "first_ts", "last_ts", "message"))
+            .select(*[F.col(f"_k.{c}") for c in named], "run_start", "run_id", "part", "lines", "first_ts", "last_ts", "message"))
 
 
 def _open_at_borders(rows: DataFrame, keys: Sequence[str], too_long, max_lines: int) -> DataFrame:

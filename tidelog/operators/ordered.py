@@ -15,6 +15,11 @@ from tidelog.functions.values import micros
 from tidelog.operators.bounded import MAX_BROADCAST_ROWS, counted
 
 
+def event_us(ts: str) -> Column:
+    """Event time in microseconds; a row without a time sorts first instead of being lost."""
+    return F.coalesce(micros(ts), F.lit(0).cast("bigint"))
+
+
 def slot_of(us: Column, width_us: int) -> Column:
     return F.floor(us / F.lit(width_us)).cast("bigint")
 
@@ -29,7 +34,7 @@ def with_chunks(df: DataFrame, keys: Sequence[str], ts: str, width_seconds: floa
     """
     width = int(width_seconds * 1_000_000)
     keys = list(keys)
-    us = micros(ts)
+    us = event_us(ts)
     slots = df.groupBy(*keys, slot_of(us, width).alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
     heavy, number = counted(slots.filter(F.col("_n") > target_rows))
     rows = df.withColumn("_us", us).withColumn("_slot", slot_of(F.col("_us"), width))
@@ -86,7 +91,7 @@ def idle_sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: floa
     """
     keys = list(keys)
     gap = int(gap_seconds * 1_000_000)
-    us = micros(ts)
+    us = event_us(ts)
     slots = (df.groupBy(*keys, slot_of(us, gap).alias("slot"))
              .agg(F.min(us).alias("first_us"), F.max(us).alias("last_us"), F.count(F.lit(1)).alias("rows")))
     w = Window.partitionBy(*keys).orderBy("slot")

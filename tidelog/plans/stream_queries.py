@@ -126,6 +126,13 @@ def idle_gap_stream(spark, sf):
     return _written(spark, rows, "sessions")
 
 
+@register("idle_merge_stateful", "ST-6", REGISTRY["idle_gap_stream"].oracle.replace("count(*) AS lines", "0 AS part, count(*) AS lines"))
+def idle_merge_stateful(spark, sf):
+    rows = stateful.stream_merge_idle(log_stream(spark, sf), "ContainerName", "Timestamp", "LogId", "Body", 3600,
+                                      watermark="1 hour")
+    return _written(spark, rows, "merged")
+
+
 @register("cooldown_stream", "ST-7", REGISTRY["cooldown"].oracle)
 def cooldown_stream(spark, sf):
     errors = log_stream(spark, sf).filter(F.col("SeverityText") == "ERROR").select("LogId", "ContainerName", "Timestamp")
