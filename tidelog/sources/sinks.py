@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidelog.functions.fixed import GATEWAY_SERVICE
 from tidelog.functions.text import clean_text
 from tidelog.functions.values import time_bounded
+from tidelog.session import cut_lineage
 
 SORT_KEY = ["ServiceName", "SeverityText", "Timestamp"]
 EXPORT_COLUMNS = ["Timestamp", "ContainerId", "ContainerName", "ContainerImage", "SeverityText", "HostName", "Body"]
@@ -63,11 +64,16 @@ def notification_rows(events: DataFrame, created_at: str = "created_at") -> Data
 
 def write_notifications(events: DataFrame, path: str, created_at: str = "created_at") -> None:
     """Append one detector run; rows already written are not repeated."""
-    rows = notification_rows(events, created_at).dropDuplicates(["id"])
+    rows = cut_lineage(notification_rows(events, created_at).dropDuplicates(["id"]))
+    oldest = rows.agg(F.min("created_at")).first()[0]
+    if oldest is None:
+        return
     spark = rows.sparkSession
     if _exists(spark, path):
-        rows = rows.join(spark.read.parquet(path).select("id"), "id", "left_anti")
-    rows.write.mode("append").parquet(path)
+        # Only what is as new as this run can repeat it: older row groups are skipped.
+        written = spark.read.parquet(path).filter(F.col("created_at") >= F.lit(oldest)).select("id")
+        rows = rows.join(written, "id", "left_anti")
+    rows.sortWithinPartitions("created_at").write.mode("append").parquet(path)
 
 
 def stream_notifications(events: DataFrame, path: str, checkpoint: str, created_at: str = "created_at"):
