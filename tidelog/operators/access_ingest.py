@@ -49,8 +49,12 @@ def parse_access(lines: DataFrame, message: str = "message") -> DataFrame:
             remote_addr=first("client", "remote_addr"), user=j["user"], time=j["time"],
             request=first("request", "uri"), status=j["status"], size=j["size"],
             http_referer=first("referer", "http_referer"), user_agent=first("agent", "user_agent"),
-            method=j["method"], path=j["path"], request_time=j["request_time"])).otherwise(_let(
-                _groups(line, COMBINED, 8), from_combined))
+            method=j["method"], path=j["path"], request_time=j["request_time"])).otherwise(plain())
+
+    def plain() -> Column:
+        # The combined form always has the two quotes between referer and agent.
+        return F.when(F.contains(line, F.lit('" "')), _let(_groups(line, COMBINED, 8), from_combined)).otherwise(
+            _let(_groups(line, SHORT, 6), from_short))
 
     def from_combined(g: Column) -> Column:
         given = lambda i: F.nullif(g[i], F.lit("-"))
@@ -64,7 +68,7 @@ def parse_access(lines: DataFrame, message: str = "message") -> DataFrame:
 
     # Only an object counts as JSON: bare numbers or text are lines for the other forms.
     parsed = F.when(F.startswith(F.ltrim(line), F.lit("{")), _let(F.from_json(line, schema, options), from_json)
-                    ).otherwise(_let(_groups(line, COMBINED, 8), from_combined))
+                    ).otherwise(plain())
     rest = [c for c in lines.columns if c != message]
     return lines.select(*rest, F.inline(F.filter(F.array(parsed), lambda r: r.isNotNull())))
 
