@@ -8,8 +8,8 @@ import __spark_entry__ as contract
 from compare import difference, oracle_connection
 from tidelog.plans.registry import load_all
 
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = {name: query.run for name, query in load_all().items()}
+ORACLES = {name: query.oracle for name, query in load_all().items() if query.oracle}
 INVENTORY = ([f"SRC-{i}" for i in range(1, 8)] + [f"SNK-{i}" for i in range(1, 4)] + [f"ING-{i}" for i in range(1, 17)]
              + [f"SCP-{i}" for i in range(1, 7)] + [f"SRH-{i}" for i in range(1, 12)] + [f"AN-{i}" for i in range(1, 14)]
              + [f"AC-{i}" for i in range(1, 13)] + [f"DET-{i}" for i in range(1, 11)] + [f"RT-{i}" for i in range(1, 4)]
@@ -43,3 +43,7 @@ def test_entry_has_rows_and_a_stable_schema(spark):
 
 def test_names_are_plain():
     assert not [n for n in QUERIES if re.search(r"pipeline|^op\d+_", n)]
+
+
+def test_every_query_is_registered():
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
