@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import simhash
+from tidelog.llm import simhash, token_counts, token_store
 from tidelog.llm.common import table
 
+TOKENIZER = "byte_bpe_50k.json"
+
 Run = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,5 +18,23 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_simhash_near_dedup,)}
+def tokenizer_file() -> str:
+    """The installed file of the public tokenizer that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_store.write_store(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
+    return token_store.read_digests(manifest)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = token_counts.token_lengths(table(spark, sf_dir, "documents"), tokenizer_file())
+    return token_counts.suffix_sums(token_counts.length_histogram(lengths))
+
+
+QUERIES: dict[str, Run] = {f.__name__: f for f in (
+    op1_simhash_near_dedup, op2_token_store, op5_token_counts)}
 ORACLES: dict[str, str] = {}
