@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidelog.llm import simhash, token_counts, token_store
+from tidelog.llm import packing, simhash, token_counts, token_store
 from tidelog.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -35,6 +35,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(lengths))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), window=1024, end_id=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_token_store, op5_token_counts)}
+    op1_simhash_near_dedup, op2_token_store, op5_token_counts, op9_packing)}
 ORACLES: dict[str, str] = {}
