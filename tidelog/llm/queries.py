@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidelog.llm import packing, simhash, token_counts, token_store
+from tidelog.llm import ann, packing, simhash, token_counts, token_store
 from tidelog.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -40,6 +40,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_token_store, op5_token_counts, op9_packing)}
+    op1_simhash_near_dedup, op2_token_store, op5_token_counts, op9_packing, op10_tree_search)}
 ORACLES: dict[str, str] = {}
