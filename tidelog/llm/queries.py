@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidelog.llm import ann, packing, simhash, token_counts, token_store
+from tidelog.llm import ann, packing, quality, simhash, token_counts, token_store
 from tidelog.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -35,6 +35,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(lengths))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), window=1024, end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -45,5 +51,5 @@ def op10_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_token_store, op5_token_counts, op9_packing, op10_tree_search)}
+    op1_simhash_near_dedup, op2_token_store, op5_token_counts, op8_quality, op9_packing, op10_tree_search)}
 ORACLES: dict[str, str] = {}
