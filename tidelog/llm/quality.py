@@ -204,7 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, id_col:
     known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
              .groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("__y"))
              .orderBy(F.xxhash64("__id"), "__id").limit(train_rows))
-    rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("__id")).select("__id", "__y", utf8(text_col).alias("__text"))
+    given = docs.select(F.col(id_col).alias("__id"), utf8(text_col).alias("__text"))
+    rows = given.join(F.broadcast(known), "__id").select("__id", "__y", "__text")  # at most train_rows labels
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, marks = index_vectors(), Marks()
