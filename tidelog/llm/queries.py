@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidelog.llm import ann, licenses, packing, quality, simhash, token_counts, token_store
+from tidelog.llm import ann, decontam, licenses, packing, quality, simhash, token_counts, token_store
 from tidelog.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,6 +30,11 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(manifest)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "distance", "similarity")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.token_lengths(table(spark, sf_dir, "documents"), tokenizer_file())
     return token_counts.suffix_sums(token_counts.length_histogram(lengths))
@@ -55,5 +60,5 @@ def op10_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_token_store, op5_token_counts, op7_license_scan, op8_quality, op9_packing, op10_tree_search)}
+    op1_simhash_near_dedup, op2_token_store, op3_decontamination, op5_token_counts, op7_license_scan, op8_quality, op9_packing, op10_tree_search)}
 ORACLES: dict[str, str] = {}
