@@ -4,68 +4,101 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import sys
 import types
 
 import numpy as np
 from pyspark.sql import Column, functions as F
 
-# Where white space stands next to a space, runs of white space are pieces that a split at spaces would cut.
-_JOINED_SPACE = re.compile(r" \s|\s ")
-_WORDS_KEPT, _PIECES_KEPT, _LONGEST_KEPT = 600_000, 300_000, 48
+# Fixed value: how byte-level tokenizers of this family cut a text into pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+# White space next to a space makes pieces that a split at spaces would cut; these are the kinds beside the space.
+_OTHER_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 32]
+_SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+_WORDS_KEPT, _LONGEST_KEPT = 700_000, 48
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others in
+    order from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {**{b: b for b in printable}, **{b: 256 + i for i, b in enumerate(others)}}
 
 
 class Encoder:
     """Ids of a text as a numpy array, equal to the tokenizer's own encoding without added special tokens.
 
     Strings of special tokens in a text are ordinary text. With a byte-level BPE file, a text is split at its
-    spaces and the ids of each word are remembered: a space before a word always begins a piece there, so that the ids of
-    the words are those of the text. Texts with runs of white space go through the tokenizer as they are. Memory is
-    bounded: a full table of words is begun anew.
+    spaces and the ids of each word are remembered: a space before a word always begins a piece there, so the ids
+    of the words are those of the text. Texts with runs of white space go through the tokenizer as they are. Memory is
+    bounded.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.by_word = _byte_level(path)
-        self.words, self.heads, self.pieces = {}, {}, {}
+        self.words: dict[str, bytes] = {}  # ids of a space and a word
+        self.pieces: dict[str, bytes] = {}  # ids of what words with signs and breaks are made of
+        self.missed = 0
+        self.cut, self.letters = regex.compile(PIECES).findall, byte_letters()
+        self.bytes_of = [np.array(i, self.kind).tobytes() for i in range(self.tokenizer.get_vocab_size())]
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, self.kind)
-        if not self.by_word or _JOINED_SPACE.search(text):
+        if not self.by_word or _joined_spaces(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
         head, *words = text.split(" ")
         found = list(map(self.words.get, words))
         if None in found:
-            found = [self._word(" ", word, self.words) if ids is None else ids for word, ids in zip(words, found)]
-        return np.frombuffer(self._word("", head, self.heads) + b"".join(found), self.kind)
-
-    def _word(self, before: str, word: str, table: dict[str, bytes]) -> bytes:
-        ids = table.get(word)
-        if ids is None:
-            ids = b"".join(map(self._piece, self.tokenizer.pre_tokenizer.pre_tokenize_str(before + word)))
-            if len(table) >= _WORDS_KEPT:
-                table.clear()
-            if len(word) <= _LONGEST_KEPT:
-                table[word] = ids
+            found = [self._word(word) if ids is None else ids for word, ids in zip(words, found)]
+        return np.frombuffer(b"".join(map(self._piece, self.cut(head))) + b"".join(found), self.kind)
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a space and a word. Signs of ASCII at the end of letters are one piece."""
+        ids = self.words.get(word)
+        if ids is not None:
+            return ids
+        core = word.rstrip(_SIGNS)
+        if core.isalpha():
+            ids = self.words.get(core) or self._encode(" " + core)
+            if len(core) < len(word):
+                ids += self._piece(word[len(core):])
+        else:
+            ids = b"".join(map(self._piece, self.cut(" " + word)))
+        if len(word) <= _LONGEST_KEPT:
+            if len(self.words) < _WORDS_KEPT:
+                self.words[word] = ids
+            else:  # full: begun anew once as many words were missed as it holds
+                self.missed += 1
+                if self.missed > _WORDS_KEPT:
+                    self.words, self.missed = {}, 0
         return ids
 
-    def _piece(self, piece: tuple[str, tuple[int, int]]) -> bytes:
-        ids = self.pieces.get(piece[0])
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
         if ids is None:
-            ids = np.array([token.id for token in self.tokenizer.model.tokenize(piece[0])], self.kind).tobytes()
-            if len(self.pieces) >= _PIECES_KEPT:
-                self.pieces.clear()
-            if len(piece[0]) <= _LONGEST_KEPT:
-                self.pieces[piece[0]] = ids
+            ids = self._encode(piece)
+            if len(self.pieces) < _WORDS_KEPT // 4 and len(piece) <= _LONGEST_KEPT:
+                self.pieces[piece] = ids
         return ids
 
+    def _encode(self, piece: str) -> bytes:
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.bytes_of[token.id] for token in self.tokenizer.model.tokenize(letters)])
+
+
+def _joined_spaces(text: str) -> bool:
+    return "  " in text or any(space in text and (space + " " in text or " " + space in text) for space in _OTHER_SPACES)
+
 
 def _byte_level(path: str) -> bool:
     """Whether the file says: no normalizer, byte-level pieces without a prefix space, BPE, nothing added."""
