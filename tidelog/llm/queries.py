@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidelog.llm import ann, decontam, licenses, packing, quality, simhash, token_counts, token_store
+from tidelog.llm import ann, decontam, licenses, packing, quality, secrets, simhash, token_counts, token_store
 from tidelog.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -40,6 +40,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(lengths))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), path_col="source")
+    return found.select("doc_id", "pos", "digest", "length", "coverage", "score", "is_secret")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
@@ -60,5 +65,5 @@ def op10_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_token_store, op3_decontamination, op5_token_counts, op7_license_scan, op8_quality, op9_packing, op10_tree_search)}
+    op1_simhash_near_dedup, op2_token_store, op3_decontamination, op5_token_counts, op6_secret_scan, op7_license_scan, op8_quality, op9_packing, op10_tree_search)}
 ORACLES: dict[str, str] = {}
