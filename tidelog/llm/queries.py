@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidelog.llm import ann, decontam, licenses, packing, quality, secrets, simhash, token_counts, token_store
+from tidelog.llm import ann, decontam, licenses, packing, quality, secrets, simhash, token_counts, token_store, warc
 from tidelog.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -35,6 +35,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "start", "n_words", "distance", "similarity")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_records(warc.write_archives(table(spark, sf_dir, "pages"), least_bytes=0))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.token_lengths(table(spark, sf_dir, "documents"), tokenizer_file())
     return token_counts.suffix_sums(token_counts.length_histogram(lengths))
@@ -65,5 +69,5 @@ def op10_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_token_store, op3_decontamination, op5_token_counts, op6_secret_scan, op7_license_scan, op8_quality, op9_packing, op10_tree_search)}
+    op1_simhash_near_dedup, op2_token_store, op3_decontamination, op4_warc, op5_token_counts, op6_secret_scan, op7_license_scan, op8_quality, op9_packing, op10_tree_search)}
 ORACLES: dict[str, str] = {}
