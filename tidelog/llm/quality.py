@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidelog.llm.common import slices
+from tidelog.llm.common import sampled, slices
 from tidelog.llm.tokens import utf8
 
 BUCKETS, DIMS, NONZERO = 8192, 32, 6
@@ -202,8 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, id_col:
     """
     contexts = context_vectors(docs, text_col)
     known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-             .groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("__y"))
-             .orderBy(F.xxhash64("__id"), "__id").limit(train_rows))
+             .groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("__y")))
+    known = sampled(known, train_rows, "__id")
     given = docs.select(F.col(id_col).alias("__id"), utf8(text_col).alias("__text"))
     rows = given.join(F.broadcast(known), "__id").select("__id", "__y", "__text")  # at most train_rows labels
 
@@ -238,3 +238,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:-1]), "score double"])
     return given.mapInArrow(run, schema).select("doc_id", *(F.col(f"__{i}").alias(c) for i, c in enumerate(keep)), "score",
                                                 (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with all their columns."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, marks = index_vectors(), Marks()
+        for batch in slices(batches, 128):
+            texts = [text or "" for text in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(model.scores(features(texts, model.contexts, index, marks)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -143,12 +143,20 @@ def links_within(words: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np
             left.append(first[near] + i)
             right.append(first[near] + j)
     for group in np.flatnonzero(sizes > 16).tolist():
-        a, b = _forest(words[starts[group]:starts[group + 1]], radius)
+        rows = words[starts[group]:starts[group + 1]]
+        a, b = _forest(rows, radius) if len(rows) > 256 else _near_pairs(rows, radius)
         left.append(a + starts[group])
         right.append(b + starts[group])
     return np.concatenate(left), np.concatenate(right)
 
 
+def _near_pairs(words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a group that is small enough for a square of it; a forest where there are many."""
+    near = sum(np.bitwise_count(w[:, None] ^ w[None, :]).astype(np.int16) for w in words.T) <= radius
+    a, b = np.nonzero(np.triu(near, 1))
+    return (a, b) if len(a) <= 4 * len(words) else _forest(words, radius)
+
+
 def _forest(words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links from the first row of each linked group to its other rows. A row is compared with rows not reached yet."""
     rest, left, right = np.arange(len(words)), [], []
@@ -194,3 +202,155 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, id_co
                    .otherwise(F.col("smallest")).alias("component_id")))
     return (found.join(ids, F.col("f") == F.col("g"))
             .select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id"))
+
+
+SKETCH_WORDS, CHECK_WORDS = 8, 2  # 64-bit words of a sketch, and those of them that buckets compare
+
+
+def band_scheme(count: int, similarity: float, missed: float = 0.003) -> tuple[int, int]:
+    """(bits, bands): a pair at the least similarity shares none of `bands` bands of `bits` bits with chance `missed`.
+
+    Sets of similarity s have fingerprints that differ in a share arccos(2s / (1 + s)) / pi of their bits; a
+    twentieth is added for small sets. Bands grow with the number of texts, so that buckets stay small.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi * 1.05
+    bits = max(12, math.ceil(math.log2(max(2, count))) - 6)
+    return bits, math.ceil(math.log(missed) / math.log(1 - (1 - share) ** bits))
+
+
+def band_keys(f: Column, bits: int, bands: int, seed: int = 9) -> Column:
+    """Array of a key for each band: its number and `bits` bits of the sketch, chosen at random once and for all."""
+    random, keys, width = np.random.default_rng(seed), [], SKETCH_WORDS - CHECK_WORDS
+    for band in range(bands):
+        masks = [0] * width
+        for bit in random.choice(64 * width, bits, replace=False).tolist():
+            masks[bit // 64] |= 1 << bit % 64
+        signed = [m - 2**64 if m >= 2**63 else m for m in masks]
+        keys.append(F.xxhash64(F.lit(band), *(F.get(f, F.lit(CHECK_WORDS + i)).bitwiseAND(F.lit(m).cast("long")) for i, m in enumerate(signed) if m)))
+    return F.array(*keys)
+
+
+def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, raw, words_key, n, f): hashes of text and word sequence, the number of distinct shingles, and a sketch of
+    SKETCH_WORDS words over the distinct shingles."""
+    given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("raw"), F.col(text_col).cast("binary").alias("data"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            keys, counts, found = [], [], []
+            for data in batch.column(2).to_pylist():
+                hashes = np.unique(shingle_hashes(data, shingle))
+                keys.append(xxhash.xxh3_128_hexdigest(b" ".join((data or b"").lower().split())))
+                counts.append(len(hashes))
+                found.append([fingerprint(spread(hashes, word)) for word in range(SKETCH_WORDS)])
+            f = pa.FixedSizeListArray.from_arrays(pa.array(np.array(found, np.uint64).view(np.int64).ravel()), SKETCH_WORDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(counts, pa.int64()), f],
+                                             ["doc_id", "raw", "words_key", "n", "f"])
+
+    return given.mapInArrow(run, f"doc_id {given.schema[0].dataType.simpleString()}, raw long, words_key string, n long, f array<long>")
+
+
+def near_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 40, part_shingles: int = 200_000,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, raw, component) per row of docs: texts whose sets of word shingles have a Jaccard similarity of at least `similarity`
+    are linked; component is the same for all that links join.
+
+    Sets at 0.8 differ in about a seventh of the bits of their SimHash, too many for blocks that all close pairs share. So
+    bands of bits of a longer sketch are the blocks, as many as leave a pair at the limit apart with a chance of 0.3 %;
+    within a bucket, sketches must agree in all but `radius` of 128 further bits. What is joined in this way is then
+    compared exactly, shingle by shingle, so that no two texts are linked which are less similar. Texts with equal words are one
+    node. Null, empty and blank texts have equal words (none). raw is a hash of the text.
+    """
+    found = written(sketches(docs, shingle, id_col, text_col), "sketches")
+    nodes = written(found.groupBy("words_key").agg(F.first("f").alias("f"), F.first("n").alias("n"))
+                    .withColumn("node", F.monotonically_increasing_id()), "nodes")
+    bits, bands = band_scheme(nodes.count(), similarity)
+    keyed = nodes.where("n > 0").select(F.explode(band_keys(F.col("f"), bits, bands)).alias("key"), "node",
+                                        F.slice("f", 1, CHECK_WORDS).alias("f"))
+    rough = written(components(bucket_links(keyed, radius)), "rough")
+    members = nodes.join(rough, "node").select("node", "words_key", "n", "root")
+    links = _verified(docs, found, members, similarity, shingle, part_shingles, id_col, text_col)
+    joined = components(links).select(F.col("node").alias("member"), F.col("root").alias("r"))
+    ids = (nodes.join(joined, F.col("node") == F.col("member"), "left")
+           .select(F.col("words_key").alias("w"), F.coalesce("r", "node").alias("component")))
+    return found.join(ids, F.col("words_key") == F.col("w")).select("doc_id", "raw", "component")
+
+
+def _verified(docs: DataFrame, found: DataFrame, members: DataFrame, similarity: float, shingle: int, part_shingles: int,
+              id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between nodes that are as similar as that, found within the rough components of members(node, words_key, n, root).
+
+    A component with many shingles is cut into parts, and each pair of parts is a group: no task holds a component.
+    """
+    parts = members.groupBy("root").agg(F.ceil(F.sum("n") / part_shingles).cast("int").alias("parts"))
+    # One text per node: that of the smallest hash and id among the rows with its words.
+    chosen = (found.join(members.select("words_key", "node"), "words_key").groupBy("node").agg(F.min(F.struct("raw", "doc_id")).alias("c"))
+              .select("node", F.col("c.raw").alias("raw"), F.col("c.doc_id").alias("id")))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).cast("binary").alias("data"))
+    own = texts.join(chosen, (F.col("hash") == F.col("raw")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "data")
+
+    def hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            sets = [np.unique(shingle_hashes(x, shingle)).view(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "h"])
+
+    sets = own.mapInArrow(hashes, "node long, h array<long>").dropDuplicates(["node"])
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    groups = (sets.join(members.select("node", "root").join(parts, "root"), "node").withColumn("part", part)
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+              .groupBy("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+              .agg(F.collect_list(F.struct("node", "h")).alias("rows")).where(F.size("rows") > 1).select("rows"))
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            flat = batch.column(0).flatten()
+            nodes, lists = np.asarray(flat.field(0)), flat.field(1)
+            offsets = np.asarray(lists.offsets, np.int64)
+            a, b = similar_within(np.asarray(lists.flatten()), offsets - offsets[0], similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[a], pa.int64()), pa.array(nodes[b], pa.int64())], ["a", "b"])
+
+    return groups.mapInArrow(compare, "a long, b long")
+
+
+def similar_within(hashes: np.ndarray, offsets: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the rows whose sets hashes[offsets[i]:offsets[i + 1]] have at least that Jaccard similarity.
+
+    A row is compared with the rows not reached yet, by marking its hashes and counting marks in theirs.
+    """
+    _, numbers = np.unique(hashes, return_inverse=True)
+    sizes = np.diff(offsets)
+    marks = np.zeros(int(numbers.max(initial=-1)) + 1, np.int64)
+    rest, left, right = np.flatnonzero(sizes > 0), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    inside = np.concatenate([numbers[offsets[i]:offsets[i + 1]] for i in rest]) if len(rest) else numbers[:0]
+    while len(rest):
+        root, reached = rest[0], [int(rest[0])]
+        inside, rest = inside[sizes[root]:], rest[1:]
+        while reached and len(rest):
+            row = reached.pop()
+            own = numbers[offsets[row]:offsets[row + 1]]
+            marks[own] = 1
+            both = np.add.reduceat(marks[inside], np.cumsum(sizes[rest]) - sizes[rest])
+            marks[own] = 0
+            near = both >= similarity * (sizes[rest] + sizes[row] - both) - 1e-9
+            if near.any():
+                left.append(np.full(int(near.sum()), root))
+                right.append(rest[near])
+                reached += rest[near].tolist()
+                inside = inside[np.repeat(~near, sizes[rest])]
+                rest = rest[~near]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id",
+                            text_col: str = "text", **more) -> DataFrame:
+    """The rows of docs that stay: of each component of `near_components` the one with the smallest doc_id.
+
+    A null doc_id counts as larger than any; rows with one id go by the hash of their texts; of repeated rows one stays. All
+    columns are kept. An empty table stays empty.
+    """
+    found = near_components(docs, similarity, shingle, id_col=id_col, text_col=text_col, **more)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "raw")).alias("first")
+    stay = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.raw").alias("__raw"))
+    keyed = docs.withColumn("__hash", F.xxhash64(text_col))
+    kept = keyed.join(stay, (F.col("__hash") == F.col("__raw")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates([id_col, "__hash"]).select(*docs.columns)
