@@ -39,6 +39,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sampled(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """At most `rows` rows, taken by a hash of the key columns: the same ones every time.
+
+    The share that is needed is cut out where rows are read, so hardly more than `rows` rows leave the tasks.
+    """
+    order = F.xxhash64(*key)
+    share = min(1.0, (1.2 * rows + 100) / max(1, df.count()))
+    return df.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(order, *key).limit(rows)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows`, so that what is built per batch stays small."""
     for batch in batches:
