@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidelog.llm.common import sampled, slices
 from tidelog.llm.tokens import utf8
 
-BUCKETS, DIMS, NONZERO = 8192, 32, 6
+BUCKETS, DIMS, NONZERO = 8192, 16, 4
 _KEPT = 400_000
 
 
@@ -32,21 +33,15 @@ def index_vectors(seed: int = 11) -> np.ndarray:
     return out
 
 
-class Marks:
-    """Marks of words, remembered for the frequent ones; a full table is begun anew."""
+class Marks(dict):
+    """Both marks of a word in one number, remembered for the frequent ones: a full table is begun anew."""
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
+    def of(self, texts: list[list[str]], count: int) -> np.ndarray:
+        """[core, shape] of each word of all texts."""
+        both = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int32, count)
+        return np.stack([both // BUCKETS, both % BUCKETS], axis=1)
 
-    def of(self, words: list[str]) -> np.ndarray:
-        """[core, shape] of each word."""
-        found = list(map(self.known.get, words))
-        if None in found:
-            found = [self._add(word) if mark is None else mark for word, mark in zip(words, found)]
-        both = np.array(found, np.int64)
-        return np.stack([both >> 32, both & 0xFFFFFFFF], axis=1)
-
-    def _add(self, word: str) -> int:
+    def __missing__(self, word: str) -> int:
         core = word
         while core and not core[-1].isalnum():
             core = core[:-1]
@@ -56,10 +51,10 @@ class Marks:
         case = ("digits" if core.isdigit() else "upper" if len(core) > 1 and core.isupper() else "title" if core[:1].isupper()
                 else "lower" if core.islower() else "mixed" if core else "none")
         shape = f"{case} {min(len(core), 24) // 4} {word[:at][-4:]} {word[at + len(core):][:4]}"
-        mark = zlib.crc32(core.lower().encode("utf-8", "replace")) % BUCKETS << 32 | zlib.crc32(shape.encode("utf-8", "replace")) % BUCKETS
-        if len(self.known) >= _KEPT:
-            self.known.clear()
-        self.known[word] = mark
+        mark = zlib.crc32(core.lower().encode("utf-8", "replace")) % BUCKETS * BUCKETS + zlib.crc32(shape.encode("utf-8", "replace")) % BUCKETS
+        if len(self) >= _KEPT:
+            self.clear()
+        self[word] = mark
         return mark
 
 
@@ -67,7 +62,7 @@ def _documents(texts: list[str], marks: Marks) -> tuple[np.ndarray, np.ndarray]:
     """Marks of all words of the texts, and where each text begins."""
     words = [text.split() for text in texts]
     starts = np.cumsum([0] + [len(w) for w in words])
-    return marks.of([w for some in words for w in some]), starts
+    return marks.of(words, int(starts[-1])), starts
 
 
 def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -78,7 +73,7 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             found, starts = _documents(batch.column(0).to_pylist(), marks)
             if not len(found):
                 continue
-            around = _around(index[found].sum(axis=1), starts)
+            around = _around(index[found[:, 0]] + index[found[:, 1]], starts)
             for dim in range(DIMS):
                 for mark in (0, 1):
                     sums[dim] += np.bincount(found[:, mark], around[:, dim], BUCKETS)
@@ -106,27 +101,27 @@ def _around(vectors: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(texts: list[str], contexts: np.ndarray, index: np.ndarray, marks: Marks) -> np.ndarray:
+def features(texts: list[str], tables: np.ndarray, marks: Marks) -> np.ndarray:
     """A row per text: pooled word vectors, pooled products of neighbours, and the logarithm of the number of words.
 
-    An empty or blank text has zeros. Sums run over the whole text.
+    tables: the context vector and the index vector of each mark side by side. An empty or blank text has zeros. Sums
+    run over the whole text.
     """
     found, starts = _documents(texts, marks)
     n = np.diff(starts)
     out = np.zeros((len(texts), 4 * DIMS + 2), np.float32)
     if not len(found):
         return out
-    own = index[found[:, 0]]
-    parts = [contexts[found[:, 0]], contexts[found[:, 1]], index[found[:, 1]]]
-    beside = np.zeros_like(own)
-    beside[:-1] = own[:-1] * own[1:]
-    last = starts[1:][n > 0] - 1
-    beside[last] = 0.0
     some = np.flatnonzero(n > 0)
-    for i, part in enumerate([*parts, beside]):
-        out[some, i * DIMS:(i + 1) * DIMS] = np.add.reduceat(part, starts[:-1][some], axis=0) / n[some, None]
-    pooled = np.add.reduceat(own, starts[:-1][some], axis=0) / n[some, None]
-    out[some, -2] = np.sqrt((pooled * pooled).sum(axis=1))
+    core, shape = tables[found[:, 0]], tables[found[:, 1]]  # context vector, then index vector
+    beside = np.zeros((len(found), DIMS), np.float32)
+    np.multiply(core[:-1, DIMS:], core[1:, DIMS:], out=beside[:-1])
+    beside[starts[1:][some] - 1] = 0.0
+    pooled = [np.add.reduceat(part, starts[some], axis=0) / n[some, None] for part in (core, shape, beside)]
+    out[some, :DIMS] = pooled[0][:, :DIMS]
+    out[some, DIMS:3 * DIMS] = pooled[1]
+    out[some, 3 * DIMS:4 * DIMS] = pooled[2]
+    out[some, -2] = np.sqrt((pooled[0][:, DIMS:] ** 2).sum(axis=1))
     out[:, -1] = np.log1p(n)
     return out
 
@@ -208,9 +203,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, id_col:
     rows = given.join(F.broadcast(known), "__id").select("__id", "__y", "__text")  # at most train_rows labels
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, marks = index_vectors(), Marks()
+        tables, marks = np.hstack([contexts, index_vectors()]), Marks()
         for batch in slices(batches, 128):
-            found = features(batch.column(2).to_pylist(), contexts, index, marks)
+            found = features(batch.column(2).to_pylist(), tables, marks)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in found], pa.binary())], ["id", "y", "x"])
 
     got = rows.mapInArrow(run, "id long, y double, x binary").toArrow()
@@ -230,9 +225,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
     given = docs.select(F.col(id_col).alias("doc_id"), *kept, utf8(text_col).alias("__text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, marks = index_vectors(), Marks()
+        tables, marks = np.hstack([model.contexts, index_vectors()]), Marks()
         for batch in slices(batches, 128):
-            found = model.scores(features(batch.column(batch.num_columns - 1).to_pylist(), model.contexts, index, marks))
+            found = model.scores(features(batch.column(batch.num_columns - 1).to_pylist(), tables, marks))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*batch.schema.names[:-1], "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:-1]), "score double"])
@@ -245,9 +240,9 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: st
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, marks = index_vectors(), Marks()
+        tables, marks = np.hstack([model.contexts, index_vectors()]), Marks()
         for batch in slices(batches, 128):
             texts = [text or "" for text in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(model.scores(features(texts, model.contexts, index, marks)) >= threshold))
+            yield batch.filter(pa.array(model.scores(features(texts, tables, marks)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
