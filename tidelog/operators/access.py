@@ -96,14 +96,16 @@ def traffic_classes(traffic_rows: DataFrame) -> DataFrame:
         total(status >= 500).alias("err"))
 
 
-def top_paths(acc: DataFrame, as_of: str | Column, hours: float = 24, limit: int = 20,
+def top_paths(acc: DataFrame, as_of: str | Column, hours: float = 24, limit: int | None = 20,
               approx: bool = False) -> DataFrame:
+    """Paths by errors and p95, the worst first; all of them, in no order, without a limit."""
     rows = _with_p95(window_of(acc, as_of, hours).filter(F.col("path") != ""), ["referer", "path"], approx)
-    return (rows.select("referer", "path", F.col("n").alias("total"), F.col("n400").alias("errors"),
+    paths = rows.select("referer", "path", F.col("n").alias("total"), F.col("n400").alias("errors"),
                         half_even(_mean_seconds("time_us", "n"), 4).alias("avg_time"),
                         half_even(F.col("quantile"), 4).alias("p95_time"))
-            .orderBy(F.col("errors").desc(), F.col("p95_time").desc(), F.col("total").desc(), "referer", "path")
-            .limit(limit))
+    if limit is None:
+        return paths
+    return paths.orderBy(F.col("errors").desc(), F.col("p95_time").desc(), F.col("total").desc(), "referer", "path").limit(limit)
 
 
 def top_ips(acc: DataFrame, as_of: str | Column, hours: float = 24, limit: int = 20) -> DataFrame:

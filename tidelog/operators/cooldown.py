@@ -60,16 +60,19 @@ def _plain(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.astype({"_key": object})
 
 
-def throttle(df: DataFrame, keys: Sequence[str], ts: str, seconds: float, order: Sequence[str] = (),
+def throttle(df: DataFrame, keys: Sequence[str], ts: str, seconds: float, order: Sequence[str],
              block_seconds: float | None = None) -> DataFrame:
     """Rows of `df` that pass the cooldown, in time order per key.
 
+    Of events of a key at one time, the first by `order` passes, and one alone also where `order` ties.
     Which event passes depends on the one before, so the chain is cut into blocks of time:
     1. per (key, block): for every event that may be first to pass, the last that passes then;
     2. per key, in block order and with one number of state: where each block is entered;
     3. per (key, block): the chain from there.
     Only distinct times are moved; a block holds at most one per microsecond of its length.
     """
+    if not order:
+        raise ValueError("order is needed: of events at one time only one passes")
     keys, order = list(keys), list(order)
     pause = int(seconds * 1_000_000)
     block = int((block_seconds or max(3600.0, 10 * seconds)) * 1_000_000)
@@ -135,10 +138,11 @@ def throttle(df: DataFrame, keys: Sequence[str], ts: str, seconds: float, order:
               .unionByName(entries.withColumn("_us", F.lit(0).cast("bigint")).withColumn("_entered", F.lit(True))))
     passing = (marked.repartition("_key", "_block").sortWithinPartitions("_key", "_block", F.desc("_entered"), "_us")
                .mapInPandas(chain, "_key string, _us bigint"))
-    if not order:
-        return rows.join(passing, ["_key", "_us"], "left_semi").drop("_key", "_us").unionByName(timeless)
-    # Of several events at the passing time, the first in `order`.
-    found = rows.withColumn("_tie", F.struct(*order)).join(passing, ["_key", "_us"], "left_semi")
+    # Of several events at the passing time, the first in `order`; rows that tie there go by a hash of all columns.
+    comparable = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    found = (rows.withColumn("_tie", F.struct(*order, F.xxhash64(*comparable).alias("_row")))
+             .join(passing, ["_key", "_us"], "left_semi"))
     first = found.groupBy("_key", "_us").agg(F.min("_tie").alias("_tie"))
-    return (found.join(first, ["_key", "_us", "_tie"], "left_semi").drop("_key", "_us", "_tie")
+    same = [found[c].eqNullSafe(first[c]) for c in ("_key", "_us", "_tie")]
+    return (found.join(first, same, "left_semi").dropDuplicates(["_key", "_us"]).drop("_key", "_us", "_tie")
             .unionByName(timeless))

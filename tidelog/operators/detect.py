@@ -26,8 +26,8 @@ def _error_like(df: DataFrame) -> DataFrame:
         (F.col("SeverityText") == "ERROR") | contains_ci("Body", "error") | contains_ci("Body", "fatal"))
 
 
-def _as_events(rows: DataFrame, rules) -> DataFrame:
-    return rows.select("LogId", "Timestamp", "type", F.lit("critical").alias("severity"),
+def _as_events(rows: DataFrame, rules, *more: str) -> DataFrame:
+    return rows.select(*more, "LogId", "Timestamp", "type", F.lit("critical").alias("severity"),
                        critical_title("type", rules).alias("title"),
                        F.substring("Body", 1, fixed.CRITICAL_MESSAGE_CHARS).alias("message"),
                        F.col("ContainerId").alias("container_id"), F.col("ContainerName").alias("container_name"))
@@ -43,24 +43,23 @@ def critical_alerts(df: DataFrame, cooldown: float = fixed.CRITICAL_COOLDOWN_SEC
     """Critical events after the cooldown: a row goes to its first class that is not cooling down.
 
     Rows of one class never affect an earlier class, so the classes are taken in order and
-    each sees the rows the earlier ones let fall through. What a class let pass is written
-    to the checkpoint folder, one row per cooldown at most. Where no row has two classes,
-    all classes go through one cooldown at once.
+    each sees the rows the earlier ones let fall through. The log is read once: its hits are
+    written to the checkpoint folder with a number of their own, as rows may share a LogId. What a
+    class let pass is written too, one row per cooldown at most.
     """
     rules = rules or fixed.CRITICAL_CLASSES
     classes = F.array_compact(F.array(*[F.when(F.col("Body").rlike("(?i)" + p), F.lit(n)) for n, p, _ in rules]))
-    hits = _error_like(df).withColumn("_classes", classes).filter(F.size("_classes") > 0)
-    once = lambda rows: throttle(rows, ["type"], "Timestamp", cooldown, order=["LogId"])
-    if hits.filter(F.size("_classes") > 1).isEmpty():
-        return once(_as_events(hits.withColumn("type", F.col("_classes")[0]), rules))
+    hits = cut_lineage(_error_like(df).withColumn("_classes", classes).filter(F.size("_classes") > 0)
+                       .withColumn("_hit", F.monotonically_increasing_id()))
     passed = None
     for name, _, _ in rules:
         rows = hits.filter(F.array_contains("_classes", name)).withColumn("type", F.lit(name))
         if passed is not None:
-            rows = rows.join(passed.select("LogId"), "LogId", "left_anti")
-        alerts = cut_lineage(once(_as_events(rows, rules)))
+            rows = rows.join(passed.select("_hit"), "_hit", "left_anti")
+        events = _as_events(rows, rules, "_hit")
+        alerts = cut_lineage(throttle(events, ["type"], "Timestamp", cooldown, order=["LogId", "_hit"]))
         passed = alerts if passed is None else passed.unionByName(alerts)
-    return passed
+    return passed.drop("_hit")
 
 
 def spam_groups(df: DataFrame, window: str = "1 minute", slide: str | None = None,
@@ -97,10 +96,13 @@ def spam_samples(df: DataFrame, groups: DataFrame, window: str = "1 minute") ->
     groups = small_side(groups)
     bodies = (not_gateway(df)
               .select(F.window("Timestamp", window)["start"].alias("window_start"), "ContainerId",
-                      spam_group("Body").alias("grp"), "Body")
-              .join(groups.select(*keys), keys, "left_semi")
-              .groupBy(*keys).agg(F.max("Body").alias("sample_msg")))
-    return groups.join(bodies, keys)
+                      spam_group("Body").alias("grp"), "Body"))
+    # A flagged group may lack a container or a body: its rows are found by equality that knows NULL.
+    named = [F.col(c).alias(f"_{c}") for c in keys]
+    alike = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    samples = (bodies.join(groups.select(*named), alike, "left_semi")
+               .groupBy(*named).agg(F.max("Body").alias("sample_msg")))
+    return groups.join(samples, alike, "left").select(*groups.columns, "sample_msg")
 
 
 def spam_message(groups: DataFrame) -> DataFrame:
@@ -236,7 +238,7 @@ def request_floods(acc: DataFrame, per_minute: int = fixed.FLOOD_REQUESTS_PER_MI
              .agg(F.sum("n").alias("requests"), F.max_by("path", F.struct("seen", "path")).alias("latest_path"))
              .filter(F.col("requests") >= per_minute)
              .select(F.col("w.start").alias("minute"), "remote_addr", "requests", "latest_path"))
-    return throttle(found, ["remote_addr"], "minute", cooldown) if cooldown else found
+    return throttle(found, ["remote_addr"], "minute", cooldown, order=["requests"]) if cooldown else found
 
 
 def flood_message(floods: DataFrame) -> DataFrame:

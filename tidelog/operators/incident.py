@@ -176,9 +176,10 @@ def incident_timeline(df: DataFrame, acc: DataFrame, runtime: DataFrame, feed: D
 
 
 def _service_notifications(feed: DataFrame, key: str, as_of: str | Column, minutes: float) -> DataFrame:
+    """All recent notices of the service: other services' notices never displace them."""
     named = feed.withColumn("_name", F.coalesce(F.nullif("container_name", F.lit("")), "container_id"))
     recent = named.filter(micros("created_at") >= micros(before(as_of, minutes, "MINUTE")))
-    return of_service(_first(recent, 100, F.col("created_at").desc(), F.col("id").desc()), key, "_name")
+    return of_service(recent, key, "_name")
 
 
 def incident_status(df: DataFrame, acc: DataFrame, runtime: DataFrame, feed: DataFrame, key: str,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -15,7 +16,8 @@ from tidelog.operators.scope import first_rows, service_name
 
 
 def not_gateway(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("ServiceName") != GATEWAY_SERVICE)
+    """Rows of other services than the gateway; a row without a service is none of the gateway's."""
+    return df.filter(F.coalesce(F.col("ServiceName"), F.lit("")) != GATEWAY_SERVICE)
 
 
 def search(df: DataFrame, as_of: str | Column, host: str = "", project: str = "", service: str = "",
@@ -132,9 +134,59 @@ def sample_logs(df: DataFrame, from_ts: str, to_ts: str, level: str = "", n: int
             .select("Timestamp", "ServiceName", "ContainerName", "SeverityText", "Body"))
 
 
+_READING = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Join", "LateralJoin", "Union",
+            "Except", "Intersect", "SubqueryAlias", "UnresolvedRelation", "UnresolvedWith", "UnresolvedHaving", "WithWindowDefinition",
+            "OneRowRelation", "UnresolvedSubqueryColumnAliases", "Generate", "Pivot", "Unpivot", "UnresolvedInlineTable",
+            "LocalRelation", "UnresolvedHint", "Tail", "Sample"}
+_LEAVING = {"reflect", "java_method", "try_reflect", "current_catalog", "current_database", "current_schema"}
+_analysis = threading.Lock()
+
+
 def query(spark: SparkSession, sql: str, scoped_df: DataFrame, view: str = "logs") -> DataFrame:
-    """Read-only SQL over a view that holds the caller's rows only."""
-    if not sql.strip().upper().startswith(("SELECT", "WITH")):
-        raise ValueError("only SELECT statements are allowed")
-    scoped_df.createOrReplaceTempView(view)
-    return spark.sql(sql)
+    """Read-only SQL over the caller's rows, which the statement knows as `view`.
+
+    The parsed statement must be a query that reads that view and its own WITH names alone: files, other
+    tables, commands, table functions and calls into the JVM are refused. The name exists only while the statement is
+    analysed, for one caller at a time.
+    """
+    statement = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    _check_reading(statement, {view.lower()})
+    with _analysis:
+        scoped_df.createOrReplaceTempView(view)
+        try:
+            return spark.sql(sql)
+        finally:
+            spark.catalog.dropTempView(view)
+
+
+def _scala(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _check_reading(plan, names: set[str]) -> None:
+    """Raises unless every node of the parsed plan reads, and reads known names."""
+    kind = plan.getClass().getSimpleName().rstrip("$")
+    if kind not in _READING:
+        raise ValueError(f"only queries of the given rows are allowed, not {kind}")
+    if kind == "UnresolvedRelation":
+        parts = _scala(plan.multipartIdentifier())
+        if len(parts) != 1 or parts[0].lower() not in names:
+            raise ValueError(f"unknown relation {'.'.join(parts)}")
+    if kind == "UnresolvedWith":
+        for relation in _scala(plan.cteRelations()):
+            _check_reading(relation._2(), names)
+            names = names | {relation._1().lower()}
+    for child in _scala(plan.children()):
+        _check_reading(child, names)
+    for expression in _scala(plan.expressions()):
+        _check_expression(expression, names)
+
+
+def _check_expression(expression, names: set[str]) -> None:
+    kind = expression.getClass().getSimpleName()
+    if kind == "UnresolvedFunction" and _scala(expression.nameParts())[-1].lower() in _LEAVING:
+        raise ValueError("this function is not allowed")
+    if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+        _check_reading(expression.plan(), names)
+    for child in _scala(expression.children()):
+        _check_expression(child, names)

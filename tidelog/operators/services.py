@@ -22,7 +22,7 @@ def with_service_key(df: DataFrame) -> DataFrame:
 
 def service_summary(df: DataFrame, as_of: str | Column, hours: float = 24, host: str | None = None,
                     containers: Sequence[str] | None = None, limit: int | None = 500) -> DataFrame:
-    """Instances, logs and errors per service, newest first.
+    """Instances, logs and errors per service, newest first; without a limit all services, for further steps.
 
     One hash aggregation over the rows, per container instance and with numbers only;
     distinct instances and the sample name come from that small table.
@@ -83,12 +83,15 @@ def focus_service(services: DataFrame) -> DataFrame:
     return services.orderBy(F.col("error_count").desc(), F.col("log_count").desc(), "service_key").limit(1)
 
 
-def container_list(df: DataFrame, as_of: str | Column, hours: float = 24, limit: int = 100) -> DataFrame:
+def container_list(df: DataFrame, as_of: str | Column, hours: float = 24, limit: int | None = 100) -> DataFrame:
+    """Containers by project, the latest first: the list as displayed. Without a limit all, for further steps."""
     rows = time_bounded(not_gateway(df), before(as_of, hours, "HOUR"), open_start=True)
-    return (rows.groupBy("ContainerName", or_default("ComposeProject", "Other").alias("compose_project"))
-            .agg(F.max("Timestamp").alias("last_seen"), F.count(F.lit(1)).alias("log_count"),
-                 F.count_if(severity_is("error")).alias("error_count"))
-            .orderBy("compose_project", F.col("last_seen").desc(), "ContainerName").limit(limit))
+    found = (rows.groupBy("ContainerName", or_default("ComposeProject", "Other").alias("compose_project"))
+             .agg(F.max("Timestamp").alias("last_seen"), F.count(F.lit(1)).alias("log_count"),
+                  F.count_if(severity_is("error")).alias("error_count")))
+    if limit is None:
+        return found
+    return found.orderBy("compose_project", F.col("last_seen").desc(), "ContainerName").limit(limit)
 
 
 def activity(df: DataFrame, as_of: str | Column, green: float = 60, amber: float = 300,

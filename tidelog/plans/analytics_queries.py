@@ -30,12 +30,13 @@ SERVICES = given("logs", keyed=_KEYED, svc=_SVC)
 
 
 def summary(spark, sf):
-    return services.service_summary(views.logs(spark, sf), views.AS_OF, views.HOURS)
+    """All services: the displayed list alone is limited."""
+    return services.service_summary(views.logs(spark, sf), views.AS_OF, views.HOURS, limit=None)
 
 
 @register("service_summary", "AN-4", SERVICES + "SELECT * FROM svc ORDER BY last_seen DESC LIMIT 500")
 def service_summary(spark, sf):
-    return summary(spark, sf)
+    return services.service_summary(views.logs(spark, sf), views.AS_OF, views.HOURS)
 
 
 @register("headline", "AN-1", given("logs") + f"""
@@ -62,7 +63,7 @@ SELECT ContainerName, compose_project, (epoch_us({AS_OF}) - epoch_us(last_seen))
   CASE WHEN (epoch_us({AS_OF}) - epoch_us(last_seen)) < 6000000000 THEN 'green'
     WHEN (epoch_us({AS_OF}) - epoch_us(last_seen)) < 30000000000 THEN 'amber' ELSE 'red' END AS dot FROM l""")
 def activity(spark, sf):
-    rows = services.container_list(views.logs(spark, sf), views.AS_OF, views.HOURS)
+    rows = services.container_list(views.logs(spark, sf), views.AS_OF, views.HOURS, limit=None)
     return services.activity(rows, views.AS_OF, 6000, 30000).select(
         "ContainerName", "compose_project", "age_seconds", "dot")
 

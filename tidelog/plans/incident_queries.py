@@ -159,7 +159,7 @@ _MATCH = "((contains(lower(n), 'stack-1') AND contains(lower(n), 'app-1')) OR lo
 _MIN = incident.window_minutes(HOURS)
 _RECENT = f"""
 SELECT * FROM (SELECT *, coalesce(nullif(container_name, ''), container_id) AS n FROM notif
-  WHERE created_at >= {AS_OF} - INTERVAL {_MIN} MINUTE ORDER BY created_at DESC, id DESC LIMIT 100) WHERE {_MATCH}"""
+  WHERE created_at >= {AS_OF} - INTERVAL {_MIN} MINUTE) WHERE {_MATCH}"""
 _EVIDENCE = (given("logs", "acc", "snap", "notif").rstrip() + f""",
 rt AS ({_ROWS}), diag AS ({_DIAG}), bad AS (SELECT * FROM (SELECT *, name AS n FROM diag WHERE is_signal) WHERE {_MATCH}),
 recent AS ({_RECENT}), ev AS ({_incident_events(_MIN, 8)}), sm AS ({_incident_summary(_MIN)}),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +38,13 @@ def local_session(cpus: int | str = 8, app: str = "tidelog", **extra: str) -> Sp
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's `spark.checkpoint.dir`.
 
-    Only a session without that setting (tests, one machine) gets a temporary folder.
+    A session of one process (tests, one machine) may lack that setting and gets a temporary folder. On a cluster
+    that folder would be another one on each machine, so the setting is required there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         return tempfile.mkdtemp(prefix=f"tidelog-{purpose}-")
     token = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
     return f"{root.rstrip('/')}/tidelog-{purpose}-{token}"

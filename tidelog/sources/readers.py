@@ -11,14 +11,18 @@ from tidelog.functions.values import attr
 from tidelog.sources import schema
 
 
-def parse_container_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Container JSON log lines; a line that is no JSON stays as the body, without a time."""
+def parse_container_lines(lines: DataFrame, value: str = "value", received: str | None = None) -> DataFrame:
+    """Container JSON log lines; a line that is no JSON stays as the body.
+
+    A line without a time of its own takes the column `received`, so that searches and retention see it.
+    """
     parsed = lines.withColumn("_line", F.from_json(value, schema.CONTAINER_LINE))
     ok = F.col("_line.log").isNotNull()
     stamp = F.col("_line.time")
+    arrived = F.col(received).cast("timestamp") if received else F.lit(None).cast("timestamp")
     return (parsed
-            .withColumn("Timestamp", F.try_to_timestamp(stamp))
-            .withColumn("ts_nanos", _nanos_of_text(stamp))
+            .withColumn("Timestamp", F.coalesce(F.try_to_timestamp(stamp), arrived))
+            .withColumn("ts_nanos", F.coalesce(_nanos_of_text(stamp), F.unix_micros(arrived) * 1000))
             .withColumn("Body", F.when(ok, F.col("_line.log")).otherwise(F.col(value)))
             .withColumn("level", F.col("_line.level"))
             .withColumn("attrs", F.col("_line.attrs"))
@@ -37,12 +41,15 @@ def _nanos_of_text(stamp: Column) -> Column:
 
 
 def read_container_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of log files; one without a time has that of its file's last change."""
     lines = spark.read.text(path, recursiveFileLookup=True)
-    return parse_container_lines(lines.withColumn("log_file", F.col("_metadata.file_path")))
+    named = lines.withColumns({"log_file": F.col("_metadata.file_path"), "_file_time": F.col("_metadata.file_modification_time")})
+    return parse_container_lines(named, received="_file_time").drop("_file_time")
 
 
 def stream_container_logs(spark: SparkSession, path: str) -> DataFrame:
-    return parse_container_lines(spark.readStream.text(path))
+    lines = spark.readStream.text(path).withColumn("_file_time", F.col("_metadata.file_modification_time"))
+    return parse_container_lines(lines, received="_file_time").drop("_file_time")
 
 
 def read_container_events(spark: SparkSession, path: str, exclude: Sequence[str] = ()) -> DataFrame:
@@ -72,30 +79,44 @@ def stream_access_lines(spark: SparkSession, path: str, max_age: str = "24h") ->
 
 
 def _attribute_map(attributes: Column) -> Column:
-    pairs = F.transform(attributes, lambda a: F.struct(
-        a["key"].alias("key"),
-        F.coalesce(a["value"]["stringValue"], a["value"]["intValue"],
-                   a["value"]["doubleValue"], a["value"]["boolValue"], F.lit("")).alias("value")))
+    """Attributes as a map: of a repeated key the last value counts, one without a key is left out."""
+    named = F.filter(attributes, lambda a: a["key"].isNotNull())
+    keys = F.array_distinct(F.transform(named, lambda a: a["key"]))
+    last = lambda k: F.element_at(F.filter(named, lambda a: a["key"] == k), -1)["value"]
+    pairs = F.transform(keys, lambda k: F.struct(k.alias("key"), F.coalesce(_any_value(last(k), "bytesValue"), F.lit("")).alias("value")))
     return F.coalesce(F.map_from_entries(pairs), F.create_map().cast("map<string,string>"))
 
 
-def flatten_otlp(payloads: DataFrame, value: str = "value") -> DataFrame:
-    """Envelope resourceLogs -> scopeLogs -> logRecords, one row per log record."""
+def _any_value(value: Column, *more: str) -> Column:
+    """The text of a wire value of any kind; lists and nested ones keep their JSON."""
+    return F.coalesce(*(value[kind] for kind in ("stringValue", "intValue", "doubleValue", "boolValue", "arrayValue", "kvlistValue", *more)))
+
+
+def flatten_otlp(payloads: DataFrame, value: str = "value", received: str | None = None) -> DataFrame:
+    """Envelope resourceLogs -> scopeLogs -> logRecords, one row per log record.
+
+    A record whose time is missing, zero or no number takes its observed time, or else the column `received`; the
+    record is kept in any case.
+    """
     text = F.lit("")
+    nanos = lambda c: F.nullif(F.col(c).try_cast("bigint"), F.lit(0).cast("bigint"))
+    arrived = F.unix_micros(F.col("_received")) * 1000
     return (payloads
-            .select(F.from_json(value, schema.OTLP).alias("_otlp"))
-            .select(F.explode("_otlp.resourceLogs").alias("r"))
-            .select("r", F.explode("r.scopeLogs").alias("s"))
-            .select("r", "s", F.explode("s.logRecords").alias("l"))
+            .select(F.from_json(value, schema.OTLP).alias("_otlp"),
+                    (F.col(received).cast("timestamp") if received else F.lit(None).cast("timestamp")).alias("_received"))
+            .select("_received", F.explode("_otlp.resourceLogs").alias("r"))
+            .select("_received", "r", F.explode("r.scopeLogs").alias("s"))
+            .select("_received", "r", "s", F.explode("s.logRecords").alias("l"))
+            .withColumn("_nanos", F.coalesce(nanos("l.timeUnixNano"), nanos("l.observedTimeUnixNano"), arrived))
             .select(
-                F.timestamp_micros(F.floor(F.col("l.timeUnixNano").cast("bigint") / 1000).cast("bigint")).alias("Timestamp"),
-                F.col("l.timeUnixNano").cast("bigint").alias("ts_nanos"),
+                F.timestamp_micros(F.floor(F.col("_nanos") / 1000).cast("bigint")).alias("Timestamp"),
+                F.col("_nanos").alias("ts_nanos"),
                 F.coalesce("l.traceId", text).alias("TraceId"),
                 F.coalesce("l.spanId", text).alias("SpanId"),
                 F.coalesce("l.flags", F.lit(0).cast("bigint")).alias("TraceFlags"),
                 F.coalesce("l.severityText", text).alias("SeverityText"),
                 F.coalesce("l.severityNumber", F.lit(0)).alias("SeverityNumber"),
-                F.coalesce("l.body.stringValue", text).alias("Body"),
+                F.coalesce(_any_value(F.col("l.body")), text).alias("Body"),
                 F.coalesce("r.schemaUrl", text).alias("ResourceSchemaUrl"),
                 _attribute_map(F.col("r.resource.attributes")).alias("ResourceAttributes"),
                 F.coalesce("s.schemaUrl", text).alias("ScopeSchemaUrl"),

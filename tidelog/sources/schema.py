@@ -8,7 +8,8 @@ LOG_TABLE = """
     Environment STRING, ComposeProject STRING, log_date DATE
 """
 
-_ATTRIBUTES = "ARRAY<STRUCT<key: STRING, value: STRUCT<stringValue: STRING, intValue: STRING, doubleValue: STRING, boolValue: STRING>>>"
+_ATTRIBUTES = ("ARRAY<STRUCT<key: STRING, value: STRUCT<stringValue: STRING, intValue: STRING, doubleValue: STRING, boolValue: STRING,"
+               " arrayValue: STRING, kvlistValue: STRING, bytesValue: STRING>>>")
 
 OTLP = f"""
     resourceLogs ARRAY<STRUCT<
@@ -18,8 +19,8 @@ OTLP = f"""
             schemaUrl: STRING,
             scope: STRUCT<name: STRING, version: STRING, attributes: {_ATTRIBUTES}>,
             logRecords: ARRAY<STRUCT<
-                timeUnixNano: STRING, severityNumber: INT, severityText: STRING,
-                body: STRUCT<stringValue: STRING>, traceId: STRING, spanId: STRING, flags: BIGINT,
+                timeUnixNano: STRING, observedTimeUnixNano: STRING, severityNumber: INT, severityText: STRING,
+                body: STRUCT<stringValue: STRING, intValue: STRING, doubleValue: STRING, boolValue: STRING, arrayValue: STRING, kvlistValue: STRING>, traceId: STRING, spanId: STRING, flags: BIGINT,
                 attributes: {_ATTRIBUTES}>>>>>>
 """
 

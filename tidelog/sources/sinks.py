@@ -53,7 +53,7 @@ def notification_rows(events: DataFrame, created_at: str = "created_at") -> Data
     """Cleaned notification rows with an id that repeats on a retry."""
     identity = F.concat_ws("\u001f", F.col("type"), F.col("title"), F.col("message"),
                            F.coalesce("container_id", F.lit("")), F.coalesce("container_name", F.lit("")),
-                           F.col(created_at).cast("string"))
+                           F.coalesce(F.col(created_at).cast("string"), F.lit("")))
     return events.select(
         F.sha2(identity, 256).alias("id"), "type", "severity",
         clean_text("title").alias("title"), clean_text("message").alias("message"),
@@ -65,13 +65,17 @@ def notification_rows(events: DataFrame, created_at: str = "created_at") -> Data
 def write_notifications(events: DataFrame, path: str, created_at: str = "created_at") -> None:
     """Append one detector run; rows already written are not repeated."""
     rows = cut_lineage(notification_rows(events, created_at).dropDuplicates(["id"]))
-    oldest = rows.agg(F.min("created_at")).first()[0]
-    if oldest is None:
+    run = rows.agg(F.min("created_at").alias("oldest"), F.count(F.lit(1)).alias("rows"),
+                   F.count("created_at").alias("timed")).first()
+    if not run["rows"]:
         return
     spark = rows.sparkSession
     if _exists(spark, path):
-        # Only what is as new as this run can repeat it: older row groups are skipped.
-        written = spark.read.parquet(path).filter(F.col("created_at") >= F.lit(oldest)).select("id")
+        # Only what is as new as this run, or has no time either, can repeat it: older row groups are skipped.
+        new = F.lit(False) if run["oldest"] is None else F.col("created_at") >= F.lit(run["oldest"])
+        if run["timed"] < run["rows"]:
+            new |= F.col("created_at").isNull()
+        written = spark.read.parquet(path).filter(new).select("id")
         rows = rows.join(written, "id", "left_anti")
     rows.sortWithinPartitions("created_at").write.mode("append").parquet(path)
 
