@@ -1,4 +1,4 @@
-"""Line merging against plain loops, with chunks and parts far smaller than the groups."""
+"""Line merging against plain loops, with chunks far smaller than the groups."""
 
 import random
 import re
@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.operators.merge import group_multiline, merge_idle_gap
+from tidelog.operators.merge import group_multiline, idle_gap_lines, merge_idle_gap, multiline_lines
 
 
 def lines(seed, n=800):
@@ -28,11 +28,17 @@ def in_parts(groups, max_text=None):
     return sorted((key, "\n".join(texts)) for key, texts in groups)
 
 
-def whole(rows, start):
-    """Parts put together again."""
+def whole(rows):
+    return sorted((r["container_id"], r["message"]) for r in rows)
+
+
+def from_lines(rows, start):
+    """Events put together from numbered lines."""
     found = {}
-    for r in sorted(rows, key=lambda r: r["part"]):
-        found.setdefault((r["container_id"], *[r[c] for c in start]), []).append(r["message"])
+    for r in sorted(rows, key=lambda r: r["line_no"]):
+        texts = found.setdefault((r["container_id"], *[r[c] for c in start]), [])
+        texts.append(r["message"])
+        assert r["line_no"] == len(texts)
     return sorted((k[0], "\n".join(v)) for k, v in found.items())
 
 
@@ -55,17 +61,20 @@ def loop_runs(rows, start, condition, timeout):
     (5, r"^start", r"at|by", 1.0)])
 def test_multiline_equals_loop(spark, seed, start, condition, timeout):
     rows = lines(seed)
-    found = group_multiline(frame(spark, rows), ["container_id"], start=start, condition=condition, timeout_seconds=timeout,
-                            chunk_seconds=5, target_rows=3, max_lines=4).collect()
+    given = {"start": start, "condition": condition, "timeout_seconds": timeout, "chunk_seconds": 5, "target_rows": 3}
+    found = group_multiline(frame(spark, rows), ["container_id"], **given).collect()
     expected = loop_runs(rows, start, condition, None if timeout is None else timeout * 1_000_000)
-    assert whole(found, ["run_start", "run_id"]) == expected
+    assert whole(found) == expected
+    assert from_lines(multiline_lines(frame(spark, rows), ["container_id"], **given).collect(), ["run_start", "run_id"]) == expected
     assert sum(r["lines"] for r in found) == len(rows)
 
 
-def test_short_runs_are_one_row(spark):
-    rows = lines(6)
-    found = group_multiline(frame(spark, rows), ["container_id"], chunk_seconds=5).collect()
-    assert {r["part"] for r in found} == {0}
+def test_a_very_long_event_is_one_row(spark):
+    df = spark.range(25_000).selectExpr("'a' AS container_id", "timestamp_micros(id * 1000) AS timestamp", "id AS event_id",
+                                        "if(id = 0, 'start', concat('  at ', id)) AS message")
+    for found in (merge_idle_gap(df, ["container_id"], target_rows=1000), group_multiline(df, ["container_id"], target_rows=1000)):
+        row = found.collect()
+        assert [(r["lines"], r["message"].count("\n")) for r in row] == [(25_000, 24_999)]
 
 
 def loop_sessions(rows, gap):
@@ -81,13 +90,13 @@ def loop_sessions(rows, gap):
     return in_parts(groups)
 
 
-@pytest.mark.parametrize("gap, max_lines, target", [(2.0, 10_000, 100_000), (2.0, 5, 2), (0.5, 3, 1)])
-def test_idle_gap_equals_loop(spark, gap, max_lines, target):
+@pytest.mark.parametrize("gap, target", [(2.0, 100_000), (2.0, 2), (0.5, 1)])
+def test_idle_gap_equals_loop(spark, gap, target):
     rows = lines(7)
-    found = merge_idle_gap(frame(spark, rows), ["container_id"], gap_seconds=gap, max_lines=max_lines, target_rows=target).collect()
-    assert whole(found, ["session_start"]) == loop_sessions(rows, gap * 1_000_000)
-    if max_lines == 5:
-        assert max(r["part"] for r in found) > 0
+    expected = loop_sessions(rows, gap * 1_000_000)
+    assert whole(merge_idle_gap(frame(spark, rows), ["container_id"], gap_seconds=gap, target_rows=target).collect()) == expected
+    lines_found = idle_gap_lines(frame(spark, rows), ["container_id"], gap_seconds=gap, target_rows=target).collect()
+    assert from_lines(lines_found, ["session_start"]) == expected
 
 
 def test_missing_keys_and_times_are_kept(spark):

@@ -123,14 +123,15 @@ def test_ingest_stream_equals_batch(spark, tmp_path):
     assert both(spark.read.parquet(str(tmp_path / "t"))) == both(batch)
 
 
-def test_idle_merge_hands_out_parts(spark, feed):
+def test_idle_lines_are_numbered_as_they_arrive(spark, feed):
     times = [0, 1, 1.5, 3, 10, 11, 11.5, 12, 12.5, 13, 40]
     rows = [log(i, s, "a", f"m{i}") for i, s in enumerate(times)]
-    merged = lambda: stateful.stream_merge_idle(feed.stream(), "ContainerName", "Timestamp", "LogId", "Body", 2.0, 3, "1 second")
+    marked = lambda: stateful.stream_idle_lines(feed.stream(), "ContainerName", "Timestamp", "LogId", "Body", 2.0, "1 second")
     for part in (rows[:2], rows[2:6], rows[6:], [log(99, 100, "z")], [log(100, 200, "z")]):
         feed.add(part)
-        found = feed.run(merged())
-    got = sorted((r["session_start"].timestamp() - START.timestamp(), r["part"], r["message"].split("\n"))
+        found = feed.run(marked())
+    got = sorted((r["session_start"].timestamp() - START.timestamp(), r["line_no"], r["Body"])
                  for r in found.filter("ContainerName = 'a'").collect())
-    assert got == [(0, 0, ["m0", "m1", "m2"]), (0, 1, ["m3"]), (10, 0, ["m4", "m5", "m6"]), (10, 1, ["m7", "m8", "m9"]),
-                   (40, 0, ["m10"])]
+    starts = [0, 0, 0, 0, 10, 10, 10, 10, 10, 10, 40]
+    numbers = [1, 2, 3, 4, 1, 2, 3, 4, 5, 6, 1]
+    assert got == [(s, n, f"m{i}") for i, (s, n) in enumerate(zip(starts, numbers))]

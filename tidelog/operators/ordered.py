@@ -58,12 +58,11 @@ def piece_start(slot: Column, piece: Column, cuts: Column, width: int) -> Column
 
 
 def fold_lines(df: DataFrame, keys: Sequence[str], group: str, ts: str, order: str, line: str) -> DataFrame:
-    """Joins the lines of each (keys, group, part) by newline, in (ts, order).
+    """Joins the lines of each (keys, group) by newline, in (ts, order): an event whole, whatever its length.
 
-    `df` carries `chunk` and `part`. Lines are joined inside a chunk first, then the chunks'
-    texts are. Parts keep a row from growing with the data: see `part_of`.
+    `df` carries `chunk`. Lines are joined inside a chunk first, then the chunks' texts are.
     """
-    by = [*keys, group, "part"]
+    by = [*keys, group]
     row = F.struct(F.col(ts).alias("t"), F.col(order).alias("o"), F.col(line).alias("m"))
     return (df.groupBy(*by, "chunk")
             .agg(F.array_sort(F.collect_list(row)).alias("_rows"))
@@ -78,9 +77,17 @@ def fold_lines(df: DataFrame, keys: Sequence[str], group: str, ts: str, order: s
             .drop("_texts"))
 
 
-def part_of(lines_before: Column, max_lines: int) -> Column:
-    """Part of a group that a chunk belongs to: 0 up to `max_lines` lines, then 1, 2, ..."""
-    return F.floor(F.coalesce(lines_before, F.lit(0)) / max_lines).cast("int")
+def numbered(df: DataFrame, keys: Sequence[str], group: str, ts: str, order: str) -> DataFrame:
+    """Adds `line_no`, the place of a line in its (keys, group) from 1 on.
+
+    Lines are counted per chunk; only lines of one chunk are sorted together, so an event may have any number.
+    """
+    by = [*keys, group]
+    earlier = Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = (df.groupBy(*by, "chunk").agg(F.count(F.lit(1)).alias("_n"))
+              .select(*by, "chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+    inside = F.row_number().over(Window.partitionBy(*by, "chunk").orderBy(ts, order))
+    return df.join(before, [*by, "chunk"]).withColumn("line_no", F.col("_before") + inside).drop("_before")
 
 
 def idle_sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: float) -> DataFrame:
@@ -98,10 +105,5 @@ def idle_sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: floa
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     idle = F.col("first_us") - F.lag("last_us").over(w)
     opens = idle.isNull() | (idle >= gap)
-    counted = slots.withColumn("_upto", F.sum("rows").over(upto)).withColumn("_opens", opens)
-    session = F.last(F.when(F.col("_opens"), F.struct("first_us", (F.col("_upto") - F.col("rows")).alias("n"))),
-                     ignorenulls=True).over(upto)
-    return (counted.withColumn("_session", session)
-            .withColumn("session_us", F.col("_session.first_us"))
-            .withColumn("lines_before", F.col("_upto") - F.col("rows") - F.col("_session.n"))
-            .drop("_upto", "_opens", "_session"))
+    session = F.last(F.when(F.col("_opens"), F.col("first_us")), ignorenulls=True).over(upto)
+    return slots.withColumn("_opens", opens).withColumn("session_us", session).drop("_opens")

@@ -156,7 +156,7 @@ blocks AS (SELECT *, sum(brk) OVER (PARTITION BY container_id ORDER BY ts, event
 opened AS (SELECT *, min(CASE WHEN starts THEN struct_pack(t := ts, i := event_id) END)
   OVER (PARTITION BY container_id, block ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM blocks),
 runs AS (SELECT *, coalesce(run, struct_pack(t := ts, i := event_id)) AS r FROM opened)
-SELECT container_id, r.t AS run_start, r.i AS run_id, 0 AS part, count(*) AS lines, min(ts) AS first_ts, max(ts) AS last_ts,
+SELECT container_id, r.t AS run_start, r.i AS run_id, count(*) AS lines, min(ts) AS first_ts, max(ts) AS last_ts,
   string_agg(line, chr(10) ORDER BY ts, event_id) AS message
 FROM runs GROUP BY container_id, r.t, r.i""")
 def multiline_runs(spark, sf):
@@ -168,12 +168,11 @@ def multiline_runs(spark, sf):
 marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens
   FROM lines WINDOW w AS (PARTITION BY container_id ORDER BY ts, event_id)),
 numbered AS (SELECT *, sum(opens) OVER (PARTITION BY container_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM marked)
-SELECT container_id, min(ts) AS session_start, 0 AS part, count(*) AS lines, min(ts) AS first_ts, max(ts) AS last_ts,
+SELECT container_id, min(ts) AS session_start, count(*) AS lines, min(ts) AS first_ts, max(ts) AS last_ts,
   string_agg(line, chr(10) ORDER BY ts, event_id) AS message
 FROM numbered GROUP BY container_id, s""")
 def idle_gap_events(spark, sf):
-    return merge.merge_idle_gap(_lines(spark, sf), ["container_id"], "ts", "event_id", "line", gap_seconds=3600,
-                                max_lines=100_000)
+    return merge.merge_idle_gap(_lines(spark, sf), ["container_id"], "ts", "event_id", "line", gap_seconds=3600)
 
 
 _SERVICE = "CASE WHEN ComposeService = '' THEN ContainerName ELSE ComposeService END"

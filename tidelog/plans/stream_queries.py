@@ -118,17 +118,22 @@ def spam_stream(spark, sf):
 , marked AS (SELECT *, CASE WHEN Timestamp - lag(Timestamp) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens
   FROM logs WINDOW w AS (PARTITION BY ContainerName ORDER BY Timestamp, LogId)),
 numbered AS (SELECT *, sum(opens) OVER (PARTITION BY ContainerName ORDER BY Timestamp, LogId ROWS UNBOUNDED PRECEDING) AS s FROM marked)
-SELECT ContainerName, min(Timestamp) AS session_start, count(*) AS lines, min(Timestamp) AS first_ts, max(Timestamp) AS last_ts,
-  string_agg(Body, chr(10) ORDER BY Timestamp, LogId) AS message
+SELECT ContainerName, min(Timestamp) AS session_start, count(*) AS lines, min(Timestamp) AS first_ts, max(Timestamp) AS last_ts
 FROM numbered GROUP BY ContainerName, s HAVING max(Timestamp) + INTERVAL 1 HOUR <= {_CLOSED}""")
 def idle_gap_stream(spark, sf):
-    rows = merge.stream_idle_gap(log_stream(spark, sf), ["ContainerName"], "Timestamp", "LogId", "Body", "1 hour", "1 hour")
+    rows = merge.stream_idle_gap(log_stream(spark, sf), ["ContainerName"], "Timestamp", "1 hour", "1 hour")
     return _written(spark, rows, "sessions")
 
 
-@register("idle_merge_stateful", "ST-6", REGISTRY["idle_gap_stream"].oracle.replace("count(*) AS lines", "0 AS part, count(*) AS lines"))
+_NUMBERED = REGISTRY["idle_gap_stream"].oracle
+_NUMBERED = _NUMBERED[:_NUMBERED.index("SELECT ContainerName, min(Timestamp)")]
+
+
+@register("idle_merge_stateful", "ST-6", _NUMBERED + """
+SELECT ContainerName, min(Timestamp) OVER e AS session_start, row_number() OVER (e ORDER BY Timestamp, LogId) AS line_no, Timestamp, Body
+FROM numbered WINDOW e AS (PARTITION BY ContainerName, s)""")
 def idle_merge_stateful(spark, sf):
-    rows = stateful.stream_merge_idle(log_stream(spark, sf), "ContainerName", "Timestamp", "LogId", "Body", 3600,
+    rows = stateful.stream_idle_lines(log_stream(spark, sf), "ContainerName", "Timestamp", "LogId", "Body", 3600,
                                       watermark="1 hour")
     return _written(spark, rows, "merged")
 

@@ -155,75 +155,55 @@ def stream_down_up(df: DataFrame, key: str = "ContainerId", gap_seconds: float =
                           F.timestamp_micros("last_us").alias("last_log"))
 
 
-class IdleMerge(StatefulProcessor):
-    """Joins a key's lines until it is idle for the gap; a long event is handed out in parts."""
+class IdleLines(StatefulProcessor):
+    """Gives each line the event it belongs to, and its number there; keeps three numbers of the open event."""
 
-    def __init__(self, ts: str, order: str, line: str, gap_seconds: float, max_lines: int):
-        self.ts, self.order, self.line = ts, order, line
-        self.gap_us, self.max_lines = int(gap_seconds * 1_000_000), max_lines
+    def __init__(self, order: str, line: str, gap_seconds: float):
+        self.order, self.line, self.gap_us = order, line, int(gap_seconds * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "start bigint, part int, first_us bigint, last_us bigint")
-        self.lines = handle.getListState("lines", "m string")
+        self.open = handle.getValueState("open", "start bigint, last_us bigint, lines bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows), ignore_index=True).sort_values(["event_us", self.order], kind="stable")
         if not len(events):
             return
-        start, part, first, last = self.open.get() if self.open.exists() else (None, 0, None, None)
-        held = [row[0] for row in self.lines.get()] if start is not None else []
-        out = []
-        for us, text in zip(events["event_us"], events[self.line]):
-            us = int(us)
-            if start is not None and us - last >= self.gap_us:
-                if held:
-                    out.append((start, part, first, last, held))
-                start, part, held = None, 0, []
-            if start is None:
-                start, last = us, us
-            if len(held) >= self.max_lines:
-                out.append((start, part, first, last, held))
-                part, held = part + 1, []
-            first = us if not held else first
-            last = max(last, us)
-            held.append(text)
-        self.open.update((start, part, first, last))
-        self.lines.put([(text,) for text in held])
+        start, last, lines = self.open.get() if self.open.exists() else (None, 0, 0)
+        starts, numbers = [], []
+        for us in events["event_us"].astype("int64").tolist():
+            if start is None or us - last >= self.gap_us:
+                start, last, lines = us, us, 0
+            last, lines = max(last, us), lines + 1
+            starts.append(start)
+            numbers.append(lines)
+        self.open.update((start, last, lines))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer((last + self.gap_us) // 1000 + 1)
-        yield self._rows(key, out)
+        yield pd.DataFrame({"key": pd.Series([str(key[0])] * len(events), dtype=object), "start_us": pd.array(starts, dtype="int64"),
+                            "line_no": pd.array(numbers, dtype="int64"), "event_us": events["event_us"].astype("int64").to_numpy(),
+                            "message": events[self.line].astype(object).to_numpy()})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        start, part, first, last = self.open.get()
-        held = [row[0] for row in self.lines.get()]
         self.open.clear()
-        self.lines.clear()
-        yield self._rows(key, [(start, part, first, last, held)])
-
-    @staticmethod
-    def _rows(key, out) -> pd.DataFrame:
-        text = lambda values: pd.Series(values, dtype=object)
-        whole = lambda i, kind: pd.array([o[i] for o in out], dtype=kind)
-        return pd.DataFrame({
-            "key": text([str(key[0])] * len(out)), "start_us": whole(0, "int64"), "part": whole(1, "int32"),
-            "lines": pd.array([len(o[4]) for o in out], dtype="int64"), "first_us": whole(2, "int64"),
-            "last_us": whole(3, "int64"), "message": text(["\n".join(o[4]) for o in out])})
+        yield pd.DataFrame({"key": pd.Series([], dtype=object), "start_us": pd.array([], dtype="int64"), "line_no": pd.array([], dtype="int64"),
+                            "event_us": pd.array([], dtype="int64"), "message": pd.Series([], dtype=object)})
 
     def close(self) -> None:
         pass
 
 
-def stream_merge_idle(df: DataFrame, key: str, ts: str = "timestamp", order: str = "event_id", line: str = "message",
-                      gap_seconds: float = 2.0, max_lines: int = 10_000, watermark: str = "10 seconds") -> DataFrame:
-    """Idle-gap merging in order of arrival, with at most `max_lines` lines of a key in state."""
+def stream_idle_lines(df: DataFrame, key: str, ts: str = "timestamp", order: str = "event_id", line: str = "message",
+                      gap_seconds: float = 2.0, watermark: str = "10 seconds") -> DataFrame:
+    """Lines in order of arrival with `session_start` and `line_no`, as soon as they arrive; no line is held.
+
+    The state of a key is gone once the watermark has passed the end of its event.
+    """
     rows = (with_state_store(df).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
             .select(key, ts, order, line, F.unix_micros(ts).alias("event_us")))
-    merged = rows.groupBy(key).transformWithStateInPandas(
-        IdleMerge(ts, order, line, gap_seconds, max_lines),
-        "key string, start_us bigint, part int, lines bigint, first_us bigint, last_us bigint, message string",
+    marked = rows.groupBy(key).transformWithStateInPandas(
+        IdleLines(order, line, gap_seconds), "key string, start_us bigint, line_no bigint, event_us bigint, message string",
         outputMode="Append", timeMode="EventTime")
-    return merged.select(F.col("key").alias(key), F.timestamp_micros("start_us").alias("session_start"), "part", "lines",
-                         F.timestamp_micros("first_us").alias("first_ts"), F.timestamp_micros("last_us").alias("last_ts"),
-                         "message")
+    return marked.select(F.col("key").alias(key), F.timestamp_micros("start_us").alias("session_start"), "line_no",
+                         F.timestamp_micros("event_us").alias(ts), F.col("message").alias(line))
