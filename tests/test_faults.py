@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.operators import cooldown, detect, incident, lifecycle, search, services
+from tidelog.operators import cooldown, detect, incident, lifecycle, scope, search, services
 from tidelog.sources import readers, sinks
 from tidelog.plans import views
 
@@ -150,3 +150,14 @@ def test_flagged_group_without_a_container_has_a_sample(spark):
     groups = detect.spam_groups(df, rate=1.0)
     assert groups.count() == 1
     assert detect.spam_samples(df, groups).first().sample_msg == "flood of requests"
+
+
+def test_long_names_meet_services_quickly(spark):
+    import time
+
+    names = spark.range(2000).selectExpr("concat(repeat('x', 200), '-stack-1-', id, if(id = 7, '-app-1', '')) AS name")
+    wanted = spark.createDataFrame([("h/stack-1/app-1", "Stack-1", "App-1"), ("h//web", "", "web")], "service_key string, compose_project string, compose_service string")
+    started = time.time()
+    found = scope.match_containers(wanted, names.union(spark.createDataFrame([("WEB",), (None,), ("",)], "name string"))).collect()
+    assert sorted((r.service_key, r.container_name[-6:]) for r in found) == [("h//web", "WEB"), ("h/stack-1/app-1", "-app-1")]
+    assert time.time() - started < 30

@@ -100,16 +100,18 @@ def service_scope(df: DataFrame, key: str) -> DataFrame:
 def match_containers(services: DataFrame, containers: DataFrame, name: str = "name") -> DataFrame:
     """Pairs of service and container: project and service both occur in the name, or it is the service.
 
-    All substrings of a container name, bounded by its length, meet the project names in an
-    equi-join, so no service is compared with every container.
+    Substrings of a container name that are as long as some project name meet the project names in an equi-join, so no
+    service is compared with every container. The lengths that occur are a handful and are read first.
     """
     wanted = services.select("service_key", F.lower("compose_project").alias("_project"),
                              F.lower("compose_service").alias("_service")).distinct()
     named = (containers.select(F.coalesce(F.col(name), F.lit("")).alias("container_name")).distinct()
              .withColumn("_name", F.lower("container_name")).filter(F.col("_name") != ""))
     size = F.length("_name")
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda start: F.transform(
-        F.sequence(F.lit(1), size - start + 1), lambda n: F.substring(F.col("_name"), start, n))))
+    lengths = [r.n for r in wanted.filter(F.col("_project") != "").select(F.length("_project").alias("n")).distinct().collect()]
+    none = F.array().cast("array<string>")
+    pieces = F.concat(none, *(F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("_name"), i, F.lit(n)))
+                                     ).otherwise(none) for n in sorted(lengths)))
     by_project = (named.withColumn("_project", F.explode(F.array_distinct(pieces)))
                   .join(wanted, "_project")
                   .filter((F.col("_service") != "") & F.contains(F.col("_name"), F.col("_service"))))

@@ -114,6 +114,14 @@ def spam_stream(spark, sf):
     return _written(spark, rows, "spam")
 
 
+@register("flood_stream", "ST-5", given("acc", f=detect_queries._FLOOD) + """
+SELECT * FROM f WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(Timestamp) FROM acc) - INTERVAL 1 MINUTE""")
+def flood_stream(spark, sf):
+    rows = access_stream(spark, sf).select("Timestamp", F.col("LogAttributes")["remote_addr"].alias("remote_addr"),
+                                           F.col("LogAttributes")["path"].alias("path"))
+    return _written(spark, tails.flood_stream(rows, 2, "1 minute"), "floods")
+
+
 @register("idle_gap_stream", "ST-6", given("logs") + f"""
 , marked AS (SELECT *, CASE WHEN Timestamp - lag(Timestamp) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens
   FROM logs WINDOW w AS (PARTITION BY ContainerName ORDER BY Timestamp, LogId)),

@@ -98,3 +98,15 @@ def spam_stream(df: DataFrame, window: str = "1 minute", slide: str | None = "30
     return (groups.filter((F.col("req_per_sec") >= rate) | ((F.col("cnt") >= count) & (F.col("ddos_hits") >= hits)))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "ContainerId", "grp",
                     "container_name", "cnt", "req_per_sec", "ddos_hits"))
+
+
+def flood_stream(acc: DataFrame, per_minute: int = fixed.FLOOD_REQUESTS_PER_MINUTE, watermark: str = "1 minute") -> DataFrame:
+    """Clients with too many requests in a minute, emitted when the watermark closes it: `detect.request_floods` on arrival.
+
+    For one alert per pause, `stateful.stream_throttle` takes these rows, by client.
+    """
+    return (with_lateness(acc, "Timestamp", watermark)
+            .groupBy(F.window("Timestamp", "1 minute").alias("w"), "remote_addr")
+            .agg(F.count(F.lit(1)).alias("requests"), F.max_by("path", F.struct("Timestamp", "path")).alias("latest_path"))
+            .filter(F.col("requests") >= per_minute)
+            .select(F.col("w.start").alias("minute"), "remote_addr", "requests", "latest_path"))
