@@ -29,6 +29,7 @@ class Cooldown(StatefulProcessor):
         self.ts, self.pause_us = ts, int(seconds * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "us bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -40,16 +41,26 @@ class Cooldown(StatefulProcessor):
                 keep[i], last = True, int(us)
         if last is not None:
             self.last.update((last,))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((last + self.pause_us) // 1000 + 1)
         yield events[keep].drop(columns="event_us")
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The pause is over: whatever comes next passes, so nothing needs to be known."""
+        self.last.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def stream_throttle(df: DataFrame, key: str, ts: str, seconds: float) -> DataFrame:
-    rows = with_state_store(df).withColumn("event_us", F.unix_micros(F.col(ts).cast("timestamp")))
+def stream_throttle(df: DataFrame, key: str, ts: str, seconds: float, watermark: str = "10 minutes") -> DataFrame:
+    """The cooldown on arrival. A key's state is gone once the watermark has passed the end of its pause."""
+    rows = (with_state_store(df).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+            .withColumn("event_us", F.unix_micros(F.col(ts))))
     return rows.groupBy(key).transformWithStateInPandas(
-        Cooldown(ts, seconds), df.schema, outputMode="Append", timeMode="None")
+        Cooldown(ts, seconds), rows.drop("event_us").schema, outputMode="Append", timeMode="EventTime")
 
 
 class Episodes(StatefulProcessor):
