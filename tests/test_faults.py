@@ -161,3 +161,15 @@ def test_long_names_meet_services_quickly(spark):
     found = scope.match_containers(wanted, names.union(spark.createDataFrame([("WEB",), (None,), ("",)], "name string"))).collect()
     assert sorted((r.service_key, r.container_name[-6:]) for r in found) == [("h//web", "WEB"), ("h/stack-1/app-1", "-app-1")]
     assert time.time() - started < 30
+
+
+@pytest.mark.parametrize("cap", [1, 3, 7, 2000])
+def test_context_of_many_anchors_equals_one_by_one(spark, cap):
+    rows = spark.range(400).selectExpr("id AS LogId", "timestamp_micros(1704067200000000 + id * id * 700 + (id % 3)) AS Timestamp", "concat('c', id % 2) AS ContainerName", "'b' AS Body")
+    anchors = rows.where("LogId % 37 = 0").selectExpr("ContainerName", "Timestamp AS anchor_ts")
+    got = {(r.ContainerName, r.anchor_ts, r.LogId) for r in search.context_bulk(rows, anchors, 2, cap).collect()}
+    want = set()
+    for a in anchors.collect():
+        near = [r for r in rows.collect() if r.ContainerName == a.ContainerName and abs((r.Timestamp - a.anchor_ts).total_seconds()) <= 2]
+        want |= {(a.ContainerName, a.anchor_ts, r.LogId) for r in sorted(near, key=lambda r: (r.Timestamp, r.LogId))[:cap]}
+    assert got == want

@@ -86,9 +86,37 @@ def around(df: DataFrame, anchors: DataFrame, seconds: int = 30, keys: Sequence[
 
 
 def context_bulk(df: DataFrame, anchors: DataFrame, seconds: int = 30, cap: int = 2000) -> DataFrame:
-    """`context` for a table of (ContainerName, anchor_ts), up to `cap` rows per anchor."""
-    rows = around(df, anchors, seconds)
-    return first_rows(rows, ["ContainerName", "anchor_ts"], [F.col("Timestamp"), F.col("LogId")], cap)
+    """`context` for a table of (ContainerName, anchor_ts), up to `cap` rows per anchor.
+
+    Rows are numbered per container and time slot. An anchor knows how many rows of its first slot lie before its window, so
+    it meets only the next `cap` of them, and the first `cap` of the following slots: at most three times what is kept,
+    however dense the rows are.
+    """
+    key, reach = "ContainerName", seconds * 1_000_000
+    width = 2 * reach
+    by_time = Window.partitionBy(key, "_slot").orderBy("_us", "LogId")
+    rows = (df.withColumn("_us", micros("Timestamp")).withColumn("_slot", slot_of(F.col("_us"), width))
+            .withColumn("_rank", F.row_number().over(by_time) - 1).withColumn("_block", F.floor(F.col("_rank") / cap)))
+    starts = (anchors.select(key, "anchor_ts").distinct().withColumn("_anchor_us", micros("anchor_ts"))
+              .withColumn("_us", F.col("_anchor_us") - reach).withColumn("_slot", slot_of(F.col("_us"), width)))
+    # How many rows of the slot lie before the window: both are merged in time order, never paired.
+    merged = (df.select(key, micros("Timestamp").alias("_us"), F.lit(1).alias("_row"))
+              .withColumn("_slot", slot_of(F.col("_us"), width))
+              .join(starts.select(key, "_slot").distinct(), [key, "_slot"], "left_semi")
+              .unionByName(starts.withColumn("_row", F.lit(0)), allowMissingColumns=True))
+    passed = Window.partitionBy(key, "_slot").orderBy("_us", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    placed = (merged.withColumn("_skip", F.sum("_row").over(passed)).filter(F.col("_row") == 0)
+              .select(key, "anchor_ts", "_anchor_us", F.col("_slot").alias("_first"), "_skip"))
+    slots = F.sequence(F.col("_first"), slot_of(F.col("_anchor_us") + reach, width))
+    skipped = F.when(F.col("_slot") == F.col("_first"), F.col("_skip")).otherwise(0)
+    spread = (placed.withColumn("_slot", F.explode(slots)).withColumn("_from", skipped)
+              .withColumn("_block", F.explode(F.array_distinct(F.array(F.floor(F.col("_from") / cap), F.floor((F.col("_from") + cap - 1) / cap)))))
+              .drop("_first", "_skip"))
+    distance = F.col("_us") - F.col("_anchor_us")
+    met = (rows.join(spread, [key, "_slot", "_block"])
+           .filter((F.abs(distance) <= reach) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + cap))
+           .withColumn("delta_us", distance).drop("_slot", "_us", "_anchor_us", "_rank", "_block", "_from"))
+    return first_rows(met, [key, "anchor_ts"], [F.col("Timestamp"), F.col("LogId")], cap)
 
 
 def context_summary(rows: DataFrame, anchor: str | Column, keys: Sequence[str] = ()) -> DataFrame:
