@@ -8,7 +8,7 @@ from tidelog.operators import access, incident, runtime, scope
 from tidelog.plans import views
 from tidelog.plans.access_queries import _OVERVIEW, _PATHS
 from tidelog.plans.analytics_queries import SERVICES
-from tidelog.plans.registry import AS_OF, given, register
+from tidelog.plans.registry import AS_OF, REGISTRY, given, register
 
 KEY = "host-1/stack-1/app-1"
 HOURS = 24
@@ -201,6 +201,27 @@ def evidence_bundle(spark, sf):
                                     views.notifications(spark, sf), KEY, views.AS_OF, HOURS)
 
 
+_BUNDLE = """scope STRUCT<service_key: STRING, window_minutes: BIGINT>,
+summary STRUCT<total_logs: BIGINT, error_logs: BIGINT, warning_logs: BIGINT, runtime_signals: BIGINT, notifications: BIGINT, gateway_5xx: BIGINT, gateway_p95: DOUBLE>,
+timeline ARRAY<STRUCT<timestamp: TIMESTAMP_NTZ, source: STRING, severity: STRING, title: STRING, detail: STRING, action: STRING, level: STRING, badge: STRING>>"""
+
+
+# JSON has milliseconds.
+@register("evidence_bundle_events", "INC-7", _EVIDENCE + f"SELECT * REPLACE (date_trunc('millisecond', timestamp) AS timestamp) FROM ({_TIMELINE})")
+def evidence_bundle_events(spark, sf):
+    """The timeline in the bundle's JSON, as rows."""
+    found = evidence_bundle(spark, sf).select(F.from_json("bundle", _BUNDLE).alias("b"))
+    return found.select(F.inline("b.timeline"))
+
+
+@register("evidence_bundle_summary", "INC-7", REGISTRY["incident_status"].oracle.replace(
+    "SELECT * EXCLUDE (critical),", f"SELECT * EXCLUDE (critical), '{KEY}' AS service_key, {_MIN} AS window_minutes,"))
+def evidence_bundle_summary(spark, sf):
+    """Scope, summary and status in the bundle's JSON, as a row."""
+    found = evidence_bundle(spark, sf).select("status", F.from_json("bundle", _BUNDLE).alias("b"))
+    return found.select("b.summary.*", "b.scope.*", "status")
+
+
 @register("drill_windows", "INC-8", given("logs") + """
 , e AS (SELECT ContainerName, max(Timestamp) AS anchor_ts FROM logs WHERE SeverityText = 'WARN' GROUP BY ContainerName)
 SELECT l.ContainerName, anchor_ts, LogId, Timestamp, epoch_us(Timestamp) - epoch_us(anchor_ts) AS delta_us
