@@ -173,3 +173,25 @@ def test_context_of_many_anchors_equals_one_by_one(spark, cap):
         near = [r for r in rows.collect() if r.ContainerName == a.ContainerName and abs((r.Timestamp - a.anchor_ts).total_seconds()) <= 2]
         want |= {(a.ContainerName, a.anchor_ts, r.LogId) for r in sorted(near, key=lambda r: (r.Timestamp, r.LogId))[:cap]}
     assert got == want
+
+
+MINUTE = 60
+
+
+@pytest.mark.parametrize("logs, states, expected", [
+    ([0, 120], [(5, 1), (20, 0)], [("container_down", 20), ]),  # stops at minute 20; logs at 120 while not running: still down
+    ([0, 120], [(5, 1), (20, 0), (119, 1)], [("container_down", 20), ("container_recovered", 120)]),
+    ([0, 120], [(2, 0)], [("container_down", 5)]),  # logs resume, but it does not run
+    ([0, 120, 121, 122], [(2, 0), (121, 1)], [("container_down", 5), ("container_recovered", 121)]),
+    ([0, 120], [(2, 0), (8, 1)], [("container_down", 5), ("container_recovered", 10)]),  # second look
+    ([0, 120], [(2, 0), (8, 1), (30, 0), (34, 1)], [("container_down", 5), ("container_recovered", 10), ("container_down", 30), ("container_recovered", 35)]),
+    ([0, 120], [], []), ([0, 3], [(1, 0)], [("container_down", 8)]),
+    ([0], [(1, 0)], [("container_down", 5)])])
+def test_states_inside_a_silence(spark, logs, states, expected):
+    rows = spark.createDataFrame([("c", m * MINUTE) for m in logs], "ContainerId string, s long").selectExpr(
+        "ContainerId", "timestamp_seconds(1704067200 + s) AS Timestamp", "'s' AS ServiceName")
+    snaps = spark.createDataFrame([("c", m * MINUTE, "running" if up else "exited") for m, up in states], "ContainerId string, s long, state string").selectExpr(
+        "ContainerId", "timestamp_seconds(1704067200 + s) AS snapshot_ts", "state")
+    last = "2024-01-01 02:05:00" if len(logs) > 1 else "2024-01-01 00:30:00"
+    found = detect.state_transitions(rows, snaps, 300, last, second_look=300).collect()
+    assert [(r.type, r["at"].hour * 60 + r["at"].minute) for r in sorted(found, key=lambda r: r["at"])] == expected

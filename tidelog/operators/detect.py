@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidelog.functions import fixed
@@ -226,6 +227,81 @@ def down_up_transitions(df: DataFrame, gap: float = fixed.SILENCE_SECONDS, as_of
             .filter(F.col("at").isNotNull()))
 
 
+def _fold_states(batches: Iterator[pd.DataFrame], look_us: int, until_us: int | None) -> Iterator[pd.DataFrame]:
+    """Down and recovered changes from moments sorted by key, time and kind.
+
+    Kinds: 0 a snapshot (value 1: running), 1 logs resume, 2 a silence is noticed (value: the last log). Of a key
+    only a few numbers are kept, however many moments it has.
+    """
+    key = running = down = silent = look = last = None
+
+    def looked(upto, out):
+        """The second look, if it is due."""
+        nonlocal look, down
+        if look is not None and (upto is None or look <= upto):
+            if down and silent and running:
+                out.append((key, "container_recovered", look, last))
+                down = False
+            look = None
+
+    def ended(out):
+        if key is not None and until_us is not None:
+            looked(until_us, out)
+
+    for pdf in batches:
+        out = []
+        for k, at_us, kind, value in zip(pdf["_key"], pdf["_us"].tolist(), pdf["_kind"].tolist(), pdf["_value"].tolist()):
+            if k != key:
+                ended(out)
+                key, running, down, silent, look, last = k, True, False, False, None, None
+            looked(at_us - 1, out)
+            if kind == 0:
+                running = value == 1
+            elif kind == 1:
+                silent = False
+            else:
+                silent, last = True, int(value)
+            if down and not silent and running:
+                out.append((key, "container_recovered", at_us, last))
+                down, look = False, None
+            elif silent and not running and not down:
+                out.append((key, "container_down", at_us, last))
+                down, look = True, at_us + look_us
+        yield pd.DataFrame(out, columns=["_key", "type", "_us", "_last"]).astype({"_key": object, "type": object, "_us": "int64", "_last": "int64"})
+    out = []
+    ended(out)
+    yield pd.DataFrame(out, columns=["_key", "type", "_us", "_last"]).astype({"_key": object, "type": object, "_us": "int64", "_last": "int64"})
+
+
+def state_transitions(df: DataFrame, snapshots: DataFrame, gap: float = fixed.SILENCE_SECONDS, as_of: str | Column | None = None,
+                      keys: Sequence[str] = ("ContainerId",), second_look: float = fixed.SECOND_LOOK_SECONDS) -> DataFrame:
+    """Down and recovered changes, with the state followed through each silence.
+
+    A key is down once it has been silent for `gap` seconds and does not run: at that moment, or when a snapshot
+    (keys, snapshot_ts, state) says so later in the same silence. It recovers `second_look` seconds after that if it runs again by
+    then, or else when it logs and runs; logs alone are not enough. After a recovery within a silence it may go down again. A key
+    without snapshots counts as running. Each change is told once.
+    """
+    keys = list(keys)
+    packed = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key")
+    moment = lambda us, kind, value: [us.alias("_us"), F.lit(kind).alias("_kind"), value.cast("bigint").alias("_value")]
+    pauses = silences(df, keys, gap, as_of)
+    noticed = pauses.select(packed, *moment(micros("last_log") + int(gap * 1_000_000), 2, micros("last_log")))
+    resumed = pauses.filter(F.col("until").isNotNull()).select(packed, *moment(micros("until"), 1, F.lit(0)))
+    states = snapshots.select(packed, *moment(micros("snapshot_ts"), 0, (F.col("state") == "running").cast("int")))
+    end = None if as_of is None else df.sparkSession.range(1).select(micros(at(as_of))).first()[0]
+    if end is not None:
+        states = states.filter(F.col("_us") <= end)
+    moments = noticed.unionByName(resumed).unionByName(states)
+    look_us = int(second_look * 1_000_000)
+    changes = (moments.repartition("_key").sortWithinPartitions("_key", "_us", "_kind", "_value")
+               .mapInPandas(lambda batches: _fold_states(batches, look_us, end), "_key string, type string, _us bigint, _last bigint"))
+    names = F.from_json("_key", df.select(*keys).schema).alias("_k")
+    severity = F.when(F.col("type") == "container_down", "critical").otherwise("info")
+    return (changes.select(names, "type", severity.alias("severity"), from_micros(F.col("_us")).alias("at"), from_micros(F.col("_last")).alias("last_log"))
+            .select(*[F.col(f"_k.{c}").alias(c) for c in keys], "type", "severity", "at", "last_log"))
+
+
 def request_floods(acc: DataFrame, per_minute: int = fixed.FLOOD_REQUESTS_PER_MINUTE,
                    cooldown: float | None = fixed.FLOOD_COOLDOWN_SECONDS) -> DataFrame:
     """Clients with too many requests in a minute; with a cooldown, one alert per pause.

@@ -135,6 +135,15 @@ def confirmed_transitions(spark, sf):
     return detect.down_up_transitions(views.logs(spark, sf), 7200, views.AS_OF, ["ContainerName"], snaps, 3600)
 
 
+@register("state_transitions", "DET-5")
+def state_transitions(spark, sf):
+    """States followed through each silence: no SQL of reasonable size; tests compare with a plain loop."""
+    snaps = spark.sql(
+        _SNAPS.replace("TIMESTAMP '2024-01-01 00:00:00'", views.T0_SPARK).replace("FROM orders", "FROM {given}"),
+        given=views.table(spark, sf, "orders"))
+    return detect.state_transitions(views.logs(spark, sf), snaps, 7200, views.AS_OF, ["ContainerName"], 3600)
+
+
 @register("service_silences", "DET-6", given("logs", keyed=_KEYED, k="SELECT *, concat(host_id, '/', compose_project, '/', compose_service) AS service_key FROM keyed")
           + _gaps("service_key", "k", 18000))
 def service_silences(spark, sf):
