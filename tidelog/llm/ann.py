@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidelog.llm.common import slices, written
+from tidelog.llm.common import sampled, slices, written
 
 FOUND = "query_id long, vec_id long, score double"
 SLACK = 1e-9  # nearer than this, products of the matrix form are compared again in a fixed order
@@ -149,8 +149,8 @@ def _blocks(rows: DataFrame, by: list[str], block: int, names: tuple[str, str])
     return cut.select(*by, F.col("__rows.vec_id").alias(names[0]), F.flatten("__rows.v").alias(names[1]))
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, sample_rows: int = 20_000,
-           calibration_rows: int = 200, branches: int = 8, leaf_rows: int = 32, block: int = 2048,
+def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.95, sample_rows: int = 20_000,
+           calibration_rows: int = 200, branches: int = 8, leaf_rows: int = 512, block: int = 2048,
            id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row for which is_query(id column) holds.
 
@@ -159,13 +159,16 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, samp
     `usable`. Rows that repeat an id with the same vector count once; with different vectors, each is a candidate and a
     query's results are those of all its vectors. Other columns are ignored. Empty in, empty out.
 
+    Small leaves pay where vectors form many tight clusters; where they do not, most leaves must be opened anyway, and large
+    leaves (`leaf_rows` rows of the sample) make fewer and larger matrix products of the same comparisons.
+
     Bounds: the tree's sample (`sample_rows` rows, by hash) and the calibration queries (`calibration_rows`, by
     another hash) are on the driver; the tree has fewer nodes than the sample has rows. All rows are indexed.
     A leaf or its queries of more than `block` rows are several blocks, so a leaf may hold any share of the rows.
     """
     known = written(usable(vectors, id_col, vector_col).dropDuplicates(), "vectors")
     spark = known.sparkSession
-    sample = known.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(sample_rows).select("v").toArrow().column(0).combine_chunks()
+    sample = sampled(known, sample_rows, "vec_id", "v").select("v").toArrow().column(0).combine_chunks()
     tree = fit_tree(_matrix(sample) if len(sample) else np.zeros((0, 1)), branches, leaf_rows)
 
     def to_leaf(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +237,7 @@ def _probes(tree: Tree, indexed: DataFrame, rows: np.ndarray, k: int, recall: fl
 
     Opening is widened a leaf at a time; what counts is the place of each true neighbour's leaf in its query's order.
     """
-    asked = indexed.orderBy(F.xxhash64("vec_id", F.lit(2)), "vec_id").limit(calibration_rows).select("vec_id", "v").toArrow()
+    asked = sampled(indexed, calibration_rows, "vec_id").select("vec_id", "v").toArrow()
     if not len(asked):
         return 1
     ids, queries = np.asarray(asked.column(0)), _matrix(asked.column(1).combine_chunks())
