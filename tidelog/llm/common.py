@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidelog.session import shared_dir
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else. `lower` does just that for a text of ASCII alone, and is faster."""
     return (F.when(F.octet_length(text) == F.char_length(text), F.lower(text))
@@ -36,6 +39,9 @@ def drop_written(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus. Its rows are texts: where the session leaves that open, fewer of them go to Python at once."""
+    if spark.conf.get(BATCH) == "10000":  # the default
+        spark.conf.set(BATCH, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

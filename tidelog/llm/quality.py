@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidelog.llm.common import sampled, slices
-from tidelog.llm.tokens import utf8
+from tidelog.llm.tokens import let_go, utf8
 
 BUCKETS, DIMS, NONZERO = 8192, 16, 4
-_KEPT = 400_000
+_KEPT = 150_000
 
 
 def index_vectors(seed: int = 11) -> np.ndarray:
@@ -68,6 +68,7 @@ def _documents(texts: list[str], marks: Marks) -> tuple[np.ndarray, np.ndarray]:
 def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """The unit context vector of each mark, from all documents: BUCKETS x DIMS numbers reach the driver, no more."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         index, marks, sums = index_vectors(), Marks(), np.zeros((DIMS, BUCKETS))
         for batch in slices(batches, 128):
             found, starts = _documents(batch.column(0).to_pylist(), marks)
@@ -203,6 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, id_col:
     rows = given.join(F.broadcast(known), "__id").select("__id", "__y", "__text")  # at most train_rows labels
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         tables, marks = np.hstack([contexts, index_vectors()]), Marks()
         for batch in slices(batches, 128):
             found = features(batch.column(2).to_pylist(), tables, marks)
@@ -225,6 +227,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
     given = docs.select(F.col(id_col).alias("doc_id"), *kept, utf8(text_col).alias("__text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         tables, marks = np.hstack([model.contexts, index_vectors()]), Marks()
         for batch in slices(batches, 128):
             found = model.scores(features(batch.column(batch.num_columns - 1).to_pylist(), tables, marks))
@@ -240,6 +243,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: st
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         tables, marks = np.hstack([model.contexts, index_vectors()]), Marks()
         for batch in slices(batches, 128):
             texts = [text or "" for text in batch.column(at).to_pylist()]

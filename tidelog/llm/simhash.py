@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidelog.llm.common import slices, written
 from tidelog.llm.graph import components
+from tidelog.llm.tokens import let_go
 
 SEED = 42
 BUCKET_ROWS = 2048  # a bucket with more fingerprints is split into pairs of parts of about this size
@@ -220,14 +221,15 @@ def band_scheme(count: int, similarity: float, missed: float = 0.003) -> tuple[i
 
 def band_keys(f: Column, bits: int, bands: int, seed: int = 9) -> Column:
     """Array of a key for each band: its number and `bits` bits of the sketch, chosen at random once and for all."""
-    random, keys, width = np.random.default_rng(seed), [], SKETCH_WORDS - CHECK_WORDS
+    random, width = np.random.default_rng(seed), SKETCH_WORDS - CHECK_WORDS
+    rows = []
     for band in range(bands):
         masks = [0] * width
         for bit in random.choice(64 * width, bits, replace=False).tolist():
             masks[bit // 64] |= 1 << bit % 64
-        signed = [m - 2**64 if m >= 2**63 else m for m in masks]
-        keys.append(F.xxhash64(F.lit(band), *(F.get(f, F.lit(CHECK_WORDS + i)).bitwiseAND(F.lit(m).cast("long")) for i, m in enumerate(signed) if m)))
-    return F.array(*keys)
+        rows.append(F.array(*(F.lit(m - 2**64 if m >= 2**63 else m).cast("long") for m in [band, *masks])))
+    return F.transform(F.array(*rows), lambda m: F.xxhash64(
+        F.get(m, F.lit(0)), *(F.get(f, F.lit(CHECK_WORDS + i)).bitwiseAND(F.get(m, F.lit(1 + i))) for i in range(width))))
 
 
 def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -236,6 +238,7 @@ def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
     given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("raw"), F.col(text_col).cast("binary").alias("data"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in slices(batches, 256):
             keys, counts, found = [], [], []
             for data in batch.column(2).to_pylist():
