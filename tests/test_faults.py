@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.operators import cooldown, detect, incident, lifecycle, scope, search, services
 from tidelog.sources import readers, sinks
 from tidelog.plans import views
+from tidelog.streaming import tails
 
 
 def test_bad_wire_records_do_not_end_the_ingest(spark):
@@ -195,3 +196,13 @@ def test_states_inside_a_silence(spark, logs, states, expected):
     last = "2024-01-01 02:05:00" if len(logs) > 1 else "2024-01-01 00:30:00"
     found = detect.state_transitions(rows, snaps, 300, last, second_look=300).collect()
     assert [(r.type, r["at"].hour * 60 + r["at"].minute) for r in sorted(found, key=lambda r: r["at"])] == expected
+
+
+def test_a_repeated_batch_leaves_its_rows_once(spark, sf_dir, tmp_path):
+    rows = views.stored_logs(spark, sf_dir).limit(200)
+    path = str(tmp_path / "t")
+    tails.append_batch(rows, 0, path)
+    tails.append_batch(rows.limit(50), 1, path)
+    tails.append_batch(rows.limit(50), 1, path)
+    assert spark.read.parquet(path).count() == 250
+    assert all(f.name.startswith("batch-") for f in (tmp_path / "t").glob("log_date=*/*.parquet"))

@@ -13,6 +13,7 @@ from tidelog.operators.access import access_logs
 from tidelog.operators.ingest import ingest_logs
 from tidelog.operators.search import not_gateway
 from tidelog.sources import schema
+from tidelog.sources.sinks import write_logs
 
 TAIL_COLUMNS = ["Timestamp", "ContainerName", "SeverityText", "Body"]
 
@@ -77,11 +78,32 @@ def notification_stream(spark: SparkSession, path: str, containers: Sequence[str
 
 def ingest_stream(ingress: DataFrame, path: str, checkpoint: str, self_names: Sequence[str] = (),
                   dropped: Sequence[str] = (), every: str | None = None):
-    """The batch ingest on arrival, appended to the day-partitioned log table."""
+    """The batch ingest on arrival, appended to the day-partitioned log table in the layout of `sinks.write_logs`."""
     writer = (ingest_logs(ingress, self_names, dropped).writeStream.outputMode("append")
-              .option("checkpointLocation", checkpoint).option("compression", "zstd")
-              .partitionBy("log_date").format("parquet"))
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start(path)
+              .option("checkpointLocation", checkpoint)
+              .foreachBatch(lambda batch, number: append_batch(batch, number, path)))
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def append_batch(batch: DataFrame, number: int, path: str) -> None:
+    """Appends a micro-batch: gathered by day, sorted, in files named after the batch.
+
+    Files are written aside and then moved. A batch that is repeated replaces the files it has left before, so that no row
+    is there twice.
+    """
+    spark = batch.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    aside = f"{path}/_batches/{number}"
+    write_logs(batch, aside, mode="overwrite")
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for left in fs.globStatus(hadoop.Path(f"{path}/log_date=*/batch-{number}-*.parquet")) or []:
+        fs.delete(left.getPath(), False)
+    for i, file in enumerate(fs.globStatus(hadoop.Path(f"{aside}/log_date=*/*.parquet")) or []):
+        day = hadoop.Path(f"{path}/{file.getPath().getParent().getName()}")
+        fs.mkdirs(day)
+        if not fs.rename(file.getPath(), hadoop.Path(day, f"batch-{number}-{i:05d}.parquet")):
+            raise IOError(f"cannot move {file.getPath()}")
+    fs.delete(hadoop.Path(aside), True)
 
 
 def spam_stream(df: DataFrame, window: str = "1 minute", slide: str | None = "30 seconds",
