@@ -27,6 +27,27 @@ def byte_letters() -> dict[int, int]:
     return {**{b: b for b in printable}, **{b: 256 + i for i, b in enumerate(others)}}
 
 
+class Words(dict):
+    """Ids of a space and a word, made when first asked for. A full table is begun anew once as many words were missed as
+    it holds."""
+
+    def __init__(self, made):
+        super().__init__()
+        self.made, self.missed = made, 0
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.made(word)
+        if len(word) <= _LONGEST_KEPT:
+            if len(self) >= _WORDS_KEPT:
+                self.missed += 1
+                if self.missed <= _WORDS_KEPT:
+                    return ids
+                self.clear()
+                self.missed = 0
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids of a text as a numpy array, equal to the tokenizer's own encoding without added special tokens.
 
@@ -45,9 +66,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.by_word = _byte_level(path)
-        self.words: dict[str, bytes] = {}  # ids of a space and a word
+        self.words = Words(self._word)
         self.pieces: dict[str, bytes] = {}  # ids of what words with signs and breaks are made of
-        self.missed = 0
         self.cut, self.letters = regex.compile(PIECES).findall, byte_letters()
         self.bytes_of = [np.array(i, self.kind).tobytes() for i in range(self.tokenizer.get_vocab_size())]
 
@@ -57,31 +77,16 @@ class Encoder:
         if not self.by_word or _joined_spaces(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
         head, *words = text.split(" ")
-        found = list(map(self.words.get, words))
-        if None in found:
-            found = [self._word(word) if ids is None else ids for word, ids in zip(words, found)]
-        return np.frombuffer(b"".join(map(self._piece, self.cut(head))) + b"".join(found), self.kind)
+        return np.frombuffer(b"".join([*map(self._piece, self.cut(head)), *map(self.words.__getitem__, words)]), self.kind)
 
     def _word(self, word: str) -> bytes:
         """The ids of a space and a word. Signs of ASCII at the end of letters are one piece."""
-        ids = self.words.get(word)
-        if ids is not None:
-            return ids
         core = word.rstrip(_SIGNS)
-        if core.isalpha():
-            ids = self.words.get(core) or self._encode(" " + core)
-            if len(core) < len(word):
-                ids += self._piece(word[len(core):])
-        else:
-            ids = b"".join(map(self._piece, self.cut(" " + word)))
-        if len(word) <= _LONGEST_KEPT:
-            if len(self.words) < _WORDS_KEPT:
-                self.words[word] = ids
-            else:  # full: begun anew once as many words were missed as it holds
-                self.missed += 1
-                if self.missed > _WORDS_KEPT:
-                    self.words, self.missed = {}, 0
-        return ids
+        if not core.isalpha():
+            return b"".join(map(self._piece, self.cut(" " + word)))
+        if len(core) == len(word):
+            return self._encode(" " + core)
+        return self.words[core] + self._piece(word[len(core):])
 
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
@@ -122,6 +127,11 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
+def let_go() -> None:
+    """Frees the encoders of a worker, at the beginning of work that needs its memory for other tables."""
+    sys.modules.pop("_tidelog_kept", None)
+
+
 def utf8(text: str) -> Column:
     """The text column as a string; null counts as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
