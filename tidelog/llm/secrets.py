@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidelog.llm.common import written
 
+MAX_BROADCAST_ROWS = 1_000_000
 BREAKS = "[\\x20\\x09-\\x0D]+"
 RUN = "[A-Za-z0-9+/_\\-]{16,}={0,2}"
 # Words that announce a credential, and parts of paths where look-alikes are common.
@@ -58,11 +59,16 @@ def doc_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 def dictionary(docs: DataFrame, wanted: DataFrame, text_col: str = "text", least: int = 3) -> DataFrame:
     """(part): those of wanted(part) that the corpus has as whole words, lower-case, at least `least` times, over all documents.
 
-    Words are counted where they are read; only counts of wanted words are shuffled.
+    Words are counted where they are read, and only counts are shuffled. Up to MAX_BROADCAST_ROWS wanted ones (some 30
+    bytes each) go to where the words are read, so that counts of other words are not even made.
     """
     words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "[^a-z]+")).alias("part"))
-    return (words.where(F.length("part") >= 3).join(wanted.select("part").distinct(), "part").groupBy("part").count()
-            .where(F.col("count") >= least).select("part"))
+    words, wanted = words.where(F.length("part") >= 3), wanted.select("part").distinct()
+    if wanted.count() <= MAX_BROADCAST_ROWS:
+        counts = words.join(F.broadcast(wanted), "part").groupBy("part").count()
+    else:
+        counts = words.groupBy("part").count().join(wanted, "part")
+    return counts.where(F.col("count") >= least).select("part")
 
 
 def parts_of(candidate: Column) -> Column:
@@ -108,42 +114,56 @@ def featured(found: DataFrame) -> DataFrame:
 def generated_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     """Labelled findings made by rule from row numbers: half are keys of several kinds, half are look-alikes.
 
-    Columns as of `candidates`, and label (1: a secret). The same rows every time.
+    Columns as of `candidates`, and label (1: a secret). The same rows every time. Made in three small written steps, so
+    that no expression holds another one many times.
     """
-    part = lambda i: F.sha2(F.concat(F.lit(f"{i}/"), F.col("id").cast("string")), 256)
-    base64 = F.translate(F.base64(F.unhex(part(1))), "=", "")
-    pick = lambda i, some: F.get(F.array(*(F.lit(x) if isinstance(x, str) else x for x in some)), F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(len(some))).cast("int"))
-    word = lambda i: pick(i, ["the", "value", "of", "and", "is", "service", "for", "config", "with", "le", "der", "que", "thanea", "ertion"])
-    joined = lambda first, n: F.concat(*(pick(first + i, ["tion", "er", "the", "an", "ing", "sch", "ment", "que", "lich", "ado", "ble", "wh", "eau"]) for i in range(n)))
-    is_key = F.col("id") % 2 == 0
-    key = pick(2, [F.substring(part(2), 1, 40), F.substring(part(3), 1, 32), part(4), F.substring(base64, 1, 40), F.substring(base64, 1, 24),
-                   F.concat(F.lit("AKIA"), F.upper(F.substring(part(5), 1, 16))), F.concat(F.lit("ghp_"), F.substring(base64, 3, 36)),
-                   F.concat(F.lit("sk-"), F.substring(base64, 2, 32))])
-    uuid = F.concat_ws("-", *(F.substring(part(6), a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
-    other = pick(3, [F.substring(part(7), 1, 40), part(8), uuid, F.concat(joined(20, 3), F.lit("/"), joined(30, 3), F.lit("/"), joined(40, 2)),
-                     joined(50, 6), joined(60, 5), F.lit("xxxxxxxxxxxxxxxxxxxxxxxx"), F.concat_ws("_", joined(70, 2), joined(80, 2), joined(90, 2)),
-                     F.concat(F.lit("YOUR_API_KEY_"), F.upper(joined(95, 1))), F.repeat(pick(4, ["-", "=", "_", "a", "0"]), 20), joined(100, 8)])
-    # Signs of a digest count as a look-alike only next to a word that says so; keys mostly come with a keyword.
-    digest = ~is_key & other.rlike("^[0-9a-f]{40,}$")
-    name = pick(5, ["token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "private_key", "signature"])
-    dull = pick(6, ["sha1", "sha256:", "md5", "checksum", "commit", "integrity", "digest:", "revision"])
-    before = F.when(is_key, pick(7, ["=", ":", "=", F.concat(name, F.lit(":")), F.concat(name, F.lit("=")), name])).when(digest, dull).otherwise(word(8))
-    before2 = F.when(is_key, F.when(F.length(before) <= 1, name).otherwise(word(9))).otherwise(word(10))
-    word_of = F.when(is_key, pick(11, [F.concat(F.lit('"'), key, F.lit('"')), key, F.concat(F.lit("'"), key, F.lit("',"))])).otherwise(
-        pick(12, [other, F.concat(other, F.lit(".")), F.concat(other, F.lit(",")), F.concat(F.lit("("), other, F.lit(")"))]))
-    path = pick(13, ["", "", "", "src/app.py", "config/settings.yml", "package-lock.json", "tests/fixtures/a.json", "README"])
-    made = spark.range(rows).select(
-        F.lit(None).cast("long").alias("doc_id"), F.col("id").alias("doc_key"), path.alias("path"), F.col("id").alias("pos"),
-        F.regexp_extract(word_of, RUN, 0).alias("candidate"), word_of.alias("word"), before2.alias("before2"), before.alias("before"),
-        word(14).alias("after"), is_key.cast("double").alias("label"))
-    return made.where(F.length("candidate") >= 16)
-
-
-def train(findings: DataFrame, trees: int = 30, depth: int = 8, seed: int = 3) -> RandomForestClassificationModel:
+    syllables = ["tion", "er", "the", "an", "ing", "sch", "ment", "que", "lich", "ado", "ble", "wh", "eau"]
+    words = ["the", "value", "of", "and", "is", "service", "for", "config", "with", "le", "der", "que", "thanea", "ertion"]
+    numbers = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    drawn = lambda i: F.pmod(F.xxhash64(i, "id"), F.lit(27720)).cast("int")
+    some_of = lambda texts, first, n: F.transform(numbers(n), lambda i: F.get(
+        F.array(*map(F.lit, texts)), drawn(i + first) % len(texts)))
+    raw = written(spark.range(rows).select(
+        "id", F.transform(numbers(20), drawn).alias("r"), some_of(syllables, 100, 60).alias("s"), some_of(words, 300, 4).alias("w"),
+        F.transform(numbers(8), lambda i: F.sha2(F.concat_ws("/", i.cast("string"), F.col("id").cast("string")), 256)).alias("h"),
+        F.translate(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), "=", "").alias("b")), "findings")
+
+    h = lambda i, n=64: F.substring(F.get("h", F.lit(i)), 1, n)
+    text = lambda first, n: F.array_join(F.slice("s", first + 1, n), "")
+    pick = lambda i, some: F.get(F.array(*(F.lit(x) if isinstance(x, str) else x for x in some)), F.get("r", F.lit(i)) % len(some))
+    uuid = F.concat_ws("-", *(F.substring(h(5), a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    made = written(raw.select(
+        "id", "r", "w", (F.col("id") % 2 == 0).alias("is_key"),
+        pick(0, [h(0, 40), h(1, 32), h(2), F.substring("b", 1, 40), F.substring("b", 1, 24), F.concat(F.lit("AKIA"), F.upper(h(3, 16))),
+                 F.concat(F.lit("ghp_"), F.substring("b", 3, 36)), F.concat(F.lit("sk-"), F.substring("b", 2, 32))]).alias("key"),
+        pick(1, [h(6, 40), h(7), uuid, F.concat_ws("/", text(0, 3), text(3, 3), text(6, 2)), text(8, 6), text(14, 5), F.lit("x" * 24),
+                 F.concat_ws("_", text(19, 2), text(21, 2), text(23, 2)), F.concat(F.lit("YOUR_API_KEY_"), F.upper(text(25, 1))),
+                 F.repeat(pick(2, ["-", "=", "_", "a", "0"]), F.lit(20)), text(26, 8)]).alias("other"),
+        pick(3, ["token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "private_key", "signature"]).alias("name"),
+        pick(4, ["sha1", "sha256:", "md5", "checksum", "commit", "integrity", "digest:", "revision"]).alias("dull"),
+        pick(5, ["", "", "", "src/app.py", "config/settings.yml", "package-lock.json", "tests/fixtures/a.json", "README"]).alias("path")), "findings")
+
+    # Signs of a digest are a look-alike only next to a word that says so; keys mostly come with a keyword.
+    digest = ~F.col("is_key") & F.col("other").rlike("^[0-9a-f]{40,}$")
+    word = lambda i: F.get("w", F.lit(i))
+    before = F.when(F.col("is_key"), pick(6, ["=", ":", "=", F.concat("name", F.lit(":")), F.concat("name", F.lit("=")), F.col("name")])
+                    ).when(digest, F.col("dull")).otherwise(word(0))
+    written_as = F.when(F.col("is_key"), pick(7, [F.concat(F.lit('"'), "key", F.lit('"')), F.col("key"), F.concat(F.lit("'"), "key", F.lit("',"))])
+                        ).otherwise(pick(8, [F.col("other"), F.concat("other", F.lit(".")), F.concat("other", F.lit(",")), F.concat(F.lit("("), "other", F.lit(")"))]))
+    shown = written(made.select("id", "path", "is_key", "name", "w", before.alias("before"), written_as.alias("word")), "findings")
+    before2 = F.when(F.col("is_key") & (F.length("before") <= 1), F.col("name")).otherwise(word(1))
+    found = shown.select(F.lit(None).cast("long").alias("doc_id"), F.col("id").alias("doc_key"), "path", F.col("id").alias("pos"),
+                         F.regexp_extract("word", RUN, 0).alias("candidate"), "word", before2.alias("before2"), "before",
+                         word(2).alias("after"), F.col("is_key").cast("double").alias("label"))
+    return found.where(F.length("candidate") >= 16)
+
+
+def train(findings: DataFrame, trees: int = 20, depth: int = 7, seed: int = 3) -> RandomForestClassificationModel:
     """A forest from labelled findings with coverage: as many rows as were reviewed or generated, in one partition so that
     the forest is the same each time."""
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(featured(findings)).select("doc_key", "pos", "features", "label")
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label", subsamplingRate=0.8)
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label", subsamplingRate=0.8,
+                                    maxBins=16, maxMemoryInMB=32)
     return forest.fit(rows.repartition(1).sortWithinPartitions("doc_key", "pos"))
 
 
