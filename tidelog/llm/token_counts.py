@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidelog.llm.common import slices
+from tidelog.llm.common import slices, written
 from tidelog.llm.tokens import encoder, utf8
 
 BLOCK = 1024  # lengths of one block are summed by one window
@@ -28,8 +28,11 @@ def token_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text", keep:
 
 
 def length_histogram(lengths: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by.., n_tokens, documents): rows are counted before they are shuffled, so no length or group is hot."""
-    return lengths.groupBy(*by, "n_tokens").agg(F.count("*").alias("documents"))
+    """(by.., n_tokens, documents), written once: what follows reads it several times, and texts are encoded once.
+
+    Rows are counted before they are shuffled, so no length or group is hot.
+    """
+    return written(lengths.groupBy(*by, "n_tokens").agg(F.count("*").alias("documents")), "histogram")
 
 
 def suffix_sums(histogram: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidelog.llm.common import slices, written
+from tidelog.llm.common import sampled, slices, written
 from tidelog.llm.tokens import encoder, utf8
 from tidelog.session import shared_dir
 
@@ -44,8 +44,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, rows: int, max_bytes: int,
     At most rows * max_bytes bytes reach the driver. Without such texts there is none.
     """
     length = F.octet_length("text")
-    sample = (docs.where(length.between(64, max_bytes)).select("text")
-              .orderBy(F.xxhash64("text"), "text").limit(rows).collect())
+    sample = sampled(docs.where(length.between(64, max_bytes)).select("doc_id", "text"), rows, "doc_id", "text").collect()
     arrays = [encoder(tokenizer).encode(row.text).tobytes() for row in sample]
     if not arrays:
         return b""
