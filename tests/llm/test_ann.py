@@ -63,3 +63,15 @@ def test_rows_that_take_no_part(spark):
 
 def test_empty_table(spark):
     assert found(spark.createDataFrame([], SCHEMA)) == {}
+
+
+def test_the_share_found_without_being_asked_for_another(spark):
+    """All rows are calibration queries, so the share that the search aims at is what it finds."""
+    random = np.random.default_rng(8)
+    rows = [(i, random.normal(size=12).tolist()) for i in range(500)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    got = {}
+    for r in ann.search(df, lambda c: c >= 0, k=10, leaf_rows=4, calibration_rows=500).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    share = recall(got, brute(rows, range(500), 10))
+    assert 0.97 <= share < 1
