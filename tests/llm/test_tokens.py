@@ -1,6 +1,7 @@
 """Token ids against the tokenizers library itself; token files by an exact round trip; histogram by brute force."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -10,6 +11,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from tidelog.llm import token_counts, token_store
+from tidelog.llm.queries import QUERIES
 from tidelog.llm.tokens import Encoder
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -93,3 +95,23 @@ def test_histogram_by_groups_and_empty(spark):
     none = token_counts.suffix_sums(token_counts.length_histogram(token_counts.token_lengths(docs.limit(0), FILE)))
     assert none.count() == 0
     assert [tuple(r) for r in token_counts.at_limits(none, [5]).collect()] == [(5, 0, 0)]
+
+
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a  b <|endoftext|><|endoftext|>\n c", "<|endoftext| > no token"]
+
+
+@pytest.mark.parametrize("text", [*ADDED, *ODD])
+def test_added_tokens_as_the_library_has_them(text):
+    want = Tokenizer.from_file(FILE).encode(text or "", add_special_tokens=False).ids
+    assert Encoder(FILE, added=True).encode(text).tolist() == want
+    assert (50256 in want) == ("<|endoftext|>" in (text or ""))
+
+
+def test_queries_take_added_tokens(spark, tmp_path):
+    plain = Tokenizer.from_file(FILE)
+    spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = [plain.encode(text, add_special_tokens=False).ids for text in ADDED]
+    crc = lambda end: {i: zlib.crc32(np.array([*x, end], "<u4").tobytes()) for i, x in enumerate(ids)}
+    assert {r.doc_id: r.ids_crc32 for r in QUERIES["op2_token_store"](spark, str(tmp_path)).collect()} == crc(2)
+    assert {r.doc_id: r.doc_tokens for r in QUERIES["op9_packing"](spark, str(tmp_path)).collect()} == {i: len(x) + 1 for i, x in enumerate(ids)}
+    assert {r.n_tokens: r.documents for r in QUERIES["op5_token_counts"](spark, str(tmp_path)).collect()} == Counter(map(len, ids))

@@ -149,19 +149,19 @@ def _before(amount: str, order: WindowSpec) -> Column:
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, steps: int = 4000,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """(doc_id, start, ids, length, doc_tokens, sequence_id, offset): every id of every document in exactly one piece.
 
     ids are unsigned 32-bit little-endian. Sequences are full, but for the last ids of all rests: those lie in
     sequences whose lengths are powers of two, which need no padding. Null text is empty (the end id alone);
-    repeated rows are packed each; a null doc_id stays null. Other columns are ignored. An empty table gives no
+    repeated rows are packed each; a null doc_id stays null. Other columns are ignored. `added`: see `Encoder`. An empty table gives no
     rows. Ids are written once, with each row's number among its part and length; ranks over all parts follow
     from counts per part and length.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded, part = encoder(tokenizer), TaskContext.get().partitionId()
+        encoded, part = encoder(tokenizer, added), TaskContext.get().partitionId()
         end, counts, windows = np.array([end_id], encoded.kind), np.zeros(window, np.int64), 0
         for batch in slices(batches, 256):
             ids, rows = [], []

@@ -26,7 +26,7 @@ def tokenizer_file() -> str:
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_store.write_store(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
+    manifest = token_store.write_store(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2, added=True)
     return token_store.read_digests(manifest)
 
 
@@ -40,7 +40,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lengths = token_counts.token_lengths(table(spark, sf_dir, "documents"), tokenizer_file())
+    lengths = token_counts.token_lengths(table(spark, sf_dir, "documents"), tokenizer_file(), added=True)
     return token_counts.suffix_sums(token_counts.length_histogram(lengths))
 
 
@@ -60,7 +60,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), window=1024, end_id=0)
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), window=1024, end_id=0, added=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -13,12 +13,13 @@ from tidelog.llm.tokens import encoder, utf8
 BLOCK = 1024  # lengths of one block are summed by one window
 
 
-def token_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep.., n_tokens) of every row: the ids of its whole text, no special tokens. Null text has none."""
+def token_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text", keep: tuple[str, ...] = (),
+                  added: bool = False) -> DataFrame:
+    """(keep.., n_tokens) of every row: the ids of its whole text, none put around it. `added`: see `Encoder`. Null text has none."""
     given = docs.select(utf8(text_col).alias("__text"), *keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, added).encode
         for batch in slices(batches, 512):
             lengths = pa.array([len(encode(text)) for text in batch.column(0).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], lengths], [*keep, "n_tokens"])

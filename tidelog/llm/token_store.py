@@ -38,14 +38,14 @@ HEAD_SIZE, FOOT_SIZE = struct.calcsize(HEAD), struct.calcsize(FOOT)
 MANIFEST = "folder string, file string, number int, documents long, tokens long"
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, rows: int, max_bytes: int, size: int) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, rows: int, max_bytes: int, size: int, added: bool = False) -> bytes:
     """A dictionary from the id arrays of at most `rows` short texts (64 to `max_bytes` bytes), taken by hash.
 
     At most rows * max_bytes bytes reach the driver. Without such texts there is none.
     """
     length = F.octet_length("text")
     sample = sampled(docs.where(length.between(64, max_bytes)).select("doc_id", "text"), rows, "doc_id", "text").collect()
-    arrays = [encoder(tokenizer).encode(row.text).tobytes() for row in sample]
+    arrays = [encoder(tokenizer, added).encode(row.text).tobytes() for row in sample]
     if not arrays:
         return b""
     try:
@@ -56,16 +56,16 @@ def train_dictionary(docs: DataFrame, tokenizer: str, rows: int, max_bytes: int,
 
 def write_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, level: int = 3,
                 sample_rows: int = 1000, sample_bytes: int = 8192, dictionary_bytes: int = 65536,
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """Writes every document's ids and `end_id`, in ascending doc_id order. Returns the manifest, a row per file.
 
     Null text is empty (the end id alone). Null doc_ids come first; ties stand together, in the order of the
-    hash of their texts. Other columns are ignored. An empty table gives no files, or one without documents.
+    hash of their texts. Other columns are ignored. `added`: see `Encoder`. An empty table gives no files, or one without documents.
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "tokens")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    dictionary = train_dictionary(given, tokenizer, sample_rows, sample_bytes, dictionary_bytes)
+    dictionary = train_dictionary(given, tokenizer, sample_rows, sample_bytes, dictionary_bytes, added)
     mark = hashlib.sha256(dictionary).digest()
     files, at = pafs.FileSystem.from_uri(folder)
     files.create_dir(at, recursive=True)
@@ -76,7 +76,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
         name = f"part-{number:06d}-{uuid.uuid4().hex}.tok"
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, added)
         frame = zstandard.ZstdCompressor(level=level, dict_data=_known(folder, mark.hex())).compress
         files, at = pafs.FileSystem.from_uri(folder)
         end = np.array([end_id], encode.kind)

@@ -49,21 +49,23 @@ class Words(dict):
 
 
 class Encoder:
-    """Ids of a text as a numpy array, equal to the tokenizer's own encoding without added special tokens.
+    """Ids of a text as a numpy array, equal to the tokenizer's own encoding with add_special_tokens=False.
 
-    Strings of special tokens in a text are ordinary text. With a byte-level BPE file, a text is split at its
+    With `added`, strings of added tokens in a text are those tokens, as the library has it when nothing is set; a text that
+    holds one goes through the tokenizer whole. Without, strings of special tokens are ordinary text. With a byte-level BPE file, a text is split at its
     spaces and the ids of each word are remembered: a space before a word always begins a piece there, so the ids
     of the words are those of the text. Texts with runs of white space go through the tokenizer as they are. Memory is
     bounded.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.by_word = _byte_level(path)
         self.words = Words(self._word)
@@ -74,7 +76,7 @@ class Encoder:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, self.kind)
-        if not self.by_word or _joined_spaces(text):
+        if not self.by_word or _joined_spaces(text) or any(content in text for content in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
         head, *words = text.split(" ")
         return np.frombuffer(b"".join([*map(self._piece, self.cut(head)), *map(self.words.__getitem__, words)]), self.kind)
@@ -115,16 +117,16 @@ def _byte_level(path: str) -> bool:
             and not said["model"].get("dropout") and all(x.get("special") for x in said.get("added_tokens") or []))
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each file and process: its table of words serves all tasks of a worker.
+def encoder(path: str, added: bool = False) -> Encoder:
+    """One encoder for each file, choice of `added` and process: its table of words serves all tasks of a worker.
 
     Functions travel to the workers by value, and their globals with them, for one task only. So what outlives a
     task hangs on a module of the process.
     """
     kept = sys.modules.setdefault("_tidelog_kept", types.ModuleType("_tidelog_kept")).__dict__.setdefault("encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    if (path, added) not in kept:
+        kept[path, added] = Encoder(path, added)
+    return kept[path, added]
 
 
 def let_go() -> None:
