@@ -51,3 +51,9 @@ def test_odd_rows_and_no_labels(spark):
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.quality == "q" for r in got)
     assert quality.score(docs.limit(0), model).count() == 0
     assert quality.score(docs.limit(0), quality.train(docs.limit(0), none)).count() == 0
+
+
+def test_size_of_the_vectors_and_of_what_the_network_sees():
+    index = quality.index_vectors()
+    assert index.shape[1] == 32 and ((index != 0).sum(axis=1) == 6).all()
+    assert quality.features(["a b"], np.hstack([index, index]), quality.Marks()).shape == (1, 130)
