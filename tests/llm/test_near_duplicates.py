@@ -85,3 +85,29 @@ def test_similar_within_is_a_forest_of_the_pairs(similarity):
             if union and len(sets[i]) and len(sets[j]) and len(np.intersect1d(sets[i], sets[j])) >= similarity * union - 1e-9:
                 want = [want[j] if g == want[i] else g for g in want]
     assert len(set(zip(group, want))) == len(set(group)) == len(set(want))
+
+
+@pytest.mark.parametrize("words, more", [(8, 1), (16, 3), (28, 6)])
+def test_pairs_at_the_limit_are_all_found(spark, words, more):
+    """Two texts each, one goes on a little longer: 4 of 5, 12 of 15 and 24 of 30 shingles are shared."""
+    pairs = []
+    for i in range(600):
+        text = [f"w{i}x{j}" for j in range(words + more)]
+        pairs += [(2 * i, " ".join(text[:words])), (2 * i + 1, " ".join(text))]
+    found = simhash.without_near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in found.collect()) == list(range(0, 1200, 2))
+
+
+def test_the_prefix_of_similar_sets_has_a_common_member_in_any_order():
+    numbers = np.random.default_rng(4)
+    common = np.sort(numbers.choice(2**40, 60, replace=False).astype(np.uint64))
+    often = numbers.integers(3, 9, 60)
+    for _ in range(500):
+        both = numbers.integers(4, 60)
+        base = np.unique(np.concatenate([numbers.choice(common, both // 2, replace=False) if both < 60 else common,
+                                         numbers.integers(0, 2**40, both).astype(np.uint64)]))
+        own = [np.union1d(base, numbers.integers(2**41, 2**42, n).astype(np.uint64)) for n in numbers.multinomial(len(base) // 4, [0.5, 0.5])]
+        a, b = (simhash.prefix(x, 0.8, common, often) for x in own)
+        assert len(np.intersect1d(a, b))
+        rows = [np.concatenate([[np.uint64(len(x))], simhash.parity(x)]) for x in own]
+        assert simhash.may_be_similar(0.8)(rows[0], rows[1])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -19,6 +19,8 @@ SEED = 42
 BUCKET_ROWS = 2048  # a bucket with more fingerprints is split into pairs of parts of about this size
 _LANES = np.uint64(0x0101010101010101)
 
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]  # of two arrays of rows of 64-bit words: which rows are linked
+
 
 def shingle_hashes(data: bytes | None, size: int) -> np.ndarray:
     """XXH64 of every run of `size` words (one space between them), in order and with repeats.
@@ -55,16 +57,6 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits((2 * votes > n).astype(np.uint8), axis=1, bitorder="little").ravel().view("<u8")[0])
 
 
-def spread(hashes: np.ndarray, word: int) -> np.ndarray:
-    """Further hashes made of the first ones: word 0 leaves them as they are."""
-    if not word:
-        return hashes
-    x = hashes + np.uint64(0x9E3779B97F4A7C15 * word % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, f): the 64-bit fingerprint of every document, as a signed long. Null text counts as empty."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,10 +92,15 @@ def block_keys(f: Column, blocks: int, agreeing: int, bits: int = 64) -> Column:
     return F.array(*keys)
 
 
-def bucket_links(keyed: DataFrame, radius: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def within(radius: int) -> Near:
+    """At most `radius` bits differ."""
+    return lambda x, y: np.bitwise_count(x ^ y).sum(axis=-1) <= radius
+
+
+def bucket_links(keyed: DataFrame, near: Near, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links (a, b) that join what is linked within each bucket of `keyed(key, node, f array<long>)`.
 
-    Two rows of a bucket are linked if at most `radius` bits of f differ. The links given are a forest of the
+    Two rows of a bucket are linked if `near` says so of their f. The links given are a forest of the
     bucket's linked groups, never all pairs. A bucket of over `bucket_rows` rows is cut into parts, and every
     pair of parts is a bucket of its own: no task holds more than two parts, and no pair is missed.
     """
@@ -126,49 +123,49 @@ def bucket_links(keyed: DataFrame, radius: int, bucket_rows: int = BUCKET_ROWS)
             starts = starts - starts[0]
             nodes = flat.field(0)
             words = np.asarray(flat.field(1).flatten()).view(np.uint64).reshape(len(flat), -1)
-            a, b = links_within(words, starts, radius)
+            a, b = links_within(words, starts, near)
             yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b))], ["a", "b"])
 
     schema = T.StructType([T.StructField("a", node), T.StructField("b", node)])
     return small.select("rows").union(paired.select("rows")).where(F.size("rows") > 1).mapInArrow(run, schema)
 
 
-def links_within(words: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def links_within(words: np.ndarray, starts: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the links of each group words[starts[i]:starts[i + 1]]."""
     sizes = np.diff(starts)
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for size in np.unique(sizes[sizes <= 16]).tolist():  # many small groups of one size at once
         first = starts[:-1][sizes == size]
         for i, j in combinations(range(size), 2):
-            near = np.bitwise_count(words[first + i] ^ words[first + j]).sum(axis=1) <= radius
-            left.append(first[near] + i)
-            right.append(first[near] + j)
+            linked = near(words[first + i], words[first + j])
+            left.append(first[linked] + i)
+            right.append(first[linked] + j)
     for group in np.flatnonzero(sizes > 16).tolist():
         rows = words[starts[group]:starts[group + 1]]
-        a, b = _forest(rows, radius) if len(rows) > 256 else _near_pairs(rows, radius)
+        a, b = _forest(rows, near) if len(rows) > 256 else _near_pairs(rows, near)
         left.append(a + starts[group])
         right.append(b + starts[group])
     return np.concatenate(left), np.concatenate(right)
 
 
-def _near_pairs(words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _near_pairs(words: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
     """The links of a group that is small enough for a square of it; a forest where there are many."""
-    near = sum(np.bitwise_count(w[:, None] ^ w[None, :]).astype(np.int16) for w in words.T) <= radius
-    a, b = np.nonzero(np.triu(near, 1))
-    return (a, b) if len(a) <= 4 * len(words) else _forest(words, radius)
+    linked = np.array([near(words, row) for row in words]).reshape(len(words), len(words))
+    a, b = np.nonzero(np.triu(linked, 1))
+    return (a, b) if len(a) <= 4 * len(words) else _forest(words, near)
 
 
-def _forest(words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(words: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
     """Links from the first row of each linked group to its other rows. A row is compared with rows not reached yet."""
     rest, left, right = np.arange(len(words)), [], []
     while len(rest):
         root, rest, reached = rest[0], rest[1:], rest[:1]
         while len(reached) and len(rest):
             some, reached = reached[:64], reached[64:]
-            near = np.zeros(len(rest), bool)
+            linked = np.zeros(len(rest), bool)
             for row in some.tolist():
-                near |= np.bitwise_count(words[rest] ^ words[row]).sum(axis=1) <= radius
-            new, rest = rest[near], rest[~near]
+                linked |= near(words[rest], words[row])
+            new, rest = rest[linked], rest[~linked]
             left.append(np.full(len(new), root))
             right.append(new)
             reached = np.concatenate([reached, new])
@@ -193,7 +190,7 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, id_co
     blocks, agreeing = block_scheme(nodes.count(), radius)
     keyed = nodes.select(F.explode(block_keys(F.col("f"), blocks, agreeing)).alias("key"),
                          F.col("f").alias("node"), F.array("f").alias("f"))
-    roots = components(bucket_links(keyed, radius, bucket_rows))
+    roots = components(bucket_links(keyed, within(radius), bucket_rows))
     rooted = nodes.join(roots, nodes.f == roots.node, "left").select("f", "first", "root")
     # Few fingerprints have a link: only they are grouped by their root.
     smallest = (rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("smallest"))
@@ -205,72 +202,105 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, id_co
             .select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id"))
 
 
-SKETCH_WORDS, CHECK_WORDS = 8, 2  # 64-bit words of a sketch, and those of them that buckets compare
+PARITY_WORDS = 32  # 64-bit words of a parity sketch
+COMMON_TEXTS, COMMON_SHINGLES, COMMON_BYTES = 4_000, 50_000, 100_000
 
 
-def band_scheme(count: int, similarity: float, missed: float = 0.003) -> tuple[int, int]:
-    """(bits, bands): a pair at the least similarity shares none of `bands` bands of `bits` bits with chance `missed`.
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """PARITY_WORDS words: a bit is set where an odd number of hashes fall on its place. Two sets differ in at least as
+    many members as their parities do in bits."""
+    bits = np.bincount((hashes % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<u8")
 
-    Sets of similarity s have fingerprints that differ in a share arccos(2s / (1 + s)) / pi of their bits; a
-    twentieth is added for small sets. Bands grow with the number of texts, so that buckets stay small.
+
+def may_be_similar(similarity: float) -> Near:
+    """False only for sets that are less similar. Rows are the size of a set and its parity.
+
+    Sets of a and b members with that similarity differ in at most (a + b)(1 - s) / (1 + s) members, and neither has
+    under s times the members of the other.
     """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi * 1.05
-    bits = max(12, math.ceil(math.log2(max(2, count))) - 6)
-    return bits, math.ceil(math.log(missed) / math.log(1 - (1 - share) ** bits))
-
-
-def band_keys(f: Column, bits: int, bands: int, seed: int = 9) -> Column:
-    """Array of a key for each band: its number and `bits` bits of the sketch, chosen at random once and for all."""
-    random, width = np.random.default_rng(seed), SKETCH_WORDS - CHECK_WORDS
-    rows = []
-    for band in range(bands):
-        masks = [0] * width
-        for bit in random.choice(64 * width, bits, replace=False).tolist():
-            masks[bit // 64] |= 1 << bit % 64
-        rows.append(F.array(*(F.lit(m - 2**64 if m >= 2**63 else m).cast("long") for m in [band, *masks])))
-    return F.transform(F.array(*rows), lambda m: F.xxhash64(
-        F.get(m, F.lit(0)), *(F.get(f, F.lit(CHECK_WORDS + i)).bitwiseAND(F.get(m, F.lit(1 + i))) for i in range(width))))
-
-
-def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, raw, words_key, n, f): hashes of text and word sequence, the number of distinct shingles, and a sketch of
-    SKETCH_WORDS words over the distinct shingles."""
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        a, b = x[..., 0].astype(float), y[..., 0].astype(float)
+        differ = np.bitwise_count(x[..., 1:] ^ y[..., 1:]).sum(axis=-1, dtype=np.int64)
+        return (differ <= (a + b) * (1 - similarity) / (1 + similarity) + 1e-6) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-6)
+
+    return near
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Of a set's distinct hashes, in ascending order, as many as any set of at least that similarity must share one of.
+
+    A similar set holds ceil(similarity * n) of the n hashes at least. So if the same order is used for all sets, the first
+    n - ceil(similarity * n) + 1 of two similar sets have one in common. Which order is free: those of `common` come last,
+    by how `often` they were seen.
+    """
+    kept = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    if len(common) and len(hashes):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        hashes = hashes[np.argsort(np.where(common[at] == hashes, often[at], 0), kind="stable")]
+    return hashes[:kept]
+
+
+def common_shingles(docs: DataFrame, shingle: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in 3 or more of about COMMON_TEXTS texts taken by hash, ascending, and in how many: at most
+    COMMON_SHINGLES reach the driver. They only set an order, so a sample does."""
+    share = min(1.0, COMMON_TEXTS / max(1, docs.count()))
+    key = F.pmod(F.xxhash64(text_col), F.lit(1 << 30))
+    given = (docs.where((key < int(share * (1 << 30))) & (F.octet_length(F.col(text_col)) <= COMMON_BYTES))
+             .select(F.col(text_col).cast("binary").alias("data")).distinct())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            found = [np.unique(shingle_hashes(x, shingle)) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+
+    seen = (given.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
+            .orderBy(F.col("n").desc(), "h").limit(COMMON_SHINGLES).toArrow())
+    common, often = np.asarray(seen.column(0)).view(np.uint64), np.asarray(seen.column(1))
+    order = np.argsort(common)
+    return common[order], often[order]
+
+
+def sketches(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, raw, words_key, n, f, keys): hashes of text and word sequence, the number of distinct shingles, that number
+    and their parity, and the hashes of their `prefix`."""
     given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("raw"), F.col(text_col).cast("binary").alias("data"))
+    common, often = common_shingles(docs, shingle, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in slices(batches, 256):
-            keys, counts, found = [], [], []
+            names, counts, f, keys = [], [], [], []
             for data in batch.column(2).to_pylist():
                 hashes = np.unique(shingle_hashes(data, shingle))
-                keys.append(xxhash.xxh3_128_hexdigest(b" ".join((data or b"").lower().split())))
+                names.append(xxhash.xxh3_128_hexdigest(b" ".join((data or b"").lower().split())))
                 counts.append(len(hashes))
-                found.append([fingerprint(spread(hashes, word)) for word in range(SKETCH_WORDS)])
-            f = pa.FixedSizeListArray.from_arrays(pa.array(np.array(found, np.uint64).view(np.int64).ravel()), SKETCH_WORDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(counts, pa.int64()), f],
-                                             ["doc_id", "raw", "words_key", "n", "f"])
+                f.append(np.concatenate([[np.uint64(len(hashes))], parity(hashes)]).view(np.int64))
+                keys.append(prefix(hashes, similarity, common, often).view(np.int64))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(counts, pa.int64()),
+                                              pa.array(f, longs), pa.array(keys, longs)], ["doc_id", "raw", "words_key", "n", "f", "keys"])
 
-    return given.mapInArrow(run, f"doc_id {given.schema[0].dataType.simpleString()}, raw long, words_key string, n long, f array<long>")
+    return given.mapInArrow(run, f"doc_id {given.schema[0].dataType.simpleString()}, raw long, words_key string, n long, f array<long>, keys array<long>")
 
 
-def near_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 40, part_shingles: int = 200_000,
+def near_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, part_shingles: int = 200_000,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, raw, component) per row of docs: texts whose sets of word shingles have a Jaccard similarity of at least `similarity`
     are linked; component is the same for all that links join.
 
-    Sets at 0.8 differ in about a seventh of the bits of their SimHash, too many for blocks that all close pairs share. So
-    bands of bits of a longer sketch are the blocks, as many as leave a pair at the limit apart with a chance of 0.3 %;
-    within a bucket, sketches must agree in all but `radius` of 128 further bits. What is joined in this way is then
-    compared exactly, shingle by shingle, so that no two texts are linked which are less similar. Texts with equal words are one
-    node. Null, empty and blank texts have equal words (none). raw is a hash of the text.
+    No pair is missed: two sets at 0.8 share one of the shingles of their prefixes, about a fifth of each set, rare ones first.
+    What meets there and cannot be ruled out by size and parity is joined, and then compared exactly, shingle by shingle, so
+    that no two texts are linked which are less similar. Texts with equal words are one node. Null, empty and blank texts have
+    equal words (none). raw is a hash of the text.
     """
-    found = written(sketches(docs, shingle, id_col, text_col), "sketches")
-    nodes = written(found.groupBy("words_key").agg(F.first("f").alias("f"), F.first("n").alias("n"))
+    found = written(sketches(docs, similarity, shingle, id_col, text_col), "sketches")
+    nodes = written(found.groupBy("words_key").agg(F.min(F.struct("n", "f", "keys")).alias("s")).select("words_key", "s.*")
                     .withColumn("node", F.monotonically_increasing_id()), "nodes")
-    bits, bands = band_scheme(nodes.count(), similarity)
-    keyed = nodes.where("n > 0").select(F.explode(band_keys(F.col("f"), bits, bands)).alias("key"), "node",
-                                        F.slice("f", 1, CHECK_WORDS).alias("f"))
-    rough = written(components(bucket_links(keyed, radius)), "rough")
+    keyed = nodes.where("n > 0").select(F.explode("keys").alias("key"), "node")
+    shared = keyed.groupBy("key").count().where("count > 1").select("key")  # most shingles stand in one text alone
+    met = keyed.join(shared, "key").join(nodes.select("node", "f"), "node").select("key", "node", "f")
+    rough = written(components(bucket_links(written(met, "met"), may_be_similar(similarity))), "rough")
     members = nodes.join(rough, "node").select("node", "words_key", "n", "root")
     links = _verified(docs, found, members, similarity, shingle, part_shingles, id_col, text_col)
     joined = components(links).select(F.col("node").alias("member"), F.col("root").alias("r"))
