@@ -73,3 +73,17 @@ def test_empty_table_and_plan(spark, sf_dir):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     plan = QUERIES["op6_secret_scan"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|ArrowEval|Pandas|Cartesian|NestedLoop", plan)
+
+
+def test_held_out_keys_without_a_keyword_and_look_alikes_with_one(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = secrets.generated_findings(spark, 4000).withColumn("coverage", F.lit(0.0))
+    learnt, unseen = rows.where("doc_key % 4 <> 0 AND doc_key % 4 <> 1"), rows.where("doc_key % 4 < 2")
+    forest = secrets.train(learnt)
+    assert (forest.getNumTrees, forest.getMaxDepth(), forest.getMaxBins()) == (30, 8, 32)
+    seen = forest.transform(VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(secrets.featured(unseen)))
+    got = {(r.label, r.keyword): (r.n, r.right) for r in seen.groupBy("label", "keyword").agg(
+        F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("right")).collect()}
+    print(got)
+    assert len(got) == 4 and all(n > 100 and right > 0.9 for n, right in got.values())

@@ -143,27 +143,31 @@ def generated_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         pick(4, ["sha1", "sha256:", "md5", "checksum", "commit", "integrity", "digest:", "revision"]).alias("dull"),
         pick(5, ["", "", "", "src/app.py", "config/settings.yml", "package-lock.json", "tests/fixtures/a.json", "README"]).alias("path")), "findings")
 
-    # Signs of a digest are a look-alike only next to a word that says so; keys mostly come with a keyword.
+    # Signs of a digest are a look-alike only next to a word that says so, and a secret only next to a keyword. A third of the
+    # other keys stand in plain words, and a quarter of the look-alikes that are no digest or uuid come with a keyword.
     digest = ~F.col("is_key") & F.col("other").rlike("^[0-9a-f]{40,}$")
     word = lambda i: F.get("w", F.lit(i))
-    before = F.when(F.col("is_key"), pick(6, ["=", ":", "=", F.concat("name", F.lit(":")), F.concat("name", F.lit("=")), F.col("name")])
+    bare = F.col("is_key") & ~F.col("key").rlike("^[0-9a-f]+$") & (F.get("r", F.lit(9)) % 3 == 0)
+    told = ~F.col("is_key") & ~F.col("other").rlike("^[0-9a-f-]{32,}$") & (F.get("r", F.lit(10)) % 4 == 0)
+    before = F.when(bare, word(0)).when(told, pick(11, [F.concat("name", F.lit(":")), F.concat("name", F.lit("=")), F.col("name")])
+                                        ).when(F.col("is_key"), pick(6, ["=", ":", "=", F.concat("name", F.lit(":")), F.concat("name", F.lit("=")), F.col("name")])
                     ).when(digest, F.col("dull")).otherwise(word(0))
     written_as = F.when(F.col("is_key"), pick(7, [F.concat(F.lit('"'), "key", F.lit('"')), F.col("key"), F.concat(F.lit("'"), "key", F.lit("',"))])
                         ).otherwise(pick(8, [F.col("other"), F.concat("other", F.lit(".")), F.concat("other", F.lit(",")), F.concat(F.lit("("), "other", F.lit(")"))]))
-    shown = written(made.select("id", "path", "is_key", "name", "w", before.alias("before"), written_as.alias("word")), "findings")
-    before2 = F.when(F.col("is_key") & (F.length("before") <= 1), F.col("name")).otherwise(word(1))
+    shown = written(made.select("id", "path", "is_key", "name", "w", bare.alias("bare"), before.alias("before"), written_as.alias("word")), "findings")
+    before2 = F.when(F.col("is_key") & ~F.col("bare") & (F.length("before") <= 1), F.col("name")).otherwise(word(1))
     found = shown.select(F.lit(None).cast("long").alias("doc_id"), F.col("id").alias("doc_key"), "path", F.col("id").alias("pos"),
                          F.regexp_extract("word", RUN, 0).alias("candidate"), "word", before2.alias("before2"), "before",
                          word(2).alias("after"), F.col("is_key").cast("double").alias("label"))
     return found.where(F.length("candidate") >= 16)
 
 
-def train(findings: DataFrame, trees: int = 20, depth: int = 7, seed: int = 3) -> RandomForestClassificationModel:
+def train(findings: DataFrame, trees: int = 30, depth: int = 8, seed: int = 3) -> RandomForestClassificationModel:
     """A forest from labelled findings with coverage: as many rows as were reviewed or generated, in one partition so that
     the forest is the same each time."""
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(featured(findings)).select("doc_key", "pos", "features", "label")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label", subsamplingRate=0.8,
-                                    maxBins=16, maxMemoryInMB=32)
+                                    maxBins=32, maxMemoryInMB=32)
     return forest.fit(rows.repartition(1).sortWithinPartitions("doc_key", "pos"))
 
 
