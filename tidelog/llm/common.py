@@ -6,7 +6,7 @@ import string
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidelog.session import shared_dir
 
@@ -60,3 +60,27 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def same(left: str, right: str, *columns: str) -> Column:
+    """Join condition of two aliased frames: equal in these columns, where null equals null."""
+    condition = F.lit(True)
+    for name in columns:
+        condition &= F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
+    return condition
+
+
+def numbered(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """The rows with `number`: their place in their group, from 0, in ascending order. Written, so numbers are fixed.
+
+    Rows are dealt by range and sorted in place; only the first row and the count of each part and group are looked at
+    to tell where a part goes on. So a group of any size is spread over many tasks. Nulls come first.
+    """
+    laid = written(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+                   .withColumn("at", F.monotonically_increasing_id()), "numbered")
+    laid = laid.withColumn("part", F.shiftright("at", 33))
+    parts = laid.groupBy(group, "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select(group, "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("move"))
+    return (laid.alias("l").join(starts.alias("s"), same("l", "s", group, "part"))
+            .select(*(F.col(f"l.{name}") for name in df.columns), (F.col("l.at") + F.col("s.move")).alias("number")))

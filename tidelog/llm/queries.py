@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidelog.llm import ann, decontam, licenses, packing, quality, secrets, simhash, token_counts, token_store, warc
+from tidelog.llm import (ann, decontam, divergence, licenses, merkle, packing, quality, repeats, secrets, simhash, token_counts, token_store,
+                         warc)
+from tidelog.llm.checks import DIVERGENCE_SQL, REPEATS_SQL, merkle_sql
 from tidelog.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -68,6 +70,21 @@ def op10_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.checked(merkle.proofs(merkle.build(docs, merkle.tampered(docs))))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_token_store, op3_decontamination, op4_warc, op5_token_counts, op6_secret_scan, op7_license_scan, op8_quality, op9_packing, op10_tree_search)}
-ORACLES: dict[str, str] = {}
+    op1_simhash_near_dedup, op2_token_store, op3_decontamination, op4_warc, op5_token_counts, op6_secret_scan, op7_license_scan, op8_quality, op9_packing, op10_tree_search,
+    op11_merkle_manifest, op12_source_divergence, op13_suffix_dedup)}
+ORACLES: dict[str, str] = {
+    "op11_merkle_manifest": merkle_sql(), "op12_source_divergence": DIVERGENCE_SQL, "op13_suffix_dedup": REPEATS_SQL}
