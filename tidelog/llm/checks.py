@@ -79,16 +79,17 @@ FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' O
 
 
 REPEATS_SQL = """
-WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS data FROM documents),
-s AS (SELECT doc_id, text, i, md5(data[2 * i + 1:2 * i + 200]) AS string FROM (SELECT *, unnest(range(length(data) // 2 - 99)) AS i FROM d)),
-later AS (SELECT doc_id, text, i FROM s QUALIFY row_number() OVER (PARTITION BY string ORDER BY doc_id NULLS LAST, text, i) > 1),
-starts AS (SELECT *, i - lag(i) OVER (PARTITION BY doc_id, text ORDER BY i) AS step FROM later),
-spans AS (SELECT doc_id, text, min(i) AS first, max(i) + 100 AS stop
-  FROM (SELECT *, count(*) FILTER (step IS NULL OR step > 100) OVER (PARTITION BY doc_id, text ORDER BY i) AS span FROM starts) GROUP BY doc_id, text, span),
-cuts AS (SELECT doc_id, text, first, stop, lag(stop, 1, 0) OVER (PARTITION BY doc_id, text ORDER BY first) AS since FROM spans),
-gone AS (SELECT doc_id, text, sum(stop - first) AS n_removed, count(*) AS n_spans, max(stop) AS last,
-  string_agg(d.data[2 * since + 1:2 * first], '' ORDER BY first) AS before FROM cuts JOIN d USING (doc_id, text) GROUP BY ALL)
-SELECT d.doc_id, octet_length(encode(d.text)) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  sha256(unhex(coalesce(before, '') || d.data[2 * coalesce(last, 0) + 1:])) AS kept_sha256
-FROM (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS data FROM documents) d
-LEFT JOIN gone g ON d.doc_id = g.doc_id AND d.text = g.text"""
+WITH d AS (SELECT doc_id, text, hex(encode(text)) AS data, row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS id
+  FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)),
+pieces AS (SELECT id, base, data[2 * base + 1:2 * base + 598] AS piece FROM (SELECT id, data, unnest(range(0, length(data) // 2 - 99, 200)) AS base FROM d)),
+s AS (SELECT id, base + i AS i, md5(piece[2 * i + 1:2 * i + 200]) AS string FROM (SELECT *, unnest(range(length(piece) // 2 - 99)) AS i FROM pieces)),
+later AS (SELECT id, i FROM s QUALIFY row_number() OVER (PARTITION BY string ORDER BY id, i) > 1),
+starts AS (SELECT *, i - lag(i) OVER (PARTITION BY id ORDER BY i) AS step FROM later),
+spans AS (SELECT id, min(i) AS first, max(i) + 100 AS stop
+  FROM (SELECT *, count(*) FILTER (step IS NULL OR step > 100) OVER (PARTITION BY id ORDER BY i) AS span FROM starts) GROUP BY id, span),
+cuts AS (SELECT id, first, stop, lag(stop, 1, 0) OVER (PARTITION BY id ORDER BY first) AS since FROM spans),
+gone AS (SELECT id, sum(stop - first) AS n_removed, count(*) AS n_spans, max(stop) AS last,
+  string_agg(d.data[2 * since + 1:2 * first], '' ORDER BY first) AS before FROM cuts JOIN d USING (id) GROUP BY id),
+made AS (SELECT doc_id, text, n_removed, n_spans, sha256(unhex(coalesce(before, '') || data[2 * coalesce(last, 0) + 1:])) AS sha FROM d LEFT JOIN gone USING (id))
+SELECT d.doc_id, octet_length(encode(m.text)) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha AS kept_sha256
+FROM documents d JOIN made m ON d.doc_id IS NOT DISTINCT FROM m.doc_id AND coalesce(d.text, '') = m.text"""
