@@ -124,18 +124,24 @@ def suffix_order(symbols: np.ndarray, stops: np.ndarray) -> np.ndarray:
     word = np.zeros(n, np.uint64)
     for i in range(7):
         word = (word << np.uint64(8)) | np.where(left >= i, wide[i:n + i], np.uint64(0))
+    order = np.argsort(word, kind="stable")
+    new = np.r_[True, word[order][1:] != word[order][:-1], True]  # where a group of equal ones starts
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new[:-1], np.arange(n), 0))
     width = 7
     while True:
-        order = np.argsort(word, kind="stable")
-        new = np.r_[False, word[order][1:] != word[order][:-1]]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64) + np.uint64(1)
-        if width > left.max(initial=0):
-            return order  # what is still equal are ends of equal texts: in the order of the texts
-        after = np.zeros(n, np.uint64)
-        inside = np.flatnonzero(left >= width)
-        after[inside] = rank[inside + width]
-        word = (rank << np.uint64(32)) | after
+        # Ends of equal texts are equal for good and stay in the order of the texts.
+        places = np.flatnonzero(~(new[:-1] & new[1:]))
+        places = places[left[order[places]] >= width]
+        if not len(places):
+            return order
+        own = order[places]
+        both = (rank[own] << 32) | rank[own + width]
+        sort = np.argsort(both, kind="stable")
+        own, both = own[sort], both[sort]
+        order[places] = own
+        new[places[1:]] |= both[1:] != both[:-1]
+        rank[own] = np.maximum.accumulate(np.where(new[places], places, 0))
         width *= 2
 
 
@@ -209,14 +215,16 @@ def _shards(texts: list[bytes], shard_bytes: int) -> Iterator[list[bytes]]:
         yield held
 
 
-def _same(left: str, right: str) -> Column:
-    return F.col(left + ".doc_id").eqNullSafe(F.col(right + ".doc_id")) & (F.col(left + ".mark") == F.col(right + ".mark"))
+NO_ID = 1 << 32  # of a mark: the row has no doc_id
 
 
 def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, mark, data): mark is a checksum of the text, which tells rows with one doc_id apart."""
+    """(doc_id, mark, data) without nulls. mark is a checksum of the text, which tells rows with one doc_id apart, plus NO_ID
+    for those without a doc_id, which have 0 in its place."""
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(F.col(id_col).alias("doc_id"), F.crc32(data).alias("mark"), data.alias("data"))
+    none = F.lit(0).cast(docs.schema[id_col].dataType)
+    return docs.select(F.coalesce(id_col, none).alias("doc_id"), (F.crc32(data) + F.when(F.col(id_col).isNull(), NO_ID).otherwise(0)).alias("mark"),
+                       data.alias("data"))
 
 
 def _spans(text: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,8 +235,18 @@ def _spans(text: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nd
     return text[np.r_[0, cut]], first[np.r_[0, cut]], last[np.r_[cut - 1, len(text) - 1]]
 
 
-def _in_order(batch: pa.RecordBatch, *by: str) -> pa.Table:
-    return pa.table(batch).take(pc.sort_indices(pa.table(batch), sort_keys=[(name, "ascending") for name in by], null_placement="at_end"))
+ORDER = [("late", "ascending"), ("doc_id", "ascending"), ("mark", "ascending")]
+
+
+def _in_order(table: pa.Table, *more: str) -> pa.Table:
+    """Rows in the order of their documents: those without a doc_id last. Repeated rows go."""
+    table = table.append_column("late", pc.greater_equal(table.column("mark"), NO_ID))
+    table = table.take(pc.sort_indices(table, sort_keys=[*ORDER, *((name, "ascending") for name in more)]))
+    fresh = np.zeros(max(0, table.num_rows - 1), bool)
+    for name in ("doc_id", "mark", *more):
+        column = table.column(name).combine_chunks()
+        fresh |= np.asarray(pc.not_equal(column[1:], column[:-1]))
+    return table.filter(pa.array(np.r_[True, fresh][:table.num_rows]))
 
 
 def _runs_of(given: DataFrame, length: int, anchor: int) -> DataFrame:
@@ -237,11 +255,8 @@ def _runs_of(given: DataFrame, length: int, anchor: int) -> DataFrame:
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = _in_order(batch, "doc_id", "mark")
-            ids, marks = table.column("doc_id").to_pylist(), table.column("mark").to_pylist()
-            texts = [b"" if i and (ids[i], marks[i]) == (ids[i - 1], marks[i - 1]) else x
-                     for i, x in enumerate(table.column("data").to_pylist())]
-            text, key, content, first, last = anchored(texts, length, anchor)
+            table = _in_order(pa.table(batch))
+            text, key, content, first, last = anchored(table.column("data").to_pylist(), length, anchor)
             order = np.argsort(key ^ (content * MIX), kind="stable")
             fresh = np.ones(len(order), bool)
             fresh[1:] = (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1])
@@ -258,21 +273,16 @@ def _runs_of(given: DataFrame, length: int, anchor: int) -> DataFrame:
     return given.mapInArrow(scan, f"key long, content long, doc_id {kind}, mark long, first int, last int")
 
 
-def _with_texts(given: DataFrame, wanted: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
-    """Texts with the list `spans` of what is wanted in them, and the written table of the texts that are.
-
-    Only those texts are shuffled: where their list is small enough the planner broadcasts it (its own threshold).
-    """
-    ids = written(wanted.select("doc_id", "mark").distinct(), "texts")
-    per_text = wanted.groupBy("doc_id", "mark").agg(F.collect_set(F.struct(*columns)).alias("spans"))
-    some = given.alias("g").join(ids.alias("i"), _same("g", "i"), "left_semi").alias("s")
-    return (some.join(per_text.alias("p").hint("shuffle_merge"), _same("s", "p"))
-            .select("s.doc_id", "s.mark", "s.data", "p.spans").dropDuplicates(["doc_id", "mark"]), ids)
+def _with_texts(given: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """(doc_id, mark, data, spans): texts with the list of what is wanted in them. Each text is shuffled once; repeated rows
+    have met by then."""
+    spans = wanted.groupBy("doc_id", "mark").agg(F.collect_set(F.struct(*columns)).alias("spans"))
+    return given.hint("merge").join(spans, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_runs: int = HOT_RUNS, bucket_bytes: int = BUCKET_BYTES,
              shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, mark, first, last): stretches of starts of strings of `length` bytes that also start earlier in the corpus.
+    """(doc_id, mark, first, last), keys as in `_given`: stretches of starts of strings of `length` bytes that also start earlier in the corpus.
 
     Earlier is a smaller doc_id, or the same text further left. A null doc_id comes after all others; texts with one
     doc_id go by checksum (`mark`); rows with equal doc_id and text are one document. Strings do not cross documents. Null and
@@ -281,7 +291,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_ru
     given = _given(docs, id_col, text_col)
     kind = given.schema["doc_id"].dataType.simpleString()
     by_key = Window.partitionBy("key")
-    place = Window.partitionBy("key", "content").orderBy(F.col("doc_id").isNull(), "doc_id", "mark", "first")
+    place = Window.partitionBy("key", "content").orderBy(F.col("mark") >= NO_ID, "doc_id", "mark", "first")
     met = written(_runs_of(given, length, anchor)
                   .withColumn("place", F.rank().over(place))
                   .withColumn("kinds", F.max(F.dense_rank().over(by_key.orderBy("content"))).over(by_key))
@@ -302,7 +312,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_ru
 
 
 def _by_merging(given: DataFrame, wanted: DataFrame, buckets: int, length: int, shard_bytes: int, kind: str) -> DataFrame:
-    with_texts, _ = _with_texts(given, wanted.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))), "bucket", "first", "last")
+    with_texts = _with_texts(given, wanted.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))), "bucket", "first", "last")
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
@@ -317,7 +327,7 @@ def _by_merging(given: DataFrame, wanted: DataFrame, buckets: int, length: int,
                                               pa.array(first, pa.int32()), pa.array(data, pa.binary())], ["bucket", "doc_id", "mark", "first", "data"])
 
     def merge(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("doc_id", "mark", "first")], null_placement="at_end"))
+        table = _in_order(table, "first")
         text, start = later_strings(table.column("data").to_pylist(), length, shard_bytes)
         text, first, last = _spans(text, start, start)
         base = np.asarray(table.column("first").combine_chunks()).astype(np.int64)[text]
@@ -330,7 +340,7 @@ def _by_merging(given: DataFrame, wanted: DataFrame, buckets: int, length: int,
 
 
 def _one_by_one(given: DataFrame, wanted: DataFrame, length: int, kind: str) -> DataFrame:
-    with_texts, _ = _with_texts(given, wanted, "first", "last")
+    with_texts = _with_texts(given, wanted, "first", "last")
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 16):
@@ -342,18 +352,18 @@ def _one_by_one(given: DataFrame, wanted: DataFrame, length: int, kind: str) ->
                                                  ["string", "doc_id", "mark", "first"])
 
     strings = written(with_texts.mapInArrow(hashed, f"string binary, doc_id {kind}, mark long, first int"), "hashes")
-    earliest = (strings.groupBy("string").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "first")).alias("e"))
+    earliest = (strings.groupBy("string").agg(F.min(F.struct((F.col("mark") >= NO_ID).alias("late"), "doc_id", "mark", "first")).alias("e"))
                 .select("e.doc_id", "e.mark", "e.first"))
-    return (strings.alias("s").join(earliest.alias("e"), _same("s", "e") & (F.col("s.first") == F.col("e.first")), "left_anti")
+    return (strings.select("doc_id", "mark", "first").join(earliest, ["doc_id", "mark", "first"], "left_anti")
             .select("doc_id", "mark", "first", F.col("first").alias("last")))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """(doc_id, mark, spans, kept) of the documents that lose something: the maximal stretches of bytes that go, each (start,
-    stop), and the bytes that stay, end to end. See `repeated` for what goes and for the other parameters."""
+    stop), and the bytes that stay, end to end. Keys as in `_given`. See `repeated` for what goes and for the other parameters."""
     given = _given(docs, id_col, text_col)
     kind = given.schema["doc_id"].dataType.simpleString()
-    with_texts, _ = _with_texts(given, repeated(docs, length, id_col=id_col, text_col=text_col, **more), "first", "last")
+    with_texts = _with_texts(given, repeated(docs, length, id_col=id_col, text_col=text_col, **more), "first", "last")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
@@ -379,6 +389,6 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **mo
     whole = _given(docs, id_col, text_col).select("doc_id", "mark", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("sha"))
     changed = without_repeats(docs, id_col=id_col, text_col=text_col, **more).select(
         "doc_id", "mark", F.octet_length("kept").cast("long").alias("left"), F.size("spans").cast("long").alias("n"), F.sha2("kept", 256).alias("new"))
-    return (whole.alias("w").join(changed.alias("c"), _same("w", "c"), "left")
-            .select("w.doc_id", "n_bytes", (F.col("n_bytes") - F.coalesce("left", "n_bytes")).alias("n_removed"),
+    return (whole.join(changed, ["doc_id", "mark"], "left")
+            .select(F.when(F.col("mark") < NO_ID, F.col("doc_id")).alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.coalesce("left", "n_bytes")).alias("n_removed"),
                     F.coalesce("n", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("new", "sha").alias("kept_sha256")))
