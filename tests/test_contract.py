@@ -1,6 +1,10 @@
 """Every registered query against its check SQL, and the coverage of the inventory."""
 
+import os
 import re
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -47,3 +51,21 @@ def test_names_are_plain():
 
 def test_every_query_is_registered():
     assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
+
+
+@pytest.mark.parametrize("gone", [["tidelog/llm", "tests/llm"], ["tidelog/llm", "tests/llm", "corpus_pipeline.py"]])
+def test_entry_stands_without_the_corpus_folders(tmp_path, gone):
+    copy = tmp_path / "repo"
+    shutil.copytree(os.path.dirname(os.path.abspath(contract.__file__)), copy, ignore=shutil.ignore_patterns(".git", "__pycache__", *(os.path.basename(g) for g in gone)))
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as c; print(len(c.queries()), len(c.oracle_sql()))"],
+                         cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))]
+
+
+def test_entry_does_not_hide_a_broken_import(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(os.path.dirname(os.path.abspath(contract.__file__)), copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
+    (copy / "corpus_pipeline.py").write_text("import no_such_module")
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=120)
+    assert out.returncode != 0 and "no_such_module" in out.stderr
