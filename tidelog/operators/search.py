@@ -166,25 +166,44 @@ _READING = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit
             "Except", "Intersect", "SubqueryAlias", "UnresolvedRelation", "UnresolvedWith", "UnresolvedHaving", "WithWindowDefinition",
             "OneRowRelation", "UnresolvedSubqueryColumnAliases", "Generate", "Pivot", "Unpivot", "UnresolvedInlineTable",
             "LocalRelation", "UnresolvedHint", "Tail", "Sample"}
-_LEAVING = {"reflect", "java_method", "try_reflect", "current_catalog", "current_database", "current_schema"}
+_EXPRESSIONS = {
+    "Add", "AggregateExpression", "Alias", "And", "AnyValue", "AttributeReference", "BitwiseAnd", "BitwiseNot", "BitwiseOr", "BitwiseXor",
+    "CaseWhen", "Cast", "Collate", "Concat", "CreateNamedStruct", "Cube", "CurrentRow", "Divide", "EqualNullSafe", "EqualTo", "Exists", "First",
+    "GreaterThan", "GreaterThanOrEqual", "GroupingSets", "ILike", "In", "InSubquery", "IntegralDivide", "IsNotNull", "IsNull", "LambdaFunction",
+    "Last", "LateralSubquery", "LessThan", "LessThanOrEqual", "Like", "LikeAll", "LikeAny", "ListQuery", "Literal", "MultiAlias", "Multiply",
+    "NamedArgumentExpression", "Not", "NotLikeAll", "NotLikeAny", "Or", "Overlay", "RLike", "Remainder", "Rollup", "ScalarSubquery",
+    "SemiStructuredExtract", "ShiftLeft", "ShiftRight", "ShiftRightUnsigned", "SortOrder", "SpecifiedWindowFrame", "StringLocate", "StringTrim",
+    "StringTrimLeft", "StringTrimRight", "Substring", "Subtract", "TimestampAdd", "TimestampDiff", "UnaryMinus", "UnaryPositive", "UnboundedFollowing",
+    "UnboundedPreceding", "UnresolvedAlias", "UnresolvedAttribute", "UnresolvedCollation", "UnresolvedExtractValue", "UnresolvedFunction",
+    "UnresolvedGenerator", "UnresolvedNamedLambdaVariable", "UnresolvedOrdinal", "UnresolvedStar", "UnresolvedStarExceptOrReplace",
+    "UnresolvedSubqueryColumnAliases", "UnresolvedWindowExpression", "UnspecifiedFrame", "WindowExpression", "WindowSpecDefinition"}
+_LEAVING = {"reflect", "java_method", "try_reflect", "current_catalog", "current_database", "current_schema", "current_user", "user",
+            "session_user", "input_file_name", "input_file_block_start", "input_file_block_length", "from_protobuf", "to_protobuf", "version"}
+_LEAVING_CLASSES = {"CallMethodViaReflection", "TryReflect", "CurrentCatalog", "CurrentDatabase", "CurrentUser", "InputFileName", "InputFileBlockStart",
+                    "InputFileBlockLength", "FromProtobuf", "ToProtobuf", "SparkVersion", "ScalaUDF", "PythonUDF", "PythonUDAF", "HiveSimpleUDF",
+                    "HiveGenericUDF", "HiveUDAFFunction"}
 _analysis = threading.Lock()
 
 
 def query(spark: SparkSession, sql: str, scoped_df: DataFrame, view: str = "logs") -> DataFrame:
     """Read-only SQL over the caller's rows, which the statement knows as `view`.
 
-    The parsed statement must be a query that reads that view and its own WITH names alone: files, other
-    tables, commands, table functions and calls into the JVM are refused. The name exists only while the statement is
-    analysed, for one caller at a time.
+    The parsed statement must be a query that reads that view and its own WITH names alone: files, other tables, commands, table
+    functions and names made up at run time are refused, as is every kind of plan or expression that isn't known to read. What
+    names stand for is known after the analysis only, so it is looked at again before anything runs: calls into the JVM, user-defined
+    functions and functions that tell of the session, its user or the files are refused. The name exists
+    only while the statement is analysed, for one caller at a time.
     """
     statement = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     _check_reading(statement, {view.lower()})
     with _analysis:
         scoped_df.createOrReplaceTempView(view)
         try:
-            return spark.sql(sql)
+            found = spark.sql(sql)
         finally:
             spark.catalog.dropTempView(view)
+    _check_analysed(found._jdf.queryExecution().analyzed())
+    return found
 
 
 def _scala(seq) -> list:
@@ -211,10 +230,32 @@ def _check_reading(plan, names: set[str]) -> None:
 
 
 def _check_expression(expression, names: set[str]) -> None:
-    kind = expression.getClass().getSimpleName()
+    kind = expression.getClass().getSimpleName().rstrip("$")
+    if kind not in _EXPRESSIONS:
+        raise ValueError(f"{kind} is not allowed")
     if kind == "UnresolvedFunction" and _scala(expression.nameParts())[-1].lower() in _LEAVING:
         raise ValueError("this function is not allowed")
     if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
         _check_reading(expression.plan(), names)
     for child in _scala(expression.children()):
         _check_expression(child, names)
+
+
+def _check_analysed(plan) -> None:
+    """Raises if something in an analysed plan, above the given rows, leaves them."""
+    if plan.getClass().getSimpleName() == "View":  # the given rows: what they are made of is the caller's
+        return
+    for child in _scala(plan.children()):
+        _check_analysed(child)
+    for expression in _scala(plan.expressions()):
+        _check_resolved(expression)
+
+
+def _check_resolved(expression) -> None:
+    kind = expression.getClass().getSimpleName()
+    if kind in _LEAVING_CLASSES:
+        raise ValueError("this function is not allowed")
+    if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+        _check_analysed(expression.plan())
+    for child in _scala(expression.children()):
+        _check_resolved(child)
