@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.functions import fixed
 from tidelog.operators import cooldown, detect, incident, lifecycle, scope, search, services
 from tidelog.sources import readers, sinks
 from tidelog.plans import views
@@ -100,13 +101,37 @@ def test_archive_outcome_is_a_notice(spark):
     "SELECT count(*) FROM parquet.`{table}`", "WITH a AS (SELECT 1) INSERT INTO logs SELECT 2", "CREATE TABLE x AS SELECT * FROM logs",
     "SELECT reflect('java.lang.System', 'currentTimeMillis')", "SELECT * FROM others", "SELECT * FROM logs WHERE LogId IN (SELECT LogId FROM others)",
     "SELECT (SELECT max(LogId) FROM parquet.`{table}`)", "DROP VIEW logs", "SELECT * FROM range(9)", "SHOW TABLES", "SET a = 1",
+    "SELECT IDENTIFIER('ref' || 'lect')('java.lang.System', 'getProperty', 'user.home') FROM logs", "SELECT IDENTIFIER('java_method')('java.lang.System', 'exit', 3) FROM logs",
+    "SELECT 1 FROM logs WHERE IDENTIFIER('try_' || 'reflect')('java.lang.System', 'getProperty', 'user.home') = 'x'",
+    "SELECT (SELECT max(IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home')) FROM logs)", "SELECT IDENTIFIER('LogId') FROM logs",
+    "WITH c AS (SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home') AS x FROM logs) SELECT x FROM c", "SELECT * FROM IDENTIFIER('oth' || 'ers')",
+    "SELECT `reflect`('java.lang.System', 'currentTimeMillis')", "SELECT system.builtin.reflect('java.lang.System', 'currentTimeMillis')",
+    "SELECT input_file_name() FROM logs", "SELECT current_user FROM logs", "SELECT session_user() FROM logs", "SELECT current_database()", "SELECT up(LogId) FROM logs",
     "WITH b AS (SELECT * FROM others) SELECT * FROM b", "SELECT * FROM default.logs", "INSERT OVERWRITE DIRECTORY '/tmp/x' USING parquet SELECT 1"])
 def test_statements_that_leave_the_scope_are_refused(spark, sf_dir, sql):
     spark.range(3).selectExpr("id AS LogId").createOrReplaceTempView("others")
+    spark.udf.register("up", lambda x: str(x))
     with pytest.raises(ValueError):
         search.query(spark, sql.replace("{table}", f"{sf_dir}/events.parquet"), spark.range(1).selectExpr("id AS LogId"))
 
 
+@pytest.mark.parametrize("sql", [
+    "SELECT LogId + 1 AS a, -LogId AS b, LogId % 2 = 0 AND NOT LogId IN (1, 2) AS c, upper('x') || 'y' AS d FROM logs WHERE LogId BETWEEN 0 AND 5",
+    "SELECT CASE WHEN LogId > 1 THEN 'a' ELSE 'b' END AS k, count(*) FILTER (WHERE LogId > 0) AS n FROM logs GROUP BY ALL HAVING count(*) > 0 ORDER BY 1 LIMIT 3",
+    "SELECT row_number() OVER (PARTITION BY LogId % 2 ORDER BY LogId DESC NULLS LAST) AS n, sum(LogId) OVER (ORDER BY LogId ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM logs",
+    "SELECT l.LogId FROM logs l JOIN logs m ON l.LogId = m.LogId WHERE EXISTS (SELECT 1 FROM logs o WHERE o.LogId = l.LogId) UNION ALL SELECT max(LogId) FROM logs",
+    "SELECT x FROM logs LATERAL VIEW explode(array(LogId, 1)) t AS x WHERE CAST(LogId AS STRING) LIKE '%1%' OR CAST(LogId AS STRING) RLIKE '[0-9]'",
+    "SELECT transform(array(LogId), x -> x + 1)[0] AS a, struct(LogId).LogId AS b, date_trunc('hour', TIMESTAMP '2024-01-01 10:20:00') - INTERVAL 1 HOUR AS c FROM logs",
+    "WITH a AS (SELECT LogId, LogId::string AS s FROM logs) SELECT * EXCEPT (s), any_value(s) OVER w AS t FROM a WINDOW w AS (PARTITION BY LogId)",
+    "SELECT LogId % 2 AS k, LogId % 3 AS j, count(*) AS n FROM logs GROUP BY CUBE (LogId % 2, LogId % 3)", "SELECT 1 AS one, current_timestamp() AS now"])
+def test_queries_of_many_kinds_are_allowed(spark, sql):
+    rows = spark.range(6).selectExpr("id AS LogId")
+    rows.createOrReplaceTempView("logs")
+    expected = spark.sql(sql).drop("now").collect()
+    spark.catalog.dropTempView("logs")
+    assert sorted(map(str, search.query(spark, sql, rows).drop("now").collect())) == sorted(map(str, expected))
+
+
 def test_two_callers_in_one_session(spark):
     few, many = (spark.range(n).selectExpr("id AS LogId", "id % 2 AS k") for n in (2, 5))
     sql = "WITH a AS (SELECT k, count(*) AS n FROM logs GROUP BY k HAVING count(*) > 0) SELECT sum(n) AS n FROM a WHERE k IN (SELECT k FROM logs)"
@@ -198,6 +223,17 @@ def test_states_inside_a_silence(spark, logs, states, expected):
     assert [(r.type, r["at"].hour * 60 + r["at"].minute) for r in sorted(found, key=lambda r: r["at"])] == expected
 
 
+def test_rows_without_a_service_are_exported_assigned_and_cleared(spark):
+    rows = spark.createDataFrame([(None, "2024-01-01 00:00:00"), (fixed.GATEWAY_SERVICE, "2024-01-01 00:00:00"), ("app", "2024-01-01 00:00:00")], "ServiceName string, t string").selectExpr(
+        "ServiceName", "to_timestamp(t) AS Timestamp", "'c' AS ContainerId", "concat('n-', coalesce(ServiceName, 'none')) AS ContainerName",
+        "'hub.example/ann/app:1' AS ContainerImage", "'INFO' AS SeverityText", "'h' AS HostName", "'b' AS Body")
+    assert {r.ContainerName for r in sinks.export_rows(rows).collect()} == {"n-none", "n-app"}
+    users = spark.createDataFrame([(7, "ann")], "id bigint, username string")
+    owned = spark.createDataFrame([], "container_id string, user_id bigint")
+    assert {r.container_id for r in scope.auto_assign(rows, users, owned, ["hub.example"]).collect()} == {"n-none", "n-app"}
+    assert {r.ContainerName for r in rows.filter(lifecycle.clear_condition(7, "2024-01-31 00:00:00")).collect()} == {"n-none", "n-app"}
+
+
 def test_a_repeated_batch_leaves_its_rows_once(spark, sf_dir, tmp_path):
     rows = views.stored_logs(spark, sf_dir).limit(200)
     path = str(tmp_path / "t")
@@ -206,3 +242,28 @@ def test_a_repeated_batch_leaves_its_rows_once(spark, sf_dir, tmp_path):
     tails.append_batch(rows.limit(50), 1, path)
     assert spark.read.parquet(path).count() == 250
     assert all(f.name.startswith("batch-") for f in (tmp_path / "t").glob("log_date=*/*.parquet"))
+
+
+def test_a_batch_that_broke_off_is_replaced_and_a_finished_one_does_not_come_back(spark, sf_dir, tmp_path):
+    rows = views.stored_logs(spark, sf_dir).limit(60)
+    path = tmp_path / "t"
+    tails.append_batch(rows, 4, str(path), "s")
+    (path / "_batches" / "s" / "4.done").rename(tmp_path / "record")  # as if the last step had not been reached
+    tails.append_batch(rows, 4, str(path), "s")
+    assert spark.read.parquet(str(path)).count() == 60
+    for file in path.glob("log_date=*/*.parquet"):
+        file.rename(tmp_path / file.name)  # purged since
+    tails.append_batch(rows, 4, str(path), "s")
+    assert not list(path.glob("log_date=*/*.parquet"))
+
+
+def test_streams_into_one_table_keep_each_others_rows(spark, sf_dir, tmp_path):
+    rows, path = views.stored_logs(spark, sf_dir).limit(40), str(tmp_path / "t")
+    source = str(tmp_path / "in")
+    views.ingress(spark, sf_dir).limit(30).write.parquet(source)
+    ingress = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    for name in ("a", "b"):  # another stream, or the same one from a new checkpoint
+        tails.ingest_stream(ingress, path, str(tmp_path / name)).awaitTermination(120)
+        tails.ingest_stream(ingress, path, str(tmp_path / name)).awaitTermination(120)  # a restart has nothing to add
+    once = tails.ingest_logs(spark.read.parquet(source)).count()
+    assert once > 0 and spark.read.parquet(path).count() == 2 * once

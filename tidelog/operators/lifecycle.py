@@ -27,7 +27,7 @@ def clear_condition(days: int | None, as_of: str | Column) -> Column:
     """Rows older than `days` except the gateway's; every row without days."""
     if days is None:
         return F.lit(True)
-    return (F.col("Timestamp") < before(as_of, days, "DAY")) & (F.col("ServiceName") != fixed.GATEWAY_SERVICE)
+    return (F.col("Timestamp") < before(as_of, days, "DAY")) & ~F.col("ServiceName").eqNullSafe(fixed.GATEWAY_SERVICE)
 
 
 def backfilled(df: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def auto_assign(df: DataFrame, users: DataFrame, ownership: DataFrame, registrie
     for registry in registries:
         known = known | F.startswith(image, F.lit(registry.rstrip("/") + "/"))
     parts = F.split(image, "/")
-    images = (df.filter((F.col("ServiceName") != fixed.GATEWAY_SERVICE) & known)
+    images = (df.filter(~F.col("ServiceName").eqNullSafe(fixed.GATEWAY_SERVICE) & known)
               .select("ContainerName", "ContainerImage").distinct()
               .filter(F.size(parts) >= 3)
               .select(F.col("ContainerName").alias("container_id"), F.lower(F.trim(parts[1])).alias("login")))

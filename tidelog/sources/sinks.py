@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidelog.functions.fixed import GATEWAY_SERVICE
 from tidelog.functions.text import clean_text
 from tidelog.functions.values import time_bounded
+from tidelog.operators.search import not_gateway
 from tidelog.session import cut_lineage
 
 SORT_KEY = ["ServiceName", "SeverityText", "Timestamp"]
@@ -35,7 +35,7 @@ def write_logs(df: DataFrame, path: str, mode: str = "append") -> None:
 
 def export_rows(df: DataFrame, containers: Sequence[str] | None = None,
                 from_ts: str | None = None, to_ts: str | None = None) -> DataFrame:
-    rows = time_bounded(df, from_ts, to_ts).filter(F.col("ServiceName") != GATEWAY_SERVICE)
+    rows = not_gateway(time_bounded(df, from_ts, to_ts))
     if containers:
         rows = rows.filter(F.col("ContainerName").isin(*containers))
     return rows.select(*EXPORT_COLUMNS)

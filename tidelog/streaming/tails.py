@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -78,32 +79,46 @@ def notification_stream(spark: SparkSession, path: str, containers: Sequence[str
 
 def ingest_stream(ingress: DataFrame, path: str, checkpoint: str, self_names: Sequence[str] = (),
                   dropped: Sequence[str] = (), every: str | None = None):
-    """The batch ingest on arrival, appended to the day-partitioned log table in the layout of `sinks.write_logs`."""
+    """The batch ingest on arrival, appended to the day-partitioned log table in the layout of `sinks.write_logs`.
+
+    Any number of streams may append to one table. A stream that starts with a new checkpoint is a new one: what it
+    reads is added to what is there.
+    """
     writer = (ingest_logs(ingress, self_names, dropped).writeStream.outputMode("append")
               .option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda batch, number: append_batch(batch, number, path)))
+              .foreachBatch(lambda batch, number: append_batch(batch, number, path, stream_id(batch.sparkSession, checkpoint))))
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def append_batch(batch: DataFrame, number: int, path: str) -> None:
-    """Appends a micro-batch: gathered by day, sorted, in files named after the batch.
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The lasting id of the stream that keeps this checkpoint: the same after a restart, another one in a new checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
+
+
+def append_batch(batch: DataFrame, number: int, path: str, stream: str = "batches") -> None:
+    """Appends a micro-batch: gathered by day, sorted, in files named after the stream and the batch.
 
-    Files are written aside and then moved. A batch that is repeated replaces the files it has left before, so that no row
-    is there twice.
+    Files are written aside and then moved. A batch that broke off and is repeated replaces the files it has left before; one that
+    was taken over is on record and does nothing, so rows that were purged or rewritten since don't come back. Files
+    of other streams are never touched. A stream's batches must come in the order of their numbers.
     """
     spark = batch.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
-    aside = f"{path}/_batches/{number}"
+    record, aside = hadoop.Path(f"{path}/_batches/{stream}/{number}.done"), f"{path}/_batches/{stream}/{number}"
+    fs = record.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(record):
+        return
     write_logs(batch, aside, mode="overwrite")
-    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for left in fs.globStatus(hadoop.Path(f"{path}/log_date=*/batch-{number}-*.parquet")) or []:
+    for left in fs.globStatus(hadoop.Path(f"{path}/log_date=*/batch-{stream}-{number}-*.parquet")) or []:
         fs.delete(left.getPath(), False)
     for i, file in enumerate(fs.globStatus(hadoop.Path(f"{aside}/log_date=*/*.parquet")) or []):
         day = hadoop.Path(f"{path}/{file.getPath().getParent().getName()}")
         fs.mkdirs(day)
-        if not fs.rename(file.getPath(), hadoop.Path(day, f"batch-{number}-{i:05d}.parquet")):
+        if not fs.rename(file.getPath(), hadoop.Path(day, f"batch-{stream}-{number}-{i:05d}.parquet")):
             raise IOError(f"cannot move {file.getPath()}")
+    fs.create(record, True).close()
     fs.delete(hadoop.Path(aside), True)
+    fs.delete(hadoop.Path(f"{path}/_batches/{stream}/{number - 2}.done"), False)  # a stream repeats its last batch only
 
 
 def spam_stream(df: DataFrame, window: str = "1 minute", slide: str | None = "30 seconds",
