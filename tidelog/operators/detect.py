@@ -288,7 +288,11 @@ def state_transitions(df: DataFrame, snapshots: DataFrame, gap: float = fixed.SI
     pauses = silences(df, keys, gap, as_of)
     noticed = pauses.select(packed, *moment(micros("last_log") + int(gap * 1_000_000), 2, micros("last_log")))
     resumed = pauses.filter(F.col("until").isNotNull()).select(packed, *moment(micros("until"), 1, F.lit(0)))
-    states = snapshots.select(packed, *moment(micros("snapshot_ts"), 0, (F.col("state") == "running").cast("int")))
+    # Only changes of state say something. They are looked for day by day, so that no task sees all snapshots of a key.
+    up = F.coalesce(F.col("state") == "running", F.lit(False)).cast("int")
+    by_day = Window.partitionBy("_key", F.floor(F.col("_us") / F.lit(86_400_000_000))).orderBy("_us", "_value")
+    states = (snapshots.select(packed, *moment(micros("snapshot_ts"), 0, up)).withColumn("_before", F.lag("_value").over(by_day))
+              .filter(F.col("_before").isNull() | (F.col("_before") != F.col("_value"))).drop("_before"))
     end = None if as_of is None else df.sparkSession.range(1).select(micros(at(as_of))).first()[0]
     if end is not None:
         states = states.filter(F.col("_us") <= end)
@@ -317,6 +321,37 @@ def request_floods(acc: DataFrame, per_minute: int = fixed.FLOOD_REQUESTS_PER_MI
     return throttle(found, ["remote_addr"], "minute", cooldown, order=["requests"]) if cooldown else found
 
 
+WINDOW_US = 60_000_000
+
+
+def first_request_floods(acc: DataFrame, per_minute: int = fixed.FLOOD_REQUESTS_PER_MINUTE,
+                         cooldown: float | None = fixed.FLOOD_COOLDOWN_SECONDS) -> DataFrame:
+    """As `request_floods`, but a client's minute starts with its first request: (opened, remote_addr, at, requests, latest_path).
+
+    The request after a minute is over opens the next one, which is a cooldown of a minute over all requests. The
+    `per_minute`-th request of a minute and each one after it would be an alert; with a cooldown, one passes per pause.
+    Requests of one time go by path. A null client is a client; requests without a time are none.
+
+    A minute reaches into two slots of the clock at most, and a slot sees at most one opened in it. So requests find theirs by client and
+    slot: a client with a third of all requests is spread over its minutes.
+    """
+    client = F.coalesce(F.col("remote_addr"), F.lit("")).alias("client")
+    counted = cut_lineage(acc.filter(F.col("Timestamp").isNotNull())
+                          .groupBy(client, F.col("remote_addr").isNull().alias("unknown"), micros("Timestamp").alias("us"), "path").agg(F.count(F.lit(1)).alias("n")))
+    key = ["client", "unknown"]
+    slot = lambda us: F.floor(us / F.lit(WINDOW_US)).cast("bigint")
+    times = counted.select(*key, "us").distinct().withColumn("t", from_micros(F.col("us")))
+    openers = (throttle(times, key, "t", WINDOW_US / 1_000_000, order=["us"])
+               .select(*key, F.col("us").alias("start"), F.explode(F.array(slot(F.col("us")), slot(F.col("us")) + 1)).alias("slot")))
+    placed = (counted.withColumn("slot", slot(F.col("us"))).join(openers, [*key, "slot"])
+              .filter((F.col("us") >= F.col("start")) & (F.col("us") < F.col("start") + WINDOW_US)))
+    so_far = Window.partitionBy(*key, "start").orderBy("us", F.col("path").isNotNull(), "path").rowsBetween(Window.unboundedPreceding, 0)
+    found = (placed.withColumn("total", F.sum("n").over(so_far)).filter(F.col("total") >= per_minute)
+             .select(from_micros(F.col("start")).alias("opened"), F.when(~F.col("unknown"), F.col("client")).alias("remote_addr"), from_micros(F.col("us")).alias("at"),
+                     F.greatest(F.lit(per_minute), F.col("total") - F.col("n") + 1).cast("bigint").alias("requests"), F.col("path").alias("latest_path")))
+    return throttle(found, ["remote_addr"], "at", cooldown, order=["requests"]) if cooldown else found
+
+
 def flood_message(floods: DataFrame) -> DataFrame:
     """Flooding clients as notification rows."""
     message = F.concat(F.lit("High request volume from IP "), "remote_addr", F.lit(": "), F.col("requests").cast("string"),

@@ -135,13 +135,43 @@ def confirmed_transitions(spark, sf):
     return detect.down_up_transitions(views.logs(spark, sf), 7200, views.AS_OF, ["ContainerName"], snaps, 3600)
 
 
-@register("state_transitions", "DET-5")
-def state_transitions(spark, sf):
-    """States followed through each silence: no SQL of reasonable size; tests compare with a plain loop."""
-    snaps = spark.sql(
+# One step per moment of a container: the second look that has become due, then what the moment says.
+_FOLDED = """
+, known AS (SELECT * FROM snaps WHERE snapshot_ts <= TIMESTAMP '{as_of}'
+  QUALIFY state IS DISTINCT FROM lag(state) OVER (PARTITION BY ContainerName ORDER BY snapshot_ts)),
+moments AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY moment, kind) AS i FROM (
+  SELECT ContainerName AS k, snapshot_ts AS moment, 0 AS kind, state = 'running' AS up, NULL::TIMESTAMP AS since FROM known
+  UNION ALL SELECT ContainerName, until, 1, NULL, NULL FROM g WHERE until IS NOT NULL
+  UNION ALL SELECT ContainerName, last_log + INTERVAL 2 HOUR, 2, NULL, last_log FROM g)),
+folded AS (
+  SELECT DISTINCT k, 0::BIGINT AS i, true AS running, false AS down, false AS silent, NULL::TIMESTAMP AS look, NULL::TIMESTAMP AS last,
+    NULL::TIMESTAMP AS looked, NULL::TIMESTAMP AS looked_last, NULL::VARCHAR AS type, NULL::TIMESTAMP AS moment FROM moments
+  UNION ALL
+  SELECT k, i, running, CASE WHEN up THEN false WHEN fell THEN true ELSE still_down END, silent,
+    CASE WHEN up THEN NULL WHEN fell THEN moment + INTERVAL 1 HOUR ELSE look END, last, looked, looked_last,
+    CASE WHEN up THEN 'container_recovered' WHEN fell THEN 'container_down' END, moment
+  FROM (SELECT *, still_down AND NOT silent AND running AS up, silent AND NOT running AND NOT still_down AS fell FROM (
+    SELECT m.k, m.i, m.moment, CASE m.kind WHEN 0 THEN m.up ELSE f.running END AS running,
+      CASE m.kind WHEN 1 THEN false WHEN 2 THEN true ELSE f.silent END AS silent, CASE m.kind WHEN 2 THEN m.since ELSE f.last END AS last,
+      CASE WHEN f.look < m.moment AND f.down AND f.silent AND f.running THEN f.look END AS looked, f.last AS looked_last,
+      f.down AND NOT coalesce(f.look < m.moment AND f.silent AND f.running, false) AS still_down, CASE WHEN f.look >= m.moment THEN f.look END AS look
+    FROM folded f JOIN moments m ON m.k = f.k AND m.i = f.i + 1)))
+SELECT k AS ContainerName, type, CASE type WHEN 'container_down' THEN 'critical' ELSE 'info' END AS severity, moment AS "at", last AS last_log FROM folded WHERE type IS NOT NULL
+UNION ALL SELECT k, 'container_recovered', 'info', looked, looked_last FROM folded WHERE looked IS NOT NULL
+UNION ALL SELECT k, 'container_recovered', 'info', look, last FROM folded
+  WHERE down AND silent AND running AND look <= TIMESTAMP '{as_of}' AND (k, i) IN (SELECT k, max(i) FROM moments GROUP BY k)"""
+
+
+def _order_snapshots(spark, sf):
+    return spark.sql(
         _SNAPS.replace("TIMESTAMP '2024-01-01 00:00:00'", views.T0_SPARK).replace("FROM orders", "FROM {given}"),
         given=views.table(spark, sf, "orders"))
-    return detect.state_transitions(views.logs(spark, sf), snaps, 7200, views.AS_OF, ["ContainerName"], 3600)
+
+
+@register("state_transitions", "DET-5", given("logs", g=_gaps("ContainerName", "logs", 7200), snaps=_SNAPS).replace("WITH ", "WITH RECURSIVE ", 1)
+          + _FOLDED.replace("{as_of}", views.AS_OF))
+def state_transitions(spark, sf):
+    return detect.state_transitions(views.logs(spark, sf), _order_snapshots(spark, sf), 7200, views.AS_OF, ["ContainerName"], 3600)
 
 
 @register("service_silences", "DET-6", given("logs", keyed=_KEYED, k="SELECT *, concat(host_id, '/', compose_project, '/', compose_service) AS service_key FROM keyed")
@@ -176,6 +206,19 @@ def request_floods(spark, sf):
     return detect.request_floods(views.access(spark, sf), 2, 43200)
 
 
+@register("first_request_floods", "DET-7", given("acc", times="SELECT DISTINCT remote_addr, Timestamp FROM acc").replace("WITH ", "WITH RECURSIVE ", 1) + """
+, following AS (SELECT remote_addr, Timestamp AS start, min(Timestamp) OVER (PARTITION BY remote_addr ORDER BY Timestamp
+  RANGE BETWEEN INTERVAL 60 SECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM times),
+openers AS (SELECT remote_addr, min(Timestamp) AS start FROM acc GROUP BY remote_addr
+  UNION ALL SELECT o.remote_addr, f.next FROM openers o JOIN following f ON o.remote_addr = f.remote_addr AND o.start = f.start WHERE f.next IS NOT NULL),
+counted AS (SELECT o.start AS opened, a.remote_addr, a.Timestamp AS "at", a.path AS latest_path,
+    row_number() OVER (PARTITION BY a.remote_addr, o.start ORDER BY a.Timestamp, a.path) AS requests
+  FROM acc a ASOF JOIN openers o ON a.remote_addr = o.remote_addr AND a.Timestamp >= o.start)
+SELECT * FROM counted WHERE requests >= 2 QUALIFY row_number() OVER (PARTITION BY remote_addr, "at", latest_path ORDER BY requests) = 1""")
+def first_request_floods(spark, sf):
+    return detect.first_request_floods(views.access(spark, sf), 2, None)
+
+
 @register("flood_notifications", "DET-7", given("acc", f=_FLOOD) + """
 SELECT 'log_spam' AS type, 'Request Spam Detected' AS title, minute AS created_at,
   concat('High request volume from IP ', remote_addr, ': ', requests, ' requests/min. Latest path: ', latest_path) AS message FROM f""")
