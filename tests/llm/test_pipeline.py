@@ -85,3 +85,13 @@ def test_empty_documents(spark, tmp_path, sf_dir):
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_with_names_that_stages_use(spark, sf_dir):
+    names = ["__hash", "__doc", "__raw", "__id", "__key", "__secrets", "own_id", "own_raw", "own_digest", "own_key", "own_given_id", "own_given_key", "own__secrets", "node", "f", "raw"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    docs = docs.selectExpr("*", *(f"{i} AS {name}" for i, name in enumerate(names)))
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_benchmark_leaks, corpus_pipeline.redact_secrets, corpus_pipeline.keep_quality):
+        kept = stage(spark, docs, sf_dir)
+        assert kept.columns == docs.columns
+        assert all([r[n] for n in names] == list(range(len(names))) for r in kept.collect())

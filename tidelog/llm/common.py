@@ -38,6 +38,11 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let_shuffles_go(spark: SparkSession) -> None:
+    """Asks the driver to collect garbage: Spark's cleaner deletes the shuffle files of frames that are gone only after that."""
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus. Its rows are texts: where the session leaves that open, fewer of them go to Python at once."""
     if spark.conf.get(BATCH) == "10000":  # the default
@@ -84,3 +89,12 @@ def numbered(df: DataFrame, group: str, *order: str) -> DataFrame:
     starts = parts.select(group, "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("move"))
     return (laid.alias("l").join(starts.alias("s"), same("l", "s", group, "part"))
             .select(*(F.col(f"l.{name}") for name in df.columns), (F.col("l.at") + F.col("s.move")).alias("number")))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of one's own that no column of df has."""
+    taken = {name.lower() for name in df.columns}
+    prefix = "own_"
+    while any((prefix + name).lower() in taken for name in names):
+        prefix += "_"
+    return [prefix + name for name in names]

@@ -17,7 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidelog.llm.common import written
+from tidelog.llm.common import free_names, written
 
 MAX_BROADCAST_ROWS = 1_000_000
 BREAKS = "[\\x20\\x09-\\x0D]+"
@@ -197,10 +197,11 @@ def scan(docs: DataFrame, reviewed: DataFrame | None = None, threshold: float =
 
 def redacted(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every secret of `scan` replaced in the text; all rows and columns stay as they are otherwise."""
-    kept = docs.columns
-    secrets = (found.where("is_secret").groupBy(F.col("doc_key").alias("__key"))
-               .agg(F.array_sort(F.collect_set("candidate"), lambda a, b: F.length(b) - F.length(a)).alias("__secrets")))
-    keyed = docs.withColumn("__doc", doc_key(id_col, text_col)).join(secrets, F.col("__doc") == F.col("__key"), "left")
-    text = F.when(F.col("__secrets").isNotNull(), F.aggregate(
-        "__secrets", F.col(text_col), lambda text, secret: F.replace(text, secret, F.lit(mark)))).otherwise(F.col(text_col))
-    return keyed.withColumn(text_col, text).select(*kept)
+    key, given_id, given_key, own = free_names(docs, "key", "given_id", "given_key", "secrets")
+    secrets = (found.where("is_secret").groupBy(F.col("doc_id").alias(given_id), F.col("doc_key").alias(given_key))
+               .agg(F.array_sort(F.collect_set("candidate"), lambda a, b: F.length(b) - F.length(a)).alias(own)))
+    keyed = docs.withColumn(key, doc_key(id_col, text_col)).join(
+        secrets, (F.col(key) == F.col(given_key)) & F.col(id_col).eqNullSafe(F.col(given_id)), "left")
+    text = F.when(F.col(own).isNotNull(), F.aggregate(
+        own, F.col(text_col), lambda text, secret: F.replace(text, secret, F.lit(mark)))).otherwise(F.col(text_col))
+    return keyed.withColumn(text_col, text).select(*docs.columns)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tidelog.llm.common import slices, written
+from tidelog.llm.common import drop_written, free_names, let_shuffles_go, slices, written
 from tidelog.llm.graph import components
 from tidelog.llm.tokens import let_go
 
@@ -113,8 +114,21 @@ def bucket_links(keyed: DataFrame, near: Near, bucket_rows: int = BUCKET_ROWS) -
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
               .groupBy("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
               .agg(F.collect_list(member).alias("rows")))
-    node = keyed.schema["node"].dataType
+    return _compared(small.select("rows").union(paired.select("rows")), keyed.schema["node"].dataType, near)
 
+
+def counted_links(keyed: DataFrame, near: Near, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """`bucket_links` where keyed(key, node, f, count) knows each bucket's size already, at most: rows are dealt once."""
+    parts = F.ceil(F.col("count") / bucket_rows).cast("int")
+    part = F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int")
+    groups = (keyed.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+              .groupBy("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+              .agg(F.collect_list(F.struct("node", "f")).alias("rows")).select("rows"))
+    return _compared(groups, keyed.schema["node"].dataType, near)
+
+
+def _compared(groups: DataFrame, node: T.DataType, near: Near) -> DataFrame:
+    """Links (a, b) within each list of `groups(rows)`."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
             rows = batch.column(0)
@@ -127,7 +141,7 @@ def bucket_links(keyed: DataFrame, near: Near, bucket_rows: int = BUCKET_ROWS) -
             yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b))], ["a", "b"])
 
     schema = T.StructType([T.StructField("a", node), T.StructField("b", node)])
-    return small.select("rows").union(paired.select("rows")).where(F.size("rows") > 1).mapInArrow(run, schema)
+    return groups.where(F.size("rows") > 1).mapInArrow(run, schema)
 
 
 def links_within(words: np.ndarray, starts: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +217,8 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, id_co
 
 
 PARITY_WORDS = 32  # 64-bit words of a parity sketch
-COMMON_TEXTS, COMMON_SHINGLES, COMMON_BYTES = 4_000, 50_000, 100_000
+SHORT_WORDS, SHORT_SHINGLES = 8, 1_000  # those of sets that are not larger: it rules out enough of them
+COMMON_TEXTS, COMMON_SHINGLES, COMMON_BYTES = 16_000, 200_000, 100_000
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
@@ -242,7 +257,7 @@ def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, often: np.
 
 
 def common_shingles(docs: DataFrame, shingle: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in 3 or more of about COMMON_TEXTS texts taken by hash, ascending, and in how many: at most
+    """Shingles that stand in 2 or more of about COMMON_TEXTS texts taken by hash, ascending, and in how many: at most
     COMMON_SHINGLES reach the driver. They only set an order, so a sample does."""
     share = min(1.0, COMMON_TEXTS / max(1, docs.count()))
     key = F.pmod(F.xxhash64(text_col), F.lit(1 << 30))
@@ -254,7 +269,7 @@ def common_shingles(docs: DataFrame, shingle: int, text_col: str) -> tuple[np.nd
             found = [np.unique(shingle_hashes(x, shingle)) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
 
-    seen = (given.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
+    seen = (given.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 2")
             .orderBy(F.col("n").desc(), "h").limit(COMMON_SHINGLES).toArrow())
     common, often = np.asarray(seen.column(0)).view(np.uint64), np.asarray(seen.column(1))
     order = np.argsort(common)
@@ -284,7 +299,7 @@ def sketches(docs: DataFrame, similarity: float, shingle: int, id_col: str, text
     return given.mapInArrow(run, f"doc_id {given.schema[0].dataType.simpleString()}, raw long, words_key string, n long, f array<long>, keys array<long>")
 
 
-def near_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, part_shingles: int = 200_000,
+def near_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, part_shingles: int = 1_000_000,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, raw, component) per row of docs: texts whose sets of word shingles have a Jaccard similarity of at least `similarity`
     are linked; component is the same for all that links join.
@@ -294,31 +309,49 @@ def near_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     that no two texts are linked which are less similar. Texts with equal words are one node. Null, empty and blank texts have
     equal words (none). raw is a hash of the text.
     """
-    found = written(sketches(docs, similarity, shingle, id_col, text_col), "sketches")
-    nodes = written(found.groupBy("words_key").agg(F.min(F.struct("n", "f", "keys")).alias("s")).select("words_key", "s.*")
-                    .withColumn("node", F.monotonically_increasing_id()), "nodes")
-    keyed = nodes.where("n > 0").select(F.explode("keys").alias("key"), "node")
-    shared = keyed.groupBy("key").count().where("count > 1").select("key")  # most shingles stand in one text alone
-    met = keyed.join(shared, "key").join(nodes.select("node", "f"), "node").select("key", "node", "f")
-    rough = written(components(bucket_links(written(met, "met"), may_be_similar(similarity))), "rough")
-    members = nodes.join(rough, "node").select("node", "words_key", "n", "root")
-    links = _verified(docs, found, members, similarity, shingle, part_shingles, id_col, text_col)
-    joined = components(links).select(F.col("node").alias("member"), F.col("root").alias("r"))
+    found = written(sketches(docs, similarity, shingle, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    rows = written(found.select("row", "doc_id", "raw", "words_key"), "rows")
+    nodes = written(found.groupBy("words_key").agg(F.min("row").alias("node"), F.min("n").alias("n")), "nodes")
+    rough = written(components(_may_meet(found, nodes, similarity)), "rough")
+    drop_written(found)
+    let_shuffles_go(docs.sparkSession)
+    members = nodes.join(rough, "node").select("node", "n", "root")
+    links = _verified(docs, rows, members, similarity, shingle, part_shingles, id_col, text_col)
+    joined = written(components(links).select(F.col("node").alias("member"), F.col("root").alias("r")), "joined")
+    drop_written(rough)
+    let_shuffles_go(docs.sparkSession)
     ids = (nodes.join(joined, F.col("node") == F.col("member"), "left")
            .select(F.col("words_key").alias("w"), F.coalesce("r", "node").alias("component")))
-    return found.join(ids, F.col("words_key") == F.col("w")).select("doc_id", "raw", "component")
+    return rows.join(ids, F.col("words_key") == F.col("w")).select("doc_id", "raw", "component")
+
+
+def _may_meet(found: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links between nodes that share a key of their prefixes and may be similar by size and parity.
+
+    Keys travel with a number alone until it is known which stand in several texts (most stand in one). Then sketches are joined: short ones
+    for sets of up to SHORT_SHINGLES, whole ones for larger sets. The two kinds overlap, so that sets whose sizes are within the
+    similarity of each other meet in one of them.
+    """
+    own = found.where("n > 0").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+    keyed = own.select(F.col("row").alias("node"), F.explode("keys").alias("key"))
+    met = keyed.withColumn("count", F.count("*").over(Window.partitionBy("key"))).where("count > 1")
+    folds = [reduce(lambda a, b: a.bitwiseXOR(b), (F.col("f")[1 + i] for i in range(w, PARITY_WORDS, SHORT_WORDS))) for w in range(SHORT_WORDS)]
+    sketch = own.select(F.col("row").alias("node"), "n", "f")
+    short = sketch.where(F.col("n") <= SHORT_SHINGLES).select("node", F.array(F.col("f")[0], *folds).alias("f"))
+    long = sketch.where(F.col("n") >= int(similarity * SHORT_SHINGLES)).select("node", "f")
+    links = [counted_links(met.join(kind, "node"), may_be_similar(similarity)) for kind in (short, long)]
+    return links[0].union(links[1])
 
 
 def _verified(docs: DataFrame, found: DataFrame, members: DataFrame, similarity: float, shingle: int, part_shingles: int,
               id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between nodes that are as similar as that, found within the rough components of members(node, words_key, n, root).
+    """Links (a, b) between nodes that are as similar as that, found within the rough components of members(node, n, root).
 
     A component with many shingles is cut into parts, and each pair of parts is a group: no task holds a component.
     """
     parts = members.groupBy("root").agg(F.ceil(F.sum("n") / part_shingles).cast("int").alias("parts"))
-    # One text per node: that of the smallest hash and id among the rows with its words.
-    chosen = (found.join(members.select("words_key", "node"), "words_key").groupBy("node").agg(F.min(F.struct("raw", "doc_id")).alias("c"))
-              .select("node", F.col("c.raw").alias("raw"), F.col("c.doc_id").alias("id")))
+    # One text per node: that of the row it is named after.
+    chosen = (found.join(members.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "raw", F.col("doc_id").alias("id")))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).cast("binary").alias("data"))
     own = texts.join(chosen, (F.col("hash") == F.col("raw")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "data")
 
@@ -383,7 +416,8 @@ def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: i
     """
     found = near_components(docs, similarity, shingle, id_col=id_col, text_col=text_col, **more)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "raw")).alias("first")
-    stay = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.raw").alias("__raw"))
-    keyed = docs.withColumn("__hash", F.xxhash64(text_col))
-    kept = keyed.join(stay, (F.col("__hash") == F.col("__raw")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_col, "__hash"]).select(*docs.columns)
+    given_id, given_raw, digest = free_names(docs, "id", "raw", "digest")
+    stay = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias(given_id), F.col("first.raw").alias(given_raw))
+    keyed = docs.withColumn(digest, F.xxhash64(text_col))
+    kept = keyed.join(stay, (F.col(digest) == F.col(given_raw)) & F.col(id_col).eqNullSafe(F.col(given_id)), "left_semi")
+    return kept.dropDuplicates([id_col, digest]).select(*docs.columns)
