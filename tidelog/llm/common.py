@@ -81,8 +81,10 @@ def numbered(df: DataFrame, group: str, *order: str) -> DataFrame:
     Rows are dealt by range and sorted in place; only the first row and the count of each part and group are looked at
     to tell where a part goes on. So a group of any size is spread over many tasks. Nulls come first.
     """
-    laid = written(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    given = written(df, "unnumbered")  # dealing by range looks at the rows twice
+    laid = written(given.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
                    .withColumn("at", F.monotonically_increasing_id()), "numbered")
+    drop_written(given)
     laid = laid.withColumn("part", F.shiftright("at", 33))
     parts = laid.groupBy(group, "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

@@ -30,6 +30,7 @@ TERM_RANKS = 200
 SCALE = 1_000_000_000
 CHUNK_TERMS = 1024  # of a language that are compared across sources at once
 BATCH_BYTES = 4 << 20
+HELD_TERMS, HELD_NUMBERS = 500_000, 4_000_000  # what a task gathers before it passes counts on
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -71,8 +72,8 @@ def _groups(batch: pa.RecordBatch, size: int = BATCH_BYTES) -> Iterator[tuple[tu
 def document_counts(given: DataFrame) -> DataFrame:
     """(lang, term, docs): in how many documents each term stands."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, Counter] = {}
         for batch in batches:
-            seen: dict[str, Counter] = {}
             for (lang, _), texts in _groups(batch):
                 counter = seen.setdefault(lang, Counter())
                 data, starts, stops, text = _stretches(texts)
@@ -80,9 +81,17 @@ def document_counts(given: DataFrame) -> DataFrame:
                 cut = np.searchsorted(text, np.arange(len(texts) + 1))
                 for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
                     counter.update({raw[x:y] for x, y in zip(starts[a:b].tolist(), stops[a:b].tolist())})
-            for lang, counter in seen.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter), pa.string()), pa.array(list(counter), pa.binary()),
-                                                  pa.array(list(counter.values()), pa.int64())], ["lang", "term", "docs"])
+            if sum(map(len, seen.values())) > HELD_TERMS:
+                yield from told(seen)
+                seen = {}
+        yield from told(seen)
+
+    def told(seen: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, counter in seen.items():
+            terms, counts = pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())
+            for at in range(0, len(counter), 1 << 16):
+                part = terms.slice(at, 1 << 16)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, counts.slice(at, 1 << 16)], ["lang", "term", "docs"])
 
     return given.select("lang", "source", "data").mapInArrow(count, "lang string, term binary, docs long").groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
 
@@ -123,17 +132,25 @@ def _streamed(given: DataFrame, made: DataFrame, shard_terms: int) -> DataFrame:
 
     def recount(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = {lang: [(base, transducer.Transducer.from_bytes(data)) for base, data in own] for lang, own in sent.value.items()}
+        total: dict[tuple[str, str], list] = {}
+        held = 0
         for batch in batches:
-            total: dict[tuple[str, str], list] = {}
             for key, texts in _groups(batch):
                 data, starts, stops, _ = _stretches(texts)
                 for base, machine in ready.get(key[0], ()):
                     number = transducer.ordinals(machine, data, starts, stops)
                     total.setdefault(key, []).append(number[number >= 0] + base)
-            for (lang, source), numbers in total.items():
-                number, n = np.unique(np.concatenate(numbers), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(number), pa.string()), pa.array([source] * len(number), pa.string()), pa.array(number), pa.array(n)],
-                                                 ["lang", "source", "number", "n"])
+                    held += len(total[key][-1])
+            if held > HELD_NUMBERS:
+                yield from told(total)
+                total, held = {}, 0
+        yield from told(total)
+
+    def told(total: dict[tuple[str, str], list]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), numbers in total.items():
+            number, n = np.unique(np.concatenate(numbers), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(number), pa.string()), pa.array([source] * len(number), pa.string()),
+                                              pa.array(number), pa.array(n)], ["lang", "source", "number", "n"])
 
     return given.mapInArrow(recount, "lang string, source string, number long, n long")
 
@@ -182,9 +199,6 @@ def _dealt(given: DataFrame, made: DataFrame, shard_terms: int) -> DataFrame:
     return both.mapInArrow(look_up, "lang string, source string, number long, n long")
 
 
-SHARE = f"1 + (cast({SCALE} as decimal(10, 0)) * cast(%s + 1 as decimal(20, 0))) div cast(%s + terms as decimal(20, 0))"
-
-
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, term_ranks: int = TERM_RANKS, shard_terms: int = SHARD_TERMS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(lang, source, part, item, value, rank) of `docs(text, lang, source)`; further columns have no say.
 
@@ -205,31 +219,46 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, term_ranks: int = TERM_
     groups = written(given.select("lang", "source").distinct().alias("g")
                      .join(totals.alias("t"), same("g", "t", "lang", "source"), "left").join(terms.alias("v"), same("g", "v", "lang"), "left")
                      .select("g.lang", "g.source", F.coalesce("t.total", zero).alias("total"), F.coalesce("v.terms", zero).alias("terms")), "groups")
-    return _pairs(counts, groups).unionByName(_terms(counts, groups, kept, term_ranks))
+    found = written(_compared(counts, groups, term_ranks), "compared")
+    return _pairs(found, groups).unionByName(_terms(found, kept, term_ranks))
 
 
-def _pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
-    """Sources meet in blocks of CHUNK_TERMS terms, each a table of terms by sources; the sums of the blocks are summed up."""
+def _compared(counts: DataFrame, groups: DataFrame, term_ranks: int) -> DataFrame:
+    """(lang, source, item, number, value) of each block of CHUNK_TERMS terms, a table of terms by sources: per pair of sources
+    the sum over the block's terms, and per source those of its terms that may be among the first `term_ranks` (without item)."""
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("source")
         sources, totals = right.column("source").to_pylist(), [int(x) for x in right.column("total").to_pylist()]
         number, terms = np.asarray(left.column("number").combine_chunks()), right.column("terms")[0].as_py()
-        # Numbers leave no gap, so the last block has what is left of them.
-        size = min(CHUNK_TERMS, terms - number[0] // CHUNK_TERMS * CHUNK_TERMS)
-        n = np.zeros((len(sources), size), object if max(totals) * SCALE >= 1 << 62 else np.int64)
+        first = int(number[0]) // CHUNK_TERMS * CHUNK_TERMS
+        size = min(CHUNK_TERMS, terms - first)  # numbers leave no gap, so the last block has what is left of them
+        n = np.zeros((len(sources), size), object if sum(totals) * SCALE >= 1 << 62 else np.int64)
         where = {source: i for i, source in enumerate(sources)}
-        n[[where[s] for s in left.column("source").to_pylist()], number % CHUNK_TERMS] = left.column("n").to_pylist()
+        n[[where[s] for s in left.column("source").to_pylist()], number - first] = left.column("n").to_pylist()
         share = np.array([1 + SCALE * (row + 1) // (total + terms) for row, total in zip(n, totals)]).astype(np.int64)
+        whole = (1 + SCALE * (n.sum(axis=0) + 1) // (sum(totals) + terms)).astype(np.int64)
         sums = [((p - share) ** 2 // share).sum(axis=1) for p in share]
         i, j = np.nonzero(~np.eye(len(sources), dtype=bool))
+        rows = [(i, j, np.full(len(i), -1), np.array(sums, np.int64).reshape(len(sources), -1)[i, j])]
+        for k, p in enumerate(share):
+            more = np.flatnonzero((n[k] > 0) & (p > whole))
+            value = (p[more] - whole[more]) ** 2 // whole[more]
+            top = np.lexsort((more, -value))[:term_ranks]
+            rows.append((np.full(len(top), k), np.full(len(top), -1), first + more[top], value[top]))
+        i, j, number, value = (np.concatenate(column).astype(np.int64) for column in zip(*rows))
         name = pa.array(sources, pa.string())
-        return pa.table([pa.array([right.column("lang")[0].as_py()] * len(i), pa.string()), name.take(pa.array(i)), name.take(pa.array(j)),
-                         pa.array(np.array(sums, np.int64).reshape(len(sources), -1)[i, j])], ["lang", "source", "item", "value"])
+        return pa.table([pa.array([right.column("lang")[0].as_py()] * len(i), pa.string()), name.take(pa.array(i)),
+                         name.take(pa.array(j, mask=j < 0)), pa.array(number, mask=number < 0), pa.array(value)], ["lang", "source", "item", "number", "value"])
 
     blocks = counts.withColumn("chunk", F.floor(F.col("number") / CHUNK_TERMS).cast("long"))
-    chunks = blocks.select("lang", "chunk").distinct().alias("c").join(groups.alias("g"), same("c", "g", "lang")).select("g.*", F.col("c.chunk").alias("block"))
-    summed = (blocks.groupBy("lang", "chunk").cogroup(chunks.groupBy("lang", "block"))
-              .applyInArrow(compare, "lang string, source string, item string, value long").groupBy("lang", "source", "item").agg(F.sum("value").alias("value")))
+    chunks = (blocks.select("lang", "chunk").distinct().alias("c").join(groups.alias("g"), same("c", "g", "lang"))
+              .select("g.*", F.col("c.chunk").alias("block")))
+    return (blocks.groupBy("lang", "chunk").cogroup(chunks.groupBy("lang", "block"))
+            .applyInArrow(compare, "lang string, source string, item string, number long, value long"))
+
+
+def _pairs(found: DataFrame, groups: DataFrame) -> DataFrame:
+    summed = found.where("item is not null").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     all_pairs = (groups.alias("a").join(groups.alias("b"), (F.col("a.lang") == F.col("b.lang")) & (F.col("a.source") != F.col("b.source")))
                  .select("a.lang", "a.source", F.col("b.source").alias("item")))
     return (all_pairs.alias("p").join(summed.alias("s"), same("p", "s", "lang", "source", "item"), "left")
@@ -237,14 +266,8 @@ def _pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
             .withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))))
 
 
-def _terms(counts: DataFrame, groups: DataFrame, kept: DataFrame, term_ranks: int) -> DataFrame:
-    of_lang = counts.groupBy("lang", "number").agg(F.sum("n").alias("n_lang"))
-    totals = groups.groupBy("lang").agg(F.sum("total").alias("total_lang"))
-    shares = (counts.alias("c").join(groups.alias("g"), same("c", "g", "lang", "source")).join(of_lang.alias("l"), same("c", "l", "lang", "number"))
-              .join(totals.alias("t"), same("c", "t", "lang")).select("c.lang", "c.source", "c.number", "c.n", "l.n_lang", "g.total", "t.total_lang", "g.terms")
-              .select("lang", "source", "number", F.expr(SHARE % ("n", "total")).cast("long").alias("p"),
-                      F.expr(SHARE % ("n_lang", "total_lang")).cast("long").alias("q")).where("p > q"))
-    first = (shares.withColumn("value", F.expr("((p - q) * (p - q)) div q"))
-             .withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "number"))).where(F.col("rank") <= term_ranks))
+def _terms(found: DataFrame, kept: DataFrame, term_ranks: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "number"))
+    first = found.where("number is not null").withColumn("rank", rank).where(F.col("rank") <= term_ranks)
     return (first.alias("f").join(kept.alias("k"), same("f", "k", "lang", "number"))
             .select("f.lang", "f.source", F.lit("term").alias("part"), F.col("k.term").cast("string").alias("item"), "f.value", "f.rank"))
