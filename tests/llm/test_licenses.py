@@ -56,3 +56,29 @@ def test_empty_table_and_plan(spark):
     assert empty.count() == 0
     plan = empty._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
+
+
+def changed(words):
+    """Every way to put a word between, leave an inner one out, or replace an inner one."""
+    for i in range(1, len(words) - 1):
+        yield words[:i] + words[i + 1:]
+        yield words[:i] + ["zzz"] + words[i + 1:]
+    for i in range(1, len(words)):
+        yield words[:i] + ["zzz"] + words[i:]
+
+
+def test_notices_with_one_word_changed_keep_their_label(spark):
+    """From five words on; shorter ones would fall below 0.8. Some changes make another notice: those are its own."""
+    rows, wanted, whole = [], {}, {text for text, _ in licenses.NOTICES}
+    for text, label in licenses.NOTICES:
+        words = text.split()
+        for variant in [words, *(v for v in (changed(words) if len(words) >= 5 else []) if " ".join(v) not in whole)]:
+            wanted[len(rows)] = label
+            rows.append((len(rows), "some words before " + " ".join(variant) + " and some after"))
+    missing = [(rows[r.doc_id][1], r.labels) for r in results(spark, rows) if wanted[r.doc_id] not in r.labels.split(",")]
+    assert missing == []
+
+
+def test_the_better_of_two_notices_stays(spark):
+    rows = [(0, "licensed under cc by nc 4 0"), (1, "gnu lesser general public license"), (2, "public license and the terms of a domain under the software")]
+    assert [r.labels for r in sorted(results(spark, rows), key=lambda r: r.doc_id)] == ["cc-by,cc-by-nc-4.0", "gpl,lgpl", ""]
