@@ -10,6 +10,7 @@ from tidelog.plans import detect_queries, views  # noqa: F401 - the cooldown che
 from tidelog.plans.registry import REGISTRY, given, register
 from tidelog.session import shared_dir
 from tidelog.sources import schema, sinks
+from tidelog.sources.tailing import tail_lines
 from tidelog.streaming import stateful, tails
 
 _EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -176,3 +177,16 @@ def deduplicated_stream(spark, sf):
     rows = log_stream(spark, sf).select("LogId", "Timestamp")
     twice = rows.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
     return _written(spark, tails.with_lateness(twice, "Timestamp", "1 hour", ["LogId"]), "dedup")
+
+
+@register("tailed_lines", "SRC-3", "SELECT concat(event_id, ' ', event_type, ' of user ', user_id) AS value FROM events")
+def tailed_lines(spark, sf):
+    """Lines of log files that are there, and of files that come later, each read in a trigger of its own."""
+    root = shared_dir(spark, "tailed")
+    events = views.table(spark, sf, "events")
+    line = F.concat(F.col("event_id").cast("string"), F.lit(" "), "event_type", F.lit(" of user "), F.col("user_id").cast("string")).alias("value")
+    for half in (0, 1):
+        events.filter(F.col("event_id") % 2 == half).select(line).write.mode("append").text(f"{root}/logs")
+        (tail_lines(spark, f"{root}/logs/*.txt").select("value").writeStream.option("checkpointLocation", f"{root}/checkpoint")
+         .trigger(availableNow=True).start(f"{root}/out").awaitTermination())
+    return spark.read.parquet(f"{root}/out")

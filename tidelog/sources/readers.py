@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidelog.functions.values import attr
 from tidelog.sources import schema
+from tidelog.sources.tailing import tail_lines
 
 
 def parse_container_lines(lines: DataFrame, value: str = "value", received: str | None = None) -> DataFrame:
@@ -52,6 +53,12 @@ def stream_container_logs(spark: SparkSession, path: str) -> DataFrame:
     return parse_container_lines(lines, received="_file_time").drop("_file_time")
 
 
+def tail_container_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of files that grow, from their beginning, as they are appended; one without a time has that of its arrival."""
+    lines = tail_lines(spark, path).select("value", F.col("path").alias("log_file"), F.current_timestamp().alias("_arrived"))
+    return parse_container_lines(lines, received="_arrived").drop("_arrived")
+
+
 def read_container_events(spark: SparkSession, path: str, exclude: Sequence[str] = ()) -> DataFrame:
     events = spark.read.schema(schema.CONTAINER_EVENT).json(path)
     return drop_containers(events, exclude)
@@ -78,6 +85,12 @@ def stream_access_lines(spark: SparkSession, path: str, max_age: str = "24h") ->
             .text(path).withColumnRenamed("value", "message"))
 
 
+def tail_access_lines(spark: SparkSession, path: str, max_age: timedelta | None = timedelta(hours=24), start_at_end: bool = True) -> DataFrame:
+    """Lines appended to access logs since the stream first started, of files that were changed within `max_age`."""
+    seconds = max_age.total_seconds() if max_age else None
+    return tail_lines(spark, path, start_at_end, seconds).select(F.col("value").alias("message"))
+
+
 def _attribute_map(attributes: Column) -> Column:
     """Attributes as a map: of a repeated key the last value counts, one without a key is left out."""
     named = F.filter(attributes, lambda a: a["key"].isNotNull())
