@@ -78,7 +78,8 @@ def _run_hash(words: list[Column]) -> Column:
 def _positions(spark: SparkSession, known: list[Template]) -> DataFrame:
     """(hash, run, template, t) of every run of every notice: as many rows as the notices have words."""
     rows = [F.struct(_run_hash([F.lit(w) for w in x.words[t:t + x.run]]).alias("hash"),
-                     F.lit(" ".join(x.words[t:t + x.run])).alias("run"), F.lit(i).alias("template"), F.lit(t).alias("t"))
+                     F.lit(" ".join(x.words[t:t + x.run])).alias("run"), F.lit(i).alias("template"), F.lit(t).alias("t"),
+                     F.lit(0 if x.base else len(x.words)).alias("notice_words"))
             for i, x in enumerate(known) for t in range(x.runs)]
     return spark.range(1).select(F.inline(F.array(*rows)))
 
@@ -128,13 +129,16 @@ def scan(docs: DataFrame, notices=NOTICES, base=BASE, coverage: float = 0.8, gap
     tried = begun.select("doc_id", "row", F.size("words").alias("n_words"), F.coalesce("pos", F.lit(0)).alias("pos"), around.alias("around"),
                          F.explode(F.array(*(F.struct(_run_hash([at(i) for i in range(n)]).alias("hash"),
                                                       F.concat_ws(" ", *(at(i) for i in range(n))).alias("run")) for n in runs))).alias("r"))
+    # Of a hit only the words near its notice go on.
+    placed_at = F.greatest(F.lit(0), F.col("pos") - F.col("t") - gap) - F.greatest(F.lit(0), F.col("pos") - reach)
     found = (tried.select("doc_id", "row", "n_words", "pos", "around", F.col("r.hash").alias("h"), F.col("r.run").alias("words"))
              .join(F.broadcast(_positions(docs.sparkSession, known)), (F.col("h") == F.col("hash")) & (F.col("words") == F.col("run")), "left")
-             .where("template is not null or pos = 0"))
+             .where("template is not null or pos = 0")
+             .withColumn("around", F.when(F.col("notice_words") > 0, F.slice("around", placed_at + 1, F.col("notice_words") + 4 * gap))))
     votes = (found.groupBy("row", "template", (F.col("pos") - F.col("t")).alias("diagonal"))
              .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.count("t").alias("votes"),
                   F.min("pos").alias("low"), F.max("pos").alias("high"),
-                  F.min(F.when(F.col("template").isNotNull(), F.struct("pos", "around"))).alias("seen")))
+                  F.min(F.when(F.col("notice_words") > 0, F.struct("pos", "around"))).alias("seen")))
     facts = F.inline(F.array(*(F.struct(F.lit(i).alias("number"), F.lit(x.label).alias("label"), F.lit(x.base).alias("base"),
                                         F.lit(len(x.words)).alias("length"), F.lit(x.runs).alias("runs"), F.lit(x.run).alias("of"),
                                         F.array(*map(F.lit, x.words)).alias("notice"), F.lit(_least_runs(x, coverage)).alias("least"))
