@@ -59,3 +59,22 @@ def test_client_summary_scans_once(spark, sf_dir):
 def test_top_k_is_not_a_full_sort(spark, sf_dir):
     plan = plan_of(access.top_paths(views.access(spark, sf_dir), views.AS_OF, views.HOURS))
     assert "TakeOrderedAndProject" in plan
+
+
+def test_context_moves_rows_of_the_anchors_slots_only(spark, sf_dir):
+    from tidelog.operators import search
+    logs = views.logs(spark, sf_dir)
+    anchors = logs.orderBy("LogId").limit(3).select("ContainerName", F.col("Timestamp").alias("anchor_ts"))
+    plan = plan_of(search.context_bulk(logs, anchors, 30))
+    # Bottom up, every scan of the log meets the broadcast slots before it is dealt or sorted.
+    lines = [line for line in plan.splitlines() if any(word in line for word in ("Exchange hashpartitioning", "Sort [", "BroadcastHashJoin", "FileScan"))]
+    scans = [i for i, line in enumerate(lines) if "FileScan" in line]
+    assert scans and all("BroadcastHashJoin" in lines[i - 1] and "LeftSemi" in lines[i - 1] for i in scans)
+
+
+def test_a_side_of_few_but_large_rows_is_not_broadcast(spark, monkeypatch):
+    from tidelog.operators import bounded
+    rows = spark.range(20).selectExpr("id", "repeat('x', 1000) AS body")
+    assert bounded.small_side(rows)._jdf.queryExecution().analyzed().toString().startswith("ResolvedHint")
+    monkeypatch.setattr(bounded, "MAX_BROADCAST_BYTES", 10_000)
+    assert not bounded.small_side(rows)._jdf.queryExecution().analyzed().toString().startswith("ResolvedHint")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidelog.session import cut_lineage
 
 MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_BYTES = 64 << 20  # as text
 
 
 def counted(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, int]:
@@ -16,9 +17,12 @@ def counted(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFram
 
 
 def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """A join side, marked for broadcast where it was counted to be small.
+    """A join side, marked for broadcast where it was counted to be small, in rows and in bytes.
 
     The other side is then not shuffled at all. A larger one is joined by a shuffle as usual.
     """
     kept, rows = counted(df, max_rows)
-    return F.broadcast(kept) if rows <= max_rows else kept
+    if rows > max_rows:
+        return kept
+    size = kept.agg(F.sum(F.octet_length(F.to_json(F.struct(*kept.columns))))).first()[0] or 0
+    return F.broadcast(kept) if size <= MAX_BROADCAST_BYTES else kept

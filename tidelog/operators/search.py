@@ -13,6 +13,7 @@ from tidelog.functions.values import at, before, micros, time_bounded
 from tidelog.operators.bounded import small_side
 from tidelog.operators.ordered import slot_of
 from tidelog.operators.scope import first_rows, service_name
+from tidelog.session import cut_lineage
 
 
 def not_gateway(df: DataFrame) -> DataFrame:
@@ -88,20 +89,21 @@ def around(df: DataFrame, anchors: DataFrame, seconds: int = 30, keys: Sequence[
 def context_bulk(df: DataFrame, anchors: DataFrame, seconds: int = 30, cap: int = 2000) -> DataFrame:
     """`context` for a table of (ContainerName, anchor_ts), up to `cap` rows per anchor.
 
-    Rows are numbered per container and time slot. An anchor knows how many rows of its first slot lie before its window, so
+    The log is cut down to the slots that the anchors' windows touch before anything else: where these are few, they are
+    broadcast and no other row moves. Rows are numbered per container and time slot. An anchor knows how many rows of its first slot lie before its window, so
     it meets only the next `cap` of them, and the first `cap` of the following slots: at most three times what is kept,
     however dense the rows are.
     """
     key, reach = "ContainerName", seconds * 1_000_000
     width = 2 * reach
     by_time = Window.partitionBy(key, "_slot").orderBy("_us", "LogId")
-    rows = (df.withColumn("_us", micros("Timestamp")).withColumn("_slot", slot_of(F.col("_us"), width))
-            .withColumn("_rank", F.row_number().over(by_time) - 1).withColumn("_block", F.floor(F.col("_rank") / cap)))
-    starts = (anchors.select(key, "anchor_ts").distinct().withColumn("_anchor_us", micros("anchor_ts"))
-              .withColumn("_us", F.col("_anchor_us") - reach).withColumn("_slot", slot_of(F.col("_us"), width)))
+    starts = cut_lineage(anchors.select(key, "anchor_ts").distinct().withColumn("_anchor_us", micros("anchor_ts"))
+                         .withColumn("_us", F.col("_anchor_us") - reach).withColumn("_slot", slot_of(F.col("_us"), width)))
+    touched = small_side(starts.select(key, F.explode(F.sequence(F.col("_slot"), slot_of(F.col("_anchor_us") + reach, width))).alias("_slot")).distinct())
+    near = df.withColumn("_us", micros("Timestamp")).withColumn("_slot", slot_of(F.col("_us"), width)).join(touched, [key, "_slot"], "left_semi")
+    rows = near.withColumn("_rank", F.row_number().over(by_time) - 1).withColumn("_block", F.floor(F.col("_rank") / cap))
     # How many rows of the slot lie before the window: both are merged in time order, never paired.
-    merged = (df.select(key, micros("Timestamp").alias("_us"), F.lit(1).alias("_row"))
-              .withColumn("_slot", slot_of(F.col("_us"), width))
+    merged = (near.select(key, "_us", F.lit(1).alias("_row"), "_slot")
               .join(starts.select(key, "_slot").distinct(), [key, "_slot"], "left_semi")
               .unionByName(starts.withColumn("_row", F.lit(0)), allowMissingColumns=True))
     passed = Window.partitionBy(key, "_slot").orderBy("_us", "_row").rowsBetween(Window.unboundedPreceding, 0)
