@@ -43,7 +43,7 @@ def test_components_equal_comparing_every_pair(spark, sf_dir):
     rows = rows_of(spark, sf_dir)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS node", "2 AS n", "'r' AS raw", "4 AS f").repartition(3)
     group = plain(rows)
-    for more in ({}, {"part_shingles": 2000}):
+    for more in ({}, {"part_shingles": 2000}, {"part_shingles": 2000, "part_words": 40}):
         found = simhash.near_components(df, **more).collect()
         assert len(found) == len(rows)
         by_row = {}
@@ -111,3 +111,25 @@ def test_the_prefix_of_similar_sets_has_a_common_member_in_any_order():
         assert len(np.intersect1d(a, b))
         rows = [np.concatenate([[np.uint64(len(x))], simhash.parity(x)]) for x in own]
         assert simhash.may_be_similar(0.8)(rows[0], rows[1])
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.8, 0.95])
+def test_similar_sets_have_sized_parities_of_one_length_that_pass(similarity):
+    numbers = np.random.default_rng(6)
+    for size in (1, 3, 16, 17, 127, 128, 129, 500, 1024, 1300, 6000):
+        for _ in range(6):
+            whole = np.unique(numbers.integers(0, 2**62, size).astype(np.uint64))
+            least = int(np.ceil(similarity * len(whole) - 1e-9))
+            pair = whole, numbers.choice(whole, numbers.integers(least, len(whole) + 1), replace=False)
+            own = [{len(f): np.concatenate([[np.uint64(len(x))], f]) for f in simhash.sized_parities(x, similarity)} for x in pair]
+            shortest = max(own[1])  # the length of the smaller set
+            assert shortest in own[0] and simhash.may_be_similar(similarity)(own[0][shortest], own[1][shortest])
+
+
+def test_sized_parities_tell_large_sets_apart():
+    numbers = np.random.default_rng(7)
+    a, b, c = (numbers.integers(0, 2**62, 6000).astype(np.uint64) for _ in range(3))
+    half = np.concatenate([a[:3000], b[3000:]])  # a third of all members in common
+    rows = [np.concatenate([[np.uint64(len(x))], simhash.sized_parities(x, 0.8)[0]]) for x in (a, c, half)]
+    near = simhash.may_be_similar(0.8)
+    assert not near(rows[0], rows[1]) and not near(rows[0], rows[2])

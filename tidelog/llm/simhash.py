@@ -127,10 +127,10 @@ def counted_links(keyed: DataFrame, near: Near, bucket_rows: int = BUCKET_ROWS)
     return _compared(groups, keyed.schema["node"].dataType, near)
 
 
-def _compared(groups: DataFrame, node: T.DataType, near: Near) -> DataFrame:
-    """Links (a, b) within each list of `groups(rows)`."""
+def _compared(groups: DataFrame, node: T.DataType, near: Near, at_once: int = 4096) -> DataFrame:
+    """Links (a, b) within each list of `groups(rows)`. Groups that are looked at at once have f of one length."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4096):
+        for batch in slices(batches, at_once):
             rows = batch.column(0)
             flat = rows.flatten()
             starts = np.asarray(rows.offsets, np.int64)
@@ -221,13 +221,29 @@ SHORT_WORDS, SHORT_SHINGLES = 8, 1_000  # those of sets that are not larger: it
 COMMON_TEXTS, COMMON_SHINGLES, COMMON_BYTES = 16_000, 200_000, 100_000
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """PARITY_WORDS words: a bit is set where an odd number of hashes fall on its place. Two sets differ in at least as
+def parity(hashes: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
+    """So many words: a bit is set where an odd number of hashes fall on its place. Two sets differ in at least as
     many members as their parities do in bits."""
-    bits = np.bincount((hashes % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    bits = np.bincount((hashes % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<u8")
 
 
+def sized_parities(hashes: np.ndarray, similarity: float) -> list[np.ndarray]:
+    """Parities of a set of distinct hashes, of at least four bits a member, in powers of two: sharp for sets of any size.
+
+    Smaller sets that are as similar may have shorter ones, so those are given too (a parity folded in half is the one of half
+    the length): any two sets at that similarity have a length in common, that of the smaller one.
+    """
+    words, least = 1, math.ceil(similarity * len(hashes) - 1e-9)
+    while 64 * words < 4 * len(hashes):
+        words *= 2
+    found = [parity(hashes, words)]
+    while words > 1 and 4 * least <= 32 * words:
+        words //= 2
+        found.append(found[-1][:words] ^ found[-1][words:])
+    return found
+
+
 def may_be_similar(similarity: float) -> Near:
     """False only for sets that are less similar. Rows are the size of a set and its parity.
 
@@ -300,13 +316,14 @@ def sketches(docs: DataFrame, similarity: float, shingle: int, id_col: str, text
 
 
 def near_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, part_shingles: int = 1_000_000,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    part_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, raw, component) per row of docs: texts whose sets of word shingles have a Jaccard similarity of at least `similarity`
     are linked; component is the same for all that links join.
 
     No pair is missed: two sets at 0.8 share one of the shingles of their prefixes, about a fifth of each set, rare ones first.
-    What meets there and cannot be ruled out by size and parity is joined, and then compared exactly, shingle by shingle, so
-    that no two texts are linked which are less similar. Texts with equal words are one node. Null, empty and blank texts have
+    What meets there and cannot be ruled out by size and parity is joined; components of over `part_shingles` shingles are looked
+    at again by parities as long as their sets need. What is left is compared exactly, shingle by shingle, so that no two
+    texts are linked which are less similar. Texts with equal words are one node. Null, empty and blank texts have
     equal words (none). raw is a hash of the text.
     """
     found = written(sketches(docs, similarity, shingle, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
@@ -315,10 +332,12 @@ def near_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     rough = written(components(_may_meet(found, nodes, similarity)), "rough")
     drop_written(found)
     let_shuffles_go(docs.sparkSession)
-    members = nodes.join(rough, "node").select("node", "n", "root")
+    members = written(_refined(docs, rows, nodes.join(rough, "node").select("node", "n", "root"), similarity, shingle,
+                               part_shingles, part_words, id_col, text_col), "members")
     links = _verified(docs, rows, members, similarity, shingle, part_shingles, id_col, text_col)
     joined = written(components(links).select(F.col("node").alias("member"), F.col("root").alias("r")), "joined")
     drop_written(rough)
+    drop_written(members)
     let_shuffles_go(docs.sparkSession)
     ids = (nodes.join(joined, F.col("node") == F.col("member"), "left")
            .select(F.col("words_key").alias("w"), F.coalesce("r", "node").alias("component")))
@@ -343,6 +362,51 @@ def _may_meet(found: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return links[0].union(links[1])
 
 
+def _texts(docs: DataFrame, found: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, data): one text per node of `members`, that of the row it is named after; repeated rows repeat it."""
+    chosen = (found.join(members.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "raw", F.col("doc_id").alias("id")))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).cast("binary").alias("data"))
+    return texts.join(chosen, (F.col("hash") == F.col("raw")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "data")
+
+
+def _refined(docs: DataFrame, found: DataFrame, members: DataFrame, similarity: float, shingle: int, part_shingles: int,
+             part_words: int, id_col: str, text_col: str) -> DataFrame:
+    """members(node, n, root) with finer roots where a component has over `part_shingles` shingles.
+
+    There sets meet by component and length of their `sized_parities`, a sixteenth of what the sets take or less, and are joined
+    anew where size and parity cannot rule them out: no similar pair parts. Groups of over `part_words` words are cut into
+    parts, each pair of parts being a group.
+    """
+    large = written(members.groupBy("root").agg(F.sum("n").alias("shingles")).where(F.col("shingles") > part_shingles).select("root"), "large")
+    wide = members.join(large, "root", "left_semi")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            names, words, f = [], [], []
+            for node, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                hashes = np.unique(shingle_hashes(data, shingle))
+                for bits in sized_parities(hashes, similarity):
+                    names.append(node)
+                    words.append(len(bits))
+                    f.append(np.concatenate([[np.uint64(len(hashes))], bits]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(words, pa.int64()), pa.array(f, pa.list_(pa.int64()))],
+                                             ["node", "words", "f"])
+
+    sets = (_texts(docs, found, wide, id_col, text_col).mapInArrow(run, "node long, words long, f array<long>")
+            .dropDuplicates(["node", "words"]))
+    keyed = written(sets.join(wide.select("node", "root"), "node"), "parities")
+    parts = keyed.groupBy("root", "words").agg(F.ceil(F.sum("words") / part_words).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    groups = (keyed.join(parts, ["root", "words"]).withColumn("part", part)
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+              .groupBy("root", "words", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+              .agg(F.collect_list(F.struct("node", "f")).alias("rows")).select("rows"))
+    finer = components(_compared(groups, T.LongType(), may_be_similar(similarity), at_once=1))
+    drop_written(keyed)
+    return (members.join(large, "root", "left_anti").select("node", "n", "root")
+            .union(members.select("node", "n").join(finer, "node").select("node", "n", "root")))
+
+
 def _verified(docs: DataFrame, found: DataFrame, members: DataFrame, similarity: float, shingle: int, part_shingles: int,
               id_col: str, text_col: str) -> DataFrame:
     """Links (a, b) between nodes that are as similar as that, found within the rough components of members(node, n, root).
@@ -350,10 +414,7 @@ def _verified(docs: DataFrame, found: DataFrame, members: DataFrame, similarity:
     A component with many shingles is cut into parts, and each pair of parts is a group: no task holds a component.
     """
     parts = members.groupBy("root").agg(F.ceil(F.sum("n") / part_shingles).cast("int").alias("parts"))
-    # One text per node: that of the row it is named after.
-    chosen = (found.join(members.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "raw", F.col("doc_id").alias("id")))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).cast("binary").alias("data"))
-    own = texts.join(chosen, (F.col("hash") == F.col("raw")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "data")
+    own = _texts(docs, found, members, id_col, text_col)
 
     def hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
