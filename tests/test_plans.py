@@ -56,6 +56,13 @@ def test_client_summary_scans_once(spark, sf_dir):
     assert plan.count("FileScan") == 1
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_correlation_scans_each_log_once(exact, spark, sf_dir):
+    from tidelog.operators import incident
+    plan = plan_of(incident.gateway_correlation(views.logs(spark, sf_dir), views.access(spark, sf_dir), views.AS_OF, 24, exact))
+    assert plan.count("FileScan") == 2
+
+
 def test_top_k_is_not_a_full_sort(spark, sf_dir):
     plan = plan_of(access.top_paths(views.access(spark, sf_dir), views.AS_OF, views.HOURS))
     assert "TakeOrderedAndProject" in plan

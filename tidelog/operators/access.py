@@ -41,6 +41,9 @@ def _mean_seconds(total_us: str, count: str) -> Column:
     return F.coalesce(F.try_divide(F.col(total_us).cast("double"), F.col(count).cast("double")), F.lit(0.0)) / 1_000_000
 
 
+HISTOGRAM_SUMS = ("n", "n400", "n500", "bytes", "time_us")
+
+
 def latency_histogram(acc: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts per key and distinct request time: map tasks combine a busy key's rows."""
     return (acc.groupBy(*keys, "request_time")
@@ -58,7 +61,7 @@ def _with_p95(acc: DataFrame, keys: Sequence[str], approx: bool) -> DataFrame:
     The approximate form has a fixed-size state for sources with finer times.
     """
     keys = list(keys)
-    names = ("n", "n400", "n500", "bytes", "time_us")
+    names = HISTOGRAM_SUMS
     if approx:
         rows = acc.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") >= 400).alias("n400"),
@@ -72,14 +75,34 @@ def _with_p95(acc: DataFrame, keys: Sequence[str], approx: bool) -> DataFrame:
 
 
 def access_overview(acc: DataFrame, as_of: str | Column, hours: float = 24, approx: bool = False) -> DataFrame:
-    rows = _with_p95(window_of(acc, as_of, hours), [], approx)
-    return rows.select(
-        F.col("n").alias("total_requests"),
-        half_even(percent(F.col("n500"), F.col("n")), 2).alias("error_rate"),
-        half_even(_mean_seconds("time_us", "n"), 4).alias("avg_response_time"),
-        half_even(F.col("quantile"), 4).alias("p95_response_time"),
-        F.col("bytes").alias("total_bytes"),
-        F.col("n500").alias("errors_5xx_exact"))
+    return _with_p95(window_of(acc, as_of, hours), [], approx).select(*_overview_columns())
+
+
+def _overview_columns() -> list[Column]:
+    return [F.col("n").alias("total_requests"),
+            half_even(percent(F.col("n500"), F.col("n")), 2).alias("error_rate"),
+            half_even(_mean_seconds("time_us", "n"), 4).alias("avg_response_time"),
+            half_even(F.col("quantile"), 4).alias("p95_response_time"),
+            F.col("bytes").alias("total_bytes"),
+            F.col("n500").alias("errors_5xx_exact")]
+
+
+def overview_with_worst_paths(acc: DataFrame, as_of: str | Column, hours: float = 24, worst: int = 5) -> DataFrame:
+    """The overview, all client errors (`errors_4xx_exact`) and the errors of the first `top_paths` (`path_errors`).
+
+    One scan: the histogram by path gives both the paths and, as its grand total, the overview.
+    """
+    paths = (latency_histogram(window_of(acc, as_of, hours), ["referer", "path"])
+             .groupingSets([["referer", "path"], []], "referer", "path")
+             .agg((F.grouping_id() > 0).alias("_total"), *[F.sum(c).alias(c) for c in HISTOGRAM_SUMS],
+                  F.expr("percentile(request_time, 0.95, n)").alias("quantile")))
+    first = (paths.filter(F.col("_total") | (F.col("path") != ""))
+             .orderBy(F.col("_total").desc(), F.col("n400").desc(), half_even(F.col("quantile"), 4).desc(), F.col("n").desc(),
+                      "referer", "path").limit(worst + 1))
+    total = lambda c, default: F.coalesce(F.max(F.when(F.col("_total"), F.col(c))), F.lit(default)).alias(c)
+    return (first.agg(*[total(c, 0) for c in HISTOGRAM_SUMS], total("quantile", 0.0),
+                      F.coalesce(F.sum(F.when(~F.col("_total"), F.col("n400"))), F.lit(0)).alias("path_errors"))
+            .select(*_overview_columns(), (F.col("n400") - F.col("n500")).alias("errors_4xx_exact"), "path_errors"))
 
 
 def traffic(acc: DataFrame, as_of: str | Column, hours: float = 6) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidelog.functions import fixed
 from tidelog.functions.text import clean_text
 from tidelog.functions.values import at, before, contains_ci, half_even, micros, time_bounded
-from tidelog.operators.access import access_overview, top_paths, window_of
+from tidelog.operators.access import overview_with_worst_paths
 from tidelog.operators.runtime import is_signal
 from tidelog.operators.scope import service_scope, split_service_key
 from tidelog.operators.search import around, not_gateway
+from tidelog.session import cut_lineage
 
 EVENT = ["timestamp", "source", "severity", "title", "detail", "action", "level", "badge"]
 
@@ -42,7 +43,10 @@ def correlate(overview: DataFrame, path_errors: DataFrame, app: DataFrame, exact
     unless `exact`, where the counts `errors_5xx_exact` and `errors_4xx_exact` are given.
     """
     paths = path_errors.agg(F.coalesce(F.sum("errors"), F.lit(0)).cast("bigint").alias("path_errors"))
-    row = _one_row(overview, paths, app)
+    return _figures(_one_row(overview, paths, app), exact)
+
+
+def _figures(row: DataFrame, exact: bool) -> DataFrame:
     if exact:
         e5, e4 = F.col("errors_5xx_exact"), F.col("errors_4xx_exact")
     else:
@@ -60,15 +64,9 @@ def correlate(overview: DataFrame, path_errors: DataFrame, app: DataFrame, exact
 
 def gateway_correlation(df: DataFrame, acc: DataFrame, as_of: str | Column, hours: float = 1,
                         exact: bool = False) -> DataFrame:
-    """Gateway symptoms and app errors of one window, and the status they add up to."""
-    overview = access_overview(acc, as_of, hours)
-    if exact:
-        status = F.col("status")
-        clients = window_of(acc, as_of, hours).agg(
-            F.count_if((status >= 400) & (status < 500)).alias("errors_4xx_exact"))
-        overview = _one_row(overview, clients)
-    return correlate(overview, top_paths(acc, as_of, hours, 5).select("errors"),
-                     app_errors(df, as_of, window_minutes(hours)), exact)
+    """Gateway symptoms and app errors of one window, and the status they add up to. Each log is scanned once."""
+    overview = overview_with_worst_paths(acc, as_of, hours, 5)
+    return _figures(_one_row(overview, app_errors(df, as_of, window_minutes(hours))), exact)
 
 
 def correlation_signals(correlation: DataFrame) -> DataFrame:
@@ -142,14 +140,19 @@ def _first(df: DataFrame, n: int, *order: Column) -> DataFrame:
 
 
 def incident_timeline(df: DataFrame, acc: DataFrame, runtime: DataFrame, feed: DataFrame, key: str,
-                      as_of: str | Column, hours: float = 1) -> DataFrame:
-    """Gateway, log, runtime and notification evidence of a service in one shape, newest first."""
+                      as_of: str | Column, hours: float = 1, correlation: DataFrame | None = None) -> DataFrame:
+    """Gateway, log, runtime and notification evidence of a service in one shape, newest first.
+
+    `correlation` is the row of `gateway_correlation`, where it is known already.
+    """
+    if correlation is None:
+        correlation = gateway_correlation(df, acc, as_of, hours)
     minutes = window_minutes(hours)
     now = at(as_of).cast("timestamp")
     service = F.lit(split_service_key(key)[2])
     shape = lambda rows, **c: rows.select(*[c.get(n, F.lit("")).alias(n) for n in EVENT])
 
-    signals = _first(correlation_signals(gateway_correlation(df, acc, as_of, hours)), 3, F.col("rank"))
+    signals = _first(correlation_signals(correlation), 3, F.col("rank"))
     gateway = shape(signals, timestamp=F.coalesce(F.col("latest_error_ts").cast("timestamp"), now),
                     source=F.lit("gateway"), severity=F.col("severity"), title=clean_text("label"),
                     detail=clean_text("detail"), action=F.col("action"), badge=F.lit("gateway"))
@@ -183,14 +186,16 @@ def _service_notifications(feed: DataFrame, key: str, as_of: str | Column, minut
 
 
 def incident_status(df: DataFrame, acc: DataFrame, runtime: DataFrame, feed: DataFrame, key: str,
-                    as_of: str | Column, hours: float = 1) -> DataFrame:
+                    as_of: str | Column, hours: float = 1, correlation: DataFrame | None = None) -> DataFrame:
     """Summary counts of an incident and its status: danger, warn or quiet."""
+    if correlation is None:
+        correlation = gateway_correlation(df, acc, as_of, hours)
     minutes = window_minutes(hours)
     logs = incident_summary(df, key, as_of, minutes).select("total_logs", "error_logs", "warning_logs")
     states = of_service(runtime, key, "name").agg(F.count_if(is_signal()).alias("runtime_signals"))
     notes = _service_notifications(feed, key, as_of, minutes).agg(
         F.count(F.lit(1)).alias("notifications"), F.count_if(F.col("severity") == "critical").alias("critical"))
-    gateway = gateway_correlation(df, acc, as_of, hours).select(
+    gateway = correlation.select(
         F.col("errors_5xx").alias("gateway_5xx"), F.col("p95_response_time").alias("gateway_p95"))
     row = _one_row(logs, states, notes, gateway)
     return _status(row).drop("critical")
@@ -204,14 +209,18 @@ def _status(row: DataFrame) -> DataFrame:
 
 def evidence_bundle(df: DataFrame, acc: DataFrame, runtime: DataFrame, feed: DataFrame, key: str,
                     as_of: str | Column, hours: float = 1) -> DataFrame:
-    """Scope, summary and the timeline's at most 18 events as one JSON document."""
+    """Scope, summary and the timeline's at most 18 events as one JSON document.
+
+    The correlation, one row, is computed once and handed to both.
+    """
+    correlation = cut_lineage(gateway_correlation(df, acc, as_of, hours))
     host, project, service = split_service_key(key)
     scope = F.struct(F.lit(key).alias("service_key"), F.lit(host).alias("host_id"),
                      F.lit(project).alias("compose_project"), F.lit(service).alias("compose_service"),
                      F.lit(float(hours)).alias("hours"), F.lit(window_minutes(hours)).alias("window_minutes"))
-    summary = incident_status(df, acc, runtime, feed, key, as_of, hours)
+    summary = incident_status(df, acc, runtime, feed, key, as_of, hours, correlation)
     packed = summary.select(F.struct(*[c for c in summary.columns if c != "status"]).alias("summary"), "status")
-    events = incident_timeline(df, acc, runtime, feed, key, as_of, hours)
+    events = incident_timeline(df, acc, runtime, feed, key, as_of, hours, correlation)
     timeline = events.agg(F.sort_array(F.collect_list(F.struct(*EVENT)), asc=False).alias("timeline"))
     row = packed.unionByName(timeline, allowMissingColumns=True).agg(
         F.max("status").alias("status"), F.max("summary").alias("summary"), F.max("timeline").alias("timeline"))

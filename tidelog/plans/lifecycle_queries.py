@@ -27,6 +27,58 @@ def retention(spark, sf):
     return lifecycle.day_counts(spark.read.parquet(path))
 
 
+# The same runs once more, with every row that is left.
+_ROWS = "SELECT LogId, Timestamp, SeverityText, ContainerName, ContainerId, ComposeProject, TraceId, Body FROM logs"
+
+
+def _left(spark, path: str):
+    return spark.read.parquet(path).select(
+        "LogId", "Timestamp", "SeverityText", "ContainerName", "ContainerId", "ComposeProject", "TraceId", "Body")
+
+
+@register("retained_rows", "LC-1", given("logs") + _ROWS + f" WHERE CAST(Timestamp AS DATE) + 14 > CAST({AS_OF} AS DATE)")
+def retained_rows(spark, sf):
+    path = _table(spark, sf)
+    lifecycle.apply_retention(spark, path, views.AS_OF, 14)
+    return _left(spark, path)
+
+
+@register("purged_container_rows", "LC-2", given("logs") + _ROWS + " WHERE ContainerName <> 'svc-3'")
+def purged_container_rows(spark, sf):
+    path = _table(spark, sf)
+    lifecycle.purge(spark, path, "container", "svc-3")
+    return _left(spark, path)
+
+
+@register("purged_stack_rows", "LC-2", given("logs") + _ROWS + " WHERE ComposeProject <> 'stack-2'")
+def purged_stack_rows(spark, sf):
+    path = _table(spark, sf)
+    lifecycle.purge(spark, path, "stack", "stack-2")
+    return _left(spark, path)
+
+
+@register("cleared_rows", "LC-3", given("logs") + _ROWS + f" WHERE Timestamp >= {AS_OF} - INTERVAL 7 DAY")
+def cleared_rows(spark, sf):
+    path = _table(spark, sf)
+    lifecycle.clear_older(spark, path, 7, views.AS_OF)
+    return _left(spark, path)
+
+
+@register("archived_rows", "LC-4", given("logs") + _ROWS)
+def archived_rows(spark, sf):
+    path = _table(spark, sf)
+    lifecycle.archive_and_clear(spark, path, f"{path}-archive")
+    return _left(spark, f"{path}-archive")
+
+
+@register("restored_rows", "LC-5", given("logs") + _ROWS)
+def restored_rows(spark, sf):
+    path = _table(spark, sf)
+    lifecycle.archive_and_clear(spark, path, f"{path}-archive")
+    lifecycle.restore(spark, f"{path}-archive", path)
+    return _left(spark, path)
+
+
 @register("purged_container", "LC-2", given("logs") + _DAYS + " WHERE ContainerName <> 'svc-3' GROUP BY 1")
 def purged_container(spark, sf):
     path = _table(spark, sf)
@@ -63,12 +115,22 @@ def restored(spark, sf):
     return lifecycle.restore(spark, path, f"{path}-restored")
 
 
-@register("backfilled_project", "LC-6", given("logs") + "SELECT ComposeProject, count(*) AS rows FROM logs GROUP BY 1")
-def backfilled_project(spark, sf):
+def _backfilled(spark, sf) -> str:
     path = f"{shared_dir(spark, 'backfill')}/logs"
     rows = views.stored_logs(spark, sf)
     attributes = F.when(F.col("ComposeProject") != "", F.create_map(F.lit(fixed.PROJECT_ATTR), F.col("ComposeProject")))
     # As before the column existed: the project is in the attributes only.
     write_logs(rows.withColumn("ResourceAttributes", attributes).withColumn("ComposeProject", F.lit("")), path)
     lifecycle.backfill_project(spark, path)
+    return path
+
+
+@register("backfilled_rows", "LC-6", given("logs") + _ROWS)
+def backfilled_rows(spark, sf):
+    return _left(spark, _backfilled(spark, sf))
+
+
+@register("backfilled_project", "LC-6", given("logs") + "SELECT ComposeProject, count(*) AS rows FROM logs GROUP BY 1")
+def backfilled_project(spark, sf):
+    path = _backfilled(spark, sf)
     return spark.read.parquet(path).groupBy("ComposeProject").agg(F.count(F.lit(1)).alias("rows"))
