@@ -67,15 +67,54 @@ def patterns(df: DataFrame, as_of: str | Column, minutes: float = 60, container:
 
     Severity is a grouping key of the first aggregation, so no text is aggregated over rows.
     """
+    counted = _pattern_counts(_pattern_rows(df, as_of, minutes, container, literal))
+    return counted.orderBy(F.col("frequency").desc(), "pattern").limit(limit)
+
+
+def _pattern_rows(df: DataFrame, as_of: str | Column, minutes: float, container: str, literal: bool) -> DataFrame:
     rows = time_bounded(not_gateway(df), before(as_of, minutes, "MINUTE"), open_start=True)
     rows = rows.filter(F.col("SeverityText") != "DEBUG")
     if container:
         rows = rows.filter(F.col("ContainerName") == container)
-    return (rows.groupBy(message_pattern("Body", literal).alias("pattern"), "SeverityText")
+    return rows.select(message_pattern("Body", literal).alias("pattern"), "SeverityText", "Timestamp")
+
+
+def _pattern_counts(rows: DataFrame, *also: str) -> DataFrame:
+    return (rows.groupBy("pattern", "SeverityText", *also)
             .agg(F.count(F.lit(1)).alias("n"), F.min("Timestamp").alias("a"), F.max("Timestamp").alias("b"))
-            .groupBy("pattern")
+            .groupBy("pattern", *also)
             .agg(F.sum("n").alias("frequency"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"),
-                 F.min("SeverityText").alias("severity"))
+                 F.min("SeverityText").alias("severity")))
+
+
+SKETCH_GROUPS = 64  # sketches of the scan's tasks are merged in so many groups, then these
+PER_MILLE = 1000
+
+
+def heavy_patterns(df: DataFrame, as_of: str | Column, minutes: float = 60, container: str = "",
+                   literal: bool = False, limit: int = 50, tracked: int = 10_000) -> DataFrame:
+    """`patterns` with a state that doesn't grow with the number of patterns, and `certain` beside each.
+
+    A first pass keeps a frequent-items sketch of `tracked` pattern hashes per task. Sketches merge, and their estimate is off by at
+    most 3.5 / size of its map, which is at least tracked / 0.75. So every pattern in more than 5.25 / tracked of the rows is
+    among the candidates. A second pass counts the candidates' rows exactly, by their text: frequencies are never estimates.
+    `certain` tells whether a pattern lies above that share; if all rows listed do, the list is that of `patterns`. Otherwise
+    a rarer pattern may be missing: track more, or take `patterns`.
+    The candidates, at most `tracked` pairs of numbers, are broadcast.
+    """
+    if not 0 < limit <= tracked:
+        raise ValueError("tracked must be at least limit")
+    rows = _pattern_rows(df, as_of, minutes, container, literal)
+    hashes = rows.select(F.xxhash64("pattern").alias("item"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("part"))
+    sketch = (hashes.groupBy("part")
+              .agg(F.expr(f"approx_top_k_accumulate(item, {tracked})").alias("s"), F.count(F.lit(1)).alias("n"))
+              .groupBy(F.lit(0).alias("all"))  # no rows, no group: there is no sketch of nothing
+              .agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("n").alias("_total")))
+    candidates = (sketch.select("_total", F.inline(F.expr(f"approx_top_k_estimate(s, {tracked})")))
+                  .select("item", "_total"))
+    found = rows.join(F.broadcast(candidates), F.xxhash64("pattern") == F.col("item"))
+    share = F.col("frequency") * tracked * PER_MILLE > F.col("_total") * int(5.25 * PER_MILLE)
+    return (_pattern_counts(found, "_total").withColumn("certain", share).drop("_total")
             .orderBy(F.col("frequency").desc(), "pattern").limit(limit))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidelog.functions.values import from_micros
-from tidelog.operators.ordered import cuts_of, event_us, fold_lines, idle_sessions, numbered, piece_start, with_chunks
+from tidelog.operators.ordered import cuts_of, event_us, fold_lines, idle_sessions, numbered, piece_start, segments, with_chunks
 
 
 def idle_gap_lines(df: DataFrame, keys: Sequence[str] = ("container_id", "stream"), ts: str = "timestamp",
@@ -34,6 +34,19 @@ def merge_idle_gap(df: DataFrame, keys: Sequence[str] = ("container_id", "stream
             .select(*[F.col(f"_k.{c}") for c in named], "session_start", "lines", "first_ts", "last_ts", "message"))
 
 
+def idle_gap_segments(df: DataFrame, keys: Sequence[str] = ("container_id", "stream"), ts: str = "timestamp",
+                      order: str = "event_id", message: str = "message", gap_seconds: float = 2.0,
+                      target_rows: int = 100_000, segment_bytes: int = 1 << 20) -> DataFrame:
+    """The events of `merge_idle_gap`, of any length: their text as numbered segments of bounded size (`ordered.segments`).
+
+    An empty or null line is an empty one; an empty table has no segments.
+    """
+    lines, keys, named = _idle_lines(df, keys, ts, gap_seconds, target_rows)
+    return (segments(lines, keys, "session_us", ts, order, message, segment_bytes)
+            .select(*[F.col(f"_k.{c}") for c in named], from_micros(F.col("session_us")).alias("session_start"),
+                    "segment", "lines", "first_ts", "last_ts", "message"))
+
+
 def _idle_lines(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: float, target_rows: int):
     """Lines with `session_us` and `chunk`, the key as one struct, and the names in it."""
     # One struct as the key: equal also where a part of it is NULL.
@@ -73,6 +86,17 @@ def group_multiline(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", o
             .select(*[F.col(f"_k.{c}") for c in named], "run_start", "run_id", "lines", "first_ts", "last_ts", "message"))
 
 
+def multiline_segments(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", order: str = "event_id",
+                       line: str = "message", start: str = r"^\S", condition: str = r"^\s",
+                       timeout_seconds: float | None = 2.0, chunk_seconds: float = 60.0,
+                       target_rows: int = 100_000, segment_bytes: int = 1 << 20) -> DataFrame:
+    """The runs of `group_multiline`, of any length: their text as numbered segments of bounded size (`ordered.segments`)."""
+    lines, keys, named = _run_lines(df, keys, ts, order, line, start, condition, timeout_seconds, chunk_seconds, target_rows)
+    return (segments(lines, keys, "_run", ts, order, line, segment_bytes)
+            .select(*[F.col(f"_k.{c}") for c in named], from_micros(F.col("_run.us")).alias("run_start"), F.col("_run.id").alias("run_id"),
+                    "segment", "lines", "first_ts", "last_ts", "message"))
+
+
 def multiline_lines(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", order: str = "event_id",
                     line: str = "message", start: str = r"^\S", condition: str = r"^\s",
                     timeout_seconds: float | None = 2.0, chunk_seconds: float = 60.0,

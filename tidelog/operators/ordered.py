@@ -90,6 +90,28 @@ def numbered(df: DataFrame, keys: Sequence[str], group: str, ts: str, order: str
     return df.join(before, [*by, "chunk"]).withColumn("line_no", F.col("_before") + inside).drop("_before")
 
 
+def segments(df: DataFrame, keys: Sequence[str], group: str, ts: str, order: str, line: str, segment_bytes: int) -> DataFrame:
+    """The text of each (keys, group) as ordered pieces: `segment`, `lines`, first and last time, `message`.
+
+    A line lies in the segment in which its first byte falls, newlines counted, so a segment has less than `segment_bytes` and a line;
+    one that no line begins in is left out. All segments of an event, joined by newline in order, are its text. Bytes
+    are summed per chunk first: no task holds an event, whatever its length.
+    """
+    by = [*keys, group]
+    size = F.coalesce(F.octet_length(line), F.lit(0)).cast("bigint") + 1
+    earlier = Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = (df.groupBy(*by, "chunk").agg(F.sum(size).alias("_bytes"))
+              .select(*by, "chunk", F.coalesce(F.sum("_bytes").over(earlier), F.lit(0)).alias("_before")))
+    inside = F.sum(size).over(Window.partitionBy(*by, "chunk").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, -1))
+    row = F.struct(F.col(ts).alias("t"), F.col(order).alias("o"), F.col(line).alias("m"))
+    return (df.join(before, [*by, "chunk"])
+            .withColumn("segment", F.floor((F.col("_before") + F.coalesce(inside, F.lit(0))) / segment_bytes).cast("bigint"))
+            .groupBy(*by, "segment").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+            .select(*by, "segment", F.size("_rows").cast("bigint").alias("lines"), F.col("_rows")[0]["t"].alias("first_ts"),
+                    F.element_at("_rows", -1)["t"].alias("last_ts"),
+                    F.array_join(F.transform("_rows", lambda r: r["m"]), "\n", "").alias("message")))
+
+
 def idle_sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: float) -> DataFrame:
     """One row per key and time slot of the gap's length, with the session it belongs to.
 

@@ -153,6 +153,12 @@ def message_patterns(spark, sf):
     return analytics.patterns(_stamped(spark, sf), views.AS_OF, views.HOURS * 60)
 
 
+@register("message_patterns_bounded", "AN-11", _pattern_sql(fixed.TIMESTAMP_RE).replace(
+    "count(*) AS frequency,", "count(*) AS frequency, count(*) * 10000 * 1000 > sum(count(*)) OVER () * 5250 AS certain,"))
+def message_patterns_bounded(spark, sf):
+    return analytics.heavy_patterns(_stamped(spark, sf), views.AS_OF, views.HOURS * 60, tracked=10_000)
+
+
 @register("message_patterns_literal", "AN-11", _pattern_sql(fixed.TIMESTAMP_RE + " " * 7))
 def message_patterns_literal(spark, sf):
     return analytics.patterns(_stamped(spark, sf), views.AS_OF, views.HOURS * 60, literal=True)

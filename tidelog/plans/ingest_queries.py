@@ -148,7 +148,7 @@ def _lines(spark, sf):
     return spark.sql(_LINES.replace("FROM events", "FROM {given}"), given=views.table(spark, sf, "events"))
 
 
-@register("multiline_runs", "ING-1", "WITH lines AS (" + _LINES + """),
+_RUNS = "WITH lines AS (" + _LINES + """),
 prev AS (SELECT *, lag(ts) OVER w AS p FROM lines WINDOW w AS (PARTITION BY container_id ORDER BY ts, event_id)),
 marked AS (SELECT *, (NOT regexp_matches(line, '^\\s') OR p IS NULL OR ts - p > INTERVAL 2 HOUR)::INT AS brk,
   regexp_matches(line, '^\\S') AS starts FROM prev),
@@ -156,25 +156,66 @@ blocks AS (SELECT *, sum(brk) OVER (PARTITION BY container_id ORDER BY ts, event
 opened AS (SELECT *, min(CASE WHEN starts THEN struct_pack(t := ts, i := event_id) END)
   OVER (PARTITION BY container_id, block ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM blocks),
 runs AS (SELECT *, coalesce(run, struct_pack(t := ts, i := event_id)) AS r FROM opened)
-SELECT container_id, r.t AS run_start, r.i AS run_id, count(*) AS lines, min(ts) AS first_ts, max(ts) AS last_ts,
+"""
+_RUN = {"ts": "ts", "order": "event_id", "line": "line", "timeout_seconds": 7200, "chunk_seconds": 21600}
+SEGMENT = 100  # bytes; small, so that events of the test tables have several
+
+
+def _segmented(event: str, source: str) -> str:
+    """Lines of an event with their segment, in SQL."""
+    return f"""placed AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY container_id, {event} ORDER BY ts, event_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {SEGMENT} AS seg FROM {source})
+"""
+
+
+@register("multiline_runs", "ING-1", _RUNS + """SELECT container_id, r.t AS run_start, r.i AS run_id, count(*) AS lines, min(ts) AS first_ts, max(ts) AS last_ts,
   string_agg(line, chr(10) ORDER BY ts, event_id) AS message
 FROM runs GROUP BY container_id, r.t, r.i""")
 def multiline_runs(spark, sf):
-    return merge.group_multiline(_lines(spark, sf), ["container_id"], "ts", "event_id", "line",
-                                 timeout_seconds=7200, chunk_seconds=21600)
+    return merge.group_multiline(_lines(spark, sf), ["container_id"], **_RUN)
+
+
+@register("multiline_lines", "ING-1", _RUNS + """SELECT event_id, ts, container_id, line, r.t AS run_start, r.i AS run_id,
+  row_number() OVER (PARTITION BY container_id, r ORDER BY ts, event_id) AS line_no FROM runs""")
+def multiline_lines(spark, sf):
+    return merge.multiline_lines(_lines(spark, sf), ["container_id"], **_RUN)
+
 
+@register("multiline_segments", "ING-1", _RUNS.rstrip() + ",\n" + _segmented("r", "runs") + """
+SELECT container_id, r.t AS run_start, r.i AS run_id, CAST(seg AS BIGINT) AS segment, count(*) AS lines, min(ts) AS first_ts, max(ts) AS last_ts,
+  string_agg(line, chr(10) ORDER BY ts, event_id) AS message FROM placed GROUP BY container_id, r.t, r.i, seg""")
+def multiline_segments(spark, sf):
+    return merge.multiline_segments(_lines(spark, sf), ["container_id"], **_RUN, segment_bytes=SEGMENT)
 
-@register("idle_gap_events", "ING-2", "WITH lines AS (" + _LINES + """),
+
+_GAPS = "WITH lines AS (" + _LINES + """),
 marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens
   FROM lines WINDOW w AS (PARTITION BY container_id ORDER BY ts, event_id)),
 numbered AS (SELECT *, sum(opens) OVER (PARTITION BY container_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM marked)
-SELECT container_id, min(ts) AS session_start, count(*) AS lines, min(ts) AS first_ts, max(ts) AS last_ts,
+"""
+
+
+@register("idle_gap_events", "ING-2", _GAPS + """SELECT container_id, min(ts) AS session_start, count(*) AS lines, min(ts) AS first_ts, max(ts) AS last_ts,
   string_agg(line, chr(10) ORDER BY ts, event_id) AS message
 FROM numbered GROUP BY container_id, s""")
 def idle_gap_events(spark, sf):
     return merge.merge_idle_gap(_lines(spark, sf), ["container_id"], "ts", "event_id", "line", gap_seconds=3600)
 
 
+@register("idle_gap_lines", "ING-2", _GAPS + """SELECT event_id, ts, container_id, line, min(ts) OVER (PARTITION BY container_id, s) AS session_start,
+  row_number() OVER (PARTITION BY container_id, s ORDER BY ts, event_id) AS line_no FROM numbered""")
+def idle_gap_lines(spark, sf):
+    return merge.idle_gap_lines(_lines(spark, sf), ["container_id"], "ts", "event_id", gap_seconds=3600)
+
+
+@register("idle_gap_segments", "ING-2", _GAPS.rstrip() + ",\nstarted AS (SELECT *, min(ts) OVER (PARTITION BY container_id, s) AS session_start FROM numbered),\n"
+          + _segmented("s", "started") + """
+SELECT container_id, session_start, CAST(seg AS BIGINT) AS segment, count(*) AS lines, min(ts) AS first_ts, max(ts) AS last_ts,
+  string_agg(line, chr(10) ORDER BY ts, event_id) AS message FROM placed GROUP BY container_id, s, session_start, seg""")
+def idle_gap_segments(spark, sf):
+    return merge.idle_gap_segments(_lines(spark, sf), ["container_id"], "ts", "event_id", "line", gap_seconds=3600, segment_bytes=SEGMENT)
+
+
 _SERVICE = "CASE WHEN ComposeService = '' THEN ContainerName ELSE ComposeService END"
 
 
