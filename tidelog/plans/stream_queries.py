@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidelog.functions import fixed
-from tidelog.operators import merge
+from tidelog.operators import merge, rollups
 from tidelog.plans import detect_queries, views  # noqa: F401 - the cooldown check is shared
-from tidelog.plans.registry import REGISTRY, given, register
+from tidelog.plans.registry import AS_OF, REGISTRY, given, register
 from tidelog.session import shared_dir
 from tidelog.sources import schema, sinks
 from tidelog.sources.tailing import tail_lines
@@ -190,3 +190,37 @@ def tailed_lines(spark, sf):
         (tail_lines(spark, f"{root}/logs/*.txt").select("value").writeStream.option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start(f"{root}/out").awaitTermination())
     return spark.read.parquet(f"{root}/out")
+
+
+def _kept_parts(spark, sf: str) -> DataFrame:
+    """The roll-up that a stream of several micro-batches leaves."""
+    root = shared_dir(spark, "rollup")
+    views.access(spark, sf).repartition(4, "remote_addr").write.parquet(f"{root}/access")
+    stored = spark.read.parquet(f"{root}/access").schema
+    rows = spark.readStream.schema(stored).option("maxFilesPerTrigger", 1).parquet(f"{root}/access")
+    tails.rollup_stream(rows, f"{root}/parts", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/parts")
+
+
+@register("rollup_hours", "ST-5", given("acc") + """
+SELECT date_trunc('hour', Timestamp) AS hour, count(*) AS total, count(*) FILTER (WHERE status >= 400) AS errors,
+  count(*) FILTER (WHERE status >= 500) AS errors_5xx, CAST(sum(bytes_sent) AS BIGINT) AS total_bytes FROM acc GROUP BY 1""")
+def rollup_hours(spark, sf):
+    """Exact columns of the kept hours; the next query looks at the estimates."""
+    return rollups.hours_of(_kept_parts(spark, sf)).drop("p95_time", "clients")
+
+
+@register("rollup_overview", "ST-5", given("acc") + f"""
+SELECT count(*) AS total_requests, CAST(sum(bytes_sent) AS BIGINT) AS total_bytes, count(*) FILTER (WHERE status >= 500) AS errors_5xx_exact,
+  true AS p95_close, true AS clients_close FROM acc WHERE Timestamp >= {AS_OF} - INTERVAL 240 HOUR""")
+def rollup_overview(spark, sf):
+    """Ten days from the kept hours. Estimates are held against the requests: p95 by its rank, clients by their number."""
+    kept = rollups.overview_of(_kept_parts(spark, sf), views.AS_OF, 240).first()
+    p95 = kept["p95_response_time"]
+    rows = views.access(spark, sf).filter(F.col("Timestamp") >= F.lit("2024-01-21 00:00:00").cast("timestamp_ntz"))
+    held = rows.agg(F.avg((F.col("request_time") < p95 - 0.0001).cast("double")).alias("below"),
+                    F.avg((F.col("request_time") <= p95 + 0.0001).cast("double")).alias("upto"),
+                    F.count_distinct("remote_addr").alias("real"))
+    return held.select(*[F.lit(kept[c]).alias(c) for c in ("total_requests", "total_bytes", "errors_5xx_exact")],
+                       ((F.col("below") <= 0.97) & (F.col("upto") >= 0.93)).alias("p95_close"),
+                       (F.abs(F.lit(kept["clients"]) - F.col("real")) <= 0.03 * F.col("real")).alias("clients_close"))

@@ -12,6 +12,7 @@ from tidelog.functions.text import spam_group, text_match
 from tidelog.functions.values import half_even
 from tidelog.operators.access import access_logs
 from tidelog.operators.ingest import ingest_logs
+from tidelog.operators.rollups import hourly_parts
 from tidelog.operators.search import not_gateway
 from tidelog.sources import schema
 from tidelog.sources.sinks import write_logs
@@ -121,6 +122,20 @@ def append_batch(batch: DataFrame, number: int, path: str, stream: str = "batche
     fs.delete(hadoop.Path(f"{path}/_batches/{stream}/{number - 2}.done"), False)  # a stream repeats its last batch only
 
 
+def rollup_stream(acc: DataFrame, path: str, checkpoint: str, every: str | None = None):
+    """Keeps the hourly roll-up of a stream of requests: `rollups` reads the table of parts that it leaves.
+
+    Each micro-batch adds its own parts, a row per hour, in a folder named after the stream and the batch. A batch that is
+    repeated replaces that folder, so nothing counts twice; late requests are one more part of their hour.
+    """
+    def add(batch: DataFrame, number: int) -> None:
+        stream = stream_id(batch.sparkSession, checkpoint)
+        hourly_parts(batch).coalesce(1).write.mode("overwrite").parquet(f"{path}/stream={stream}/batch={number}")
+
+    writer = acc.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def spam_stream(df: DataFrame, window: str = "1 minute", slide: str | None = "30 seconds",
                 watermark: str = "1 minute", rate: float = fixed.SPAM_RATE_PER_SECOND,
                 count: int = fixed.SPAM_COUNT, hits: int = fixed.SPAM_FLOOD_HITS, seconds: float = 60.0) -> DataFrame:
