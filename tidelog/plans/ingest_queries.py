@@ -107,6 +107,13 @@ def dimension_tables(spark, sf):
             .groupBy("n_name").agg(F.count(F.lit(1)).alias("customers")))
 
 
+@register("log_rows_written", "SNK-1", given("logs") + "SELECT *, CAST(Timestamp AS DATE) AS log_date FROM logs")
+def log_rows_written(spark, sf):
+    path = f"{shared_dir(spark, 'logs')}/table"
+    sinks.write_logs(views.stored_logs(spark, sf), path)
+    return spark.read.parquet(path)
+
+
 @register("log_table_written", "SNK-1", given("logs") + """
 SELECT CAST(Timestamp AS DATE) AS log_date, count(*) AS rows, min(Timestamp) AS first_ts, max(Timestamp) AS last_ts,
   count(DISTINCT ContainerId) AS instances FROM logs GROUP BY 1""")

@@ -78,6 +78,14 @@ def notification_stream(spark, sf):
     return rows.groupBy("type", "severity", "container_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("notification_stream_rows", "ST-3", given("notif") + "SELECT type, severity, trim(message) AS message, container_id, container_name, created_at FROM notif")
+def notification_stream_rows(spark, sf):
+    root = shared_dir(spark, "notifications")
+    sinks.write_notifications(views.notifications(spark, sf), f"{root}/feed")
+    return _written(spark, tails.notification_stream(spark, f"{root}/feed"), "feed").select(
+        "type", "severity", "message", "container_id", "container_name", "created_at")
+
+
 @register("ingested_stream", "ST-4", given("logs") + """
 SELECT LogId, Timestamp, CASE WHEN SeverityText <> '' THEN SeverityText WHEN contains(lower(Body), 'error') THEN 'ERROR' ELSE 'INFO' END AS SeverityText,
   ContainerName, ContainerId, HostName, ComposeProject, CAST(Timestamp AS DATE) AS log_date
