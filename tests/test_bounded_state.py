@@ -83,3 +83,39 @@ def test_few_patterns_equal_the_plain_list(spark):
 def test_more_rows_than_are_tracked_cannot_be_listed(spark):
     with pytest.raises(ValueError):
         analytics.heavy_patterns(_messages(spark, 1), "2024-01-31 00:00:00", limit=50, tracked=10)
+
+
+def test_idle_lines_leave_a_busy_key_in_pieces():
+    """Lines that arrive in any order, with ties and nulls, are given out in order and never all at once."""
+    import numpy as np
+    import pandas as pd
+
+    from tidelog.streaming import stateful
+
+    class Kept:
+        value, timers = None, []
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        update = lambda self, value: setattr(self, "value", value)
+        getValueState = lambda self, *a: self
+        listTimers = lambda self: []
+        registerTimer = lambda self, at: self.timers.append(at)
+
+    n = 2 * stateful.PIECE + 500
+    random = np.random.default_rng(3)
+    rows = pd.DataFrame({"event_us": np.sort(random.integers(0, 4 * n, n)) * 1_000_000, "id": np.arange(n)})
+    rows["line"] = [None if i % 100 == 0 else f"line {i}" for i in range(n)]
+    mixed = rows.sample(frac=1, random_state=1)
+    kept, lines = Kept(), stateful.IdleLines("id", "line", 3.0)
+    lines.init(kept)
+    found = list(lines.handleInputRows(("a",), iter([mixed[:7000], mixed[7000:9000], mixed[9000:]]), None))
+    assert max(map(len, found)) <= stateful.PIECE and len(found) == 3
+    whole = pd.concat(found, ignore_index=True)
+    assert whole["message"].tolist() == rows["line"].tolist() and whole["event_us"].tolist() == rows["event_us"].tolist()
+    start = last = None
+    for us, own, number in zip(whole["event_us"], whole["start_us"], whole["line_no"]):
+        start, count = (us, 1) if last is None or us - last >= 3_000_000 else (start, count + 1)
+        last = us
+        assert (own, number) == (start, count)
+    assert kept.value == (start, last, count) and len(kept.timers) == 1
+    assert list(lines.handleInputRows(("b",), iter([]), None)) == []
