@@ -130,3 +130,15 @@ def test_a_burst_across_a_minute_border_is_a_flood(spark):
     assert detect.request_floods(df, 120, None).count() == 0
     row = detect.first_request_floods(df, 120).first()
     assert (row.requests, str(row.opened), str(row["at"])) == (120, "2024-01-30 07:33:55", "2024-01-30 07:34:42.600000")
+
+
+def test_minutes_are_opened_from_times_alone(spark, monkeypatch):
+    """Without a cooldown no row goes through `throttle`: its search for the first row of each time is not needed."""
+    rows = [("a", "2024-01-01 00:00:00", "/x"), ("a", "2024-01-01 00:00:00", "/x"), ("a", "2024-01-01 00:01:10", "/y"), (None, "2024-01-01 00:00:30", "/x"),
+            ("", "2024-01-01 00:00:30", "/x"), (None, "2024-01-01 00:00:50", "/z"), ("a", None, "/x")]
+    df = spark.createDataFrame(rows, "remote_addr string, Timestamp string, path string").withColumn("Timestamp", F.col("Timestamp").cast("timestamp"))
+    monkeypatch.setattr(detect, "throttle", None)
+    found = detect.first_request_floods(df, 2, None).collect()
+    assert sorted((str(r.remote_addr), str(r.opened), str(r["at"]), r.requests, r.latest_path) for r in found) == [
+        ("None", "2024-01-01 00:00:30", "2024-01-01 00:00:50", 2, "/z"), ("a", "2024-01-01 00:00:00", "2024-01-01 00:00:00", 2, "/x")]
+    assert detect.first_request_floods(df.limit(0), 2, None).count() == 0

@@ -108,13 +108,27 @@ def throttle(df: DataFrame, keys: Sequence[str], ts: str, seconds: float, order:
     rows = cut_lineage(df.withColumn("_key", packed).withColumn("_us", micros(ts)))
     timeless = rows.filter(F.col("_us").isNull()).drop("_key", "_us")  # no pause to measure: they pass
     rows = rows.filter(F.col("_us").isNotNull())
-    blocks = rows.select("_key", "_us").distinct().withColumn(
-        "_block", F.floor(F.col("_us") / block).cast("bigint"))
+    passing = passing_times(rows.select("_key", "_us"), pause, block)
+    # Of several events at the passing time, the first in `order`; rows that tie there go by a hash of all columns.
+    comparable = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    found = (rows.withColumn("_tie", F.struct(*order, F.xxhash64(*comparable).alias("_row")))
+             .join(passing, ["_key", "_us"], "left_semi"))
+    first = found.groupBy("_key", "_us").agg(F.min("_tie").alias("_tie"))
+    same = [found[c].eqNullSafe(first[c]) for c in ("_key", "_us", "_tie")]
+    return (found.join(first, same, "left_semi").dropDuplicates(["_key", "_us"]).drop("_key", "_us", "_tie")
+            .unionByName(timeless))
+
+
+def passing_times(times: DataFrame, pause: int, block: int) -> DataFrame:
+    """The distinct (_key, _us) of `times` that pass: steps 1 to 3 of `throttle`. No null times; lengths in microseconds.
 
-    span = blocks.agg(F.min("_block"), F.max("_block")).first()
+    `times` is read three times and may repeat rows.
+    """
+    numbered = times.withColumn("_block", F.floor(F.col("_us") / block).cast("bigint"))
+    span = numbered.agg(F.min("_block"), F.max("_block")).first()
     if span[0] is None:
-        return rows.drop("_key", "_us").unionByName(timeless)
-    lowest = span[0]
+        return times.select("_key", "_us")
+    lowest, blocks = span[0], numbered.distinct()
 
     def outcomes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def steps() -> Iterator[tuple]:
@@ -155,16 +169,8 @@ def throttle(df: DataFrame, keys: Sequence[str], ts: str, seconds: float, order:
     # A block's entry precedes its events, so one sorted pass sees both.
     marked = (blocks.withColumn("_from", F.lit(0).cast("bigint")).withColumn("_entered", F.lit(False))
               .unionByName(entries.withColumn("_us", F.lit(0).cast("bigint")).withColumn("_entered", F.lit(True))))
-    passing = (marked.repartition("_key", "_block").sortWithinPartitions("_key", "_block", F.desc("_entered"), "_us")
-               .mapInPandas(chain, "_key string, _us bigint"))
-    # Of several events at the passing time, the first in `order`; rows that tie there go by a hash of all columns.
-    comparable = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
-    found = (rows.withColumn("_tie", F.struct(*order, F.xxhash64(*comparable).alias("_row")))
-             .join(passing, ["_key", "_us"], "left_semi"))
-    first = found.groupBy("_key", "_us").agg(F.min("_tie").alias("_tie"))
-    same = [found[c].eqNullSafe(first[c]) for c in ("_key", "_us", "_tie")]
-    return (found.join(first, same, "left_semi").dropDuplicates(["_key", "_us"]).drop("_key", "_us", "_tie")
-            .unionByName(timeless))
+    return (marked.repartition("_key", "_block").sortWithinPartitions("_key", "_block", F.desc("_entered"), "_us")
+            .mapInPandas(chain, "_key string, _us bigint"))
 
 
 def _entered(maps: DataFrame, pause: int, block: int, lowest: int, nodes: int) -> DataFrame:

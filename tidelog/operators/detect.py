@@ -11,7 +11,7 @@ from tidelog.functions import fixed
 from tidelog.functions.text import clean_text, critical_class, critical_title, spam_group
 from tidelog.functions.values import at, contains_ci, from_micros, half_even, micros
 from tidelog.operators.bounded import small_side
-from tidelog.operators.cooldown import throttle
+from tidelog.operators.cooldown import passing_times, throttle
 from tidelog.operators.ordered import slot_of
 from tidelog.operators.scope import owned_containers
 from tidelog.operators.search import not_gateway
@@ -340,9 +340,10 @@ def first_request_floods(acc: DataFrame, per_minute: int = fixed.FLOOD_REQUESTS_
                           .groupBy(client, F.col("remote_addr").isNull().alias("unknown"), micros("Timestamp").alias("us"), "path").agg(F.count(F.lit(1)).alias("n")))
     key = ["client", "unknown"]
     slot = lambda us: F.floor(us / F.lit(WINDOW_US)).cast("bigint")
-    times = counted.select(*key, "us").distinct().withColumn("t", from_micros(F.col("us")))
-    openers = (throttle(times, key, "t", WINDOW_US / 1_000_000, order=["us"])
-               .select(*key, F.col("us").alias("start"), F.explode(F.array(slot(F.col("us")), slot(F.col("us")) + 1)).alias("slot")))
+    mark = F.when(F.col("unknown"), "?").otherwise("=")  # a client's name follows it
+    opened = passing_times(counted.select(F.concat(mark, "client").alias("_key"), F.col("us").alias("_us")), WINDOW_US, max(3_600_000_000, 10 * WINDOW_US))
+    openers = opened.select(F.expr("substring(_key, 2)").alias("client"), F.col("_key").startswith("?").alias("unknown"), F.col("_us").alias("start"),
+                            F.explode(F.array(slot(F.col("_us")), slot(F.col("_us")) + 1)).alias("slot"))
     placed = (counted.withColumn("slot", slot(F.col("us"))).join(openers, [*key, "slot"])
               .filter((F.col("us") >= F.col("start")) & (F.col("us") < F.col("start") + WINDOW_US)))
     so_far = Window.partitionBy(*key, "start").orderBy("us", F.col("path").isNotNull(), "path").rowsBetween(Window.unboundedPreceding, 0)
