@@ -53,3 +53,24 @@ def test_a_restart_and_late_requests_add_to_their_hour_once(spark, sf_dir, tmp_p
     kept = {r["hour"]: r["total"] for r in rollups.hours_of(spark.read.parquet(parts)).collect()}
     plain = {r["hour"]: r["total"] for r in rollups.hours_of(rollups.hourly_parts(acc.union(extra))).collect()}
     assert sum(kept.values()) == sum(plain.values()) == acc.count() + 7
+
+
+def test_a_table_of_many_parts_is_streamed_in_its_parts_and_kept_by_month(spark, tmp_path, monkeypatch):
+    """No task takes a fixed share of all requests, neither where they are stored nor where a batch's hours are written."""
+    from tidelog.plans import stream_queries
+
+    given = views.access(spark, "/root/testdata/sf0.001").limit(900)
+    months = given.withColumn("Timestamp", F.add_months("Timestamp", F.pmod("bytes_sent", F.lit(5)).cast("int")).cast("timestamp_ntz"))
+    monkeypatch.setattr(stream_queries, "shared_dir", lambda spark, purpose: str(tmp_path / purpose))
+    monkeypatch.setattr(views, "access", lambda spark, sf: months.repartition(9))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ones would be one file again
+    try:
+        parts = stream_queries._kept_parts(spark, "")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spark.read.parquet(str(tmp_path / "rollup" / "access")).inputFiles()) == 9
+    batches = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "rollup" / "parts").glob("stream=*/batch=*"))
+    assert batches == [0, 1, 2]
+    assert len(parts.inputFiles()) > len(batches)
+    exact = lambda df: sorted(map(tuple, rollups.hours_of(df).drop("p95_time", "clients").collect()))
+    assert exact(parts) == exact(rollups.hourly_parts(months))

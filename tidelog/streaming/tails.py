@@ -126,11 +126,13 @@ def rollup_stream(acc: DataFrame, path: str, checkpoint: str, every: str | None
     """Keeps the hourly roll-up of a stream of requests: `rollups` reads the table of parts that it leaves.
 
     Each micro-batch adds its own parts, a row per hour, in a folder named after the stream and the batch. A batch that is
-    repeated replaces that folder, so nothing counts twice; late requests are one more part of their hour.
+    repeated replaces that folder, so nothing counts twice; late requests are one more part of their hour. Hours are combined
+    by many tasks and then gathered by month: a task writes the rows of whole months, whatever the size of the batch.
     """
     def add(batch: DataFrame, number: int) -> None:
         stream = stream_id(batch.sparkSession, checkpoint)
-        hourly_parts(batch).coalesce(1).write.mode("overwrite").parquet(f"{path}/stream={stream}/batch={number}")
+        parts = hourly_parts(batch).repartition(F.trunc("hour", "MONTH"))
+        parts.write.mode("overwrite").parquet(f"{path}/stream={stream}/batch={number}")
 
     writer = acc.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
