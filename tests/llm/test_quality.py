@@ -57,3 +57,25 @@ def test_size_of_the_vectors_and_of_what_the_network_sees():
     index = quality.index_vectors()
     assert index.shape[1] == 32 and ((index != 0).sum(axis=1) == 6).all()
     assert quality.features(["a b"], np.hstack([index, index]), quality.Marks()).shape == (1, 130)
+
+
+def test_words_that_are_seen_once_share_their_shapes():
+    """Marks are those of core and shape spelled out, for signs, cases and digits of any script; a shape is hashed once."""
+    def spelled(word):
+        core = word
+        while core and not core[-1].isalnum():
+            core = core[:-1]
+        while core and not core[0].isalnum():
+            core = core[1:]
+        at = word.find(core) if core else 0
+        case = ("digits" if core.isdigit() else "upper" if len(core) > 1 and core.isupper() else "title" if core[:1].isupper()
+                else "lower" if core.islower() else "mixed" if core else "none")
+        shape = f"{case} {min(len(core), 24) // 4} {word[:at][-4:]} {word[at + len(core):][:4]}"
+        return [zlib.crc32(x.encode("utf-8", "replace")) % quality.BUCKETS for x in (core.lower(), shape)]
+
+    words = ["ǅabc", "\xdf", "İx", "٣٤", "a\ud800b", "...", "(A)", "'Tis,", "X1", "x1!!!!!!", "....abc....", "Ⅷ", "x" * 40, "A", "AB.", "()", "-1", "1a", "1A"]
+    marks = quality.Marks()
+    assert marks.of([words], len(words)).tolist() == [spelled(w) for w in words]
+    before = len(marks.shapes)
+    assert marks.of([[f"abc{i:04}," for i in range(500)]], 500)[:, 1].tolist() == [spelled("abc0000,")[1]] * 500
+    assert len(marks.shapes) == before + 1

@@ -36,28 +36,42 @@ def index_vectors(seed: int = 11) -> np.ndarray:
 class Marks(dict):
     """Both marks of a word in one number, remembered for the frequent ones: a full table is begun anew."""
 
+    def __init__(self):
+        self.shapes = Shapes()
+
     def of(self, texts: list[list[str]], count: int) -> np.ndarray:
         """[core, shape] of each word of all texts."""
         both = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int32, count)
         return np.stack([both // BUCKETS, both % BUCKETS], axis=1)
 
     def __missing__(self, word: str) -> int:
-        core = word
-        while core and not core[-1].isalnum():
-            core = core[:-1]
-        while core and not core[0].isalnum():
-            core = core[1:]
-        at = word.find(core) if core else 0
-        case = ("digits" if core.isdigit() else "upper" if len(core) > 1 and core.isupper() else "title" if core[:1].isupper()
-                else "lower" if core.islower() else "mixed" if core else "none")
-        shape = f"{case} {min(len(core), 24) // 4} {word[:at][-4:]} {word[at + len(core):][:4]}"
-        mark = zlib.crc32(core.lower().encode("utf-8", "replace")) % BUCKETS * BUCKETS + zlib.crc32(shape.encode("utf-8", "replace")) % BUCKETS
+        core, before, after = word, "", ""
+        if not word.isalnum():  # signs around the core
+            while core and not core[-1].isalnum():
+                core = core[:-1]
+            while core and not core[0].isalnum():
+                core = core[1:]
+            at = word.find(core) if core else 0
+            before, after = word[:at][-4:], word[at + len(core):][:4]
+        case = ("lower" if core.islower() else "digits" if core.isdigit() else "upper" if len(core) > 1 and core.isupper()
+                else "title" if core[:1].isupper() else "mixed" if core else "none")
+        mark = zlib.crc32(core.lower().encode("utf-8", "replace")) % BUCKETS * BUCKETS + self.shapes[case, min(len(core), 24) // 4, before, after]
         if len(self) >= _KEPT:
             self.clear()
         self[word] = mark
         return mark
 
 
+class Shapes(dict):
+    """The mark of (case, length, signs before, signs after): there are few, and most words that are seen once share them."""
+
+    def __missing__(self, shape: tuple[str, int, str, str]) -> int:
+        if len(self) >= _KEPT:
+            self.clear()
+        self[shape] = mark = zlib.crc32(" ".join(map(str, shape)).encode("utf-8", "replace")) % BUCKETS
+        return mark
+
+
 def _documents(texts: list[str], marks: Marks) -> tuple[np.ndarray, np.ndarray]:
     """Marks of all words of the texts, and where each text begins."""
     words = [text.split() for text in texts]
