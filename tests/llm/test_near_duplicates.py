@@ -133,3 +133,22 @@ def test_sized_parities_tell_large_sets_apart():
     rows = [np.concatenate([[np.uint64(len(x))], simhash.sized_parities(x, 0.8)[0]]) for x in (a, c, half)]
     near = simhash.may_be_similar(0.8)
     assert not near(rows[0], rows[1]) and not near(rows[0], rows[2])
+
+
+def test_simhash_finds_near_copies_and_the_prefix_search_is_for_the_rest(spark, monkeypatch):
+    """Pairs within the radius that are similar are linked by their fingerprints alone; pairs beyond it only without them."""
+    numbers, rows = random.Random(8), []
+    for i in range(40):
+        words = [f"w{i}x{numbers.randrange(10**6)}" for _ in range(400)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(words + ["more"])), (3 * i + 2, " ".join(words[:340]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    prints = {d: simhash.fingerprint(np.unique(simhash.shingle_hashes(t.encode(), 5))) for d, t in rows}
+    near = {i for i in range(40) if (prints[3 * i] ^ prints[3 * i + 1]).bit_count() <= 4}
+    far = {i for i in range(40) if min((prints[3 * i + 2] ^ prints[3 * i + j]).bit_count() for j in (0, 1)) > 4}
+    assert len(near) > 30 and len(far) > 10
+    assert sorted(r.doc_id for r in simhash.without_near_duplicates(df).collect()) == list(range(0, 120, 3))
+    links = []
+    monkeypatch.setattr(simhash, "_may_meet", lambda found, nodes, classes, similarity: links.append(classes.count()) or nodes.selectExpr("node AS a", "node AS b"))
+    kept = {r.doc_id for r in simhash.without_near_duplicates(df).collect()}
+    assert links[0] >= 2 * len(near) and not kept & {3 * i + 1 for i in near}
+    assert {3 * i + 2 for i in far} <= kept

@@ -1,4 +1,4 @@
-"""Near duplicates by SimHash: pigeonhole blocks, a join on blocks, Hamming verification."""
+"""Near duplicates by SimHash: pigeonhole blocks, a join on blocks, Hamming verification; by Jaccard similarity with an exact check after it."""
 
 from __future__ import annotations
 
@@ -258,6 +258,11 @@ def may_be_similar(similarity: float) -> Near:
     return near
 
 
+def of_two_classes(near: Near) -> Near:
+    """Rows begin with their class: those of one class are joined already and need no link."""
+    return lambda x, y: (x[..., 0] != y[..., 0]) & near(x[..., 1:], y[..., 1:])
+
+
 def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
     """Of a set's distinct hashes, in ascending order, as many as any set of at least that similarity must share one of.
 
@@ -293,72 +298,101 @@ def common_shingles(docs: DataFrame, shingle: int, text_col: str) -> tuple[np.nd
 
 
 def sketches(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, raw, words_key, n, f, keys): hashes of text and word sequence, the number of distinct shingles, that number
-    and their parity, and the hashes of their `prefix`."""
+    """(doc_id, raw, words_key, n, print, f, keys): hashes of text and word sequence, the number of distinct shingles, their
+    SimHash `fingerprint`, their number and parity, and the hashes of their `prefix`."""
     given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("raw"), F.col(text_col).cast("binary").alias("data"))
     common, often = common_shingles(docs, shingle, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in slices(batches, 256):
-            names, counts, f, keys = [], [], [], []
+            names, counts, prints, f, keys = [], [], [], [], []
             for data in batch.column(2).to_pylist():
                 hashes = np.unique(shingle_hashes(data, shingle))
                 names.append(xxhash.xxh3_128_hexdigest(b" ".join((data or b"").lower().split())))
                 counts.append(len(hashes))
+                prints.append(fingerprint(hashes))
                 f.append(np.concatenate([[np.uint64(len(hashes))], parity(hashes)]).view(np.int64))
                 keys.append(prefix(hashes, similarity, common, often).view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(counts, pa.int64()),
-                                              pa.array(f, longs), pa.array(keys, longs)], ["doc_id", "raw", "words_key", "n", "f", "keys"])
+                                              pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(f, longs), pa.array(keys, longs)],
+                                             ["doc_id", "raw", "words_key", "n", "print", "f", "keys"])
 
-    return given.mapInArrow(run, f"doc_id {given.schema[0].dataType.simpleString()}, raw long, words_key string, n long, f array<long>, keys array<long>")
+    return given.mapInArrow(run, f"doc_id {given.schema[0].dataType.simpleString()}, raw long, words_key string, n long, print long, f array<long>, keys array<long>")
 
 
-def near_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, part_shingles: int = 1_000_000,
+def near_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 4, part_shingles: int = 1_000_000,
                     part_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, raw, component) per row of docs: texts whose sets of word shingles have a Jaccard similarity of at least `similarity`
     are linked; component is the same for all that links join.
 
-    No pair is missed: two sets at 0.8 share one of the shingles of their prefixes, about a fifth of each set, rare ones first.
-    What meets there and cannot be ruled out by size and parity is joined; components of over `part_shingles` shingles are looked
-    at again by parities as long as their sets need. What is left is compared exactly, shingle by shingle, so that no two
-    texts are linked which are less similar. Texts with equal words are one node. Null, empty and blank texts have
+    SimHash comes first: texts whose fingerprints are within `radius` bits meet in blocks, and an exact comparison of shingles
+    decides. What that joins is a class. Fingerprints cannot promise every pair, so those between classes are then searched
+    exactly: two sets at 0.8 share one of the shingles of their prefixes, about a fifth of each set, rare ones first. What meets
+    there and cannot be ruled out by size and parity is joined; components of over `part_shingles` shingles are looked
+    at again by parities as long as their sets need. What is left is compared shingle by shingle as well, so no pair is missed and
+    no two texts are linked which are less similar. Texts with equal words are one node. Null, empty and blank texts have
     equal words (none). raw is a hash of the text.
     """
+    def similar(links: DataFrame, purpose: str) -> DataFrame:
+        """Of nodes that these links join, the links between those that are as similar as that."""
+        rough = written(components(links), "rough")
+        members = written(_refined(docs, rows, nodes.join(rough, "node").select("node", "n", "root"), similarity, shingle,
+                                   part_shingles, part_words, id_col, text_col), "members")
+        pairs = written(_verified(docs, rows, members, similarity, shingle, part_shingles, id_col, text_col), purpose)
+        drop_written(rough)
+        drop_written(members)
+        let_shuffles_go(docs.sparkSession)
+        return pairs
+
     found = written(sketches(docs, similarity, shingle, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
     rows = written(found.select("row", "doc_id", "raw", "words_key"), "rows")
-    nodes = written(found.groupBy("words_key").agg(F.min("row").alias("node"), F.min("n").alias("n")), "nodes")
-    rough = written(components(_may_meet(found, nodes, similarity)), "rough")
+    nodes = written(found.groupBy("words_key").agg(F.min("row").alias("node"), F.min("n").alias("n"), F.min("print").alias("print")), "nodes")
+    by_print = similar(_near_prints(nodes, radius), "by-print")
+    classes = written(components(by_print).select(F.col("node").alias("row"), F.col("root").alias("class")), "classes")
+    by_prefix = similar(_may_meet(found, nodes, classes, similarity), "by-prefix")
     drop_written(found)
-    let_shuffles_go(docs.sparkSession)
-    members = written(_refined(docs, rows, nodes.join(rough, "node").select("node", "n", "root"), similarity, shingle,
-                               part_shingles, part_words, id_col, text_col), "members")
-    links = _verified(docs, rows, members, similarity, shingle, part_shingles, id_col, text_col)
-    joined = written(components(links).select(F.col("node").alias("member"), F.col("root").alias("r")), "joined")
-    drop_written(rough)
-    drop_written(members)
+    joined = written(components(by_print.union(by_prefix)).select(F.col("node").alias("member"), F.col("root").alias("r")), "joined")
+    for done in (classes, by_print, by_prefix):
+        drop_written(done)
     let_shuffles_go(docs.sparkSession)
     ids = (nodes.join(joined, F.col("node") == F.col("member"), "left")
            .select(F.col("words_key").alias("w"), F.coalesce("r", "node").alias("component")))
     return rows.join(ids, F.col("words_key") == F.col("w")).select("doc_id", "raw", "component")
 
 
-def _may_meet(found: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links between nodes that share a key of their prefixes and may be similar by size and parity.
+def _near_prints(nodes: DataFrame, radius: int) -> DataFrame:
+    """Links between nodes(node, n, print) whose fingerprints are at most `radius` bits apart, as in `simhash_components`.
+
+    Nodes of one fingerprint hang on the smallest of them, which alone goes into the blocks.
+    """
+    own = nodes.where("n > 0").select("node", "print")
+    first = own.groupBy("print").agg(F.min("node").alias("first"))
+    equal = own.join(first, "print").where(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    blocks, agreeing = block_scheme(first.count(), radius)
+    keyed = first.select(F.explode(block_keys(F.col("print"), blocks, agreeing)).alias("key"), F.col("first").alias("node"), F.array("print").alias("f"))
+    return equal.union(bucket_links(keyed, within(radius)))
+
+
+def _may_meet(found: DataFrame, nodes: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Links between nodes of different classes(row, class) that share a key of their prefixes and may be similar by size and parity.
 
-    Keys travel with a number alone until it is known which stand in several texts (most stand in one). Then sketches are joined: short ones
-    for sets of up to SHORT_SHINGLES, whole ones for larger sets. The two kinds overlap, so that sets whose sizes are within the
-    similarity of each other meet in one of them.
+    A node without a class is one of its own. Keys travel with two numbers alone until it is known which stand in several classes
+    (most stand in one). Then sketches are joined: short ones for sets of up to SHORT_SHINGLES, whole ones for larger sets. The
+    two kinds overlap, so that sets whose sizes are within the similarity of each other meet in one of them.
     """
-    own = found.where("n > 0").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-    keyed = own.select(F.col("row").alias("node"), F.explode("keys").alias("key"))
-    met = keyed.withColumn("count", F.count("*").over(Window.partitionBy("key"))).where("count > 1")
+    own = (found.where("n > 0").join(nodes.select(F.col("node").alias("row")), "row", "left_semi").join(classes, "row", "left")
+           .withColumn("class", F.coalesce("class", "row")))
+    keyed = own.select(F.col("row").alias("node"), "class", F.explode("keys").alias("key"))
+    same = Window.partitionBy("key")
+    met = (keyed.withColumns({"count": F.count("*").over(same), "low": F.min("class").over(same), "high": F.max("class").over(same)})
+           .where("low < high").select("node", "key", "count"))
     folds = [reduce(lambda a, b: a.bitwiseXOR(b), (F.col("f")[1 + i] for i in range(w, PARITY_WORDS, SHORT_WORDS))) for w in range(SHORT_WORDS)]
-    sketch = own.select(F.col("row").alias("node"), "n", "f")
-    short = sketch.where(F.col("n") <= SHORT_SHINGLES).select("node", F.array(F.col("f")[0], *folds).alias("f"))
-    long = sketch.where(F.col("n") >= int(similarity * SHORT_SHINGLES)).select("node", "f")
-    links = [counted_links(met.join(kind, "node"), may_be_similar(similarity)) for kind in (short, long)]
+    sketch = own.select(F.col("row").alias("node"), "class", "n", "f")
+    short = sketch.where(F.col("n") <= SHORT_SHINGLES).select("node", F.array(F.col("class"), F.col("f")[0], *folds).alias("f"))
+    long = sketch.where(F.col("n") >= int(similarity * SHORT_SHINGLES)).select("node", F.concat(F.array("class"), "f").alias("f"))
+    links = [counted_links(met.join(kind, "node"), of_two_classes(may_be_similar(similarity))) for kind in (short, long)]
     return links[0].union(links[1])
 
 
