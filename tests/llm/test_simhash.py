@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidelog.llm import simhash
+from tidelog.llm import common, simhash
 from tidelog.llm.graph import components
 
 
@@ -56,6 +56,29 @@ def test_equals_comparing_every_pair(spark, sf_dir):
     assert found(df, bucket_rows=8) == plain_components(rows)
 
 
+def broadcast_parts(df):
+    """What stands below each broadcast in the plan."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    for i, line in enumerate(lines):
+        if (depth := line.find("BroadcastExchange")) >= 0:
+            below = next((j for j in range(i + 1, len(lines)) if re.search(r"\w", lines[j]).start() <= depth), len(lines))
+            yield "\n".join(lines[i:below])
+
+
+def test_exploded_keys_are_never_broadcast(spark, monkeypatch):
+    """Spark takes them to be as many as their nodes."""
+    rows = [(i, f"{'same words in all of them ' * 4} {'x' * (i % 5)}") for i in range(60)] + [(100, "another text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = spark.range(50).select(F.explode(simhash.block_keys(F.col("id"), 5, 1)).alias("key"), F.col("id").alias("node"), F.array("id").alias("f"))
+    for most in (500_000, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        links = simhash.bucket_links(keyed, simhash.within(4), 8)
+        parts = list(broadcast_parts(links))
+        assert bool(parts) == bool(most) and not any(re.search("Generate explode", x) for x in parts)
+        assert {r.root for r in components(links).collect()} == {0}
+        assert found(df, bucket_rows=2) == plain_components(rows)
+
+
 def test_empty_table(spark):
     assert found(spark.createDataFrame([], "doc_id long, text string")) == []
 

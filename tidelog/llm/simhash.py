@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tidelog.llm.common import drop_written, free_names, let_shuffles_go, slices, written
+from tidelog.llm.common import counted_side, drop_written, free_names, let_shuffles_go, slices, written
 from tidelog.llm.graph import components
 from tidelog.llm.tokens import let_go
 
@@ -105,8 +105,8 @@ def bucket_links(keyed: DataFrame, near: Near, bucket_rows: int = BUCKET_ROWS) -
     bucket's linked groups, never all pairs. A bucket of over `bucket_rows` rows is cut into parts, and every
     pair of parts is a bucket of its own: no task holds more than two parts, and no pair is missed.
     """
-    large = (keyed.groupBy("key").count().where(F.col("count") > bucket_rows)
-             .select("key", F.ceil(F.col("count") / bucket_rows).cast("int").alias("parts")))
+    large = counted_side(written(keyed.groupBy("key").count().where(F.col("count") > bucket_rows)
+                                 .select("key", F.ceil(F.col("count") / bucket_rows).cast("int").alias("parts")), "large-buckets"))
     member = F.struct("node", "f")
     small = keyed.join(large, "key", "left_anti").groupBy("key").agg(F.collect_list(member).alias("rows"))
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
@@ -212,7 +212,7 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, id_co
     ids = (rooted.join(smallest, F.col("root") == F.col("r"), "left")
            .select(F.col("f").alias("g"), F.when(F.col("root").isNull(), F.col("first"))
                    .otherwise(F.col("smallest")).alias("component_id")))
-    return (found.join(ids, F.col("f") == F.col("g"))
+    return (found.hint("merge").join(ids, F.col("f") == F.col("g"))  # a row a document: its file tells little of that
             .select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id"))
 
 
