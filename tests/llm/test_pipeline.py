@@ -1,5 +1,7 @@
 """The pipeline stage by stage against plain forms, each on what the stage before it kept."""
 
+import re
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -57,6 +59,12 @@ def test_decontamination(spark, sf_dir, stages):
     assert sorted(map(str, (d for d, _ in rows if d not in leaked))) == sorted(str(d) for d, _ in pairs(stages[3]))
 
 
+def test_documents_are_not_dealt_out_for_the_keys_of_leaks(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = corpus_pipeline.drop_benchmark_leaks(spark, docs, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and not re.search("SortMergeJoin|ShuffledHashJoin|hashpartitioning", plan)
+
+
 def test_secrets(stages):
     before, after = dict(pairs(stages[3])), dict(pairs(stages[4]))
     assert set(before) == set(after)
